@@ -54,3 +54,19 @@ def carry_forward(df: DataFrame, entity: Sequence[str], block: str, order: Seque
         .drop("__value")
     )
     return _joined(local, last, entity, block).withColumn(out, F.coalesce("__local", "__before")).drop("__local", "__before")
+
+
+def previous(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """``out``: ``value`` of the row before this one in the entity, as a one-field struct; NULL at the first row."""
+    w = Window.partitionBy(*entity, block).orderBy(*order)
+    outer = Window.partitionBy(*entity).orderBy(block)
+    boxed = df.withColumn("__box", F.struct(F.col(value).alias("value")))
+    local = boxed.withColumn("__local", F.lag("__box").over(w)).drop("__box")
+    last = (
+        boxed.withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
+        .where("__end")
+        .select(*entity, block, "__box")
+        .withColumn("__before", F.lag("__box").over(outer))
+        .drop("__box")
+    )
+    return _joined(local, last, entity, block).withColumn(out, F.coalesce("__local", "__before")).drop("__local", "__before")
