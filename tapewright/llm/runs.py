@@ -46,10 +46,21 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return min(row[-1], limit + 1)
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
 @lru_cache(maxsize=65536)
 def same_line(a: str, b: str) -> bool:
     """Two normalised lines that are readings of one line: equal words in any order but for at most MAX_EDITS
-    characters, all in words of LONG_WORD or more characters, and no difference in numbers."""
+    characters, all in words of LONG_WORD or more characters, and no difference in numbers. Two words a letter short of
+    that count where each can be such a word with another letter missing."""
     if a == b:
         return True
     wa, wb = a.split(), b.split()
@@ -67,14 +78,21 @@ def same_line(a: str, b: str) -> bool:
     if len(rest_a) > MAX_EDITS:
         return False
 
+    def edits(w: str, v: str, budget: int) -> int:
+        if w.isdigit() or v.isdigit():
+            return budget + 1
+        if max(len(w), len(v)) >= LONG_WORD:
+            return edit_distance(w, v, budget)
+        # two readings that each miss another letter of a word that is just long enough
+        short = LONG_WORD - 1
+        return 2 if len(w) == len(v) == short and common_letters(w, v) >= short - 1 else budget + 1
+
     def pairs(k: int, left: list[str], budget: int) -> bool:
         if k == len(rest_a):
             return True
         w = rest_a[k]
         for i, v in enumerate(left):
-            if w.isdigit() or v.isdigit() or max(len(w), len(v)) < LONG_WORD:
-                continue
-            d = edit_distance(w, v, budget)
+            d = edits(w, v, budget)
             if d <= budget and pairs(k + 1, left[:i] + left[i + 1 :], budget - d):
                 return True
         return False
