@@ -5,14 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm.consensus import consensus
+from tapewright.llm.mixing import mix
 from tapewright.llm.nearest import nearest_in_time
+from tapewright.llm.packing import pack
 from tapewright.llm.runs import collapse_runs
+from tapewright.llm.sentences import sentences
+from tapewright.llm.tokens import token_counts
 from tapewright.llm.turns import speaker_turns
 from tapewright.plans.catalog import Catalog
 from tapewright.sources.tables import table
 
 CATALOG = Catalog()
 
+#: Column of the readings -> name of the engine.
+ENGINES = {"apple": "apple", "whisper_turbo": "whisper_turbo", "distil_whisper": "distil_whisper", "parakeet": "parakeet"}
+
+
+@CATALOG.add("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    items, _ = consensus(table(spark, sf, "asr_real_transcripts"), ENGINES)
+    return items.select("utterance_id", F.posexplode("differs").alias("n", "differs")).where("differs").select("utterance_id", F.element_at(F.array(*[F.lit(e) for e in ENGINES.values()]), F.col("n") + 1).alias("engine"))
+
+
+@CATALOG.add("p1_consensus")
+def p1_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """The wording to be believed and the agreement of the engines, per utterance."""
+    return consensus(table(spark, sf, "asr_real_transcripts"), ENGINES)[0].drop("differs")
+
+
+@CATALOG.add("p1_engines")
+def p1_engines(spark: SparkSession, sf: str) -> DataFrame:
+    """The reliability of each engine."""
+    return consensus(table(spark, sf, "asr_real_transcripts"), ENGINES)[1]
+
 
 def _starts(spark: SparkSession, sf: str) -> DataFrame:
     """Turns and shots with whole, forward ranges; empty ranges stay."""
@@ -77,3 +103,46 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_turns(spark: SparkSession, sf: str) -> DataFrame:
     """The turns with their speaker, start and clean text."""
     return speaker_turns(table(spark, sf, "raw_transcripts"), table(spark, sf, "corrections"))
+
+
+@CATALOG.add("p6_pack")
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Which texts, or pieces of texts larger than the capacity, are together in which container."""
+    return pack(token_counts(table(spark, sf, "documents"), ["doc_id"]), table(spark, sf, "containers"))
+
+
+@CATALOG.add("p6_fill")
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind of container: how many were filled, with how many texts, and the share of their capacity in use."""
+    packed = p6_pack(spark, sf)
+    packs = packed.groupBy("container", "pack_no").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max("capacity").alias("capacity"))
+    return packs.groupBy("container").agg(
+        F.max("capacity").alias("capacity"), F.count(F.lit(1)).alias("n_packs"), F.sum("pieces").alias("n_pieces"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / F.sum("capacity")).alias("fill_share")
+    )
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mix(token_counts(table(spark, sf, "documents"), ["doc_id", "source"]), table(spark, sf, "mix_targets"))
+
+
+@CATALOG.add("p7_draw")
+def p7_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn texts with the number of their copies."""
+    return _mixed(spark, sf)[0]
+
+
+@CATALOG.add("p7_shares")
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares aimed at and reached."""
+    return _mixed(spark, sf)[1]
+
+
+@CATALOG.add("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(table(spark, sf, "documents")).select("doc_id", "start_char", "end_char")
+
+
+@CATALOG.add("p8_sentences")
+def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences with their number in the text."""
+    return sentences(table(spark, sf, "documents"))
