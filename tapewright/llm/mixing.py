@@ -1,8 +1,8 @@
 """Drawing texts so that each source makes up its share of all tokens.
 
 Each text of a source is wanted the same number of times, say 1.4: once for certain and once more with probability 0.4. The
-fractions are rounded by the pivotal method: two texts trade probability, in proportion to their sizes and at random, until one of them is 0 or
-1. That keeps the expected tokens of the source exactly, and the drawn tokens to within one text. Texts are rounded
+fractions are rounded by the pivotal method: a text and the smaller ones trade tokens of probability, at random, until it is 0 or
+1. That keeps every text's expectation, and the drawn tokens of the source to within one small text. Texts are rounded
 in buckets of bounded size; each leaves at most one undecided text, and those go through a reduction tree of the same step.
 """
 
@@ -27,29 +27,46 @@ def plain_source(c: Column) -> Column:
 
 
 def pivot(items: list[tuple[object, float, int]], rng: random.Random) -> tuple[dict[object, int], tuple[object, float, int] | None]:
-    """Rounds (id, probability, size): 0 or 1 for all but at most one, whose probability is left over. Sum of p * size is kept."""
+    """Rounds (id, probability, size): 0 or 1 for all but at most one, whose probability is left over.
+
+    From the largest text to the smallest, each trades with all smaller ones together: as one gains tokens the others lose as many,
+    each in proportion, until the text is 0 or 1 (or, if it outweighs them, all the others are). Every text keeps its
+    expectation, and the sum of probability * size is kept exactly. What is left over is the smallest text as a rule.
+    """
     done: dict[object, int] = {}
-    held: tuple[object, float, int] | None = None
-    for item in items:
-        if item[1] <= _EPS or item[1] >= 1 - _EPS:
-            done[item[0]] = int(item[1] >= 0.5)
+    order = sorted((x for x in items), key=lambda x: -x[2])
+    size = float(sum(s for _, _, s in order))
+    mass = float(sum(p * s for _, p, s in order))
+    # the others' probabilities, lazily: scale * p + shift
+    scale, shift = 1.0, 0.0
+    for n, (x, p0, s) in enumerate(order):
+        p = min(max(scale * p0 + shift, 0.0), 1.0)
+        size, mass = size - s, mass - p * s
+        if n == len(order) - 1:
+            size = mass = 0.0
+        mass = min(max(mass, 0.0), size)
+        if p <= _EPS or p >= 1 - _EPS:
+            done[x] = int(p >= 0.5)
             continue
-        if held is None:
-            held = item
-            continue
-        (a, p, s), (b, q, t) = held, item
-        up, down = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
+        if n == len(order) - 1:
+            return done, (x, p, s)
+        up, down = min((1 - p) * s, mass), min(p * s, size - mass)
+        if up + down <= 0:
+            return done | {y: int(mass > 0) for y, _, _ in order[n + 1 :]}, (x, p, s)
         if rng.random() * (up + down) < down:
-            p, q = p + up / s, q - up / t
+            p += up / s
+            k = 1 - up / mass if mass > 0 else 0.0
+            scale, shift, mass = scale * k, shift * k, mass - up
         else:
-            p, q = p - down / s, q + down / t
-        held = None
-        for x, r, size in ((a, p, s), (b, q, t)):
-            if r <= _EPS or r >= 1 - _EPS:
-                done[x] = int(r >= 0.5)
-            else:
-                held = (x, r, size)
-    return done, held
+            p -= down / s
+            k = 1 - down / (size - mass) if size > mass else 0.0
+            scale, shift, mass = scale * k, shift * k + (1 - k), mass + down
+        if p <= _EPS or p >= 1 - _EPS:
+            done[x] = int(p >= 0.5)
+            continue
+        # the others are all 0 or all 1 now
+        return done | {y: int(mass > size / 2) for y, _, _ in order[n + 1 :]}, (x, p, s)
+    return done, None
 
 
 def _rounded(seed: int, level: int, last: bool):
