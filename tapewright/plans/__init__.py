@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 
 def all_catalogs() -> Iterator:
-    from tapewright.plans import periods
+    from tapewright.plans import interval_queries, periods, time_queries
 
     yield periods.CATALOG
+    yield time_queries.CATALOG
+    yield interval_queries.CATALOG
