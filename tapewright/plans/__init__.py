@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 
 def all_catalogs() -> Iterator:
-    from tapewright.plans import interval_queries, periods, stat_queries, text_queries, time_queries
+    from tapewright.plans import interval_queries, periods, stat_queries, text_queries, time_queries, timeline_queries
 
     yield periods.CATALOG
     yield time_queries.CATALOG
     yield interval_queries.CATALOG
     yield text_queries.CATALOG
     yield stat_queries.CATALOG
+    yield timeline_queries.CATALOG

@@ -40,10 +40,10 @@ SHOTS = """s AS (
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames with their number of faces (confidence of 0.3 or more) and lines; NULL where the detector didn't run."""
+    """Frames with their number of faces (confidence of 0.3 or more) and lines; -1 where the detector didn't run."""
     f = table(spark, sf, "frames").where("asset IS NOT NULL AND time_num IS NOT NULL")
     sure = lambda x: x["confidence"] >= 0.3
-    return f.select("frame_id", "asset", us("time_num", "time_den").alias("time_us"), F.size(F.filter("faces", sure)).alias("n_faces"), F.size("text").alias("n_lines")).dropDuplicates(["frame_id"])
+    return f.select("frame_id", "asset", us("time_num", "time_den").alias("time_us"), F.coalesce(F.size(F.filter("faces", sure)), F.lit(-1)).alias("n_faces"), F.coalesce(F.size("text"), F.lit(-1)).alias("n_lines")).dropDuplicates(["frame_id"])
 
 
 FRAMES = """f AS (
