@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 
 def all_catalogs() -> Iterator:
-    from tapewright.plans import interval_queries, periods, stat_queries, text_queries, time_queries, timeline_queries
+    from tapewright.plans import interval_queries, periods, rule_queries, stat_queries, text_queries, time_queries, timeline_queries
 
     yield periods.CATALOG
+    yield rule_queries.CATALOG
     yield time_queries.CATALOG
     yield interval_queries.CATALOG
     yield text_queries.CATALOG
