@@ -85,7 +85,7 @@ def timecode(frame: Column, nominal: int, drop: bool) -> Column:
 def frame_of_timecode(text: Column, nominal: int, drop: bool) -> Column:
     """The frame number, or NULL for a malformed timecode, parts out of range and numbers that are dropped."""
     p = F.regexp_extract_all(text, F.lit(r"^(\d{1,3})[:;](\d{2})[:;](\d{2})[:;](\d{2})$"), F.lit(0))
-    parts = F.split(F.element_at(p, 1), "[:;]")
+    parts = F.split(F.try_element_at(p, F.lit(1)), "[:;]")
     h, m, s, f = (F.try_element_at(parts, F.lit(i)).cast("bigint") for i in (1, 2, 3, 4))
     ok = (F.size(p) == 1) & (m < 60) & (s < 60) & (f < nominal)
     total = ((h * 60 + m) * 60 + s) * nominal + f

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 
 def all_catalogs() -> Iterator:
-    from tapewright.plans import interval_queries, periods, rule_queries, stat_queries, text_queries, time_queries, timeline_queries
+    from tapewright.plans import interval_queries, periods, rule_queries, sequence_queries, stat_queries, text_queries, time_queries, timeline_queries
 
     yield periods.CATALOG
     yield rule_queries.CATALOG
@@ -14,4 +14,5 @@ def all_catalogs() -> Iterator:
     yield interval_queries.CATALOG
     yield text_queries.CATALOG
     yield stat_queries.CATALOG
+    yield sequence_queries.CATALOG
     yield timeline_queries.CATALOG
