@@ -3,7 +3,7 @@
 Each text of a source is wanted the same number of times, say 1.4: once for certain and once more with probability 0.4. The
 fractions are rounded by the pivotal method: a text and the smaller ones trade tokens of probability, at random, until it is 0 or
 1. That keeps every text's expectation, and the drawn tokens of the source to within one small text. Texts are rounded
-in buckets of bounded size; each leaves at most one undecided text, and those go through a reduction tree of the same step.
+in buckets of bounded size; each leaves at most one undecided text, and those are paired in a reduction tree.
 """
 
 from __future__ import annotations
@@ -26,8 +26,32 @@ def plain_source(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(c)), r"[\s_\-]+", "_")
 
 
+def pivot_pairs(items: list[tuple[object, float, int]], rng: random.Random) -> tuple[dict[object, int], tuple[object, float, int] | None]:
+    """Rounds (id, probability, size) of any probabilities, pair by pair; returns as ``pivot`` does and keeps the same."""
+    done: dict[object, int] = {}
+    held: tuple[object, float, int] | None = None
+    for item in items:
+        if held is None:
+            pair = [item]
+        else:
+            (x, p, s), (y, q, t) = held, item
+            up, down = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
+            if rng.random() * (up + down) < down:
+                p, q = p + up / s, q - up / t
+            else:
+                p, q = p - down / s, q + down / t
+            pair = [(x, p, s), (y, q, t)]
+        held = None
+        for x, p, s in pair:
+            if p <= _EPS or p >= 1 - _EPS:
+                done[x] = int(p >= 0.5)
+            else:
+                held = (x, p, s)
+    return done, held
+
+
 def pivot(items: list[tuple[object, float, int]], rng: random.Random) -> tuple[dict[object, int], tuple[object, float, int] | None]:
-    """Rounds (id, probability, size): 0 or 1 for all but at most one, whose probability is left over.
+    """Rounds (id, probability, size), all of one probability: 0 or 1 for all but at most one, whose probability is left over.
 
     From the largest text to the smallest, each trades with all smaller ones together: as one gains tokens the others lose as many,
     each in proportion, until the text is 0 or 1 (or, if it outweighs them, all the others are). Every text keeps its
@@ -73,7 +97,7 @@ def _rounded(seed: int, level: int, last: bool):
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = random.Random(f"{seed}/{level}/{keys[0]}/{keys[1]}")
         pdf = pdf.sort_values("row", kind="stable").reset_index(drop=True)
-        done, held = pivot(list(zip(range(len(pdf)), pdf["p"], pdf["tokens"])), rng)
+        done, held = (pivot_pairs if level else pivot)(list(zip(range(len(pdf)), pdf["p"], pdf["tokens"])), rng)
         if held is not None and last:
             done[held[0]] = int(rng.random() < held[1])
             held = None

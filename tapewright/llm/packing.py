@@ -42,7 +42,13 @@ def shortest_pack_first(histogram: Iterable[tuple[int, int]], capacity: int) ->
     for length, count in sorted(histogram, reverse=True):
         while count:
             if not spaces or -spaces[0] < length:
-                add(capacity - length, ((length, 1),), count)
+                # a new pack is the one with the most space until it is full
+                times = capacity // length
+                full, rest = divmod(count, times)
+                if full:
+                    add(capacity - times * length, ((length, times),), full)
+                if rest:
+                    add(capacity - rest * length, ((length, rest),), 1)
                 break
             space = -spaces[0]
             packs = by_space[space]

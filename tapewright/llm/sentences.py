@@ -122,7 +122,8 @@ def _quote_state(stack: list) -> tuple:
     return tuple(c for c, _ in stack)
 
 
-def _candidates(text: str, a: int, z: int, lower: bool) -> list[_Place]:
+def _candidates(text: str, a: int, z: int, lower: bool) -> tuple[list[_Place], tuple]:
+    """The candidates of a piece and the quotes and brackets open at its end."""
     stack: list[tuple[str, int]] = []
     places: list[_Place] = []
     pending: _Place | None = None
@@ -179,7 +180,7 @@ def _candidates(text: str, a: int, z: int, lower: bool) -> list[_Place]:
     for p in places:
         if not p.space:
             _score_mark(text, a, z, p, lower)
-    return places
+    return places, _quote_state(stack)
 
 
 def _foreign_sentence(text: str, a: int, z: int) -> bool:
@@ -361,8 +362,8 @@ def _frame_only(text: str, a: int, z: int) -> bool:
 
 def _divide(text: str, a: int, z: int, lower: bool) -> list[int]:
     """Ends of the sentences of a piece, the last being its own end: the best division into whole spans."""
-    places = _candidates(text, a, z, lower)
-    end = _Place(z, ())
+    places, left_open = _candidates(text, a, z, lower)
+    end = _Place(z, left_open)
     places = [p for p in places if p.at < z and (p.close + p.open + max(p.quote_mid, p.quote_start, 0.0) > -4.0)]
     places.append(end)
     starts = [a, *(p.at for p in places)]

@@ -59,7 +59,8 @@ _name_word = r"(?:[\p{L}][\p{L}\p{M}\p{N}'’_.-]*|\d{1,3}(?![\d:]))"
 _name = rule("name", term(rf"{_name_word}(?:[ \t]+{_name_word}){{0,3}}"))
 # Words that name sounds; between angle brackets they are no speakers.
 SOUNDS = "noise|static|music|laughter|laughs?|laughing|applause|clapping|crosstalk|inaudible|unintelligible|silence|pause|sighs?|coughs?|beep|breath|breathing|cheering|clears throat"
-_label = seq(_name, many(seq(ws, _annotation)))
+# a remark behind a label is an annotation but no stamp
+_label = seq(_name, many(seq(ws, unless(_stamp), _annotation)))
 _short_name = rule("name", term(rf"{_name_word}(?:[ \t]+(?!(?:is|are)\b){_name_word}){{0,3}}", regex.I))
 _equals = term(r"\s*(?:=+|\bis\b|\baka\b|\bequals\b|\bsame as\b)\s*", regex.I)
 _equation = rule("equation", seq(_short_name, _equals, _short_name))
