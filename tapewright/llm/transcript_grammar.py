@@ -55,7 +55,7 @@ _annotation = rule(
     ),
 )
 
-_name_word = r"(?:[\p{L}][\p{L}\p{M}\p{N}'’_.-]*|\d{1,3}(?![\d:]))"
+_name_word = r"(?:[\p{L}][\p{L}\p{M}\p{N}'’_.-]*|\d{1,3}(?!\d|:\d))"
 _name = rule("name", term(rf"{_name_word}(?:[ \t]+{_name_word}){{0,3}}"))
 # Words that name sounds; between angle brackets they are no speakers.
 SOUNDS = "noise|static|music|laughter|laughs?|laughing|applause|clapping|crosstalk|inaudible|unintelligible|silence|pause|sighs?|coughs?|beep|breath|breathing|cheering|clears throat"

@@ -27,6 +27,10 @@ from tapewright.llm.turns import _groups_of, speaker_turns
         ("  [3:23] I mm-hmm shifted uhhh... it", 203, None, None, "i shifted it"),
         ("<noise> nothing said", None, None, None, "nothing said"),
         ("Pellowick T.: [laughs] Mmm - eh?", None, None, "pellowick", ""),
+        ("[0:19] Speaker 1: We go", 19, None, "speaker 1", "we go"),
+        ("00:00:15,299 --> 00:00:16,799 speaker-03: so", 15, 299_000_000, "speaker 3", "so"),
+        ("Speaker 2 00:04:14: Eh?", 254, None, "speaker 2", ""),
+        ("S1: so", None, None, "speaker 1", "so"),
         ("just words here", None, None, None, "just words here"),
         ("[unclosed and more", None, None, None, "unclosed and more"),
         ("", None, None, None, ""),
