@@ -155,3 +155,86 @@ def mask_coverage(cells: DataFrame, keys: Sequence[str], present: str, layer: in
     bit = F.col(present).bitwiseAND(1 << layer) != 0
     g = c.groupBy(*keys).agg(F.avg(bit.cast("int")).alias("coverage"), F.count_if(F.col(present) == 0).alias("uncovered"), F.min(F.when(bit, F.col("x"))).alias("min_x"), F.max(F.when(bit, F.col("x"))).alias("max_x"))
     return g.withColumn("edge_crosses", (F.col("coverage") > 0.02) & (F.col("coverage") < 0.98))
+
+
+def k_weighting(rate: int) -> list[tuple[float, float, float, float, float]]:
+    """The two filters of programme loudness at a sample rate, as (b0, b1, b2, a1, a2): a high shelf and a high pass."""
+    import math
+
+    def shelf(f: float, gain: float, q: float) -> tuple[float, float, float, float, float]:
+        k = math.tan(math.pi * f / rate)
+        vh = 10 ** (gain / 20)
+        vb = vh**0.4996667741545416
+        a0 = 1 + k / q + k * k
+        return ((vh + vb * k / q + k * k) / a0, 2 * (k * k - vh) / a0, (vh - vb * k / q + k * k) / a0, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0)
+
+    def high_pass(f: float, q: float) -> tuple[float, float, float, float, float]:
+        k = math.tan(math.pi * f / rate)
+        a0 = 1 + k / q + k * k
+        return (1.0, -2.0, 1.0, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0)
+
+    # fixed values: corner frequencies, gain and quality of the two stages
+    return [shelf(1681.974450955533, 3.999843853973347, 0.7071752369554196), high_pass(38.13547087602444, 0.5003270373238773)]
+
+
+def weighted(samples: DataFrame, keys: Sequence[str], n: str, value: str, rate: int) -> DataFrame:
+    """K-weighted samples of each channel, in order: a recursive filter, so it runs per channel of a recording."""
+    import pandas as pd
+
+    filters = k_weighting(rate)
+    s = samples.select(*keys, n, F.col(value).cast("double").alias("v"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(n)
+        x = pdf["v"].tolist()
+        for b0, b1, b2, a1, a2 in filters:
+            z1 = z2 = 0.0
+            out = []
+            for v in x:
+                y = b0 * v + z1
+                z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+                out.append(y)
+            x = out
+        return pdf.assign(v=x)
+
+    return s.groupBy(*keys).applyInPandas(run, schema).withColumnRenamed("v", value)
+
+
+def true_peak(value: Column) -> Column:
+    """The largest magnitude in dBFS: linear interpolation between samples can't exceed it. An aggregate; -120 for silence."""
+    return decibels(F.max(F.abs(value)))
+
+
+def echo_step(offsets: DataFrame, keys: Sequence[str], panel: str, offset: str) -> DataFrame:
+    """Mean of the positive steps between the offsets of neighbouring panels; NULL if there is none."""
+    w = Window.partitionBy(*keys).orderBy(panel)
+    o = offsets.withColumn("step", F.col(offset) - F.lag(offset).over(w))
+    return o.groupBy(*keys).agg(F.avg(F.when(F.col("step") > 0, F.col("step"))).alias("echo_step"))
+
+
+def blank_bands(cells: DataFrame, keys: Sequence[str], frame: str, band: str, value: str, least: float = 2.0) -> DataFrame:
+    """Bands whose mean spread over the sampled frames is under a minimum: they carry no picture."""
+    s = cells.groupBy(*keys, frame, band).agg(F.stddev_pop(value).alias("s"))
+    return s.groupBy(*keys, band).agg(F.avg("s").alias("spread")).withColumn("blank", F.col("spread") < least)
+
+
+def inspect_cuts(cuts: DataFrame) -> DataFrame:
+    """``cuts``: luma_before, luma_after, sound_before, sound_after, shot_seconds, text_before, text_after (arrays): what a cut looks and sounds like."""
+    before, after = F.col("text_before"), F.col("text_after")
+    common = F.size(F.array_intersect(before, after))
+    return (
+        cuts.withColumn("jump_cut", F.abs(F.col("luma_after") - F.col("luma_before")) < 12)
+        .withColumn("flash", F.col("shot_seconds") < 0.2)
+        .withColumn("click", F.abs(F.col("sound_after") - F.col("sound_before")) > 0.15)
+        .withColumn("text_interrupted", (F.size(before) > 0) & (F.size(F.array_except(before, after)) > 0) & (common > 0))
+        .withColumn("text_replaced", (F.size(before) > 0) & (F.size(after) > 0) & (common == 0))
+    )
+
+
+def spatial_guard(coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``coverage``: keys, layers (in the frame), coverage (of a protected region by a layer; NULL without a region): frames that can be checked,
+    those that can't, and those in which an edge crosses the region."""
+    ok = (F.col("layers") > 1) & F.col("coverage").isNotNull()
+    hit = ok & (F.col("coverage") > 0.02) & (F.col("coverage") < 0.98)
+    return coverage.groupBy(*keys).agg(F.count_if(ok).alias("checkable"), F.count_if(~ok).alias("not_checkable"), F.count_if(hit).alias("crossed"))

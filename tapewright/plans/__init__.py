@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 
 def all_catalogs() -> Iterator:
-    from tapewright.plans import choice_queries, interval_queries, periods, rule_queries, sequence_queries, stat_queries, text_queries, time_queries, timeline_queries
+    from tapewright.plans import choice_queries, interval_queries, more_queries, periods, rule_queries, sequence_queries, stat_queries, text_queries, time_queries, timeline_queries
 
     yield periods.CATALOG
     yield rule_queries.CATALOG
@@ -17,3 +17,4 @@ def all_catalogs() -> Iterator:
     yield sequence_queries.CATALOG
     yield timeline_queries.CATALOG
     yield choice_queries.CATALOG
+    yield more_queries.CATALOG
