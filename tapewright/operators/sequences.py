@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # ---- alignment -------------------------------------------------------------------------------------------------------
 
@@ -363,30 +364,55 @@ def _ordered(words: DataFrame, key: str) -> DataFrame:
     return words.select(F.col(key).alias("key"), "idx", "word", "start_ms", "end_ms")
 
 
-def _per_document(words: DataFrame, key: str, kernel: Callable[[pd.DataFrame], list[tuple]], columns: str) -> DataFrame:
-    w = _ordered(words, key)
-    kind = w.schema["key"].dataType.simpleString()
-    names = [c.split()[0] for c in columns.split(", ")]
+def per_group(rows: DataFrame, keys: Sequence[str], order: str, kernel: Callable[[list[dict]], list[tuple]], columns: list[tuple[str, T.DataType]]) -> DataFrame:
+    """A kernel over the rows of each group in order, as dictionaries; many small groups share an Arrow batch and a Python call.
+
+    Returns the keys and ``columns``.
+    """
+    rest = [c for c in rows.columns if c not in keys and c != order]
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("rows"))
+    schema = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in keys], *[T.StructField(n, t) for n, t in columns]])
+    arrow = to_arrow_schema(schema)
+    n = len(keys)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                at, out = [], [[] for _ in columns]
+                for k, own in enumerate(part.column(n).to_pylist()):
+                    for r in kernel(own):
+                        at.append(k)
+                        for c, v in zip(out, r):
+                            c.append(v)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(j).take(take) for j in range(n)], *[pa.array(c, f.type) for c, f in zip(out, list(arrow)[n:])]], schema=arrow)
+
+    return g.mapInArrow(run, schema)
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = kernel(pdf.sort_values("idx"))
-        return pd.DataFrame([(k[0], *r) for r in rows], columns=["key", *names])
 
-    return w.groupBy("key").applyInPandas(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
+_INT, _LONG, _REAL, _TEXT, _FLAG = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 
 def find_self_corrections(words: DataFrame, key: str) -> DataFrame:
-    return _per_document(
-        words, key, lambda p: self_corrections(p["word"].tolist(), p["start_ms"].tolist(), p["end_ms"].tolist()), "abandoned_first int, abandoned_last int, kept_first int, kept_last int, similarity double"
-    )
+    kernel = lambda rows: self_corrections([r["word"] for r in rows], [r["start_ms"] for r in rows], [r["end_ms"] for r in rows])
+    columns = [("abandoned_first", _INT), ("abandoned_last", _INT), ("kept_first", _INT), ("kept_last", _INT), ("similarity", _REAL)]
+    return per_group(_ordered(words, key), ["key"], "idx", kernel, columns).withColumnRenamed("key", key)
 
 
 def caption(words: DataFrame, key: str, size: int = 4) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> list[tuple]:
-        g = caption_groups(p["word"].tolist(), p["start_ms"].tolist(), p["end_ms"].tolist(), size)
-        return [(int(n), " ".join(x["word"]), int(x["start_ms"].iloc[0]), int(x["end_ms"].iloc[-1])) for n, x in p.groupby(np.asarray(g, dtype=int), sort=True)]
+    def kernel(rows: list[dict]) -> list[tuple]:
+        g = caption_groups([r["word"] for r in rows], [r["start_ms"] for r in rows], [r["end_ms"] for r in rows], size)
+        out: list[list] = []
+        for n, r in zip(g, rows):
+            if n == len(out):
+                out.append([n, r["word"], r["start_ms"], r["end_ms"]])
+            else:
+                out[n][1] += " " + r["word"]
+                out[n][3] = r["end_ms"]
+        return [tuple(x) for x in out]
 
-    return _per_document(words, key, kernel, "caption int, text string, start_ms bigint, end_ms bigint")
+    return per_group(_ordered(words, key), ["key"], "idx", kernel, [("caption", _INT), ("text", _TEXT), ("start_ms", _LONG), ("end_ms", _LONG)]).withColumnRenamed("key", key)
 
 
 def repeated_lines(lines: DataFrame, key: str, order: str, text: str, start: str, least: float = 0.72) -> DataFrame:
@@ -394,45 +420,46 @@ def repeated_lines(lines: DataFrame, key: str, order: str, text: str, start: str
 
     Spread out: over more than 90 s, or where there are several passes, more attempts than passes.
     """
-    l = lines.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"), F.col(start).alias("at"))
-    kind = l.schema["key"].dataType.simpleString()
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        tokens = [[t for t in map(_plain, x.split()) if t] for x in pdf["text"]]
-        pdf = pdf[[bool(t) for t in tokens]]
-        g = leader_groups([t for t in tokens if t], least)
+    l = lines.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"), F.col(start).cast("bigint").alias("at"))
+
+    def kernel(rows: list[dict]) -> list[tuple]:
+        said = [(r, t) for r, t in ((r, [p for p in map(_plain, (r["text"] or "").split()) if p]) for r in rows) if t]
+        g = leader_groups([t for _, t in said], least)
         passes = count_passes(g, len(set(g)))
-        rows = []
-        for n, x in pdf.groupby(pd.Series(g, index=pdf.index), sort=True):
-            if len(x) > 1:
-                spread = int(x["at"].max() - x["at"].min())
-                rows.append((k[0], int(n), len(x), x["text"].iloc[0], spread, passes, len(x) > passes if passes > 1 else spread > 90_000))
-        return pd.DataFrame(rows, columns=["key", "line_group", "attempts", "text", "spread_ms", "passes", "spread_out"])
+        by: dict[int, list[dict]] = defaultdict(list)
+        for n, (r, _) in zip(g, said):
+            by[n].append(r)
+        out = []
+        for n, own in sorted(by.items()):
+            if len(own) > 1:
+                spread = max(r["at"] for r in own) - min(r["at"] for r in own)
+                out.append((n, len(own), own[0]["text"], spread, passes, len(own) > passes if passes > 1 else spread > 90_000))
+        return out
 
-    return l.groupBy("key").applyInPandas(run, f"key {kind}, line_group int, attempts int, text string, spread_ms bigint, passes int, spread_out boolean").withColumnRenamed("key", key)
+    columns = [("line_group", _INT), ("attempts", _INT), ("text", _TEXT), ("spread_ms", _LONG), ("passes", _INT), ("spread_out", _FLAG)]
+    return per_group(l, ["key"], "ord", kernel, columns).withColumnRenamed("key", key)
 
 
 def vote(primary: DataFrame, secondary: DataFrame, key: str, window_ms: int = 30_000, slack_ms: int = 2_000, agreeing: float = 0.95, disagreeing: float = 0.55) -> DataFrame:
     """Words of the primary engine with their confidence after a vote by sequence: matched words in a window are agreed on.
 
-    The secondary's words take part in every window they are within ``slack_ms`` of, so windows are independent tasks.
+    The secondary's words take part in every window they are within ``slack_ms`` of, so windows are independent tasks. Each group is
+    the words of one window.
     """
     from tapewright.functions.exact_time import floor_div
 
     w = F.lit(window_ms)
-    a = _ordered(primary, key).withColumn("win", floor_div(F.col("start_ms"), w))
-    b = _ordered(secondary, key).withColumn("win", F.explode(F.sequence(floor_div(F.col("start_ms") - slack_ms, w), floor_div(F.col("start_ms") + slack_ms, w))))
-    kind = a.schema["key"].dataType.simpleString()
-
-    def run(k: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = mine.sort_values("idx"), theirs.sort_values("idx")
-        hit = set(matched_indices([_plain(x) for x in mine["word"]], [_plain(x) for x in theirs["word"]]))
-        ok = [i in hit for i in range(len(mine))]
-        return pd.DataFrame({"key": mine["key"], "idx": mine["idx"], "word": mine["word"], "confidence": [agreeing if x else disagreeing for x in ok], "n_sources": [1 + x for x in ok]})
-
-    idx = a.schema["idx"].dataType.simpleString()
-    return a.groupBy("key", "win").cogroup(b.groupBy("key", "win")).applyInPandas(run, f"key {kind}, idx {idx}, word string, confidence double, n_sources int").withColumnRenamed("key", key)
+    cols = ["key", "win", "idx", "word"]
+    a = _ordered(primary, key).withColumn("win", floor_div(F.col("start_ms"), w)).select(*cols).withColumn("mine", F.lit(True))
+    b = _ordered(secondary, key).withColumn("win", F.explode(F.sequence(floor_div(F.col("start_ms") - slack_ms, w), floor_div(F.col("start_ms") + slack_ms, w)))).select(*cols).withColumn("mine", F.lit(False))
+
+    def kernel(rows: list[dict]) -> list[tuple]:
+        mine, theirs = [r for r in rows if r["mine"]], [r for r in rows if not r["mine"]]
+        hit = set(matched_indices([_plain(r["word"]) for r in mine], [_plain(r["word"]) for r in theirs]))
+        return [(r["idx"], r["word"], agreeing if i in hit else disagreeing, 1 + (i in hit)) for i, r in enumerate(mine)]
+
+    columns = [("idx", a.schema["idx"].dataType), ("word", _TEXT), ("confidence", _REAL), ("n_sources", _INT)]
+    return per_group(a.unionByName(b), ["key", "win"], "idx", kernel, columns).drop("win").withColumnRenamed("key", key)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -45,19 +45,39 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") ->
     return j.withColumn(out, z)
 
 
-def history_deviations(history: DataFrame, current: DataFrame, metric: str, value: str, video: str, least: int = 5, threshold: float = 3.0) -> DataFrame:
-    """Metrics of a recording that stand out against the others': at least ``least`` other recordings with the metric, |z| over the threshold.
-
-    ``history`` and ``current``: video, metric, value. Ordered sets of rows by metric; too little history gives none.
+def _without_one(df: DataFrame, group: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """``out``: the averaged median of the other rows' values in the group, from the ranks alone: no row meets another."""
+    w = Window.partitionBy(*group)
+    r = df.withColumn("__r", F.row_number().over(w.orderBy(value, tie)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    low, high = int_div(F.col("__n") - 2, F.lit(2)), int_div(F.col("__n") - 1, F.lit(2))
+    at = lambda j, name: F.max(F.when(F.col("__r") == j, F.col(value))).alias(name)
+    stats = r.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(at(low, "__l0"), at(low + 1, "__l1"), at(high, "__h0"), at(high + 1, "__h1"))
+    cond = None
+    for g in group:
+        same = F.col(g).eqNullSafe(F.col(f"__{g}"))
+        cond = same if cond is None else cond & same
+    j = r.join(stats, cond)
+    rest = lambda k, a, b: F.when(k < F.col("__r"), F.col(a)).otherwise(F.col(b))
+    med = F.when(F.col("__n") > 1, (rest(low, "__l0", "__l1") + rest(high, "__h0", "__h1")) / 2)
+    return j.withColumn(out, med).withColumn("n_others", F.col("__n") - 1).drop("__r", "__n", "__l0", "__l1", "__h0", "__h1", *[f"__{g}" for g in group])
+
+
+def history_deviations(history: DataFrame, metric: str, value: str, video: str, least: int = 5, threshold: float = 3.0) -> DataFrame:
+    """Metrics of a recording that stand out against all other recordings': at least ``least`` others with the metric, |z| over the threshold.
+
+    ``history``: one value per video and metric; NULL values don't count, too little history gives no row. The median without a
+    recording follows from its rank, and takes at most four values in a metric; for each of those the deviations are ranked once. So
+    the work is that of a few sorts, not of all pairs. Returns video, metric, value, n_others, z.
     """
-    h = history.select(F.col(video).alias("hv"), F.col(metric).alias("hm"), F.col(value).alias("hx")).where("hx IS NOT NULL")
-    pairs = current.join(h, (F.col(metric) == F.col("hm")) & (F.col(video) != F.col("hv")))
-    med = pairs.groupBy(video, metric, value).agg(F.median("hx").alias("med"), F.count(F.lit(1)).alias("n_history"))
-    j = pairs.join(med.select(F.col(video).alias("v2"), F.col(metric).alias("m2"), "med", "n_history"), (F.col(video) == F.col("v2")) & (F.col(metric) == F.col("m2")))
-    mad = j.groupBy(video, metric, value, "med", "n_history").agg(F.median(F.abs(F.col("hx") - F.col("med"))).alias("mad")).where(F.col("n_history") >= least)
-    off = F.col(value) - F.col("med")
+    h = history.select(F.col(video).alias("video"), F.col(metric).alias("metric"), F.col(value).cast("double").alias("x")).where("video IS NOT NULL AND metric IS NOT NULL AND x IS NOT NULL")
+    own = _without_one(h, ["metric"], "x", "video", "med").where(F.col("n_others") >= least)
+    meds = own.select(F.col("metric").alias("m_metric"), F.col("med").alias("m_med")).distinct()
+    dev = h.join(meds, F.col("metric") == F.col("m_metric")).select("video", "metric", F.col("m_med").alias("med"), F.abs(F.col("x") - F.col("m_med")).alias("dev"))
+    mad = _without_one(dev, ["metric", "med"], "dev", "video", "mad").select(F.col("video").alias("v2"), F.col("metric").alias("m2"), F.col("med").alias("d2"), "mad")
+    j = own.join(mad, (F.col("video") == F.col("v2")) & (F.col("metric") == F.col("m2")) & (F.col("med") == F.col("d2")))
+    off = F.col("x") - F.col("med")
     z = F.when(F.col("mad") > 0, off / (1.4826 * F.col("mad"))).when(off == 0, 0.0).when(off > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-    return mad.withColumn("z", z).where(F.abs("z") > threshold)
+    return j.withColumn("z", z).where(F.abs("z") > threshold).select(F.col("video").alias(video), F.col("metric").alias(metric), F.col("x").alias(value), "n_others", "z")
 
 
 def trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, last: int) -> DataFrame:

@@ -116,8 +116,8 @@ def rule_clips(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-_CUTPOINTS = f"{WORDS}, cp AS (SELECT DISTINCT doc_id AS doc, start_ms + 150 AS pt FROM w WHERE idx % 23 = 5)"
-_WORD_RULES = f"""WITH {_CUTPOINTS}, i AS (SELECT cp.doc, cp.pt, w.idx, w.start_ms, w.end_ms FROM cp JOIN w ON cp.doc = w.doc_id AND w.idx BETWEEN cp.pt // 400 - cp.pt // 5300 - 9 AND cp.pt // 400 + 2 AND w.start_ms <= cp.pt AND cp.pt < w.end_ms),
+_CUTPOINTS = f"{WORDS}, cp AS (SELECT DISTINCT doc_id AS doc, start_ms + 150 AS pt FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY idx) AS was FROM w) WHERE regexp_matches(was, '[.?!]$'))"
+_WORD_RULES = f"""WITH {_CUTPOINTS},
 h AS (SELECT cp.doc, cp.pt, arg_min(idx, conf * 1000000 + idx) AS idx, min(conf) AS conf FROM cp JOIN w ON cp.doc = w.doc_id AND w.start_ms <= cp.pt + 1000 AND w.end_ms >= cp.pt - 1000 AND (abs(w.start_ms - cp.pt) <= 500 OR abs(w.end_ms - cp.pt) <= 500) GROUP BY ALL)
 SELECT doc::VARCHAR AS subject, 'no cut inside a word' AS rule, 'speech' AS category, 'block' AS mode, pt AS "at", 'word ' || idx AS detail FROM (SELECT cp.doc, cp.pt, w.idx, w.start_ms, w.end_ms FROM cp JOIN w ON cp.doc = w.doc_id AND w.start_ms <= cp.pt AND cp.pt < w.end_ms) WHERE pt - start_ms > 20 AND end_ms - pt > 20
 UNION ALL SELECT doc::VARCHAR, 'cuts rest on confident words', 'speech', 'hold', pt, 'word ' || idx FROM h WHERE conf < 60"""
@@ -125,8 +125,12 @@ UNION ALL SELECT doc::VARCHAR, 'cuts rest on confident words', 'speech', 'hold',
 
 @CATALOG.add("rule_cuts_and_words", _WORD_RULES)
 def rule_cuts_and_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).select(F.col("doc_id").alias("doc"), "idx", "conf", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
-    cuts = w.where("idx % 23 = 5").select("doc", (F.col("start") + 150).alias("at"))
+    """Cuts 150 ms into the first word of each sentence."""
+    from pyspark.sql import Window
+
+    was = F.lag("word").over(Window.partitionBy("doc_id").orderBy("idx"))
+    w = words(spark, sf).withColumn("was", was).select(F.col("doc_id").alias("doc"), "idx", "conf", "was", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    cuts = w.where(F.col("was").rlike(r"[.?!]$")).select("doc", (F.col("start") + 150).alias("at"))
     return R.no_cut_inside_a_word(cuts, w, 20, 2000).unionByName(R.cuts_rest_on_confident_words(cuts, w, 500, 60, 2000))
 
 

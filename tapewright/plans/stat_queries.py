@@ -43,21 +43,20 @@ def stat_robust_z(spark: SparkSession, sf: str) -> DataFrame:
 
 _CATALOGUE = """metric AS (SELECT l_returnflag || l_linestatus AS kind, l_suppkey AS video, avg(l_extendedprice) AS v, count(*) AS n FROM lineitem GROUP BY ALL),
 l AS (SELECT video, kind || '_mean' AS metric, round(v, 4) AS value FROM metric UNION ALL SELECT video, kind || '_count', n::DOUBLE FROM metric),
-p AS (SELECT c.video, c.metric, c.value, h.value AS hx FROM l c JOIN l h ON c.metric = h.metric AND c.video <> h.video WHERE c.video % 10 = 3),
+p AS (SELECT c.video, c.metric, c.value, h.value AS hx FROM l c JOIN l h ON c.metric = h.metric AND c.video <> h.video),
 m AS (SELECT video, metric, value, median(hx) AS med, count(*) AS n_history FROM p GROUP BY ALL),
 a AS (SELECT m.video, m.metric, m.value, m.med, m.n_history, median(abs(hx - med)) AS mad FROM m JOIN p ON m.video = p.video AND m.metric = p.metric GROUP BY ALL)"""
 
 
 @CATALOG.add(
     "stat_catalogue_compare",
-    f"WITH {_CATALOGUE}, z AS (SELECT *, CASE WHEN mad > 0 THEN (value - med) / (1.4826::DOUBLE * mad) WHEN value = med THEN 0.0 WHEN value > med THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS z FROM a WHERE n_history >= 5) SELECT video, metric, value, n_history, round(z, 5) AS z FROM z WHERE abs(z) > 2.5",
+    f"WITH {_CATALOGUE}, z AS (SELECT *, CASE WHEN mad > 0 THEN (value - med) / (1.4826::DOUBLE * mad) WHEN value = med THEN 0.0 WHEN value > med THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS z FROM a WHERE n_history >= 5) SELECT video, metric, value, n_history AS n_others, round(z, 5) AS z FROM z WHERE abs(z) > 2.5",
 )
 def stat_catalogue_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as recordings: which of their metrics stand out against all other suppliers'."""
     m = table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("kind"), F.col("l_suppkey").alias("video")).agg(F.avg("l_extendedprice").alias("v"), F.count(F.lit(1)).alias("n"))
     long = m.select("video", F.explode(F.create_map(F.concat("kind", F.lit("_mean")), F.round("v", 4), F.concat("kind", F.lit("_count")), F.col("n").cast("double"))).alias("metric", "value"))
-    d = S.history_deviations(long, long.where("video % 10 = 3"), "metric", "value", "video", 5, 2.5)
-    return d.select("video", "metric", "value", "n_history", F.round("z", 5).alias("z"))
+    return S.history_deviations(long, "metric", "value", "video", 5, 2.5).withColumn("z", F.round("z", 5))
 
 
 _TREND = f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us DESC, event_id DESC) AS back FROM e)

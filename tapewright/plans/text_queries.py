@@ -127,7 +127,7 @@ def text_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("title IS NOT NULL").select("doc_id", W.label_of(F.col("title")).alias("label"))
 
 
-_PLAN = f"""WITH {WORDS}, m AS (SELECT *, (idx % 13 = 4 OR idx % 29 IN (7, 8)) AS gone, lag(end_ms) OVER v AS pe, lead(start_ms) OVER v AS ns FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY idx)),
+_PLAN = f"""WITH {WORDS}, m AS (SELECT *, conf < 50 AS gone, lag(end_ms) OVER v AS pe, lead(start_ms) OVER v AS ns FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY idx)),
 g AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM m WHERE gone),
 r AS (SELECT doc_id, min(idx) AS first_idx, max(idx) AS last_idx, min(start_ms) AS s, max(end_ms) AS e, arg_min(pe, idx) FILTER (WHERE pe IS NOT NULL) AS pe, arg_max(ns, idx) FILTER (WHERE ns IS NOT NULL) AS ns, min(idx) = 0 AS head FROM g GROUP BY doc_id, run)
 SELECT doc_id, first_idx, last_idx, CASE WHEN head THEN s ELSE s - floor(greatest(s - pe, 0) * (1 - 0.35::DOUBLE))::BIGINT END AS start_ms, greatest(e, coalesce(ns, e)) AS end_ms FROM r"""
@@ -135,9 +135,8 @@ SELECT doc_id, first_idx, last_idx, CASE WHEN head THEN s ELSE s - floor(greates
 
 @CATALOG.add("text_removal_plan", _PLAN)
 def text_removal_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The balanced plan that removes certain words."""
-    i = F.col("idx")
-    return W.removal_plan(words(spark, sf), (i % 13 == 4) | (i % 29).isin(7, 8), "doc_id", 0.35)
+    """The balanced plan that removes the least sure words."""
+    return W.removal_plan(words(spark, sf), F.col("conf") < 50, "doc_id", 0.35)
 
 
 _ANSWERS = """a AS (SELECT user_id, count(*) AS n, string_agg(CASE WHEN event_id % 7 = 0 THEN 'no idea' ELSE (event_id % 60)::VARCHAR || '-' || (event_id % 60 + event_id % 9 - 2)::VARCHAR || ' | ' || event_type END, chr(10) ORDER BY event_id) AS answer FROM events GROUP BY user_id)"""
@@ -209,11 +208,12 @@ def text_model_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 _CONTEXT = f"""WITH {WORDS}, m AS (SELECT doc_id, idx, max(CASE WHEN regexp_matches(word, '[.?!]$') THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe,
   min(CASE WHEN regexp_matches(word, '[.?!]$') THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ne, max(idx) OVER (PARTITION BY doc_id) AS top FROM w)
-SELECT a.doc_id, a.idx AS first, b.idx AS last, greatest(coalesce(a.pe + 1, 0), a.idx - 20) AS "from", least(coalesce(b.ne, b.top), b.idx + 20) AS "to" FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.idx = a.idx + 2 WHERE a.idx % 50 = 25"""
+SELECT a.doc_id, a.idx AS first, b.idx AS last, greatest(coalesce(a.pe + 1, 0), a.idx - 20) AS "from", least(coalesce(b.ne, b.top), b.idx + 20) AS "to" FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.idx = a.idx + 2"""
 
 
 @CATALOG.add("text_sentence_context", _CONTEXT)
 def text_sentence_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences around every three words."""
     w = words(spark, sf)
-    spans = w.where("idx % 50 = 25").select("doc_id", F.col("idx").alias("first"), (F.col("idx") + 2).alias("last"))
+    spans = w.select("doc_id", F.col("idx").alias("first"), (F.col("idx") + 2).alias("last"))
     return W.sentence_context(w, "doc_id", spans, 20)

@@ -103,14 +103,14 @@ def timeline_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return L.unique_decisions(events(spark, sf), ["user_id"], "event_type", "event_id")
 
 
-_BEATS = f"""{WORDS}, bt AS (SELECT doc_id AS doc, idx // 30 AS beat, min(idx) AS first, max(idx) AS last FROM w GROUP BY ALL), lk AS (SELECT doc, beat AS link, beat AS setup, beat + 2 AS payoff FROM bt WHERE beat % 3 = 0),
+_BEATS = f"""{WORDS}, bt AS (SELECT doc_id AS doc, idx // 30 AS beat, min(idx) AS first, max(idx) AS last FROM w GROUP BY ALL), lk AS (SELECT doc, beat AS link, beat AS setup, beat + 2 AS payoff FROM bt),
 sv AS (SELECT doc_id AS doc, idx FROM w WHERE conf >= 97), lv AS (SELECT bt.doc, bt.beat, count(sv.idx) > 0 AS lives FROM bt LEFT JOIN sv ON bt.doc = sv.doc AND sv.idx // 30 = bt.beat GROUP BY ALL)"""
 
 
 def _narrative(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     w = words(spark, sf).withColumnRenamed("doc_id", "doc")
     beats = w.groupBy("doc", F.call_function("div", F.col("idx"), F.lit(30)).alias("beat")).agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
-    return w, beats, beats.where("beat % 3 = 0").select("doc", F.col("beat").alias("link"), F.col("beat").alias("setup"), (F.col("beat") + 2).alias("payoff"))
+    return w, beats, beats.select("doc", F.col("beat").alias("link"), F.col("beat").alias("setup"), (F.col("beat") + 2).alias("payoff"))
 
 
 _BROKEN = f"""WITH {_BEATS}, j AS (SELECT lk.*, a.lives AS sl, b.lives AS pl FROM lk LEFT JOIN lv a ON lk.doc = a.doc AND lk.setup = a.beat LEFT JOIN lv b ON lk.doc = b.doc AND lk.payoff = b.beat),

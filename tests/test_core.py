@@ -203,3 +203,28 @@ def test_merge_is_idempotent(spark):
     df = spark.createDataFrame(_ranges(random.Random(9), 50), "k string, s bigint, e bigint")
     once = I.merge(df, ["k"], "s", "e")
     assert sorted(map(tuple, I.merge(once, ["k"], "s", "e").collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_history_deviations_leave_the_own_value_out(spark):
+    from statistics import median
+
+    from tapewright.operators.statistics import history_deviations
+
+    rng = random.Random(11)
+    rows = [(v, m, float(rng.choice([1, 2, 3, 5, 8, 40]))) for v in range(23) for m in ("a", "b", "c") if m != "c" or v < 4]
+    rows += [(50, "d", 3.0)] + [(v, "d", 1.0) for v in range(6)] + [(60, "a", None), (None, "a", 1.0)]
+    want = set()
+    for v, m, x in rows:
+        if None in (v, x):
+            continue
+        rest = [y for u, n, y in rows if n == m and u not in (v, None) and y is not None]
+        if len(rest) >= 5:
+            med = median(rest)
+            mad = median(abs(y - med) for y in rest)
+            z = (x - med) / (1.4826 * mad) if mad else 0.0 if x == med else float("inf") if x > med else float("-inf")
+            if abs(z) > 1.5:
+                want.add((v, m, x, len(rest), round(z, 9)))
+    got = {(r.video, r.metric, r.x, r.n_others, round(r.z, 9)) for r in history_deviations(spark.createDataFrame(rows, "video int, metric string, x double"), "metric", "x", "video", 5, 1.5).collect()}
+    assert got == want
+    ten = spark.createDataFrame([(i, "cuts", x) for i, x in enumerate([10.0, 11.0, 12.0, 40.0])], "video int, metric string, x double")
+    assert history_deviations(ten, "metric", "x", "video").count() == 0
