@@ -96,7 +96,7 @@ def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @CATALOG.add("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return speaker_turns(table(spark, sf, "raw_transcripts"), table(spark, sf, "corrections")).select("transcript_id", "first_line_id", "last_line_id")
+    return speaker_turns(table(spark, sf, "raw_transcripts"), table(spark, sf, "corrections"), text=False).select("transcript_id", "first_line_id", "last_line_id")
 
 
 @CATALOG.add("p4_turns")

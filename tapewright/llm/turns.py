@@ -150,20 +150,11 @@ def speakers(parsed: DataFrame) -> DataFrame:
     return both.select("transcript_id", F.inline(_reconciled("labels", "equal")))
 
 
-def speaker_turns(lines: DataFrame, corrections: DataFrame) -> DataFrame:
-    """The turns of each transcript: one row per longest sequence of speech lines by one speaker, in order of time.
-
-    Lines come in the order of their stamps; lines on one second keep the order in which they were filed
-    unless all stamps of that second have fractions. A line without a stamp follows the line filed before it, a line without
-    a label has the speaker of the line before it in time (NULL if there is none). A line without a word of
-    speech is skipped, and so is one that only equates labels. A NULL or empty line has no speech; repeats of a
-    line_id count once; an empty table gives no turn. Other columns are ignored.
-
-    Returns transcript_id, first_line_id, last_line_id, turn_no (from 0), speaker, start_seconds, n_lines, text.
-    """
-    parsed = cut_lineage(without_abandoned(parse_lines(lines), corrections))
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Speech lines with their place in time, speaker and turn. Works on keys alone: the words stay where they are."""
     named = speakers(parsed).withColumnRenamed("transcript_id", "s_transcript").withColumnRenamed("label", "s_label")
-    p = parsed.join(named, (F.col("transcript_id") == F.col("s_transcript")) & (F.col("label") == F.col("s_label")), "left").drop("s_transcript", "s_label", "label")
+    p = parsed.select("transcript_id", "line_id", "line_no", "second", "nanos", "label", (F.size("equal") > 0).alias("roster"), (F.col("plain") != "").alias("speech"))
+    p = p.join(named, (F.col("transcript_id") == F.col("s_transcript")) & (F.col("label") == F.col("s_label")), "left").drop("s_transcript", "s_label", "label")
 
     key = ["transcript_id"]
     p = p.withColumn("filed", X.floor_div(F.col("line_no").cast("bigint"), F.lit(LINES_PER_BLOCK).cast("bigint")))
@@ -172,16 +163,38 @@ def speaker_turns(lines: DataFrame, corrections: DataFrame) -> DataFrame:
     p = p.withColumn("second", F.coalesce("lead.second", F.lit(-1).cast("bigint"))).withColumn("leader", F.coalesce("lead.leader", F.lit(-1)))
     cut = F.max(F.col("lead.nanos").isNull().cast("int")).over(Window.partitionBy("transcript_id", "second"))
     p = p.withColumn("nanos", F.when(cut == 1, F.lit(0)).otherwise(F.col("lead.nanos"))).drop("lead", "stamp", "filed")
-    p = cut_lineage(p.where("size(equal) = 0").drop("equal").withColumn("hour", X.floor_div(F.col("second"), F.lit(SECONDS_PER_BLOCK).cast("bigint"))))
+    p = cut_lineage(p.where("NOT roster").drop("roster").withColumn("hour", X.floor_div(F.col("second"), F.lit(SECONDS_PER_BLOCK).cast("bigint"))))
 
-    order = ["second", "nanos", "leader", "line_no", "line_id"]
-    p = carry_forward(p, key, "hour", order, "speaker", "who").drop("speaker")
-    p = cut_lineage(p.where("plain <> ''"))
-    p = previous(p, key, "hour", order, "who", "before")
+    p = carry_forward(p, key, "hour", _ORDER, "speaker", "who").drop("speaker")
+    p = cut_lineage(p.where("speech").drop("speech"))
+    p = previous(p, key, "hour", _ORDER, "who", "before")
     p = p.withColumn("fresh", F.when(F.col("before").isNull() | ~F.col("before.value").eqNullSafe(F.col("who")), 1).otherwise(0)).drop("before")
-    p = running_sum(p, key, "hour", order, "fresh", "turn")
-    at = F.struct(*order, F.array_join("words", " ").alias("text"))
-    turns = p.groupBy("transcript_id", "turn").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.first("who").alias("speaker"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(at)).alias("said"))
+    return running_sum(p, key, "hour", _ORDER, "fresh", "turn")
+
+
+_ORDER = ["second", "nanos", "leader", "line_no", "line_id"]
+
+
+def speaker_turns(lines: DataFrame, corrections: DataFrame, text: bool = True) -> DataFrame:
+    """The turns of each transcript: one row per longest sequence of speech lines by one speaker, in order of time.
+
+    Lines come in the order of their stamps; lines on one second keep the order in which they were filed
+    unless all stamps of that second have fractions. A line without a stamp follows the line filed before it, a line without
+    a label has the speaker of the line before it in time (NULL if there is none). A line without a word of
+    speech is skipped, and so is one that only equates labels. A NULL or empty line has no speech; repeats of a
+    line_id count once; an empty table gives no turn. Other columns are ignored.
+
+    Returns transcript_id, first_line_id, last_line_id, turn_no (from 0), speaker, start_seconds, n_lines and, unless ``text`` is false, text.
+    """
+    parsed = cut_lineage(without_abandoned(parse_lines(lines), corrections))
+    placed = _placed(parsed)
+    at = F.struct(*_ORDER)
+    what = [F.min(at).alias("a"), F.max(at).alias("z"), F.first("who").alias("speaker"), F.count(F.lit(1)).alias("n_lines")]
+    if text:
+        said = parsed.select(F.col("transcript_id").alias("w_transcript"), F.col("line_id").alias("w_line"), F.array_join("words", " ").alias("words"))
+        placed = placed.join(said, (F.col("transcript_id") == F.col("w_transcript")) & (F.col("line_id") == F.col("w_line")))
+        what.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, "words"))), lambda x: x["words"]), " ").alias("text"))
+    turns = placed.groupBy("transcript_id", "turn").agg(*what)
     return turns.select(
         "transcript_id",
         F.col("a.line_id").alias("first_line_id"),
@@ -190,5 +203,5 @@ def speaker_turns(lines: DataFrame, corrections: DataFrame) -> DataFrame:
         "speaker",
         F.when(F.col("a.second") >= 0, F.col("a.second") + F.coalesce(F.col("a.nanos"), F.lit(0)) / F.lit(10**9)).alias("start_seconds"),
         "n_lines",
-        F.array_join(F.transform("said", lambda x: x["text"]), " ").alias("text"),
+        *(["text"] if text else []),
     )
