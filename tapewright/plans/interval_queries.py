@@ -255,7 +255,7 @@ def interval_speaker_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @CATALOG.add(
     "interval_padded_spans",
-    f"WITH {WORDS} SELECT doc_id, idx // 12 AS span, greatest(min(start_ms) - 250, 0) AS start_ms, max(end_ms) + 250 AS end_ms FROM w GROUP BY doc_id, idx // 12",
+    f"WITH {WORDS} SELECT doc_id, (idx // 12)::BIGINT AS span, greatest(min(start_ms) - 250, 0) AS start_ms, max(end_ms) + 250 AS end_ms FROM w GROUP BY doc_id, idx // 12",
 )
 def interval_padded_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of twelve words with a pad of 0.25 s, clamped at 0."""

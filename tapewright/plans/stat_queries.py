@@ -274,7 +274,7 @@ def signal_otsu(spark: SparkSession, sf: str) -> DataFrame:
     return G.otsu_threshold(events(spark, sf), ["event_type"], "value").withColumn("threshold", F.round("threshold", 5))
 
 
-_LAG = f"""WITH {EVENTS}, x AS (SELECT event_type, ts_us // 86400000000 AS day, round(avg(value), 4) AS v FROM e GROUP BY ALL), y AS (SELECT event_type, day + 2 AS day, v + 1 AS v FROM x),
+_LAG = f"""WITH {EVENTS}, x AS (SELECT event_type, ts_us // 86400000000 AS day, round(avg(value), 9) AS v FROM e GROUP BY ALL), y AS (SELECT event_type, day + 2 AS day, v + 1 AS v FROM x),
 g AS (SELECT unnest(range(-5, 6)) AS lag), d AS (SELECT x.event_type, g.lag, round(avg(abs(x.v - y.v)), 9) AS d FROM x JOIN y USING (event_type) JOIN g ON x.day + g.lag = y.day GROUP BY ALL),
 m AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d, abs(lag), lag) AS k, max(CASE WHEN lag = 0 THEN d END) OVER (PARTITION BY event_type) AS base FROM d)
 SELECT event_type, CASE WHEN d < 0.8 * base AND abs(lag) < 5 THEN lag::INT END AS lag, round(d, 7) AS difference, round(base, 7) AS baseline FROM m WHERE k = 1"""
@@ -283,7 +283,7 @@ SELECT event_type, CASE WHEN d < 0.8 * base AND abs(lag) < 5 THEN lag::INT END A
 @CATALOG.add("signal_lag", _LAG)
 def signal_lag(spark: SparkSession, sf: str) -> DataFrame:
     """Daily levels against the same shifted by two days: the shift is found."""
-    x = events(spark, sf).groupBy("event_type", F.call_function("div", F.col("ts_us"), F.lit(86_400_000_000)).alias("day")).agg(F.round(F.avg("value"), 4).alias("v"))
+    x = events(spark, sf).groupBy("event_type", F.call_function("div", F.col("ts_us"), F.lit(86_400_000_000)).alias("day")).agg(F.round(F.avg("value"), 9).alias("v"))
     y = x.select("event_type", (F.col("day") + 2).alias("day"), (F.col("v") + 1).alias("v"))
     l = G.best_lag(x, y, ["event_type"], "day", "v", 5)
     return l.select("event_type", "lag", F.round("difference", 7).alias("difference"), F.round("baseline", 7).alias("baseline"))

@@ -79,7 +79,7 @@ _COHESION = f"""WITH {WORDS}, t AS (SELECT doc_id, idx // 40 AS block, {_BARE} A
 v AS (SELECT doc_id, block, term, count(*) AS n FROM t WHERE length(term) > 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
 m AS (SELECT doc_id, block, sqrt(sum(n * n)) AS norm FROM v GROUP BY ALL),
 d AS (SELECT a.doc_id, a.block, sum(a.n * b.n) AS dot FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.block = a.block + 1 AND a.term = b.term GROUP BY ALL)
-SELECT a.doc_id, a.block, round(coalesce(dot / (a.norm * b.norm), 0.0), 6) AS cohesion FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.block = a.block + 1 LEFT JOIN d ON d.doc_id = a.doc_id AND d.block = a.block"""
+SELECT a.doc_id, a.block::BIGINT AS block, round(coalesce(dot / (a.norm * b.norm), 0.0), 6) AS cohesion FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.block = a.block + 1 LEFT JOIN d ON d.doc_id = a.doc_id AND d.block = a.block"""
 
 
 @CATALOG.add("text_cohesion", _COHESION)

@@ -103,7 +103,7 @@ def timeline_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return L.unique_decisions(events(spark, sf), ["user_id"], "event_type", "event_id")
 
 
-_BEATS = f"""{WORDS}, bt AS (SELECT doc_id AS doc, idx // 30 AS beat, min(idx) AS first, max(idx) AS last FROM w GROUP BY ALL), lk AS (SELECT doc, beat AS link, beat AS setup, beat + 2 AS payoff FROM bt),
+_BEATS = f"""{WORDS}, bt AS (SELECT doc_id AS doc, (idx // 30)::BIGINT AS beat, min(idx) AS first, max(idx) AS last FROM w GROUP BY ALL), lk AS (SELECT doc, beat AS link, beat AS setup, beat + 2 AS payoff FROM bt),
 sv AS (SELECT doc_id AS doc, idx FROM w WHERE conf >= 97), lv AS (SELECT bt.doc, bt.beat, count(sv.idx) > 0 AS lives FROM bt LEFT JOIN sv ON bt.doc = sv.doc AND sv.idx // 30 = bt.beat GROUP BY ALL)"""
 
 
