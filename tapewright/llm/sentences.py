@@ -32,7 +32,7 @@ BEFORE_ORDINAL = set("am im vom zum beim der die das dem den des ein eine einen
 #: Verbs after which a name may stand behind a quotation.
 SPEECH = set("said asked shouted wrote replied answered whispered called cried added muttered says asks fragte sagte rief dit demanda cria preguntó dijo gritó сказал спросил крикнул είπε ρώτησε φώναξε".split())
 #: Words that open a sentence, for texts without capitals.
-OPENERS = set("the a an that this these those if we i he she it they my our his her your their nobody somebody everybody one two three four five six seven eight nine ten eleven twelve fifteen twenty after before during under behind between on in at near for does do did what why who where when how is are version playback some bring keep see reel stop really no yes".split())
+OPENERS = set("the a an that this these those if we i you he she it they my our his her your their nobody somebody everybody one two three four five six seven eight nine ten eleven twelve fifteen twenty after before during under behind between on in at near for does do did what why who where when how is are version playback some bring keep see reel stop really no yes".split())
 #: Words that carry a sentence on after a mark, for texts without capitals.
 CARRIERS = set("and or but nor so then is was are were be said asked shouted says wrote not because while".split())
 THAI_JOINERS = ("แต่", "และ", "หรือ", "เพราะ", "ซึ่ง", "โดย", "เพื่อ", "จึง", "ว่า", "ทั้งที่", "แม้", "ถึงแม้", "จน", "กับ", "รวมทั้ง", "ส่วน", "เนื่องจาก", "ดังนั้น")
@@ -309,7 +309,7 @@ def _before_stop(text: str, a: int, z: int, m: int, at: int, word: str, capital:
         pw = prior.group().lower().strip(".") if prior else ""
         if prior is None and not text[a:start].strip():
             return -8.0 if len(w) <= 3 else 0.0
-        if pw in BEFORE_ORDINAL and (capital or lower):
+        if pw in BEFORE_ORDINAL and (capital or lower) and word.lower() not in OPENERS:
             return -8.0
         return 0.0
     # parts set apart by spaces: z. B., т. д., и т. п.

@@ -215,6 +215,7 @@ CASES = [
     "The cut is done at the turn.|It faded. |The clip take_47.mov never left. |Version 7.32.0 broke it.",
     "J. Q. Oradel recorded it. |(The chain was never muted.) |Two came.",
     "Am 3. Mai wurde neu gemischt. |Im 8. Durchgang war Brummen. |Es bleibt in Szene 7. |Das gilt z. B. für alle. |Ton, Licht usw. |Nein!",
+    "I am 5. |You are 6. |The 3. |It goes on.",
     "M. Pellowick a vérifié la piste. |« Encore une prise ! » a crié Quorl. |Le plan n° 22 dure env. 1,22 s. |Quelle coupe !",
     "¿Se oye? preguntó Oradel. |La Dra. Quorl oyó un zumbido. |Véase la pág. 34 del guion. |¡Qué corte!",
     "Мы сняли это в 2028 г. заново. |Щелчки и т. д. до финала. |«Тише!» — крикнул Oradel. |Длина ок. 26 с. |См. рис. 16 в плане.",
