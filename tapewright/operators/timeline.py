@@ -146,8 +146,13 @@ def inverted_links(beats: DataFrame, links: DataFrame, order: DataFrame) -> Data
     return j.where("p_at < s_at").select("doc", "link", "setup", "payoff")
 
 
-def mix(clips: DataFrame, samples: DataFrame) -> DataFrame:
-    """Sum of the overlapping clips' samples times their gain (NULL: 1): ``samples`` asset, n, v at the unit of the clips; doc, n, v."""
-    c = with_end(clips.withColumn("gain", F.coalesce("gain", F.lit(1.0)))).select("doc", F.col("asset").alias("c_asset"), "source_start", "source_end", "start", "gain")
-    j = c.join(samples, (F.col("asset") == F.col("c_asset")) & (F.col("n") >= F.col("source_start")) & (F.col("n") < F.col("source_end")))
+def mix(clips: DataFrame, samples: DataFrame, width: int) -> DataFrame:
+    """Sum of the overlapping clips' samples times their gain (NULL: 1): ``samples`` asset, n, v at the unit of the clips; doc, n, v.
+
+    Clips meet samples in buckets of ``width`` units of source time, so a long recording is spread like many short ones."""
+    bucket = lambda x: F.floor(x / width).cast("bigint")
+    c = clips.where("source_end > source_start").withColumn("gain", F.coalesce("gain", F.lit(1.0))).select("doc", F.col("asset").alias("c_asset"), "source_start", "source_end", "start", "gain")
+    c = c.withColumn("c_bucket", F.explode(F.sequence(bucket(F.col("source_start")), bucket(F.col("source_end") - 1))))
+    s = samples.withColumn("bucket", bucket(F.col("n")))
+    j = c.join(s, (F.col("asset") == F.col("c_asset")) & (F.col("bucket") == F.col("c_bucket")) & (F.col("n") >= F.col("source_start")) & (F.col("n") < F.col("source_end")))
     return j.groupBy("doc", (F.col("n") - F.col("source_start") + F.col("start")).alias("n")).agg(F.sum(F.col("v") * F.col("gain")).alias("v"))

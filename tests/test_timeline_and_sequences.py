@@ -199,3 +199,40 @@ def test_passes_and_captions():
     assert Q.caption_groups("a b c. d e f g h".split(), [0, 100, 200, 300, 900, 1000, 1100, 1200], [90, 190, 290, 390, 990, 1090, 1190, 1290]) == [0, 0, 0, 1, 2, 2, 2, 2]
     assert Q.section_breaks([0.9, 0.1, 0.5], [50, 100, 150], 2, 200) == [100]
     assert Q.section_breaks([0.1], [20], 3, 60) == []
+
+
+@pytest.mark.parametrize("width", [7, 60])
+def test_mix_is_the_sum_over_clips(spark, width):
+    rng = random.Random(width)
+    rows = []
+    for i in range(40):
+        s = rng.randint(0, 300)
+        rows.append(("d" + str(i % 3), "a" + str(i % 2), s, s + rng.choice([0, 1, 30, 200]), rng.randint(0, 400), rng.choice([None, 0.5, 2.0])))
+    want = {}
+    for d, _, s, e, at, g in rows:
+        for n in range(s, min(e, 450)):
+            want[d, n - s + at] = want.get((d, n - s + at), 0.0) + n % 5 * (1.0 if g is None else g)
+    clips = spark.createDataFrame(rows, "doc string, asset string, source_start bigint, source_end bigint, start bigint, gain double")
+    samples = spark.createDataFrame([(a, n, n % 5) for a in ("a0", "a1") for n in range(450)], "asset string, n bigint, v bigint")
+    assert {(r.doc, r.n): r.v for r in L.mix(clips, samples, width).collect()} == want
+
+
+def test_timeline_mix_has_every_second(spark, data, tmp_path):
+    # a recording that goes on long after its first 3000 s, over the edge of a block of samples, and a short one
+    from pyspark.sql import functions as F
+
+    from tapewright.plans.more_queries import timeline_mix
+    from tapewright.sources.tables import table
+
+    shots = [(1, "long", 10, 20), (2, "long", 2990, 3010), (3, "long", 4090, 4100), (4, "long", 9000, 9003), (5, "short", 0, 4), (6, "short", 6, 6)]
+    like = table(spark, data, "shots")
+    given = {"shot_id": "shot_id", "asset": "asset", "start_num": "a", "start_den": "1", "end_num": "b", "end_den": "1"}
+    df = spark.createDataFrame(shots, "shot_id bigint, asset string, a bigint, b bigint")
+    df.select(*[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in like.schema]).write.parquet(str(tmp_path / "shots.parquet"))
+    want, at = {}, {}
+    for i, (_, asset, s, e) in enumerate(shots[:5]):
+        gain = 0.5 if asset == "short" or i % 2 == 0 else 1.0
+        for n in range(s, e):
+            want[asset, at.setdefault(asset, 0)] = n % 7 * gain
+            at[asset] += 1
+    assert {(r.doc, r.n): r.v for r in timeline_mix(spark, str(tmp_path)).collect()} == want
