@@ -245,6 +245,16 @@ def test_sentence_cases(case):
     assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split())
 
 
+def test_length_of_spans_counts():
+    # two short phrases are one sentence, the same space between long ones divides
+    assert S.sentence_spans("สวัสดี สมชาย") == [(0, 12)]
+    long = "ช่วงเงียบลดลงหลังจากตัดต่อ"
+    assert S.sentence_spans(f"{long} {long}") == [(0, len(long)), (len(long) + 1, 2 * len(long) + 1)]
+    # short sentences with marks stay divided, and a time goes with what follows it
+    assert len(S.sentence_spans("No. Go! Why? 好。不。")) == 5
+    assert S.sentence_spans(f"{long} หลังจาก 33 วินาที {long}")[0] == (0, len(long))
+
+
 def test_sentences_of_documents(spark):
     long = "The cut holds. " * 40_000
     rows = [(1, "One. Two."), (2, None), (3, ""), (4, " \n\t "), (5, long), (1, "Again."), (None, "No id. None.")]
