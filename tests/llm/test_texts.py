@@ -155,12 +155,11 @@ def test_token_sizes(spark):
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("fn", [M.pivot, M.pivot_pairs])
-def test_pivot_keeps_tokens_and_expectation(fn):
-    items = [(i, 0.3 if fn is M.pivot else [0.2, 0.5, 0.9][i % 3], 1 + i * i % 23 + (400 if i == 5 else 0)) for i in range(30)]
+def test_pivot_keeps_tokens_and_expectation():
+    items = [(i, [0.2, 0.5, 0.9][i % 3], 1 + i * i % 23 + (400 if i == 5 else 0)) for i in range(30)]
     total, hits = sum(p * s for _, p, s in items), [0.0] * 30
     for seed in range(1500):
-        done, held = fn(items, random.Random(f"x{seed}"))
+        done, held = M.pivot_pairs(items, random.Random(f"x{seed}"))
         assert sum(done[x] * items[x][2] for x in done) + (held[1] * held[2] if held else 0) == pytest.approx(total)
         assert len(done) + (held is not None) == 30
         for x, v in done.items():
@@ -168,7 +167,39 @@ def test_pivot_keeps_tokens_and_expectation(fn):
         if held:
             hits[held[0]] += held[1]
     assert all(abs(h / 1500 - p) < 0.05 for h, (_, p, _) in zip(hits, items))
-    assert fn([], random.Random(1)) == ({}, None)
+    assert M.pivot_pairs([], random.Random(1)) == ({}, None)
+
+
+def test_large_texts_are_settled_against_the_rest():
+    large, rest = [(0, 5000), (1, 300), (2, 200)], 10_000
+    for times, most in ((0.4, 1), (1.3, 2), (0.9, 2)):
+        hits, left = [0, 0, 0], 0.0
+        for seed in range(3000):
+            done, t = M.settle_large(large, times, most, rest + 5500, random.Random(f"y{seed}"))
+            assert sum(done[x] * s for x, s in large) + t * rest == pytest.approx(times * (rest + 5500)) and 0 <= t <= most
+            hits, left = [h + done[x] for x, h in enumerate(hits)], left + t
+        assert all(abs(h / 3000 - times) < 0.03 for h in hits) and abs(left / 3000 - times) < 0.02
+    # a text alone, or one that outweighs the others, is drawn by its own probability and leaves them as they are
+    assert M.settle_large([(0, 10)], 0.5, 1, 10, random.Random(1))[1] == 0.5
+    assert {M.settle_large([(0, 1000)], 0.5, 1, 1010, random.Random(i))[1] for i in range(20)} == {0.5}
+
+
+def test_wanted_tokens():
+    assert M.wanted_tokens({"a": (0.5, 100), "b": (0.5, 100)}, 100) == {"a": 50, "b": 50}
+    # b and c are exhausted, the second only because of what the first lacks; an empty source lacks all
+    got = M.wanted_tokens({"a": (0.4, 1000), "b": (0.3, 10), "c": (0.2, 22), "empty": (0.1, 0)}, 100)
+    assert got == pytest.approx({"a": 68, "b": 10, "c": 22, "empty": 0})
+    assert M.wanted_tokens({"a": (0.5, 7), "b": (0.5, 9)}, 100) == {"a": 7, "b": 9}
+    assert M.wanted_tokens({}, 5) == {}
+    rng = random.Random(3)
+    for _ in range(200):
+        sources = {str(i): (rng.random() + 0.01, rng.choice([0, rng.random() * 50, 1000])) for i in range(rng.randint(1, 8))}
+        total = rng.random() * 200
+        got = M.wanted_tokens(sources, total)
+        assert sum(got.values()) == pytest.approx(min(total, sum(m for _, m in sources.values())))
+        levels = {got[s] / share for s, (share, most) in sources.items() if got[s] < most - 1e-9}
+        assert not levels or max(levels) == pytest.approx(min(levels))
+        assert all(got[s] <= m + 1e-9 and (not levels or got[s] / share <= max(levels) + 1e-9) for s, (share, m) in sources.items())
 
 
 SIZED = "doc_id bigint, source string, tokens bigint"
@@ -178,23 +209,41 @@ TARGETS = "source string, target_share double, max_repeats int"
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["A b", "a_b ", "A  B"]), rng.randint(1, 50)) for i in range(6000)]
+    rows += [(40_000 + i, "Large-One", rng.randint(1, 50) if i else 9000) for i in range(9000)]
     rows += [(10_000 + i, "small", rng.randint(1, 9)) for i in range(40)] + [(20_000 + i, "other", 5) for i in range(50)]
     rows += [(30_000, None, 5), (None, "small", 5), (30_001, "small", None), (30_002, "small", 0), (10_000, "small", 3)]
-    targets = [("a b", 0.7, 2), ("small", 0.2, 4), ("absent", 0.1, 3), (None, 0.3, 1), ("zero", 0.0, 1)]
+    targets = [("a b", 0.5, 2), ("large one", 0.2, 3), ("small", 0.2, 4), ("absent", 0.1, 3), (None, 0.3, 1), ("zero", 0.0, 1)]
     df = spark.createDataFrame(rows, SIZED).withColumn("p", F.lit(1)).withColumn("bucket", F.lit(2))
     draw, shares = M.mix(df.repartition(3), spark.createDataFrame(targets, TARGETS))
     got = draw.collect()
-    assert all(1 <= r.copies <= {"a_b": 2, "small": 4}[r.source] for r in got)
+    assert all(1 <= r.copies <= {"a_b": 2, "small": 4, "large_one": 3}[r.source] for r in got)
     by = {r.source: r for r in shares.collect()}
-    assert set(by) == {"a_b", "small", "absent", "zero"}
-    assert by["small"].tokens_drawn == 4 * by["small"].tokens_available
-    assert by["a_b"].actual_share == pytest.approx(0.7 / 0.9, abs=0.01) and by["small"].actual_share == pytest.approx(0.2 / 0.9, abs=0.01)
-    assert by["absent"].actual_share == by["zero"].actual_share == 0
+    assert set(by) == {"a_b", "large_one", "small", "absent", "zero"}
+    # the tiny source is used up, the absent one lacks everything, the others make up for them in proportion
+    held = sum(t or 0 for k, s, t in rows if k is not None and s not in (None, "other"))
+    drawn = sum(r.tokens_drawn for r in by.values())
+    assert drawn == pytest.approx(held, abs=100)
+    assert by["small"].capped and by["small"].tokens_drawn == 4 * by["small"].tokens_available and by["small"].shortfall_tokens == pytest.approx(0.2 * held - by["small"].tokens_drawn, abs=50)
+    assert by["absent"].capped and by["absent"].shortfall_tokens == pytest.approx(0.1 * held, abs=50) and by["absent"].actual_share == by["zero"].actual_share == 0
+    rest = held - by["small"].tokens_drawn
+    assert by["a_b"].tokens_drawn == pytest.approx(rest * 5 / 7, abs=50) and by["large_one"].tokens_drawn == pytest.approx(rest * 2 / 7, abs=50)
+    assert not by["a_b"].capped and by["a_b"].shortfall_tokens == by["large_one"].shortfall_tokens == 0
     assert by["a_b"].tokens_drawn == sum(r.tokens * r.copies for r in got if r.source == "a_b")
     again = M.mix(df.repartition(5), spark.createDataFrame(targets, TARGETS))[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
 
 
+def test_mix_to_a_total(spark):
+    rng = random.Random(5)
+    rows = [(i, "a", rng.randint(1, 20)) for i in range(3000)] + [(9000 + i, "b", rng.randint(1, 20)) for i in range(60)]
+    df, targets = spark.createDataFrame(rows, SIZED), spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 2)], TARGETS)
+    by = {r.source: r for r in M.mix(df, targets, total_tokens=8000)[1].collect()}
+    assert by["a"].tokens_drawn == pytest.approx(7200, abs=20) and by["b"].tokens_drawn == pytest.approx(800, abs=20)
+    assert not by["a"].capped and not by["b"].capped
+    by = {r.source: r for r in M.mix(df, targets, total_tokens=10**9)[1].collect()}
+    assert by["a"].tokens_drawn == by["a"].tokens_available and by["b"].tokens_drawn == 2 * by["b"].tokens_available and by["a"].capped and by["b"].capped
+
+
 def test_mix_of_nothing(spark):
     draw, shares = M.mix(spark.createDataFrame([], SIZED), spark.createDataFrame([("a", 1.0, 1)], TARGETS))
     assert draw.count() == 0 and [r.actual_share for r in shares.collect()] == [0.0]
