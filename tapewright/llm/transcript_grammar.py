@@ -8,6 +8,10 @@
     label      <- name remark?
     body       <- (annotation / filler / word / other)*
     annotation <- bracketed, starred or between notes; brackets nest
+
+A label has at most four words; what is longer and ends in a colon is speech. Annotations are worked out once per place, from the right, so
+a line takes time in proportion to its length however its brackets nest or fail to close. Expressions with a "+" behind a quantifier
+never give back what they took, for the same reason.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from functools import lru_cache
 
 import regex
 
-from tapewright.llm.peg import Node, choice, defer, many, maybe, rule, seq, term, unless
+from tapewright.llm.peg import Node, Source, choice, defer, many, maybe, memo, prepare, rule, run_of, seq, term, unless
 
-# The seven fillers, each of which may be drawn out or doubled and joined by hyphens.
-FILLER = r"(?:u+m+|u+h+|e+r+m+|h+m+|m{2,}|e+h+|a+h+)"
-_FILLERS = rf"{FILLER}(?:[-–]?{FILLER})*"
-filler_word = regex.compile(rf"(?i){_FILLERS}").fullmatch
+# The seven fillers (um, uh, erm, hmm, mm, eh, ah), each of which may be drawn out or doubled and joined by hyphens. An "h" of
+# one may begin an "hm".
+_H = r"(?:h{2,}+m*+|hm{2,}+|h(?!m))"
+FILLER = rf"(?:u++(?:m++|{_H})|e++(?:r++m++|{_H})|a++{_H}|h++m++|m{{2,}}+)"
+_WORD_GOES_ON = r"(?![\p{L}\p{M}\p{N}'’])"
+_FILLERS = rf"{FILLER}++{_WORD_GOES_ON}(?:[-–]{FILLER}++{_WORD_GOES_ON})*+"
 
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 
@@ -42,17 +48,28 @@ _stamp = rule(
 )
 
 _nested = defer(lambda: _annotation)
-_annotation = rule(
-    "annotation",
-    choice(
-        seq(term(r"\["), many(choice(_nested, term(r"[^\]]"))), term(r"\]")),
-        seq(term(r"\("), many(choice(_nested, term(r"[^)]"))), term(r"\)")),
-        seq(term(r"\{"), many(choice(_nested, term(r"[^}]"))), term(r"\}")),
-        seq(term(r"<"), many(choice(_nested, term(r"[^>]"))), term(r">")),
-        term(r"\*+[^*]+\*+"),
-        term(r"[♪♫♬♩]+[^♪♫♬♩]*[♪♫♬♩]+"),
-        term(r"[♪♫♬♩]+"),
-    ),
+#: What may begin or end an annotation; between two of these nothing can.
+_OPENERS = regex.compile(r"[\[({<*♪♫♬♩]")
+_plain = term(r"[^\[\](){}<>*♪♫♬♩]++")
+
+
+def _inside(close: str):
+    return run_of(choice(_plain, _nested, term(rf"[^{close}]")))
+
+
+_annotation = memo(
+    rule(
+        "annotation",
+        choice(
+            seq(term(r"\["), _inside(r"\]"), term(r"\]")),
+            seq(term(r"\("), _inside(")"), term(r"\)")),
+            seq(term(r"\{"), _inside("}"), term(r"\}")),
+            seq(term(r"<"), _inside(">"), term(r">")),
+            term(r"(?<!\*)\*++[^*]++\*++"),
+            term(r"(?<![♪♫♬♩])[♪♫♬♩]++[^♪♫♬♩]++[♪♫♬♩]++"),
+            term(r"(?<![♪♫♬♩])[♪♫♬♩]++"),
+        ),
+    )
 )
 
 _name_word = r"(?:[\p{L}][\p{L}\p{M}\p{N}'’_.-]*|\d{1,3}(?!\d|:\d))"
@@ -86,13 +103,19 @@ _head = choice(
     seq(ws, _stamp, term(r"\s*:?")),
     ws,
 )
-_filler = rule("filler", seq(term(rf"{_FILLERS}(?![\p{{L}}\p{{M}}\p{{N}}'’])", regex.I), term(r"[\s]*[-–—]*[.,…?!;:]*")))
+_filler = rule("filler", seq(term(_FILLERS, regex.I), term(r"[\s]*[-–—]*[.,…?!;:]*")))
 _word = rule("word", term(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}]|['’.,_:/-](?=[\p{L}\p{N}]))*%?"))
 _body = many(choice(term(r"\s+"), _annotation, _filler, _word, rule("mark", term(r"[.,?!;:…]+")), term(r"(?s).")))
 _line = choice(_roster, seq(_head, rule("body", _body)))
 _text = _body
 
 
+def _source(text: str) -> Source:
+    source = Source(text)
+    prepare(source, _annotation, (m.start() for m in _OPENERS.finditer(text)))
+    return source
+
+
 @dataclass
 class Line:
     second: int | None = None
@@ -155,7 +178,7 @@ def parse_line(text: str | None) -> Line:
     out = Line()
     if not text:
         return out
-    r = _line(text, 0)
+    r = _line(_source(text), 0)
     if r is None:
         return out
     for name, a, z, children in r[1]:
@@ -177,5 +200,5 @@ def spoken_words(text: str | None) -> list[str]:
     """The plain words of free speech: no fillers, no annotations, no marks."""
     out = Line()
     if text:
-        _spoken(text, _text(text, 0)[1], out)
+        _spoken(text, _text(_source(text), 0)[1], out)
     return out.plain

@@ -1,8 +1,10 @@
 """Transcripts, packing, mixing and sentences: cases, invariants and edge cases."""
 
 import random
+import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tapewright.llm import mixing as M
@@ -42,6 +44,53 @@ def test_lines(line, second, nanos, label, plain):
     assert (got.second, got.nanos, got.label, " ".join(got.plain)) == (second, nanos, label, plain)
 
 
+def test_annotations_nest_and_need_not_close():
+    plain = lambda t: " ".join(G.parse_line(t).plain)
+    assert plain("a [b (c] d) e] f") == "a f" and plain("a [b (c) d] e") == "a e"
+    assert plain("a [b (c d] e") == "a e" and plain("a (b [c) d") == "a d"
+    assert plain("x *a** b*c* y ♪ la ♪ z ♪ w") == "x b y z w"
+    assert plain("uhhm mmmm-hmm um-ear umm- a") == "ear a"
+    # the old way of reading: every construct anew at every place
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("[](){}ab ") for _ in range(rng.randint(0, 14)))
+        assert plain("x. " + text) == " ".join(["x", *regex.findall(r"[ab]+", _without_brackets(text))])
+
+
+def _without_brackets(text):
+    closing = {"[": "]", "(": ")", "{": "}"}
+
+    def annotation(i):
+        close, j = closing.get(text[i]), i + 1
+        if close is None:
+            return None
+        while j < len(text):
+            inner = annotation(j)
+            if inner is not None:
+                j = inner
+            elif text[j] == close:
+                return j + 1
+            else:
+                j += 1
+        return None
+
+    out, i = "", 0
+    while i < len(text):
+        end = annotation(i)
+        out, i = (out + " ", end) if end is not None else (out + text[i], i + 1)
+    return out
+
+
+@pytest.mark.parametrize("unit", ["[", "[(", "(so <a ", "*", "* ", "♪", "uh-", "m", "a = b, ", "word "])
+def test_time_of_a_line_is_in_proportion(unit):
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        G.parse_line(unit * n + "x")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.2
+
+
 def test_rosters():
     assert G.parse_line("Voices - S1 is Host, S2 = Guest").equal == [("speaker 1", "host"), ("speaker 2", "guest")]
     assert G.parse_line("# speakers: S1 is Host").equal == [("speaker 1", "host")]
