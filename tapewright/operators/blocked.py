@@ -1,11 +1,12 @@
-"""Prefix operations over long ordered groups, in two levels.
+"""Operations along long ordered groups, in two levels.
 
 A window over a whole entity puts that entity into one task. These helpers cut the entity into blocks
-(a time shard, a range of line numbers): the window runs inside a block, one summary row per block
-is combined over the entity, and the result of the blocks before is joined back. The task that sees
-a whole entity sees one row per block only.
+(a time shard, a range of line numbers): the window runs inside a block, and what a block must know of the blocks before or behind it
+comes as one row more, made from one summary row per block. So the rows are shuffled once, by entity and block, and the task
+that sees a whole entity sees one row per block only.
 
-The input is read twice, once for the summaries: cut its lineage first if it is costly to make.
+Blocks must be ordered as their rows are. The input is read twice, once for the summaries: cut its lineage first if it is costly to make.
+A NULL entity or block is a group like any other.
 """
 
 from __future__ import annotations
@@ -16,57 +17,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _windows(entity: Sequence[str], block: str, order: Sequence[Column | str]):
-    inner = Window.partitionBy(*entity, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*entity).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return inner, outer
+
+def _order(order: Sequence[Column | str]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _joined(df: DataFrame, totals: DataFrame, entity: Sequence[str], block: str) -> DataFrame:
-    keys = [*entity, block]
-    renamed = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in totals.columns if c not in keys])
-    cond = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        cond = same if cond is None else cond & same
-    return df.join(renamed, cond, "left").drop(*[f"__{k}" for k in keys])
+def _with_guests(df: DataFrame, guests: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], last: bool = False):
+    """``df`` and one guest row at the head (or the end) of every block, the windows over both, and which rows are ``df``'s own."""
+    rows = df.withColumn("__own", F.lit(True)).unionByName(guests.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    side = F.col("__own").desc() if last else F.col("__own").asc()
+    return rows, Window.partitionBy(*entity, block).orderBy(side, *_order(order))
 
 
 def running_sum(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the entity up to and with this one."""
-    inner, outer = _windows(entity, block, order)
-    totals = df.groupBy(*entity, block).agg(F.sum(value).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(outer), F.lit(0))).drop("__sum")
-    local = df.withColumn("__local", F.sum(value).over(inner))
-    return _joined(local, totals, entity, block).withColumn(out, F.col("__local") + F.col("__before")).drop("__local", "__before")
+    outer = Window.partitionBy(*entity).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*entity, block).agg(F.sum(value).alias("__sum"))
+    guests = sums.select(*entity, block, F.coalesce(F.sum("__sum").over(outer), F.lit(0)).alias("__add"))
+    rows, w = _with_guests(df.withColumn("__add", F.col(value)), guests, entity, block, order)
+    rows = rows.withColumn(out, F.sum("__add").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("__own").drop("__own", "__add")
 
 
 def carry_forward(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
     """``out``: the last ``value`` that is not NULL among the rows of the entity up to and with this one."""
-    inner, outer = _windows(entity, block, order)
-    local = df.withColumn("__local", F.last(value, ignorenulls=True).over(inner))
-    end = Window.partitionBy(*entity, block).orderBy(*order)
-    last = (
-        df.withColumn("__value", F.last(value, ignorenulls=True).over(inner))
-        .withColumn("__end", F.lead(F.lit(1)).over(end).isNull())
-        .where("__end")
-        .select(*entity, block, "__value")
-        .withColumn("__before", F.last("__value", ignorenulls=True).over(outer))
-        .drop("__value")
-    )
-    return _joined(local, last, entity, block).withColumn(out, F.coalesce("__local", "__before")).drop("__local", "__before")
+    outer = Window.partitionBy(*entity).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order(order))])
+    known = df.groupBy(*entity, block).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(inside.alias("at"), F.col(value).alias("value"))))["value"].alias("__value"))
+    guests = known.select(*entity, block, F.last("__value", ignorenulls=True).over(outer).alias("__seen"))
+    rows, w = _with_guests(df.withColumn("__seen", F.col(value)), guests, entity, block, order)
+    rows = rows.withColumn(out, F.last("__seen", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("__own").drop("__own", "__seen")
 
 
-def previous(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
-    """``out``: ``value`` of the row before this one in the entity, as a one-field struct; NULL at the first row."""
-    w = Window.partitionBy(*entity, block).orderBy(*order)
+def _neighbour(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str, before: bool) -> DataFrame:
     outer = Window.partitionBy(*entity).orderBy(block)
-    boxed = df.withColumn("__box", F.struct(F.col(value).alias("value")))
-    local = boxed.withColumn("__local", F.lag("__box").over(w)).drop("__box")
-    last = (
-        boxed.withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
-        .where("__end")
-        .select(*entity, block, "__box")
-        .withColumn("__before", F.lag("__box").over(outer))
-        .drop("__box")
-    )
-    return _joined(local, last, entity, block).withColumn(out, F.coalesce("__local", "__before")).drop("__local", "__before")
+    inside = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order(order))])
+    edge = (F.max if before else F.min)(F.struct(inside.alias("at"), F.struct(F.col(value).alias("value")).alias("box")))
+    edges = df.groupBy(*entity, block).agg(edge["box"].alias("__edge"))
+    guests = edges.select(*entity, block, (F.lag if before else F.lead)("__edge").over(outer).alias("__box"))
+    rows, w = _with_guests(df.withColumn("__box", F.struct(F.col(value).alias("value"))), guests, entity, block, order, last=not before)
+    rows = rows.withColumn(out, (F.lag if before else F.lead)("__box").over(w))
+    return rows.where("__own").drop("__own", "__box")
+
+
+def previous(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """``out``: ``value`` of the row before this one in the entity, as a one-field struct; NULL at the first row.
+
+    Rows with equal ``order`` follow each other in no defined order."""
+    return _neighbour(df, entity, block, order, value, out, True)
+
+
+def following(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """As ``previous``, of the row behind this one."""
+    return _neighbour(df, entity, block, order, value, out, False)
+
+
+def running_max(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """``out``: the largest ``value`` of the rows of the entity before this one; NULL if there is none."""
+    outer = Window.partitionBy(*entity).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*entity, block).agg(F.max(value).alias("__top"))
+    guests = tops.select(*entity, block, F.max("__top").over(outer).alias("__most"))
+    rows, w = _with_guests(df.withColumn("__most", F.col(value)), guests, entity, block, order)
+    rows = rows.withColumn(out, F.max("__most").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.where("__own").drop("__own", "__most")

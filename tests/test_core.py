@@ -69,10 +69,14 @@ def test_blocked_prefixes(spark):
     summed = {(r.e, r.i): r.o for r in B.running_sum(df, ["e"], "b", ["i"], "v", "o").collect()}
     carried = {(r.e, r.i): r.o for r in B.carry_forward(df, ["e"], "b", ["i"], "s", "o").collect()}
     before = {(r.e, r.i): r.o for r in B.previous(df, ["e"], "b", ["i"], "s", "o").collect()}
+    behind = {(r.e, r.i): r.o for r in B.following(df, ["e"], "b", ["i"], "s", "o").collect()}
+    tops = {(r.e, r.i): r.o for r in B.running_max(df, ["e"], "b", ["i"], "v", "o").collect()}
     for e in ("x", "y", None):
-        total, last, prev = 0, None, "first"
-        for _, _, i, v, s in sorted((r for r in rows if r[0] == e), key=lambda r: r[2]):
-            total, last = total + v, s or last
+        total, last, prev, top = 0, None, "first", None
+        own = sorted((r for r in rows if r[0] == e), key=lambda r: r[2])
+        for (_, _, i, v, s), after in zip(own, [*own[1:], None]):
+            assert tops[e, i] == top and (behind[e, i] is None if after is None else behind[e, i].value == after[4])
+            total, last, top = total + v, s or last, v if top is None else max(v, top)
             assert summed[e, i] == total and carried[e, i] == last
             assert (before[e, i] is None) if prev == "first" else before[e, i].value == prev
             prev = s
