@@ -88,6 +88,12 @@ def many(p: Parser, least: int = 0, most: int | None = None) -> Parser:
     return parse
 
 
+def at_one_of(characters: str, p: Parser) -> Parser:
+    """``p`` where it can begin at all, told by its first character."""
+    first = frozenset(characters)
+    return lambda source, at: p(source, at) if source.text[at : at + 1] in first else None
+
+
 def run_of(p: Parser) -> Parser:
     """As many ``p`` as there are, without nodes. Where one run meets the items of another it ends where that one did."""
     key = id(p)

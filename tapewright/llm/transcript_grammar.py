@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import regex
 
-from tapewright.llm.peg import Node, Source, choice, defer, many, maybe, memo, prepare, rule, run_of, seq, term, unless
+from tapewright.llm.peg import Node, Source, at_one_of, choice, defer, many, maybe, memo, prepare, rule, run_of, seq, term, unless
 
 # The seven fillers (um, uh, erm, hmm, mm, eh, ah), each of which may be drawn out or doubled and joined by hyphens. An "h" of
 # one may begin an "hm".
@@ -49,7 +49,8 @@ _stamp = rule(
 
 _nested = defer(lambda: _annotation)
 #: What may begin or end an annotation; between two of these nothing can.
-_OPENERS = regex.compile(r"[\[({<*♪♫♬♩]")
+_OPENS = "[({<*♪♫♬♩"
+_OPENERS = regex.compile(rf"[{regex.escape(_OPENS)}]")
 _plain = term(r"[^\[\](){}<>*♪♫♬♩]++")
 
 
@@ -57,20 +58,15 @@ def _inside(close: str):
     return run_of(choice(_plain, _nested, term(rf"[^{close}]")))
 
 
-_annotation = memo(
-    rule(
-        "annotation",
-        choice(
-            seq(term(r"\["), _inside(r"\]"), term(r"\]")),
-            seq(term(r"\("), _inside(")"), term(r"\)")),
-            seq(term(r"\{"), _inside("}"), term(r"\}")),
-            seq(term(r"<"), _inside(">"), term(r">")),
-            term(r"(?<!\*)\*++[^*]++\*++"),
-            term(r"(?<![♪♫♬♩])[♪♫♬♩]++[^♪♫♬♩]++[♪♫♬♩]++"),
-            term(r"(?<![♪♫♬♩])[♪♫♬♩]++"),
-        ),
-    )
+_bracketed = choice(
+    seq(term(r"\["), _inside(r"\]"), term(r"\]")),
+    seq(term(r"\("), _inside(")"), term(r"\)")),
+    seq(term(r"\{"), _inside("}"), term(r"\}")),
+    seq(term(r"<"), _inside(">"), term(r">")),
 )
+_between_notes = choice(term(r"(?<![♪♫♬♩])[♪♫♬♩]++[^♪♫♬♩]++[♪♫♬♩]++"), term(r"(?<![♪♫♬♩])[♪♫♬♩]++"))
+_starred = term(r"(?<!\*)\*++[^*]++\*++")
+_annotation = at_one_of(_OPENS, memo(rule("annotation", choice(_bracketed, _starred, _between_notes))))
 
 _name_word = r"(?:[\p{L}][\p{L}\p{M}\p{N}'’_.-]*|\d{1,3}(?!\d|:\d))"
 _name = rule("name", term(rf"{_name_word}(?:[ \t]+{_name_word}){{0,3}}"))
@@ -103,9 +99,10 @@ _head = choice(
     seq(ws, _stamp, term(r"\s*:?")),
     ws,
 )
-_filler = rule("filler", seq(term(_FILLERS, regex.I), term(r"[\s]*[-–—]*[.,…?!;:]*")))
+_filler = at_one_of("uehmaUEHMA", rule("filler", seq(term(_FILLERS, regex.I), term(r"[\s]*[-–—]*[.,…?!;:]*"))))
 _word = rule("word", term(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}]|['’.,_:/-](?=[\p{L}\p{N}]))*%?"))
-_body = many(choice(term(r"\s+"), _annotation, _filler, _word, rule("mark", term(r"[.,?!;:…]+")), term(r"(?s).")))
+_body = many(choice(_annotation, _filler, _word, term(r"\s+"), at_one_of(".,?!;:…", rule("mark", term(r"[.,?!;:…]+"))), term(r"(?s).")))
+_not_spoken = regex.compile(r"[^\p{L}\p{M}\p{N}%]+")
 _line = choice(_roster, seq(_head, rule("body", _body)))
 _text = _body
 
@@ -167,7 +164,7 @@ def _spoken(text: str, nodes: tuple[Node, ...], into: Line) -> None:
     for name, a, z, _ in nodes:
         if name == "word":
             into.words.append(text[a:z])
-            into.plain.append(regex.sub(r"[^\p{L}\p{M}\p{N}%]", "", text[a:z].lower()))
+            into.plain.append(_not_spoken.sub("", text[a:z].lower()))
             glue = z
         elif name == "mark" and a == glue and into.words:
             into.words[-1] += text[a:z]

@@ -1,9 +1,10 @@
 """Raw transcript lines into clean, ordered speaker turns.
 
 Each line is parsed by the grammar in ``transcript_grammar``; that step and the removal of abandoned speech work line
-by line. What depends on other lines (the place of a line without a stamp, the speaker of a line without
-a label, the turns) is done by two-level prefix operations over blocks of line numbers and of time, so
-no task holds a whole transcript. Spellings of labels are reconciled over the distinct labels of a transcript.
+by line. The place of a line without a stamp comes from a two-level carry over blocks of line numbers. Then the lines are
+shuffled once more, by blocks of time: a block works out its speakers and sums up its runs of lines by one speaker, and only the runs
+at the edges of blocks, whose speaker or end the block can't know, are joined across them. So no task holds a whole
+transcript; what follows one stamp stays in one block. Spellings of labels are reconciled over the distinct labels of a transcript.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.functions import exact_time as X
 from tapewright.llm.transcript_grammar import one_edit, parse_line, spoken_words
-from tapewright.operators.blocked import carry_forward, previous, running_sum
+from tapewright.operators.blocked import carry_forward
 from tapewright.session import cut_lineage
 
 LINES_PER_BLOCK = 4096
@@ -150,29 +151,43 @@ def speakers(parsed: DataFrame) -> DataFrame:
     return both.select("transcript_id", F.inline(_reconciled("labels", "equal")))
 
 
-def _placed(parsed: DataFrame) -> DataFrame:
-    """Speech lines with their place in time, speaker and turn. Works on keys alone: the words stay where they are."""
+_ORDER = ["second", "nanos", "leader", "line_no", "line_id"]
+
+
+def _runs(parsed: DataFrame, text: bool) -> DataFrame:
+    """Per block of time: its runs of speech lines by one speaker (run 1, 2, ...; run 0 is lines before the first speech). ``who`` is
+    NULL in a run before the first label of a block, ``heard`` is the speaker last named at the end of the run."""
     named = speakers(parsed).withColumnRenamed("transcript_id", "s_transcript").withColumnRenamed("label", "s_label")
-    p = parsed.select("transcript_id", "line_id", "line_no", "second", "nanos", "label", (F.size("equal") > 0).alias("roster"), (F.col("plain") != "").alias("speech"))
+    p = parsed.select("transcript_id", "line_id", "line_no", "second", "nanos", "label", (F.size("equal") > 0).alias("roster"), (F.col("plain") != "").alias("speech"), *([F.array_join("words", " ").alias("said")] if text else []))
     p = p.join(named, (F.col("transcript_id") == F.col("s_transcript")) & (F.col("label") == F.col("s_label")), "left").drop("s_transcript", "s_label", "label")
 
-    key = ["transcript_id"]
     p = p.withColumn("filed", X.floor_div(F.col("line_no").cast("bigint"), F.lit(LINES_PER_BLOCK).cast("bigint")))
     p = p.withColumn("stamp", F.when(F.col("second").isNotNull(), F.struct("second", F.col("line_no").alias("leader"), "nanos")))
-    p = carry_forward(p, key, "filed", ["line_no", "line_id"], "stamp", "lead")
+    p = carry_forward(p, ["transcript_id"], "filed", ["line_no", "line_id"], "stamp", "lead").where("NOT roster")
+    # lines before the first stamp come first, in blocks of line numbers
     p = p.withColumn("second", F.coalesce("lead.second", F.lit(-1).cast("bigint"))).withColumn("leader", F.coalesce("lead.leader", F.lit(-1)))
-    cut = F.max(F.col("lead.nanos").isNull().cast("int")).over(Window.partitionBy("transcript_id", "second"))
-    p = p.withColumn("nanos", F.when(cut == 1, F.lit(0)).otherwise(F.col("lead.nanos"))).drop("lead", "stamp", "filed")
-    p = cut_lineage(p.where("NOT roster").drop("roster").withColumn("hour", X.floor_div(F.col("second"), F.lit(SECONDS_PER_BLOCK).cast("bigint"))))
-
-    p = carry_forward(p, key, "hour", _ORDER, "speaker", "who").drop("speaker")
-    p = cut_lineage(p.where("speech").drop("speech"))
-    p = previous(p, key, "hour", _ORDER, "who", "before")
-    p = p.withColumn("fresh", F.when(F.col("before").isNull() | ~F.col("before.value").eqNullSafe(F.col("who")), 1).otherwise(0)).drop("before")
-    return running_sum(p, key, "hour", _ORDER, "fresh", "turn")
+    p = p.withColumn("hour", F.when(F.col("second") < 0, F.lit(-1).cast("bigint")).otherwise(X.floor_div(F.col("second"), F.lit(SECONDS_PER_BLOCK).cast("bigint"))))
+    p = p.withColumn("part", F.when(F.col("second") < 0, F.col("filed")).otherwise(F.lit(0).cast("bigint")))
+    block = ["transcript_id", "hour", "part"]
+    p = p.repartition(*block)
+    cut = F.max(F.col("lead.nanos").isNull().cast("int")).over(Window.partitionBy(*block, "second"))
+    p = p.withColumn("nanos", F.when(cut == 1, F.lit(0)).otherwise(F.col("lead.nanos"))).drop("lead", "stamp", "filed", "roster")
+
+    w = Window.partitionBy(*block).orderBy(*_ORDER)
+    p = p.withColumn("who", F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.last(F.when(F.col("speech"), F.struct("who")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("before", before).withColumn("fresh", (F.col("speech") & (F.col("before").isNull() | ~F.col("before.who").eqNullSafe(F.col("who")))).cast("int"))
+    p = p.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*_ORDER)
+    spoken = F.when(F.col("speech"), at)
+    what = [F.min(spoken).alias("a"), F.max(spoken).alias("z"), F.count(spoken).alias("n_lines"), F.max(F.when(F.col("speech"), F.struct("who")))["who"].alias("who"), F.max_by("who", at).alias("heard")]
+    if text:
+        what.append(_in_order(F.when(F.col("speech"), F.struct(at.alias("at"), "said")), "said"))
+    return p.groupBy(*block, "run").agg(*what).withColumn("final", F.col("run") == F.max("run").over(Window.partitionBy(*block)))
 
 
-_ORDER = ["second", "nanos", "leader", "line_no", "line_id"]
+def _in_order(piece: Column, name: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x[name]), " ").alias("said")
 
 
 def speaker_turns(lines: DataFrame, corrections: DataFrame, text: bool = True) -> DataFrame:
@@ -184,24 +199,37 @@ def speaker_turns(lines: DataFrame, corrections: DataFrame, text: bool = True) -
     speech is skipped, and so is one that only equates labels. A NULL or empty line has no speech; repeats of a
     line_id count once; an empty table gives no turn. Other columns are ignored.
 
-    Returns transcript_id, first_line_id, last_line_id, turn_no (from 0), speaker, start_seconds, n_lines and, unless ``text`` is false, text.
+    Returns transcript_id, first_line_id, last_line_id, speaker, start_seconds, n_lines and, unless ``text`` is false, turn_no (from 0) and text.
     """
     parsed = cut_lineage(without_abandoned(parse_lines(lines), corrections))
-    placed = _placed(parsed)
-    at = F.struct(*_ORDER)
-    what = [F.min(at).alias("a"), F.max(at).alias("z"), F.first("who").alias("speaker"), F.count(F.lit(1)).alias("n_lines")]
+    runs = cut_lineage(_runs(parsed, text))
+    # what a block alone can't decide: whose the lines before its first label are, and whether its first and last run go on
+    inner = runs.where("run > 2 AND NOT final")
+    w = Window.partitionBy("transcript_id").orderBy("hour", "part", "run")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    edges = runs.where("run <= 2 OR final").withColumn("who", F.coalesce("who", F.last("heard", ignorenulls=True).over(earlier)))
+    speech = F.col("n_lines") > 0
+    edges = edges.withColumn("before", F.last(F.when(speech, F.struct("who")), ignorenulls=True).over(earlier))
+    fresh = speech & ((F.col("run") > 2) | F.col("before").isNull() | ~F.col("before.who").eqNullSafe(F.col("who")))
+    edges = edges.withColumn("turn", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    what = [F.min("a").alias("a"), F.max("z").alias("z"), F.first("who").alias("who"), F.sum("n_lines").alias("n_lines")]
+    keep = ["transcript_id", "a", "z", "who", "n_lines"]
     if text:
-        said = parsed.select(F.col("transcript_id").alias("w_transcript"), F.col("line_id").alias("w_line"), F.array_join("words", " ").alias("words"))
-        placed = placed.join(said, (F.col("transcript_id") == F.col("w_transcript")) & (F.col("line_id") == F.col("w_line")))
-        what.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, "words"))), lambda x: x["words"]), " ").alias("text"))
-    turns = placed.groupBy("transcript_id", "turn").agg(*what)
+        # a last run has the turns inside its block before it, and those follow on the block's second run
+        inside = F.when(F.col("final") & (F.col("run") > 2), F.col("run") - 3).otherwise(0)
+        edges = edges.withColumn("turn_no", F.col("turn") - 1 + F.sum(inside).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        second = edges.where("run = 2").select(F.col("transcript_id").alias("s_transcript"), F.col("hour").alias("s_hour"), F.col("part").alias("s_part"), F.col("turn_no").alias("second_no"))
+        inner = inner.join(second, (F.col("transcript_id") == F.col("s_transcript")) & (F.col("hour") == F.col("s_hour")) & (F.col("part") == F.col("s_part"))).withColumn("turn_no", F.col("second_no") + F.col("run") - 2)
+        what += [F.min("turn_no").alias("turn_no"), _in_order(F.struct("a", "said"), "said")]
+        keep += ["turn_no", "said"]
+    merged = edges.where(speech).groupBy("transcript_id", "turn").agg(*what)
+    turns = inner.select(*keep).unionByName(merged.select(*keep))
     return turns.select(
         "transcript_id",
         F.col("a.line_id").alias("first_line_id"),
         F.col("z.line_id").alias("last_line_id"),
-        (F.col("turn") - 1).alias("turn_no"),
-        "speaker",
+        F.col("who").alias("speaker"),
         F.when(F.col("a.second") >= 0, F.col("a.second") + F.coalesce(F.col("a.nanos"), F.lit(0)) / F.lit(10**9)).alias("start_seconds"),
         "n_lines",
-        *(["text"] if text else []),
+        *([F.col("turn_no").cast("bigint").alias("turn_no"), F.col("said").alias("text")] if text else []),
     )

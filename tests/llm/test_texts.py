@@ -12,6 +12,7 @@ from tapewright.llm import packing as P
 from tapewright.llm import sentences as S
 from tapewright.llm import tokens as K
 from tapewright.llm import transcript_grammar as G
+from tapewright.llm import turns as T
 from tapewright.llm.turns import _groups_of, speaker_turns
 
 # ---- transcripts -----------------------------------------------------------------------------------------------------
@@ -132,6 +133,28 @@ def test_turns(spark):
     assert got[0].speaker == got[2].speaker != got[1].speaker and got[3].speaker is None
 
 
+def test_turns_across_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for t in range(6):
+        clock = 0
+        for k in range(60):
+            clock += rng.choice([0, 0, 1, 3, 30])
+            stamp = rng.choice(["", f"[{clock // 60}:{clock % 60:02}] "]) if t else ""
+            if rng.random() < 0.1:
+                stamp = f"[0:{rng.randint(0, 59):02}] "
+            who = rng.choice(["", "", "A: ", "B: "]) if t < 3 or k > 20 else ""
+            rows.append((t, 100 * t + k, k, stamp + who + rng.choice(["so it went", "um", "[laughs]", "right"])))
+    df, none = spark.createDataFrame(rows, LINES), spark.createDataFrame([], CORRECTIONS)
+    whole = sorted(map(str, speaker_turns(df, none).collect()))
+    assert len(whole) > 60
+    monkeypatch.setattr(T, "SECONDS_PER_BLOCK", 7)
+    monkeypatch.setattr(T, "LINES_PER_BLOCK", 4)
+    assert sorted(map(str, speaker_turns(df, none).collect())) == whole
+    keys = speaker_turns(df, none, text=False)
+    assert "text" not in keys.columns and keys.count() == len(whole)
+
+
 def test_turns_of_nothing(spark):
     assert speaker_turns(spark.createDataFrame([], LINES), spark.createDataFrame([], CORRECTIONS)).count() == 0
 
