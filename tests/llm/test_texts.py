@@ -354,6 +354,12 @@ CASES = [
     "one",
     "...",
     "It ends \"here. |And is never closed. |Another one.",
+    "ስላም ነው። |ደህና ነኝ።",
+    "သူသွားသည်။|သူမလာပါ။",
+    "ខ្ញុំទៅ។ |គាត់មក។",
+    "བཀྲ་ཤིས་བདེ་ལེགས། |ཁྱེད་རང་བདེ་པོ།",
+    "Բարեւ ձեզ։ |Ես լավ եմ։",
+    "یہ ایک جملہ ہے۔ |یہ دوسرا ہے۔",
 ]
 
 
@@ -376,6 +382,27 @@ def test_length_of_spans_counts():
     assert S.sentence_spans(f"{long} หลังจาก 33 วินาที {long}")[0] == (0, len(long))
 
 
+def test_the_best_division_is_found(monkeypatch):
+    """The same programme with every start tried for every end."""
+    rng = random.Random(8)
+    units = ["It fades", "the long and quiet narration of the second reel goes on and on", "“", "”", "(", ")", ". ", ", ", "! ", "« ", " »", "e.g. ", "ภาพคงที่จนจบ ", "ช่วงเงียบลดลงหลังจากตัดต่อ ", "ในฉากที่ 7 ", "--- " * 60, "？", "他说：", "好", '"', " "]
+    texts = ["".join(rng.choice(units) for _ in range(rng.randint(1, 120))) for _ in range(250)]
+    got = [S.sentence_spans(t) for t in texts]
+    monkeypatch.setattr(S, "FAR", float("inf"))
+    assert got == [S.sentence_spans(t) for t in texts]
+
+
+@pytest.mark.parametrize("head,unit", [("", "ภาพคงที่จนจบ ช่วงเงียบลดลงหลังจากตัดต่อ "), ("“", "It ended here. "), ("", "(so it goes. "), ("", "a.b."), ("", "! "), ("", "A_B "), ("", " "), ("", "“("), ("(“", ")”"), ("", "J. Q. "), ("", "line\n")])
+def test_time_of_a_text_is_in_proportion(head, unit):
+    took = []
+    for n in (20_000, 160_000):
+        text = head + unit * (n // len(unit))
+        began = time.perf_counter()
+        S.sentence_spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
 def test_sentences_of_documents(spark):
     long = "The cut holds. " * 40_000
     rows = [(1, "One. Two."), (2, None), (3, ""), (4, " \n\t "), (5, long), (1, "Again."), (None, "No id. None.")]
