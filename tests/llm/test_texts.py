@@ -206,6 +206,40 @@ def test_pack(spark):
     assert {r.container for r in got} == {"small", "large"}
 
 
+def test_pack_across_blocks_and_in_units(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 2, 5, 9, 40, 90, 91, 250])) for i in range(700)]
+    df, kinds = spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), spark.createDataFrame([("a", 97), ("b", 40)], "container string, capacity_tokens int")
+    whole = P.pack(df, kinds).groupBy("container").agg(F.countDistinct("pack_no").alias("n"), F.sum("tokens").alias("t")).collect()
+    monkeypatch.setattr(P, "TEXTS_PER_BLOCK", 16)
+    got = P.pack(df, kinds).collect()
+    for r in whole:
+        own = [x for x in got if x.container == r.container]
+        fill = {}
+        for x in own:
+            fill[x.pack_no] = fill.get(x.pack_no, 0) + x.tokens
+        assert len(fill) == r.n and sum(fill.values()) == r.t and all(fill[x.pack_no] == x.fill_tokens <= x.capacity for x in own)
+        assert len({(x.doc_id, x.piece_no) for x in own}) == len(own)
+    # a histogram that may have few entries: counted in units, whole and within the capacity
+    monkeypatch.setattr(P, "MAX_ENTRIES", 30)
+    for r in P.pack(df, kinds).groupBy("container", "pack_no").agg(F.sum("tokens").alias("t"), F.max("fill_tokens").alias("f"), F.max("capacity").alias("c")).collect():
+        assert r.t == r.f <= r.c
+    assert {r.container: r.t for r in P.pack(df, kinds).groupBy("container").agg(F.sum("tokens").alias("t")).collect()} == {r.container: r.t for r in whole}
+
+
+def test_many_texts_make_few_rows():
+    rng = random.Random(4)
+    hist = {n: rng.randint(1, 3 * 10**9) for n in range(1, 600)}
+    hist[512] = 4 * 10**10
+    rows = P._places("c", P.shortest_pack_first({n: k for n, k in hist.items() if n <= 512}.items(), 512))
+    assert len(rows) < 20_000
+    for n in range(1, 513):
+        ranges = sorted((r[2], r[2] + r[3]) for r in rows if r[1] == n)
+        assert ranges[0][0] == 0 and ranges[-1][1] == hist[n] and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    width = P.block_width(max(hist.values()))
+    assert sum(-(-r[3] // width) + 1 for r in rows) < 20 * P.MAX_BLOCKS and max(r[3] for r in rows) // width <= P.MAX_BLOCKS
+
+
 def test_pack_of_nothing(spark):
     kinds = spark.createDataFrame([("small", 10)], "container string, capacity_tokens int")
     assert P.pack(spark.createDataFrame([], "doc_id bigint, tokens bigint"), kinds).count() == 0
