@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.exact_time import floor_div
+
 
 
 def _order(order: Sequence[Column | str]) -> list[Column]:
@@ -81,3 +83,44 @@ def running_max(df: DataFrame, entity: Sequence[str], block: str, order: Sequenc
     rows, w = _with_guests(df.withColumn("__most", F.col(value)), guests, entity, block, order)
     rows = rows.withColumn(out, F.max("__most").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return rows.where("__own").drop("__own", "__most")
+
+
+def blocks(df: DataFrame, at: str, width: int, out: str = "__block") -> DataFrame:
+    """Adds the block a row belongs to: ``width`` units of its place in the order. A NULL place has a block of its own."""
+    return df.withColumn(out, floor_div(F.col(at).cast("bigint"), F.lit(width).cast("bigint")))
+
+
+def value_runs(df: DataFrame, keys: Sequence[str], at: str, value: str, width: int, tie: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Longest stretches of rows, in the order of ``at``, with one value (NULL is one): keys, value, start, end (first and last place), n and, of
+    a column ``total``, its sum.
+
+    A block of ``width`` units sums up its runs, and only its first and last run are joined with those of other blocks. Rows at one
+    place are ordered by ``tie``.
+    """
+    d = blocks(df.select(*keys, at, value, *[c for c in dict.fromkeys((*tie, *([total] if total else []))) if c not in (at, value, *keys)]), at, width)
+    w = Window.partitionBy(*keys, "__block").orderBy(at, *tie)
+    was = F.lag(F.struct(F.col(value).alias("v"))).over(w)
+    d = d.withColumn("__was", was).withColumn("__fresh", (F.col("__was").isNull() | ~F.col("__was.v").eqNullSafe(F.col(value))).cast("int"))
+    d = d.withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    what = [F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"), *([F.sum(total).alias("total")] if total else [])]
+    local = d.groupBy(*keys, "__block", "__run", value).agg(*what).withColumn("__last", F.col("__run") == F.max("__run").over(Window.partitionBy(*keys, "__block")))
+    cols = [*keys, value, "start", "end", "n", *(["total"] if total else [])]
+    # one or two rows per block
+    e = Window.partitionBy(*keys).orderBy("__block", "__run")
+    edges = local.where("__run = 1 OR __last").withColumn("__was", F.lag(F.struct(F.col(value).alias("v"))).over(e))
+    fresh = (F.col("__run") > 1) | F.col("__was").isNull() | ~F.col("__was.v").eqNullSafe(F.col(value))
+    edges = edges.withColumn("__whole", F.sum(fresh.cast("int")).over(e.rowsBetween(Window.unboundedPreceding, 0)))
+    what = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *([F.sum("total").alias("total")] if total else [])]
+    merged = edges.groupBy(*keys, "__whole", value).agg(*what).select(*cols)
+    return local.where("__run > 1 AND NOT __last").select(*cols).unionByName(merged)
+
+
+def running_sums(df: DataFrame, entity: Sequence[str], block: str, order: Sequence[Column | str], values: dict[str, str]) -> DataFrame:
+    """``running_sum`` of several columns at once: value -> name of its sum."""
+    outer = Window.partitionBy(*entity).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*entity, block).agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    guests = sums.select(*entity, block, *[F.coalesce(F.sum(f"__s_{v}").over(outer), F.lit(0)).alias(f"__a_{v}") for v in values])
+    rows, w = _with_guests(df.select("*", *[F.col(v).alias(f"__a_{v}") for v in values]), guests, entity, block, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.sum(f"__a_{v}").over(upto).alias(o) for v, o in values.items()])
+    return rows.where("__own").drop("__own", *[f"__a_{v}" for v in values])

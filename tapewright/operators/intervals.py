@@ -1,8 +1,8 @@
 """Interval sets and temporal joins over integer times.
 
-Ranges are half open. ``keys`` name the entity, usually a recording. Joins by time are equi-joins on
-(entity, time bucket) with the exact condition behind it, never nested loops; neighbours in an entity come from windows over
-the entity's rows, of which a recording has a bounded number per hour.
+Ranges are half open. ``keys`` name the entity, usually a recording, which may hold any share of the rows: what depends on neighbours is worked
+out in blocks of ``block`` units of time (or places) by the operations of ``blocked``, so no task sorts a whole entity. Joins by time
+are equi-joins on (entity, time bucket) with the exact condition behind it, never nested loops.
 """
 
 from __future__ import annotations
@@ -13,8 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.exact_time import floor_div, int_div
+from tapewright.operators.blocked import blocks, following, previous, running_max, running_sum, running_sums, value_runs
 from tapewright.operators.run_bitmap import periods_and_gaps
 
+#: An hour of microseconds.
+HOUR = 3600 * 10**6
+#: Places (words, samples) per block where the order is a count.
+PLACES = 50_000
+#: A range is listed in so many buckets at most; longer ones go to wider buckets.
+SPREAD = 64
+
 
 def merge(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Union of the ranges of each entity, touching ones joined: keys, start, end. By run bitmaps, so no entity is too large.
@@ -27,53 +35,50 @@ def merge(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame
     return out.select(*keys, F.col("start_us").alias(start), F.col("end_us").alias(end))
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """What is covered by ``a`` and not by ``b``, as disjoint ranges: a sweep over the edges of both."""
+def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, block: int = HOUR) -> DataFrame:
+    """What is covered by ``a`` and not by ``b``, as disjoint ranges, the longest: a sweep over the edges of both. Empty and reversed ranges
+    and NULL edges cover nothing."""
     edges = lambda df, da, db: df.select(*keys, F.col(start).alias("at"), F.lit(da).alias("da"), F.lit(db).alias("db")).unionByName(
         df.select(*keys, F.col(end).alias("at"), F.lit(-da).alias("da"), F.lit(-db).alias("db"))
     )
     e = edges(a.where(F.col(end) > F.col(start)), 1, 0).unionByName(edges(b.where(F.col(end) > F.col(start)), 0, 1))
-    e = e.groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    e = e.select(*keys, "at", F.lead("at").over(w).alias("nxt"), (F.sum("da").over(w) > 0).alias("ina"), (F.sum("db").over(w) > 0).alias("inb"))
-    kept = e.where("ina AND NOT inb AND nxt IS NOT NULL")
-    fresh = F.when(F.lag("nxt").over(w) == F.col("at"), 0).otherwise(1)
-    kept = kept.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(w))
-    return kept.groupBy(*keys, "n").agg(F.min("at").alias(start), F.max("nxt").alias(end)).drop("n")
-
-
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], fresh: Column, out: str) -> DataFrame:
-    """``out``: number of the island a row belongs to; ``fresh`` says where one begins."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn(out, F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
-
-
-def coalesce_within(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, reason: str) -> DataFrame:
-    """Ranges of one class at most ``gap`` apart become one; reasons are chained by "; " unless equal to what the chain holds so far."""
-    w = Window.partitionBy(*keys).orderBy(start, end, reason)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    g = islands(df.withColumn("__reach", reach), keys, [start, end, reason], F.col(start) - F.col("__reach") > gap, "__n")
+    e = blocks(e.groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db")), "at", block)
+    e = running_sums(e, keys, "__block", ["at"], {"da": "na", "db": "nb"})
+    r = value_runs(e.withColumn("kept", (F.col("na") > 0) & (F.col("nb") <= 0)), keys, "at", "kept", block)
+    # a stretch ends where the next begins; the last edge covers nothing
+    r = following(blocks(r, "start", block), keys, "__block", ["start"], "start", "nxt")
+    return r.where("kept AND nxt IS NOT NULL").select(*keys, F.col("start").alias(start), F.col("nxt.value").alias(end))
+
+
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], fresh: Column, out: str, block: int = HOUR) -> DataFrame:
+    """``out``: number of the island a row belongs to; ``fresh`` says where one begins (NULL: here). Blocks are cut by the first of ``order``."""
+    d = blocks(df.withColumn("__fresh", F.coalesce(fresh, F.lit(True)).cast("int")), order[0], block)
+    return running_sum(d, keys, "__block", order, "__fresh", out).drop("__fresh", "__block")
+
+
+def coalesce_within(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, reason: str, block: int = HOUR) -> DataFrame:
+    """Ranges of one class at most ``gap`` apart become one; reasons are chained by "; " unless equal to what the chain holds so far.
+
+    The chain is one text per range of the result, so it is as long as that range has different reasons in turn."""
+    order = [start, end, reason]
+    g = running_max(blocks(df, start, block), keys, "__block", order, end, "__reach").drop("__block")
+    g = islands(g, keys, order, F.col(start) - F.col("__reach") > gap, "__n", block)
     said = F.transform(F.array_sort(F.collect_list(F.struct(start, end, reason))), lambda x: x[reason])
     chain = F.reduce(F.slice(said, 2, 1_000_000_000), F.element_at(said, 1), lambda a, b: F.when(a == b, a).otherwise(F.concat(a, F.lit("; "), b)))
     return g.groupBy(*keys, "__n").agg(F.min(start).alias(start), F.max(end).alias(end), chain.alias(reason), F.count(F.lit(1)).alias("n_items")).drop("__n")
 
 
-def threshold_runs(df: DataFrame, keys: Sequence[str], order: str, level: str, below: float, longer_than: int, padding: int) -> DataFrame:
-    """Runs of consecutive samples under a level, longer than a minimum and padded inwards; the mean is over the unpadded run."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    low = F.col(level) < below
-    marked = df.withColumn("__low", low).withColumn("__n", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "__low").orderBy(order)))
-    runs = marked.where("__low").groupBy(*keys, "__n").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.avg(level).alias("mean_level"), F.count(F.lit(1)).alias("n"))
+def threshold_runs(df: DataFrame, keys: Sequence[str], order: str, level: str, below: float, longer_than: int, padding: int, block: int = HOUR) -> DataFrame:
+    """Runs of consecutive samples under a level, longer than a minimum and padded inwards; the mean is over the unpadded run. A NULL level ends a run."""
+    runs = value_runs(df.withColumn("__low", F.col(level) < below), keys, order, "__low", block, total=level).where("__low")
     runs = runs.where(F.col("end") - F.col("start") > longer_than)
-    return runs.select(*keys, (F.col("start") + padding).alias("start"), (F.col("end") - padding).alias("end"), "mean_level", "n").where("end > start")
+    return runs.select(*keys, (F.col("start") + padding).alias("start"), (F.col("end") - padding).alias("end"), (F.col("total") / F.col("n")).alias("mean_level"), "n").where("end > start")
 
 
-def state_runs(df: DataFrame, keys: Sequence[str], order: str, holds: Column, tolerance: int) -> DataFrame:
+def state_runs(df: DataFrame, keys: Sequence[str], order: str, holds: Column, tolerance: int, block: int = HOUR) -> DataFrame:
     """Stretches over which a state holds: matching samples extend a run, any other closes it; a run ends one tolerance after its last match."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    m = df.withColumn("__holds", F.coalesce(holds, F.lit(False))).withColumn("__was", F.lag("__holds").over(w))
-    m = islands(m, keys, [order], ~(F.col("__holds") & F.coalesce(F.col("__was"), F.lit(False))), "__n").where("__holds")
-    return m.groupBy(*keys, "__n").agg(F.min(order).alias("start"), (F.max(order) + tolerance).alias("end"), F.count(F.lit(1)).alias("n")).drop("__n")
+    runs = value_runs(df.withColumn("__holds", F.coalesce(holds, F.lit(False))), keys, order, "__holds", block).where("__holds")
+    return runs.select(*keys, "start", (F.col("end") + tolerance).alias("end"), "n")
 
 
 def sample_ranges(df: DataFrame, keys: Sequence[str], at: str, holds: Column, tolerance: int) -> DataFrame:
@@ -81,84 +86,132 @@ def sample_ranges(df: DataFrame, keys: Sequence[str], at: str, holds: Column, to
     return merge(df.where(holds).select(*keys, F.col(at).alias("start"), (F.col(at) + tolerance).alias("end")), keys, "start", "end")
 
 
-def visits(df: DataFrame, keys: Sequence[str], order: str, holder: str, at_least: int, rejoin: int) -> DataFrame:
+def visits(df: DataFrame, keys: Sequence[str], order: str, holder: str, at_least: int, rejoin: int, block: int = HOUR) -> DataFrame:
     """Runs with one exclusive holder (NULL: none or several), of a minimum length; then runs of one holder close together are joined again."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    r = islands(df.withColumn("__was", F.lag(holder).over(w)), keys, [order], ~F.col(holder).eqNullSafe(F.col("__was")), "__n").where(F.col(holder).isNotNull())
-    r = r.groupBy(*keys, "__n", holder).agg(F.min(order).alias("start"), F.max(order).alias("end")).where(F.col("end") - F.col("start") >= at_least)
-    v = Window.partitionBy(*keys).orderBy("start")
-    r = r.withColumn("__holder", F.lag(holder).over(v)).withColumn("__end", F.lag("end").over(v))
-    r = islands(r, keys, ["start"], ~((F.col("__holder") == F.col(holder)) & (F.col("start") - F.col("__end") < rejoin)), "__m")
+    r = value_runs(df, keys, order, holder, block).where(F.col(holder).isNotNull() & (F.col("end") - F.col("start") >= at_least)).select(*keys, holder, "start", "end")
+    r = previous(blocks(r.withColumn("__run", F.struct(F.col(holder).alias("holder"), "end")), "start", block), keys, "__block", ["start"], "__run", "__was").drop("__block", "__run")
+    was = F.col("__was.value")
+    r = islands(r, keys, ["start"], ~((was["holder"] == F.col(holder)) & (F.col("start") - was["end"] < rejoin)), "__m", block)
     return r.groupBy(*keys, "__m", holder).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_runs")).drop("__m")
 
 
-def opening_run(df: DataFrame, keys: Sequence[str], order: str, active: Column, most_misses: int, at_least: int) -> DataFrame:
+def opening_run(df: DataFrame, keys: Sequence[str], order: str, active: Column, most_misses: int, at_least: int, block: int = HOUR) -> DataFrame:
     """The run from the beginning in which all are active, over at most ``most_misses`` misses in a row; NULL end if it ends before ``at_least``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = df.withColumn("__on", F.coalesce(active, F.lit(False))).withColumn("__i", F.row_number().over(w) - 1)
-    n = n.withColumn("__last", F.coalesce(F.last(F.when(F.col("__on"), F.col("__i")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
-    n = n.withColumn("__broken", F.max((F.col("__i") - F.col("__last") > most_misses).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    open_ = n.where("__broken = 0 AND __on").groupBy(*keys).agg(F.max("__i").alias("last_sample"), F.max(order).alias("end"))
+    r = value_runs(df.withColumn("__on", F.coalesce(active, F.lit(False))), keys, order, "__on", block)
+    broken = r.groupBy(*keys).agg(F.min(F.when(~F.col("__on") & (F.col("n") > most_misses), F.col("start"))).alias("__stop"))
+    r = r.join(broken, list(keys)).where("__stop IS NULL OR start < __stop")
+    last = r.where("__on").groupBy(*keys).agg(F.max("end").alias("__end"))
+    open_ = r.join(last, list(keys)).where("end <= __end").groupBy(*keys).agg((F.sum("n") - 1).cast("int").alias("last_sample"), F.max("__end").alias("end"))
     return open_.select(*keys, "last_sample", F.when(F.col("last_sample") >= at_least, F.col("end")).alias("end"))
 
 
-def longest_absence(df: DataFrame, keys: Sequence[str], order: str, present: Column, tail: int) -> DataFrame:
+def longest_absence(df: DataFrame, keys: Sequence[str], order: str, present: Column, tail: int, block: int = HOUR) -> DataFrame:
     """The longest run without presence, from its first sample to the next presence; an open run ends one ``tail`` after its last sample."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    m = df.withColumn("__on", F.coalesce(present, F.lit(False))).withColumn("__next", F.lead(order).over(w)).withColumn("__was", F.lag("__on").over(w))
-    m = islands(m, keys, [order], F.col("__on") | F.coalesce(F.col("__was"), F.lit(True)), "__n").where("NOT __on")
-    r = m.groupBy(*keys, "__n").agg(F.min(order).alias("start"), F.max(F.coalesce(F.col("__next"), F.col(order) + tail)).alias("end"))
-    best = F.max(F.struct((F.col("end") - F.col("start")).alias("length"), (-F.col("start")).alias("first")))
+    r = value_runs(df.withColumn("__on", F.coalesce(present, F.lit(False))), keys, order, "__on", block)
+    r = following(blocks(r, "start", block), keys, "__block", ["start"], "start", "__next").where("NOT __on")
+    length = F.coalesce(F.col("__next.value"), F.col("end") + tail) - F.col("start")
+    best = F.max(F.struct(length.alias("length"), (-F.col("start")).alias("first")))
     return r.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.first")).alias("start"), F.col("b.length").alias("length"))
 
 
-def _bucketed(df: DataFrame, start: str, end: str, width: int, out: str) -> DataFrame:
-    return df.withColumn(out, F.explode(F.sequence(floor_div(F.col(start), F.lit(width)), floor_div(F.col(end) - 1, F.lit(width)))))
+def _levels(width: int, *ranges: tuple[DataFrame, str, str]) -> list[int]:
+    """Bucket widths: the given one, and as many larger ones, each SPREAD times the last, as the longest range asks for."""
+    out = [width]
+    longest = max((df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0) for df, s, e in ranges)
+    while longest > out[-1] * SPREAD:
+        out.append(out[-1] * SPREAD)
+    return out
+
+
+def _level_of(start: str, end: str, levels: Sequence[int]) -> Column:
+    """Which width a range belongs to: the first of which it needs few."""
+    size = F.col(end) - F.col(start)
+    out = F.lit(len(levels) - 1)
+    for n in range(len(levels) - 2, -1, -1):
+        out = F.when(size <= levels[n] * SPREAD, F.lit(n)).otherwise(out)
+    return out
+
+
+def _listed(df: DataFrame, start: str, end: str, levels: Sequence[int], out: str, upwards: bool) -> DataFrame:
+    """Ranges in all buckets they reach into, as a struct of the bucket's level and number: at their own level or, ``upwards``, at that and all wider ones."""
+    own = _level_of(start, end, levels)
+
+    def buckets(n: int) -> Column:
+        first, last = (floor_div(c, F.lit(levels[n])) for c in (F.col(start), F.col(end) - 1))
+        return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(n).alias("level"), b.alias("bucket")))
+
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    at = [F.when((own <= n) if upwards else (own == n), buckets(n)).otherwise(none) for n in range(len(levels))]
+    return df.withColumn(out, F.explode(F.concat(*at) if len(at) > 1 else at[0]))
 
 
 def point_in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: Sequence[str], width: int) -> DataFrame:
-    """Each point with the first range, by ``order``, that contains it; points in no range keep NULLs. Ranges have distinct column names."""
-    r = _bucketed(ranges.where(F.col(end) > F.col(start)), start, end, width, "__rb")
-    rk = [f"__r_{k}" for k in keys]
-    r = r.select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], *[c for c in r.columns if c not in keys])
+    """Each point with the first range, by ``order``, that contains it; points in no range keep NULLs, repeated points stay. Ranges have distinct column
+    names; repeated, empty and reversed ones and NULL edges don't matter. ``width``: about the length of a range."""
     cols = [c for c in ranges.columns if c not in keys]
-    p = points.withColumn("__pb", floor_div(F.col(at), F.lit(width)))
-    cond = (F.col("__pb") == F.col("__rb")) & (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))
+    r = ranges.where(F.col(end) > F.col(start)).dropDuplicates()
+    levels = _levels(width, (r, start, end))
+    rk = [f"__r_{k}" for k in keys]
+    r = _listed(r, start, end, levels, "__rb", False).select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], *cols, "__rb")
+    p = points.withColumn("__pb", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), floor_div(F.col(at), F.lit(x)).alias("bucket")) for n, x in enumerate(levels)])))
+    cond = (F.col("__pb.level") == F.col("__rb.level")) & (F.col("__pb.bucket") == F.col("__rb.bucket")) & (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))
     for k, n in zip(keys, rk):
         cond = cond & (F.col(k) == F.col(n))
-    hit = p.join(r, cond, "left")
-    best = F.min(F.when(F.col(start).isNotNull(), F.struct(*order, *[c for c in cols if c not in order])))
-    return hit.groupBy(*points.columns).agg(best.alias("__b")).select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in cols])
+    found = F.when(F.col(start).isNotNull(), F.struct(*order, *[c for c in cols if c not in order]))
+    hit = p.join(r, cond, "left").select(*points.columns, "__pb", found.alias("__f"))
+    # how often a point is repeated shows in each range that contains it, and in each level where none does
+    hit = hit.repartition(*points.columns).groupBy(*points.columns, "__f", F.when(F.col("__f").isNull(), F.col("__pb.level")).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    best = F.min(F.struct(F.col("__f").isNull().alias("none"), F.col("__f").alias("f"), F.col("__n").alias("n")))
+    out = hit.groupBy(*points.columns).agg(best.alias("__b")).withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__b.n").cast("int"))))
+    return out.select(*points.columns, *[F.col(f"__b.f.{c}").alias(c) for c in cols])
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int) -> DataFrame:
-    """All pairs of overlapping ranges of one entity, once: a pair is reported in the bucket where the later of the two begins."""
+    """All pairs of overlapping ranges of one entity, once: a pair is reported in the bucket where the later of the two begins, at the level of the longer."""
     (s, e), (t, u) = a_range, b_range
     bk = [f"__b_{k}" for k in keys]
-    left = _bucketed(a.where(F.col(e) > F.col(s)), s, e, width, "__ab")
-    right = _bucketed(b.where(F.col(u) > F.col(t)), t, u, width, "__bb").select(*[F.col(k).alias(n) for k, n in zip(keys, bk)], *[c for c in b.columns if c not in keys], "__bb")
-    cond = (F.col("__ab") == F.col("__bb")) & (F.col(s) < F.col(u)) & (F.col(t) < F.col(e)) & (floor_div(F.greatest(s, t), F.lit(width)) == F.col("__ab"))
+    a, b = a.where(F.col(e) > F.col(s)), b.where(F.col(u) > F.col(t))
+    levels = _levels(width, (a, s, e), (b, t, u))
+    left = _listed(a.withColumn("__al", _level_of(s, e, levels)), s, e, levels, "__ab", True)
+    right = _listed(b.withColumn("__bl", _level_of(t, u, levels)), t, u, levels, "__bb", True).select(*[F.col(k).alias(n) for k, n in zip(keys, bk)], *[c for c in b.columns if c not in keys], "__bl", "__bb")
+    home = F.lit(None).cast("bigint")
+    for n, x in enumerate(levels):
+        home = F.when(F.col("__ab.level") == n, floor_div(F.greatest(s, t), F.lit(x))).otherwise(home)
+    cond = (F.col("__ab.level") == F.col("__bb.level")) & (F.col("__ab.bucket") == F.col("__bb.bucket")) & (F.col(s) < F.col(u)) & (F.col(t) < F.col(e))
+    cond = cond & (F.col("__ab.level") == F.greatest("__al", "__bl")) & (home == F.col("__ab.bucket"))
     for k, n in zip(keys, bk):
         cond = cond & (F.col(k) == F.col(n))
-    return left.join(right, cond).drop("__ab", "__bb", *bk)
+    return left.join(right, cond).drop("__ab", "__bb", "__al", "__bl", *bk)
 
 
-def nearest_samples(points: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, sample_at: str, value: Sequence[str]) -> DataFrame:
-    """Each point with the last sample at or before it and the first at or after it, as structs ``before`` and ``after`` (two-sided as-of)."""
+def nearest_samples(points: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, sample_at: str, value: Sequence[str], block: int = HOUR) -> DataFrame:
+    """Each point with the last sample at or before it and the first at or after it, as structs ``before`` and ``after`` (two-sided as-of).
+
+    Of samples at one time the one with the least value counts. A block of time also gets the last sample before it and the first behind it."""
     v = F.struct(F.col(sample_at).alias("at"), *value)
-    u = points.select(*points.columns, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(samples.select(v.alias("v")).schema["v"].dataType).alias("__v")).unionByName(
-        samples.select(*keys, F.col(sample_at).alias("__t"), F.lit(0).alias("__side"), v.alias("__v")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys)
-    back = w.orderBy("__t", "__side", *[F.col(f"__v.{c}").desc_nulls_last() for c in value]).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.orderBy(F.col("__t").desc(), "__side", *[F.col(f"__v.{c}").desc_nulls_last() for c in value]).rowsBetween(Window.unboundedPreceding, 0)
+    own = samples.where(F.col(sample_at).isNotNull()).select(*keys, F.col(sample_at).alias("__t"), v.alias("__v"))
+    kind = own.schema["__v"].dataType
+    p = blocks(points.withColumn("__t", F.col(at)), "__t", block).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(kind))
+    s = blocks(own, "__t", block)
+    backwards = F.struct((-F.col("__v.at")).alias("t"), *[F.col(f"__v.{c}").alias(c) for c in value], F.col("__v").alias("v"))
+    edges = s.groupBy(*keys, "__block").agg(F.min("__v").alias("__first"), F.min(backwards)["v"].alias("__last")).unionByName(p.select(*keys, "__block").distinct(), allowMissingColumns=True)
+    edges = edges.groupBy(*keys, "__block").agg(F.first("__first", ignorenulls=True).alias("__first"), F.first("__last", ignorenulls=True).alias("__last"))
+    o = Window.partitionBy(*keys).orderBy("__block")
+    edges = edges.select(*keys, "__block", F.last("__last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), F.first("__first", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("a"))
+    guests = edges.select(*keys, "__block", F.explode(F.array_compact(F.array("b", "a"))).alias("__v")).withColumn("__t", F.col("__v.at"))
+    u = p.unionByName(s.unionByName(guests).withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "__block")
+    # the least value comes last
+    falling = [F.col(f"__v.{c}").desc_nulls_last() for c in value]
+    back = w.orderBy("__t", "__side", *falling).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy(F.col("__t").desc(), "__side", *falling).rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("before", F.last("__v", ignorenulls=True).over(back)).withColumn("after", F.last("__v", ignorenulls=True).over(ahead))
     return u.where("__side = 1").select(*points.columns, "before", "after")
 
 
-def nearest(points: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, sample_at: str, sample_id: str, most: int | None = None) -> DataFrame:
+def nearest(points: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, sample_at: str, sample_id: str, most: int | None = None, block: int = HOUR) -> DataFrame:
     """Nearest sample of each point, the earlier of two equally near, optionally at most ``most`` away: adds sample_id and ``distance``."""
-    n = nearest_samples(points, samples, keys, at, sample_at, [sample_id])
+    n = nearest_samples(points, samples, keys, at, sample_at, [sample_id], block)
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col(at)).alias("distance"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.{sample_id}").alias("id")))
     best = F.array_min(F.array_compact(F.array(option("before"), option("after"))))
     n = n.withColumn("__b", best)
@@ -166,10 +219,10 @@ def nearest(points: DataFrame, samples: DataFrame, keys: Sequence[str], at: str,
     return n.select(*points.columns, F.when(ok, F.col("__b.id")).alias(sample_id), F.when(ok, F.col("__b.distance")).alias("distance"))
 
 
-def gaps_between(df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, longer_than: int) -> DataFrame:
-    """Pauses between neighbours: after each row but the last, from its end to the next start, longer than a minimum."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    g = df.withColumn("gap_start", F.col(end)).withColumn("gap_end", F.lead(start).over(w))
+def gaps_between(df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, longer_than: int, block: int = PLACES) -> DataFrame:
+    """Pauses between neighbours: after each row but the last, from its end to the next start, longer than a minimum. ``block``: units of ``order``."""
+    g = following(blocks(df, order, block), keys, "__block", [order], start, "__next").drop("__block")
+    g = g.withColumn("gap_start", F.col(end)).withColumn("gap_end", F.col("__next.value")).drop("__next")
     return g.where((F.col("gap_end") > F.col("gap_start")) & (F.col("gap_end") - F.col("gap_start") > longer_than))
 
 
@@ -178,10 +231,16 @@ def capped_gaps(gaps: DataFrame, maximum: int) -> DataFrame:
     return gaps.where(F.col("gap_end") - F.col("gap_start") > maximum).withColumn("gap_start", F.col("gap_start") + maximum)
 
 
-def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: int = HOUR) -> DataFrame:
     """Rows whose value differs from the row before; the first row of an entity is none."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__was", F.lag(F.struct(value)).over(w)).where(F.col("__was").isNotNull() & ~F.col(value).eqNullSafe(F.col(f"__was.{value}"))).drop("__was")
+    d = previous(blocks(df, order[0], block), keys, "__block", order, value, "__was").drop("__block")
+    return d.where(F.col("__was").isNotNull() & ~F.col(value).eqNullSafe(F.col("__was.value"))).drop("__was")
+
+
+def adjacent_overlaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, block: int = HOUR) -> DataFrame:
+    """Rows that reach past the start of the next in order, with ``by``, how far."""
+    d = following(blocks(df, order[0], block), keys, "__block", order, start, "__next").drop("__block")
+    return d.where(F.col("__next.value") < F.col(end)).withColumn("by", F.col(end) - F.col("__next.value")).drop("__next")
 
 
 def padded_span(start: Column, end: Column, pad: int) -> tuple[Column, Column]:

@@ -228,10 +228,7 @@ _ADJACENT = f"WITH {TURNS} SELECT turn_id, asset, end_us - nxt AS by_us FROM (SE
 
 @CATALOG.add("interval_adjacent_overlaps", _ADJACENT)
 def interval_adjacent_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("asset").orderBy("start_us", "end_us", "turn_id")
-    return turns(spark, sf).withColumn("nxt", F.lead("start_us").over(w)).where("nxt < end_us").select("turn_id", "asset", (F.col("end_us") - F.col("nxt")).alias("by_us"))
+    return I.adjacent_overlaps(turns(spark, sf), ["asset"], ["start_us", "end_us", "turn_id"], "start_us", "end_us").select("turn_id", "asset", F.col("by").alias("by_us"))
 
 
 @CATALOG.add("interval_pauses", f"WITH {WORDS} SELECT doc_id, idx, end_ms AS gap_start, nxt AS gap_end FROM (SELECT *, lead(start_ms) OVER (PARTITION BY doc_id ORDER BY idx) AS nxt FROM w) WHERE nxt - end_ms > 600")

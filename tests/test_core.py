@@ -232,3 +232,40 @@ def test_history_deviations_leave_the_own_value_out(spark):
     assert got == want
     ten = spark.createDataFrame([(i, "cuts", x) for i, x in enumerate([10.0, 11.0, 12.0, 40.0])], "video int, metric string, x double")
     assert history_deviations(ten, "metric", "x", "video").count() == 0
+
+
+def test_blocks_make_no_difference(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), t, rng.choice([None, 1, 1, 2]), rng.random() * 10, t + rng.randint(0, 9)) for t in rng.sample(range(400), 160)]
+    df = spark.createDataFrame(rows, "k string, t bigint, who int, level double, e bigint")
+    other = spark.createDataFrame([(rng.choice("ab"), s, s + rng.randint(0, 40)) for s in rng.sample(range(400), 20)], "k string, t bigint, e bigint")
+    points = spark.createDataFrame([("a", 5), ("a", 5), ("a", 399), ("b", 77), ("c", 1)], "k string, at bigint")
+    cases = {
+        "subtract": lambda n: I.subtract(df.where("k IS NOT NULL").select("k", "t", "e"), other, ["k"], "t", "e", block=n),
+        "quiet": lambda n: I.threshold_runs(df, ["k"], "t", "level", 6, 2, 0, block=n).selectExpr("k", "start", "end", "n", "round(mean_level, 9) m"),
+        "state": lambda n: I.state_runs(df, ["k"], "t", F.col("who") == 1, 3, block=n),
+        "visits": lambda n: I.visits(df, ["k"], "t", "who", 2, 8, block=n),
+        "opening": lambda n: I.opening_run(df, ["k"], "t", F.col("who").isNotNull(), 3, 2, block=n),
+        "absence": lambda n: I.longest_absence(df, ["k"], "t", F.col("who") == 2, 5, block=n),
+        "pauses": lambda n: I.gaps_between(df, ["k"], "t", "t", "e", 1, block=n),
+        "changes": lambda n: I.change_points(df, ["k"], ["t"], "who", block=n),
+        "adjacent": lambda n: I.adjacent_overlaps(df, ["k"], ["t"], "t", "e", block=n),
+        "coalesce": lambda n: I.coalesce_within(df.withColumn("why", F.col("who").cast("string")).na.fill("none", ["why"]), ["k"], "t", "e", 2, "why", block=n),
+        "samples": lambda n: I.nearest_samples(points, df, ["k"], "at", "t", ["who"], block=n),
+    }
+    for name, run in cases.items():
+        whole = sorted(map(str, run(10**6).collect()))
+        assert whole and whole == sorted(map(str, run(7).collect())), name
+        assert run(7).columns == run(10**6).columns
+    empty = df.where("false")
+    assert I.subtract(empty, empty, ["k"], "t", "e").count() == I.state_runs(empty, ["k"], "t", F.lit(True), 1).count() == I.opening_run(empty, ["k"], "t", F.lit(True), 1, 1).count() == 0
+
+
+def test_a_range_without_end_and_repeated_points(spark):
+    far = 10**15
+    ranges = spark.createDataFrame([("a", 1, 0, far), ("a", 2, 50, 60), ("a", 2, 50, 60), ("a", 3, 5, 5), ("a", 4, 9, None), ("b", 5, far - 10, far)], "k string, id int, s bigint, e bigint")
+    points = spark.createDataFrame([("a", 55), ("a", 55), ("a", -1), ("b", far - 1), ("c", 5), ("a", far - 1), (None, 55), ("c", 5)], "k string, t bigint")
+    got = sorted((r.k or "", r.t, r.id or 0) for r in I.point_in_range(points, ranges, ["k"], "t", "s", "e", ["s", "id"], 10).collect())
+    assert got == [("", 55, 0), ("a", -1, 0), ("a", 55, 1), ("a", 55, 1), ("a", far - 1, 1), ("b", far - 1, 5), ("c", 5, 0), ("c", 5, 0)]
+    pairs = I.overlap_pairs(ranges, ranges.selectExpr("k", "id AS id2", "s AS s2", "e AS e2"), ["k"], ("s", "e"), ("s2", "e2"), 10).where("id < id2")
+    assert sorted((r.id, r.id2) for r in pairs.collect()) == [(1, 2), (1, 2)]
