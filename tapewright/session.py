@@ -12,6 +12,7 @@ SEMANTIC_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,7 +29,8 @@ def build_session(app: str = "tapewright", master: str | None = None, **conf: st
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Only where it is unset (tests, a laptop) a local temporary folder is used.
+    Only where it is unset and everything runs on this machine (tests, a laptop) a local temporary folder is used. On a cluster
+    without the setting this is an error: each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -38,6 +40,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tapewright-checkpoint-")
         sc.setCheckpointDir(current)
     return current

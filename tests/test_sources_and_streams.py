@@ -83,3 +83,18 @@ def test_windowed_levels(spark, data, slide):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     w = W.windowed_levels(e, "ts", "event_type", "value", "1 hour", slide)
     assert w.agg(F.sum("n_events")).collect()[0][0] == e.count() * (2 if slide else 1)
+
+
+def test_a_cluster_must_name_a_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from tapewright.session import checkpoint_folder
+
+    seen = []
+    sc = lambda master, named=None: SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named}, getCheckpointDir=lambda: None, setCheckpointDir=seen.append)
+    session = lambda c: SimpleNamespace(sparkContext=c, conf=SimpleNamespace(get=lambda k, d: d))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(session(sc(master)))
+    assert checkpoint_folder(session(sc("yarn", "hdfs://x/y"))) == "hdfs://x/y" and seen == ["hdfs://x/y"]
+    assert checkpoint_folder(session(sc("local[4]"))) == seen[-1]
