@@ -53,7 +53,7 @@ def timeline_placement_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MIX = f"""WITH {_CLIPS}, o AS (SELECT doc, asset, (source_start // 1000000) AS ss, (source_end // 1000000) AS se, (start // 1000000) AS st, CASE WHEN clip % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM k),
-v AS (SELECT asset, unnest(range(0, 3000)) AS n FROM (SELECT DISTINCT asset FROM k))
+v AS (SELECT asset, unnest(range(0, ceil(max(source_end) / 1e6::DOUBLE)::BIGINT)) AS n FROM k GROUP BY asset)
 SELECT doc, n - ss + st AS n, round(sum((v.n % 7) * gain), 6) AS v FROM o JOIN v ON o.asset = v.asset AND v.n >= ss AND v.n < se GROUP BY doc, n - ss + st"""
 
 

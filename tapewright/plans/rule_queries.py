@@ -118,8 +118,10 @@ def rule_clips(spark: SparkSession, sf: str) -> DataFrame:
 
 _CUTPOINTS = f"{WORDS}, cp AS (SELECT DISTINCT doc_id AS doc, start_ms + 150 AS pt FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY idx) AS was FROM w) WHERE regexp_matches(was, '[.?!]$'))"
 _WORD_RULES = f"""WITH {_CUTPOINTS},
-h AS (SELECT cp.doc, cp.pt, arg_min(idx, conf * 1000000 + idx) AS idx, min(conf) AS conf FROM cp JOIN w ON cp.doc = w.doc_id AND w.start_ms <= cp.pt + 1000 AND w.end_ms >= cp.pt - 1000 AND (abs(w.start_ms - cp.pt) <= 500 OR abs(w.end_ms - cp.pt) <= 500) GROUP BY ALL)
-SELECT doc::VARCHAR AS subject, 'no cut inside a word' AS rule, 'speech' AS category, 'block' AS mode, pt AS "at", 'word ' || idx AS detail FROM (SELECT cp.doc, cp.pt, w.idx, w.start_ms, w.end_ms FROM cp JOIN w ON cp.doc = w.doc_id AND w.start_ms <= cp.pt AND cp.pt < w.end_ms) WHERE pt - start_ms > 20 AND end_ms - pt > 20
+wb AS (SELECT doc_id, idx, start_ms, end_ms, unnest(generate_series(start_ms // 2000, (end_ms - 1) // 2000)) AS b FROM w),
+eb AS (SELECT doc_id, idx, conf, edge, unnest([edge // 1000 - 1, edge // 1000, edge // 1000 + 1]) AS b FROM (SELECT doc_id, idx, conf, unnest([start_ms, end_ms]) AS edge FROM w)),
+h AS (SELECT cp.doc, cp.pt, arg_min(idx, conf * 1000000 + idx) AS idx, min(conf) AS conf FROM cp JOIN eb ON cp.doc = eb.doc_id AND cp.pt // 1000 = eb.b WHERE abs(edge - cp.pt) <= 500 GROUP BY ALL)
+SELECT doc::VARCHAR AS subject, 'no cut inside a word' AS rule, 'speech' AS category, 'block' AS mode, pt AS "at", 'word ' || idx AS detail FROM (SELECT cp.doc, cp.pt, wb.idx, wb.start_ms, wb.end_ms FROM cp JOIN wb ON cp.doc = wb.doc_id AND cp.pt // 2000 = wb.b AND wb.start_ms <= cp.pt AND cp.pt < wb.end_ms) WHERE pt - start_ms > 20 AND end_ms - pt > 20
 UNION ALL SELECT doc::VARCHAR, 'cuts rest on confident words', 'speech', 'hold', pt, 'word ' || idx FROM h WHERE conf < 60"""
 
 

@@ -58,7 +58,7 @@ def text_low_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 _STEM = "CASE WHEN {x} LIKE '%ing' AND length({x}) >= 6 THEN left({x}, length({x}) - 3) WHEN {x} LIKE '%ed' AND length({x}) >= 5 THEN left({x}, length({x}) - 2) WHEN {x} LIKE '%es' AND length({x}) >= 5 THEN left({x}, length({x}) - 2) WHEN {x} LIKE '%s' AND length({x}) >= 4 THEN left({x}, length({x}) - 1) ELSE {x} END"
 _SAME = f"""WITH {_ASR}, p AS (SELECT utterance_id, i, lower(regexp_replace(a[i], '[^A-Za-z]', '', 'g')) AS a, lower(regexp_replace(b[i], '[^A-Za-z]', '', 'g')) AS b
-  FROM (SELECT utterance_id, regexp_extract_all(apple, '(\\S+)', 1) AS a, regexp_extract_all(parakeet, '(\\S+)', 1) AS b, unnest(range(1, 200)) AS i FROM r) WHERE i <= len(a) AND i <= len(b))
+  FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM (SELECT utterance_id, regexp_extract_all(apple, '(\\S+)', 1) AS a, regexp_extract_all(parakeet, '(\\S+)', 1) AS b FROM r)))
 SELECT utterance_id, i::INT AS i, levenshtein(a, b)::INT AS distance, a = b OR {_STEM.format(x='a')} = {_STEM.format(x='b')}
   OR (length(a) >= 4 AND length(b) >= 4 AND abs(length(a) - length(b)) <= greatest(1, greatest(length(a), length(b)) // 4) AND levenshtein(a, b) <= greatest(1, greatest(length(a), length(b)) // 4)) AS same FROM p"""
 
@@ -206,9 +206,10 @@ def text_model_windows(spark: SparkSession, sf: str) -> DataFrame:
     return W.context_windows(n, "doc_id", "n", 180, 40)
 
 
-_CONTEXT = f"""WITH {WORDS}, m AS (SELECT doc_id, idx, max(CASE WHEN regexp_matches(word, '[.?!]$') THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe,
-  min(CASE WHEN regexp_matches(word, '[.?!]$') THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ne, max(idx) OVER (PARTITION BY doc_id) AS top FROM w)
-SELECT a.doc_id, a.idx AS first, b.idx AS last, greatest(coalesce(a.pe + 1, 0), a.idx - 20) AS "from", least(coalesce(b.ne, b.top), b.idx + 20) AS "to" FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.idx = a.idx + 2"""
+_CONTEXT = f"""WITH {WORDS}, e AS (SELECT doc_id, idx, CASE WHEN regexp_matches(word, '[.?!]$') THEN idx END AS stop FROM w), t AS (SELECT doc_id, max(idx) AS top FROM e GROUP BY doc_id),
+p AS (SELECT doc_id, idx, lag(upto) OVER (PARTITION BY doc_id ORDER BY idx) AS pe FROM (SELECT doc_id, idx, last_value(stop IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS upto FROM e)),
+n AS (SELECT doc_id, idx, lag(upto) OVER (PARTITION BY doc_id ORDER BY idx DESC) AS ne FROM (SELECT doc_id, idx, last_value(stop IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx DESC) AS upto FROM e))
+SELECT p.doc_id, p.idx AS first, n.idx AS last, greatest(coalesce(pe + 1, 0), p.idx - 20) AS "from", least(coalesce(ne, top), n.idx + 20) AS "to" FROM p JOIN n ON p.doc_id = n.doc_id AND n.idx = p.idx + 2 JOIN t ON p.doc_id = t.doc_id"""
 
 
 @CATALOG.add("text_sentence_context", _CONTEXT)
