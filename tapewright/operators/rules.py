@@ -20,11 +20,19 @@ from tapewright.operators.intervals import overlap_pairs, point_in_range
 COLUMNS = ["subject", "rule", "category", "mode", "at", "detail"]
 SECOND = 10**6
 
-# Severity of the modes, ship confidence by stakes, devices and what registers forbid.
+# Severity of the modes, the confidence with which a decision may ship at given stakes, the named devices, what each
+# register forbids of them, and the measurements that a proposed check may name.
 SEVERITY = {"block": 3, "hold": 2, "warn": 1}
-SHIP_CONFIDENCE = {"low": 0.70, "medium": 0.85, "high": 0.95, "irreversible": 1.01}
-DEVICES = ["jump cut", "zoom", "speed ramp", "whip pan", "split screen", "sound effect", "meme", "caption", "music"]
-PROHIBITED = {"solemn": ["meme", "sound effect", "speed ramp", "zoom"], "formal": ["meme", "sound effect"], "neutral": [], "playful": []}
+SHIP_CONFIDENCE = {"routine": 0.70, "elevated": 0.85, "high": 0.95, "irreversible": 1.01}
+DEVICES = ["whip", "dissolve", "soundOnCut", "comedicTiming", "memeCaption", "speedRamp", "zoomPunch", "jumpCut", "musicBed"]
+PROHIBITED = {
+    "grave": ["whip", "soundOnCut", "comedicTiming", "memeCaption", "speedRamp", "zoomPunch"],
+    "earnest": ["memeCaption", "comedicTiming"],
+    "neutral": [],
+    "playful": [],
+    "irreverent": [],
+}
+MEASUREMENTS = ["textContrast", "textSafeArea", "textDuration", "subjectInFrame"]
 
 
 @dataclass(frozen=True)
@@ -106,7 +114,7 @@ def required_devices_are_used(decisions: DataFrame, required: DataFrame) -> Data
 def compile_brief(rules: DataFrame, text: str) -> DataFrame:
     """House rules with the first device they name (NULL: can't be checked)."""
     low = F.lower(F.col(text))
-    device = F.coalesce(*[F.when(low.contains(d), F.lit(d)) for d in DEVICES])
+    device = F.coalesce(*[F.when(low.contains(d.lower()), F.lit(d)) for d in DEVICES])
     return rules.withColumn("device", device).withColumn("checkable", device.isNotNull())
 
 
@@ -168,6 +176,15 @@ def true_peak_below_ceiling(readings: DataFrame) -> DataFrame:
 # ---- perception ------------------------------------------------------------------------------------------------------
 
 
+def cut_instants(clips: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """doc, track, clip, at (on the timeline) and source_at: the join at the head of each clip that doesn't begin at 0 is a cut, and the
+    source instant is where it resumes. ``kinds`` (doc, track, kind): only video and audio tracks count."""
+    c = clips.where("start > 0")
+    if kinds is not None:
+        c = c.join(kinds.where(F.col("kind").isin("video", "audio")).select("doc", "track").distinct(), ["doc", "track"], "left_semi")
+    return c.select("doc", "track", "clip", "asset", F.col("start").alias("at"), F.col("source_start").alias("source_at"))
+
+
 def no_cut_inside_a_word(cuts: DataFrame, words: DataFrame, slack: int, width: int) -> DataFrame:
     """``cuts``: doc, at; ``words``: doc, idx, start, end: a cut more than ``slack`` from both edges of the word it falls in."""
     w = words.select("doc", "idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
@@ -232,14 +249,18 @@ def index_refusal(unparseable: Column, abstained: Column) -> Column:
     return F.when(unparseable > 0.25, "unparseable").when(abstained > 0.5, "abstained")
 
 
-def proposal_rejection(kind: Column, at: Column, duration: Column, distance: Column, supported: Column) -> Column:
-    """Why a proposed check isn't compiled: reasons in order; NULL if it is."""
-    return (
-        F.when(~kind.isin("faceVisible", "textVisible", "handsVisible", "speaking"), "unknown kind")
-        .when(at.isNull() | (at < 0) | (at > duration), "outside the piece")
-        .when(distance.isNull() | (distance > SECOND), "nothing seen near it")
-        .when(~supported, "not what is seen there")
+def proposal_rejection(kind: Column, at: Column, looked: Column, gap: Column, n_lines: Column, n_faces: Column) -> Column:
+    """Why a proposed check isn't compiled: reasons in order; NULL if it is.
+
+    ``looked``: whether the piece was looked at; ``gap`` (microseconds, NULL: nothing seen), ``n_lines`` and ``n_faces`` of the nearest
+    observation. A proposal without a time holds for the whole piece."""
+    there = (
+        F.when(gap.isNull(), "nothing was observed")
+        .when(gap > SECOND, "too far from what was observed")
+        .when(kind.startswith("text") & ~(n_lines > 0), "no text to measure")
+        .when((kind == "subjectInFrame") & ~(n_faces > 0), "no subject to measure")
     )
+    return F.when(~kind.isin(MEASUREMENTS), "no such measurement").when(~looked, "not looked at").when(at.isNotNull(), there)
 
 
 def predicted_against_achieved(pairs: DataFrame) -> DataFrame:
@@ -258,12 +279,18 @@ def predicted_against_achieved(pairs: DataFrame) -> DataFrame:
 
 
 def reference_differences(pairs: DataFrame) -> DataFrame:
-    """``pairs``: doc, band, face, ref_face, faceless_run, ref_faceless_run, captions, ref_captions."""
-    ratio = F.try_divide("face", "ref_face")
+    """How bands of an output fail to look like those of a reference, a row each.
+
+    ``pairs``: doc, band, face and ref_face (height in the band, NULL: no face), faceless_run and ref_faceless_run (seconds), captions and
+    ref_captions (share of frames, NULL: none), label and ref_label (whether there is one)."""
+    ratio = F.col("face") / F.greatest(F.col("ref_face"), F.lit(0.001))
+    wanted = F.col("ref_captions") > 0.5
     checks = F.array(
+        F.when(F.col("ref_label") & ~F.col("label"), "no label"),
         F.when((ratio < 0.7) | (ratio > 1.4), "face size"),
-        F.when(F.col("faceless_run") > F.col("ref_faceless_run"), "longer without a face"),
-        F.when(F.col("captions") < F.col("ref_captions") / 2, "fewer captions"),
+        F.when(F.col("ref_face").isNotNull() & F.col("face").isNull(), "no face"),
+        F.when(F.coalesce("faceless_run", F.lit(0.0)) > F.greatest(F.coalesce("ref_faceless_run", F.lit(0.0)), F.lit(1.0)) + 0.5, "longer without a face"),
+        F.when(wanted & F.col("captions").isNull(), "no captions").when(wanted & (F.col("captions") < F.col("ref_captions") * 0.5), "fewer captions"),
     )
     return pairs.select("doc", "band", F.explode(F.array_compact(checks)).alias("differs"))
 
@@ -273,10 +300,12 @@ def render_problem(faces: Column, source_faces: Column, aspect: Column, intended
 
 
 def unsafe_source(body: Column, forbidden: Sequence[str]) -> Column:
-    """Why authored source is refused: a forbidden token, unbalanced braces, or no return; NULL if it isn't."""
-    count = lambda ch: F.length(body) - F.length(F.replace(body, F.lit(ch), F.lit("")))
+    """Why authored source is refused: a forbidden token, braces that don't balance or close before they open, or no return; NULL if it isn't."""
+    signs = F.split(F.regexp_replace(body, r"[^{}]", ""), "")
+    step = lambda acc, c: F.when(acc < 0, acc).otherwise(acc + F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    depth = F.aggregate(signs, F.lit(0), step)
     token = F.coalesce(*[F.when(body.contains(t), F.lit(f"forbidden: {t}")) for t in forbidden])
-    return F.coalesce(token, F.when(count("{") != count("}"), "unbalanced braces").when(~body.contains("return"), "no return"))
+    return F.coalesce(token, F.when(depth != 0, "unbalanced braces").when(~body.contains("return"), "no return"))
 
 
 # ---- review ----------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.operators import intervals as I
 from tapewright.operators import rules as R
 from tapewright.operators import statistics as S
+from tapewright.operators.blocked import blocks, previous
 from tapewright.plans.catalog import Catalog
 from tapewright.plans.stat_queries import _LINES, _lines
 from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, WORDS, events, frames, shots, turns, words
@@ -47,20 +48,22 @@ def flagship_review_queue(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_DECISIONS = """dc AS (SELECT event_id AS decision, ['jump cut', 'zoom', 'caption', 'meme', 'music'][event_id % 5 + 1] AS kind, event_id * 1000 AS pt, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'safety' ELSE 'rule' END AS basis, round(0.5 + (event_id * 37 % 50) / 100.0::DOUBLE, 2) AS confidence,
-  CASE WHEN event_id % 13 = 0 THEN event_id // 2 END AS supersedes FROM events)"""
+_DECISIONS = f"""{EVENTS}, dc AS (SELECT event_id AS decision, CASE event_type WHEN 'view' THEN 'dissolve' WHEN 'error' THEN 'whip' WHEN 'purchase' THEN 'memeCaption' WHEN 'signup' THEN 'musicBed' ELSE 'jumpCut' END AS kind, ts_us AS pt,
+  CASE WHEN k >= 20 THEN 'rule' WHEN k >= 9 THEN 'safety' END AS basis, (50 + floor(least(value, 99.99) / 2)) / 100.0::DOUBLE AS confidence, CASE WHEN event_type = 'error' THEN was END AS supersedes
+  FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS was FROM e))"""
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("event_id")
-    kinds = F.array(*[F.lit(x) for x in ("jump cut", "zoom", "caption", "meme", "music")])
-    return table(spark, sf, "events").select(
-        i.alias("decision"),
-        F.element_at(kinds, (i % 5 + 1).cast("int")).alias("kind"),
-        (i * 1000).alias("at"),
-        F.when(i % 11 == 0, F.lit(None)).when(i % 11 == 1, "safety").otherwise("rule").alias("basis"),
-        F.round(F.lit(0.5) + (i * 37 % 50) / 100.0, 2).alias("confidence"),
-        F.when(i % 13 == 0, F.call_function("div", i, F.lit(2))).alias("supersedes"),
+    """Events as decisions: the type is the device, the value the confidence, a key in the properties the basis; an error supersedes the user's event before it."""
+    e = previous(blocks(events(spark, sf), "ts_us", I.HOUR * 24), ["user_id"], "__block", ["ts_us", "event_id"], "event_id", "was")
+    t, k = F.col("event_type"), F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    return e.select(
+        F.col("event_id").alias("decision"),
+        F.when(t == "view", "dissolve").when(t == "error", "whip").when(t == "purchase", "memeCaption").when(t == "signup", "musicBed").otherwise("jumpCut").alias("kind"),
+        F.col("ts_us").alias("at"),
+        F.when(k >= 20, "rule").when(k >= 9, "safety").alias("basis"),
+        ((F.lit(50) + F.floor(F.least("value", F.lit(99.99)) / 2)) / 100.0).alias("confidence"),
+        F.when(t == "error", F.col("was.value")).alias("supersedes"),
     )
 
 
@@ -70,8 +73,8 @@ UNION ALL SELECT decision::VARCHAR, 'no decision below the floor', 'confidence',
 UNION ALL SELECT a.decision::VARCHAR, 'safety is not overridden', 'safety', 'block', a.pt, 'supersedes ' || b.decision, 2 FROM dc a JOIN dc b ON a.supersedes = b.decision WHERE b.basis = 'safety' AND (a.basis <> 'safety' OR a.basis IS NULL)
 UNION ALL SELECT decision::VARCHAR, 'low confidence holds', 'confidence', 'hold', pt, printf('%.2f', confidence), 3 FROM dc WHERE confidence >= 0.7 AND confidence < 0.85
 UNION ALL SELECT decision::VARCHAR, 'stakes raise the bar', 'brief', 'hold', pt, printf('%.2f', confidence), 4 FROM dc WHERE confidence < 0.95
-UNION ALL SELECT decision::VARCHAR, 'no prohibited device', 'brief', 'block', pt, kind, 5 FROM dc WHERE kind IN ('meme', 'sound effect')
-UNION ALL SELECT 'split screen', 'required devices are used', 'brief', 'warn', NULL, 'not used', 6
+UNION ALL SELECT decision::VARCHAR, 'no prohibited device', 'brief', 'block', pt, kind, 5 FROM dc WHERE kind IN ('whip', 'soundOnCut', 'comedicTiming', 'memeCaption', 'speedRamp', 'zoomPunch')
+UNION ALL SELECT 'speedRamp', 'required devices are used', 'brief', 'warn', NULL, 'not used', 6
 UNION ALL SELECT NULL, 'no cut inside a word', 'speech', 'warn', NULL, 'could not run: no words', 7"""
 
 
@@ -79,14 +82,14 @@ UNION ALL SELECT NULL, 'no cut inside a word', 'speech', 'warn', NULL, 'could no
 def rule_verify_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """The rules on decisions in order; one lacks its input and says so."""
     d = _decisions(spark, sf)
-    required = spark.createDataFrame([("caption",), ("split screen",)], "device string")
+    required = spark.createDataFrame([("dissolve",), ("speedRamp",)], "device string")
     rules = [
         R.Rule("every decision has a basis", "provenance", "block", ("decisions",), lambda c: R.every_decision_has_a_basis(c["decisions"], c["decisions"])),
         R.Rule("no decision below the floor", "confidence", "block", ("decisions",), lambda c: R.none_below_floor(c["decisions"])),
         R.Rule("safety is not overridden", "safety", "block", ("decisions",), lambda c: R.safety_is_not_overridden(c["decisions"])),
         R.Rule("low confidence holds", "confidence", "hold", ("decisions",), lambda c: R.low_confidence_holds(c["decisions"])),
         R.Rule("stakes raise the bar", "brief", "hold", ("decisions",), lambda c: R.stakes_raise_the_bar(c["decisions"], "high")),
-        R.Rule("no prohibited device", "brief", "block", ("decisions",), lambda c: R.no_prohibited_device(c["decisions"], "formal")),
+        R.Rule("no prohibited device", "brief", "block", ("decisions",), lambda c: R.no_prohibited_device(c["decisions"], "grave")),
         R.Rule("required devices are used", "brief", "warn", ("decisions",), lambda c: R.required_devices_are_used(c["decisions"], required)),
         R.Rule("no cut inside a word", "speech", "warn", ("words",), lambda c: R.no_cut_inside_a_word(c["cuts"], c["words"], 20, 2000)),
     ]
@@ -200,16 +203,23 @@ def rule_claims(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_PROPOSALS = """WITH p AS (SELECT event_id, ['faceVisible', 'textVisible', 'smellVisible', 'speaking'][event_id % 4 + 1] AS kind, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id * 1000000 % 90000000 END AS pt, CASE WHEN event_id % 6 <> 0 THEN event_id % 3 * 600000 END AS dist, event_id % 7 <> 0 AS ok FROM events)
-SELECT event_id, CASE WHEN kind NOT IN ('faceVisible', 'textVisible', 'handsVisible', 'speaking') THEN 'unknown kind' WHEN pt IS NULL OR pt < 0 OR pt > 60000000 THEN 'outside the piece' WHEN dist IS NULL OR dist > 1000000 THEN 'nothing seen near it' WHEN NOT ok THEN 'not what is seen there' END AS rejected FROM p"""
+_PROPOSALS = f"""WITH {TURNS}, {FRAMES}, v AS (SELECT DISTINCT asset FROM f), p AS (SELECT turn_id, asset, unnest(['textContrast', 'subjectInFrame', 'smellPleasant']) AS kind, CASE WHEN speaker IS NOT NULL THEN start_us END AS pt FROM t),
+n AS (SELECT p.turn_id, p.kind, f.n_lines, f.n_faces, abs(f.time_us - p.pt) AS gap, row_number() OVER (PARTITION BY p.turn_id, p.kind ORDER BY abs(f.time_us - p.pt), f.time_us) AS k FROM p JOIN f ON p.asset = f.asset AND f.time_us BETWEEN p.pt - 5000000 AND p.pt + 5000000)
+SELECT p.turn_id, p.kind, CASE WHEN p.kind = 'smellPleasant' THEN 'no such measurement' WHEN v.asset IS NULL THEN 'not looked at' WHEN pt IS NULL THEN NULL WHEN gap IS NULL OR gap > 1000000 THEN 'too far from what was observed'
+  WHEN p.kind = 'textContrast' AND NOT n_lines > 0 THEN 'no text to measure' WHEN p.kind = 'subjectInFrame' AND NOT n_faces > 0 THEN 'no subject to measure' END AS rejected
+FROM p LEFT JOIN v ON p.asset = v.asset LEFT JOIN n ON n.turn_id = p.turn_id AND n.kind = p.kind AND n.k = 1"""
 
 
 @CATALOG.add("rule_proposals", _PROPOSALS)
 def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("event_id")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("faceVisible", "textVisible", "smellVisible", "speaking")]), (i % 4 + 1).cast("int"))
-    at = F.when(i % 10 != 0, i * SECOND % (90 * SECOND))
-    return table(spark, sf, "events").select("event_id", R.proposal_rejection(kind, at, F.lit(60 * SECOND), F.when(i % 6 != 0, i % 3 * 600_000), i % 7 != 0).alias("rejected"))
+    """Three checks proposed at the start of every turn (for the whole piece where nobody is known to speak), against the nearest frame."""
+    f = frames(spark, sf)
+    n = I.nearest_samples(turns(spark, sf).select("asset", "turn_id", F.when(F.col("speaker").isNotNull(), F.col("start_us")).alias("at")), f.select("asset", "time_us", "n_lines", "n_faces"), ["asset"], "at", "time_us", ["n_lines", "n_faces"])
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("gap"), F.col(f"{c}.n_lines").alias("n_lines"), F.col(f"{c}.n_faces").alias("n_faces")))
+    # the earlier of two equally near
+    near = F.when(F.col("after").isNull() | (gap("before")["gap"] <= gap("after")["gap"]), gap("before")).otherwise(gap("after"))
+    n = n.withColumn("near", near).join(f.select(F.col("asset").alias("seen")).distinct(), F.col("asset") == F.col("seen"), "left").withColumn("kind", F.explode(F.array(*[F.lit(x) for x in ("textContrast", "subjectInFrame", "smellPleasant")])))
+    return n.select("turn_id", "kind", R.proposal_rejection(F.col("kind"), F.col("at"), F.col("seen").isNotNull(), F.col("near.gap"), F.col("near.n_lines"), F.col("near.n_faces")).alias("rejected"))
 
 
 _DELIVERY = """WITH p AS (SELECT vec_id AS doc, 100 AS frames, 100 - vec_id % 3 // 2 AS got, vec_id % 2 = 0 AS dist, vec_id % 4 AS repeats, vec_id % 5 // 4 AS illegal, vec_id % 6 // 5 AS black, -23 + vec_id % 3 AS l, vec_id % 7 = 0 AS silent FROM embeddings),
@@ -228,41 +238,55 @@ def rule_delivery(spark: SparkSession, sf: str) -> DataFrame:
     return R.predicted_against_achieved(p)
 
 
-_REFERENCE = """WITH p AS (SELECT vec_id AS doc, vec_id % 3 AS band, 100 + vec_id % 90 AS face, 120 AS rf, vec_id % 11 AS run, 5 AS rrun, vec_id % 10 AS cap, 8 AS rcap FROM embeddings),
-c AS (SELECT doc, band, unnest([CASE WHEN face / rf::DOUBLE < 0.7 OR face / rf::DOUBLE > 1.4 THEN 'face size' END, CASE WHEN run > rrun THEN 'longer without a face' END, CASE WHEN cap < rcap / 2.0 THEN 'fewer captions' END]) AS differs FROM p)
+_STYLES = f"""WITH {FRAMES}, h AS (SELECT DISTINCT frame_id, list_max(list_transform(faces, lambda x: x.height)) AS tall FROM frames WHERE asset IS NOT NULL AND time_num IS NOT NULL AND faces IS NOT NULL), g AS (SELECT f.*, h.tall FROM f LEFT JOIN h USING (frame_id) WHERE n_faces >= 0),
+m AS (SELECT *, n_faces > 0 AS p, lead(time_us) OVER w AS nxt, coalesce(lag(n_faces > 0) OVER w, true) AS was FROM g WINDOW w AS (PARTITION BY asset ORDER BY time_us)), i AS (SELECT *, sum(CASE WHEN p OR was THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY time_us ROWS UNBOUNDED PRECEDING) AS n FROM m),
+r AS (SELECT asset, max(len) AS run FROM (SELECT asset, max(coalesce(nxt, time_us + 500000)) - min(time_us) AS len FROM i WHERE NOT p GROUP BY asset, n) GROUP BY asset),
+st AS (SELECT asset, count(*) AS frames, round(avg(tall), 6) AS face, avg((n_lines > 0)::INT) AS captions, avg((n_lines > 1)::INT) > 0.5 AS label FROM g GROUP BY asset),
+y AS (SELECT st.*, coalesce(run, 0) / 1e6::DOUBLE AS run FROM st LEFT JOIN r USING (asset)), z AS (SELECT * FROM y ORDER BY frames DESC, asset LIMIT 1)"""
+_REFERENCE = f"""{_STYLES}, c AS (SELECT y.asset AS doc, 0 AS band, unnest([CASE WHEN z.label AND NOT y.label THEN 'no label' END, CASE WHEN y.face / greatest(z.face, 0.001) < 0.7 OR y.face / greatest(z.face, 0.001) > 1.4 THEN 'face size' END, CASE WHEN z.face IS NOT NULL AND y.face IS NULL THEN 'no face' END,
+  CASE WHEN y.run > greatest(z.run, 1.0) + 0.5 THEN 'longer without a face' END, CASE WHEN z.captions > 0.5 AND y.captions < z.captions * 0.5 THEN 'fewer captions' END]) AS differs FROM y, z)
 SELECT * FROM c WHERE differs IS NOT NULL"""
 
 
 @CATALOG.add("rule_reference", _REFERENCE)
 def rule_reference(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    p = table(spark, sf, "embeddings").select(v.alias("doc"), (v % 3).alias("band"), (100 + v % 90).alias("face"), F.lit(120).alias("ref_face"), (v % 11).alias("faceless_run"), F.lit(5).alias("ref_faceless_run"), (v % 10).alias("captions"), F.lit(8).alias("ref_captions"))
-    return R.reference_differences(p)
-
-
-_SOURCE = """WITH x AS (SELECT event_id, ['float4 f() { return c; }', 'while(true) { return c; }', 'float4 f() { { return c; }', 'float4 f() { c; }'][event_id % 4 + 1] AS body, event_id % 9 / 10.0::DOUBLE AS faces, event_id % 8 % 5 AS decoded FROM events)
-SELECT event_id, CASE WHEN body LIKE '%while%' THEN 'forbidden: while' WHEN body LIKE '%#include%' THEN 'forbidden: #include' WHEN length(body) - length(replace(body, '{', '')) <> length(body) - length(replace(body, '}', '')) THEN 'unbalanced braces' WHEN body NOT LIKE '%return%' THEN 'no return' END AS refused,
+    """Every recording's picture against that of the recording with the most frames."""
+    tall = table(spark, sf, "frames").where("asset IS NOT NULL AND time_num IS NOT NULL AND faces IS NOT NULL").select(F.col("frame_id").alias("h_frame"), F.array_max(F.transform("faces", lambda b: b["height"])).alias("tall")).distinct()
+    g = frames(spark, sf).where("n_faces >= 0").join(tall, F.col("frame_id") == F.col("h_frame"), "left")
+    runs = I.longest_absence(g, ["asset"], "time_us", F.col("n_faces") > 0, 500_000).select(F.col("asset").alias("r_asset"), (F.col("length") / 1e6).alias("faceless_run"))
+    st = g.groupBy("asset").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("tall"), 6).alias("face"), S.share(F.col("n_lines") > 0).alias("captions"), (S.share(F.col("n_lines") > 1) > 0.5).alias("label"))
+    st = st.join(runs, F.col("asset") == F.col("r_asset"), "left").withColumn("faceless_run", F.coalesce("faceless_run", F.lit(0.0)))
+    # one row: the style to compare with
+    ref = st.orderBy(F.col("frames").desc(), "asset").first()
+    if ref is None:
+        return R.reference_differences(st.select(F.col("asset").alias("doc"), F.lit(0).alias("band"), "face", "faceless_run", "captions", "label", *[F.col(c).alias(f"ref_{c}") for c in ("face", "faceless_run", "captions", "label")]))
+    return R.reference_differences(st.select(F.col("asset").alias("doc"), F.lit(0).alias("band"), "face", "faceless_run", "captions", "label", *[F.lit(ref[c]).cast(st.schema[c].dataType).alias(f"ref_{c}") for c in ("face", "faceless_run", "captions", "label")]))
+
+
+_SOURCE = """WITH x AS (SELECT event_id, ['float4 f() { return c; }', 'while(true) { return c; }', 'float4 f() }{ return c; ', 'float4 f() { c; }'][event_id % 4 + 1] AS body, event_id % 9 / 10.0::DOUBLE AS faces, event_id % 8 % 5 AS decoded FROM events)
+SELECT event_id, CASE WHEN body LIKE '%while%' THEN 'forbidden: while' WHEN body LIKE '%#include%' THEN 'forbidden: #include' WHEN body LIKE '%}{%' THEN 'unbalanced braces' WHEN body NOT LIKE '%return%' THEN 'no return' END AS refused,
   CASE WHEN decoded = 0 THEN 'nothing decoded' WHEN 0.8 - faces > 0.35 THEN 'faces lost' WHEN abs(1.75 - 1.78) > 0.02 THEN 'wrong aspect' END AS problem FROM x"""
 
 
 @CATALOG.add("rule_render_check", _SOURCE)
 def rule_render_check(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
-    body = F.element_at(F.array(*[F.lit(x) for x in ("float4 f() { return c; }", "while(true) { return c; }", "float4 f() { { return c; }", "float4 f() { c; }")]), (i % 4 + 1).cast("int"))
+    body = F.element_at(F.array(*[F.lit(x) for x in ("float4 f() { return c; }", "while(true) { return c; }", "float4 f() }{ return c; ", "float4 f() { c; }")]), (i % 4 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", R.unsafe_source(body, ["while", "#include"]).alias("refused"), R.render_problem(i % 9 / 10.0, F.lit(0.8), F.lit(1.75), F.lit(1.78), i % 8 % 5).alias("problem"))
 
 
-_BRIEF = r"""WITH d AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), r AS (SELECT doc_id, 'Use a ' || CASE doc_id % 4 WHEN 0 THEN 'Caption' WHEN 1 THEN 'split screen' WHEN 2 THEN 'music and zoom' ELSE 'soft tone' END AS rule FROM documents)
-SELECT r.doc_id, CASE WHEN lower(rule) LIKE '%jump cut%' THEN 'jump cut' WHEN lower(rule) LIKE '%zoom%' THEN 'zoom' WHEN lower(rule) LIKE '%speed ramp%' THEN 'speed ramp' WHEN lower(rule) LIKE '%whip pan%' THEN 'whip pan' WHEN lower(rule) LIKE '%split screen%' THEN 'split screen'
-  WHEN lower(rule) LIKE '%sound effect%' THEN 'sound effect' WHEN lower(rule) LIKE '%meme%' THEN 'meme' WHEN lower(rule) LIKE '%caption%' THEN 'caption' WHEN lower(rule) LIKE '%music%' THEN 'music' END AS device, d.title IS NOT NULL AND len(regexp_extract_all(d.title, '(\S+)', 1)) < 3 AS short FROM r LEFT JOIN d USING (doc_id)"""
+# house rules in the client's words: notes that name a device by its name, whatever the case
+_RULE = "'Never use ' || CASE WHEN source IS NULL THEN 'tricks' WHEN lower(source) LIKE '%caption%' THEN 'a MEMECAPTION' WHEN lower(source) LIKE '%script%' THEN 'musicbed or whip' WHEN lower(source) LIKE '%note%' THEN 'jumpCut' ELSE source END"
+_BRIEF = rf"""WITH d AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), r AS (SELECT doc_id, lower({_RULE}) AS rule FROM documents)
+SELECT r.doc_id, CASE WHEN rule LIKE '%whip%' THEN 'whip' WHEN rule LIKE '%dissolve%' THEN 'dissolve' WHEN rule LIKE '%soundoncut%' THEN 'soundOnCut' WHEN rule LIKE '%comedictiming%' THEN 'comedicTiming' WHEN rule LIKE '%memecaption%' THEN 'memeCaption'
+  WHEN rule LIKE '%speedramp%' THEN 'speedRamp' WHEN rule LIKE '%zoompunch%' THEN 'zoomPunch' WHEN rule LIKE '%jumpcut%' THEN 'jumpCut' WHEN rule LIKE '%musicbed%' THEN 'musicBed' END AS device, d.title IS NOT NULL AND len(regexp_extract_all(d.title, '(\S+)', 1)) < 3 AS short FROM r LEFT JOIN d USING (doc_id)"""
 
 
 @CATALOG.add("rule_brief", _BRIEF)
 def rule_brief(spark: SparkSession, sf: str) -> DataFrame:
-    """House rules compiled to devices, and intents too short to check."""
+    """House rules made of each document's source, compiled to devices, and titles as intents, some too short to check."""
     d = table(spark, sf, "documents")
-    k = F.col("doc_id") % 4
-    c = R.compile_brief(d.select("doc_id", F.concat(F.lit("Use a "), F.when(k == 0, "Caption").when(k == 1, "split screen").when(k == 2, "music and zoom").otherwise("soft tone")).alias("rule")), "rule")
+    c = R.compile_brief(d.select("doc_id", F.expr(_RULE).alias("rule")), "rule")
     short = R.brief_can_be_contradicted(d.where("title IS NOT NULL"), "title", "doc_id").select(F.col("subject").cast("bigint").alias("s_doc"))
     return c.join(short, F.col("doc_id") == F.col("s_doc"), "left").select("doc_id", "device", F.col("s_doc").isNotNull().alias("short"))
 
