@@ -27,45 +27,55 @@ def windowed_levels(events: DataFrame, time: str, kind: str, value: str, size: s
 
 
 OUT = "doc string, seq bigint, n_clips int, length bigint, refused boolean"
-_STATE = "seq bigint, track array<int>, asset array<string>, source_start array<bigint>, source_end array<bigint>, start array<bigint>"
+_STATE = "next bigint, track array<int>, asset array<string>, source_start array<bigint>, source_end array<bigint>, start array<bigint>, held array<struct<seq:bigint,kind:string,track:int,asset:string,a:bigint,b:bigint,to:bigint>>"
+_FIELDS = ["seq", "kind", "track", "asset", "a", "b", "to"]
 
 
-def _tracks(state: tuple | None) -> tuple[int, dict]:
+def _tracks(state: tuple | None) -> tuple[int, dict, list[dict]]:
     if state is None:
-        return -1, {}
+        return 0, {}, []
     tracks: dict = {}
-    for t, a, s, e, at in zip(*state[1:]):
+    for t, a, s, e, at in zip(*state[1:6]):
         tracks.setdefault(int(t), []).append(Clip(a, int(s), int(e), int(at)))
-    return int(state[0]), {t: tuple(c) for t, c in tracks.items()}
+    held = [dict(zip(_FIELDS, x if isinstance(x, tuple) else [x[f] for f in _FIELDS])) for x in state[6]]
+    return int(state[0]), {t: tuple(c) for t, c in tracks.items()}, held
 
 
-def _packed(seq: int, tracks: dict) -> tuple:
+def _plain(c: dict) -> tuple:
+    number = lambda x: None if x is None or x != x else int(x)
+    return (int(c["seq"]), c["kind"], number(c["track"]), c["asset"], number(c["a"]), number(c["b"]), number(c["to"]))
+
+
+def _packed(expected: int, tracks: dict, held: list[dict]) -> tuple:
     flat = [(t, c) for t, clips in sorted(tracks.items()) for c in clips]
-    return (seq, [t for t, _ in flat], [c.asset for _, c in flat], [c.source_start for _, c in flat], [c.source_end for _, c in flat], [c.start for _, c in flat])
+    return (expected, [t for t, _ in flat], [c.asset for _, c in flat], [c.source_start for _, c in flat], [c.source_end for _, c in flat], [c.start for _, c in flat], [_plain(c) for c in held])
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seq, tracks = _tracks(state.get if state.exists else None)
-    commands = pd.concat(list(batches)).drop_duplicates("seq").sort_values("seq")
+    expected, tracks, held = _tracks(state.get if state.exists else None)
+    waiting = {c["seq"]: c for c in held}
+    for c in pd.concat(list(batches)).to_dict("records"):
+        if c["seq"] >= expected:
+            waiting.setdefault(int(c["seq"]), c)
     rows = []
-    for c in commands.to_dict("records"):
-        if c["seq"] <= seq:
-            continue  # delivered again
-        seq = int(c["seq"])
+    # a gap holds back what is behind it
+    while expected in waiting:
         try:
-            tracks = apply(tracks, c)
+            tracks = apply(tracks, waiting.pop(expected))
             refused = False
         except Refused:
             refused = True
         clips = [x for t in tracks.values() for x in t]
-        rows.append((key[0], seq, len(clips), max((x.end for x in clips), default=0), refused))
-    state.update(_packed(seq, tracks))
+        rows.append((key[0], expected, len(clips), max((x.end for x in clips), default=0), refused))
+        expected += 1
+    state.update(_packed(expected, tracks, [waiting[k] for k in sorted(waiting)]))
     yield pd.DataFrame(rows, columns=["doc", "seq", "n_clips", "length", "refused"])
 
 
 def live_documents(commands: DataFrame) -> DataFrame:
     """The fold of ``command_log`` over a stream: after each command the number of clips and the length of its document, and whether it was refused.
 
-    Commands of a document must arrive in order of ``seq`` between batches; repeats are skipped.
+    ``seq`` counts from 0 without holes. A command that arrives before one with a lower number waits in the state until that has come; repeats
+    are skipped.
     """
     return commands.groupBy("doc").applyInPandasWithState(_fold, OUT, _STATE, "append", "NoTimeout")

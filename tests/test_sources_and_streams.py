@@ -78,6 +78,24 @@ def test_live_documents_end_as_the_fold(spark, tmp_path):
     assert [r.refused for r in spark.table("documents_out").where("doc = 'd'").orderBy("seq").collect()] == [False, True, False, False]
 
 
+def test_commands_wait_for_those_before_them(spark, tmp_path):
+    log = "doc string, seq bigint, kind string, track int, asset string, a bigint, b bigint, to bigint"
+    batches = [
+        [("d", 2, "ripple", 0, None, 100, 160, None), ("d", 0, "place", 0, "x", 0, 300, 0)],
+        [("d", 3, "move", 0, None, 0, 50, 200), ("d", 0, "place", 0, "x", 0, 300, 0)],
+        [("d", 1, "place", 0, "x", 0, 10, 300)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, log).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.createDataFrame([], log).schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    _run(W.live_documents(stream), "waiting_out")
+    got = [tuple(r) for r in spark.table("waiting_out").orderBy("seq").collect()]
+    assert [r[1] for r in got] == [0, 1, 2, 3] and not any(r[4] for r in got)
+    whole = C.replay(spark.createDataFrame(list(dict.fromkeys(r for b in batches for r in b)), log)).collect()
+    assert got[-1][2:4] == (len(whole), max(r.start + r.source_end - r.source_start for r in whole))
+
+
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
 def test_windowed_levels(spark, data, slide):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

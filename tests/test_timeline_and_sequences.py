@@ -236,3 +236,39 @@ def test_timeline_mix_has_every_second(spark, data, tmp_path):
             want[asset, at.setdefault(asset, 0)] = n % 7 * gain
             at[asset] += 1
     assert {(r.doc, r.n): r.v for r in timeline_mix(spark, str(tmp_path)).collect()} == want
+
+
+def test_gates_of_the_fold(spark):
+    log = "doc string, seq int, kind string, track int, asset string, a bigint, b bigint, to bigint, confidence double, placement string"
+    rows = [
+        ("d", 0, "addAsset", None, "x", None, 300, None, None, None),
+        ("d", 1, "addTrack", None, "video", None, None, None, None, None),
+        ("d", 2, "addTrack", None, "audio", None, None, None, None, None),
+        ("d", 3, "place", 0, "x", 0, 100, 0, 0.9, None),
+        ("d", 4, "place", 0, "x", 0, 100, 200, 0.6, None),
+        ("d", 5, "place", 2, "x", 0, 100, 200, 0.9, None),
+        ("d", 6, "place", 0, "y", 0, 100, 200, 0.9, None),
+        ("d", 7, "place", 0, "x", 250, 350, 200, 0.9, None),
+        ("d", 8, "place", 0, "x", 0, 100, 205, 0.9, None),
+        ("d", 9, "place", 1, "x", 0, 103, 205, 0.9, None),
+        ("d", 10, "place", 0, "x", 0, 50, 90, 0.9, None),
+        ("d", 11, "placeInFrame", 0, None, 0, None, None, 0.9, "left"),
+        ("d", 12, "placeInFrame", 1, None, 0, None, None, 0.9, "left"),
+        ("d", 13, "placeInFrame", 0, None, 7, None, None, 0.9, "left"),
+        ("d", 14, "recordDecision", None, None, None, None, None, 0.69, None),
+        ("d", 15, "recordDecision", None, None, None, None, None, 0.7, None),
+        ("d", 16, "ripple", 0, None, 20, 40, None, 0.9, None),
+        ("d", 17, "ripple", 0, None, 40, 40, None, 0.9, None),
+        ("d", 18, "ripple", 0, None, 41, 50, None, 0.9, None),
+        ("d", 19, "move", 0, None, 500, 600, 0, 0.9, None),
+        ("d", 20, "move", 0, None, 0, 10, 5, 0.9, None),
+    ]
+    df, gates = spark.createDataFrame(rows, log), C.Gates(frame=10)
+    why = {r.seq: r.why for r in C.refusals(df, gates).collect()}
+    assert why == {
+        4: "confidence below floor", 5: "no such track", 6: "no such asset", 7: "past the end of the source", 8: "off the grid", 10: "overlaps a clip",
+        12: "not a video track", 13: "no such clip", 14: "confidence below floor", 17: "empty range", 18: "off the grid", 19: "empty range", 20: "off the grid",
+    }
+    got = [tuple(r)[1:] for r in C.replay(df, gates=gates).orderBy("track", "clip").collect()]
+    # a cut in time keeps the place in the frame
+    assert got == [(0, 0, "x", 0, 20, 0, "left"), (0, 1, "x", 40, 100, 20, "left"), (1, 0, "x", 0, 103, 205, None)]
