@@ -18,17 +18,26 @@ from tapewright.operators import sequences as Q
 
 # ---- sound at joins --------------------------------------------------------------------------------------------------
 
+# Steps of level (dB), room tone (dB) and pitch (semitones) that cost 1, and what each costs at most; seconds on either side of a join.
+LEVEL_STEP, ROOM_STEP, PITCH_STEP = 6.0, 4.0, 2.0
+MOST_LEVEL, MOST_ROOM, MOST_PITCH = 1.5, 1.5, 3.0
+JOIN_WINDOW = 0.12
+
 
 def pitch(samples: np.ndarray, rate: int, low: float = 65.0, high: float = 400.0) -> float | None:
-    """Fundamental by autocorrelation of the mean-removed samples: the strictly best lag, if it is over 0.3 of the energy."""
-    x = np.asarray(samples, float) - np.mean(samples) if len(samples) else np.zeros(0)
+    """Fundamental by autocorrelation of the mean-removed samples: the first best lag, if it is over 0.3 of the energy. None for 64 samples or fewer, for
+    silence, and where there is no period."""
+    lo, hi = int(rate / high), min(int(rate / low), len(samples) - 1)
+    if len(samples) <= 64 or hi <= lo:
+        return None
+    x = np.asarray(samples, float)
+    x = x - x.mean()
     energy = float(x @ x)
-    lo, hi = int(rate / high), min(int(rate / low), len(x) - 1)
-    if energy <= 0 or hi < lo:
+    if energy / len(x) <= 1e-8:
         return None
     values = np.array([float(x[: len(x) - k] @ x[k:]) / energy for k in range(lo, hi + 1)])
     best = int(values.argmax())
-    return rate / (lo + best) if values[best] > 0.3 else None
+    return rate / (lo + best) if values[best] > 0.3 and lo + best > 0 else None
 
 
 def level(samples: np.ndarray) -> float:
@@ -37,40 +46,89 @@ def level(samples: np.ndarray) -> float:
     return 20 * float(np.log10(rms)) if rms > 1e-9 else -120.0
 
 
+def room_tone(samples: np.ndarray) -> float:
+    """The level of the quietest tenth of the samples, in order; of fewer than ten the level of all."""
+    size = len(samples) // 10
+    return min(level(samples[i : i + size]) for i in range(0, len(samples) - size + 1, size)) if size else level(samples)
+
+
 def join_cost(level_step: float, room_step: float, pitch_step: float | None, settled: bool) -> float:
-    """Cost of a cut: steps in level and room tone (12 dB are 1.5 at most), in pitch (6 semitones are 1, 3 at most), and 1 for speech that hasn't settled."""
-    cost = min(abs(level_step) / 8, 1.5) + min(abs(room_step) / 8, 1.5)
-    cost += min(abs(pitch_step) / 6, 3.0) if pitch_step is not None else 0.0
+    """Cost of a cut: steps in level, room tone and pitch, each in units of one that is plainly heard and bounded, and 1 for speech that hasn't settled."""
+    cost = min(abs(level_step) / LEVEL_STEP, MOST_LEVEL) + min(abs(room_step) / ROOM_STEP, MOST_ROOM)
+    cost += min(abs(pitch_step) / PITCH_STEP, MOST_PITCH) if pitch_step is not None else 0.0
     return cost + (0.0 if settled else 1.0)
 
 
-def measure_join(before: np.ndarray, after: np.ndarray, rate: int) -> dict[str, float | bool | None]:
-    """Level, room tone (the quietest tenth), pitch and settling on either side of a cut, and its cost."""
-    parts = lambda x: np.array([level(p) for p in np.array_split(np.asarray(x, float), 12)]) if len(x) >= 12 else np.array([level(x)])
-    a, b = parts(before), parts(after)
+def measure_join(run_up: np.ndarray, after: np.ndarray, rate: int) -> dict[str, float | bool | None]:
+    """Level, room tone, pitch and settling on either side of a cut, and its cost. ``run_up``: the three windows before the cut, of which the last is compared
+    with ``after``; speech has settled if the last third of the run-up is at most 1 dB over the first."""
+    before = run_up[-round(JOIN_WINDOW * rate) :]
     pa, pb = pitch(before, rate), pitch(after, rate)
     step = None if pa is None or pb is None else abs(12 * float(np.log2(pb / pa)))
-    settled = bool(a[-1] <= np.median(a))
-    out = {"level_step": float(level(after) - level(before)), "room_step": float(np.sort(b)[len(b) // 10] - np.sort(a)[len(a) // 10]), "pitch_step": step, "settled": settled}
+    third = len(run_up) // 3
+    settled = len(run_up) < 6 or level(run_up[-third:]) <= level(run_up[:third]) + 1.0
+    out = {"level_step": level(after) - level(before), "room_step": room_tone(after) - room_tone(before), "pitch_step": step, "settled": settled}
     return {**out, "cost": join_cost(out["level_step"], out["room_step"], step, settled)}
 
 
+def join_costs(joins: DataFrame, samples: DataFrame, rate: int) -> DataFrame:
+    """What every join sounds like: ``joins`` join_id, asset, out_at and in_at (sample numbers at which one side ends and the other begins); ``samples`` asset, n, v.
+
+    Returns join_id, level_step, room_step, pitch_step, settled, cost. A join needs half a second of samples, which are looked up by buckets of that length."""
+    from tapewright.operators.intervals import overlap_pairs
+
+    size = round(JOIN_WINDOW * rate)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.greatest(F.col("out_at") - 3 * size, F.lit(0)).alias("lo"), F.col("out_at").alias("hi")), F.struct(F.lit(1).alias("side"), F.col("in_at").alias("lo"), (F.col("in_at") + size).alias("hi")))
+    j = joins.select("join_id", "asset", F.explode(sides).alias("x")).select("join_id", "asset", "x.*")
+    s = samples.select("asset", F.col("n").alias("s"), (F.col("n") + 1).alias("e"), F.col("v").cast("double").alias("v"))
+    hit = overlap_pairs(j, s, ["asset"], ("lo", "hi"), ("s", "e"), 3 * size)
+    part = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("s", "v")))), lambda x: x["v"])
+    g = hit.groupBy("join_id").agg(part(0).alias("a"), part(1).alias("b"))
+    kind = g.schema["join_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = [measure_join(np.asarray(x, float), np.asarray(y, float), rate) for x, y in zip(b["a"], b["b"])]
+            yield pd.DataFrame({"join_id": b["join_id"], **{c: [r[c] for r in rows] for c in ("level_step", "room_step", "pitch_step", "settled", "cost")}})
+
+    return g.mapInPandas(run, f"join_id {kind}, level_step double, room_step double, pitch_step double, settled boolean, cost double")
+
+
 def echo_lag(samples: np.ndarray, rate: int, shortest: float = 0.015, longest: float = 1.0, envelope_rate: int = 200, least: float = 1.8) -> float | None:
-    """Seconds after which the envelope repeats: the peak of its autocorrelation, if it stands out over the mean and isn't at a limit."""
-    size = rate // envelope_rate
+    """Seconds after which the envelope repeats: the peak of its autocorrelation, if it stands out over the mean and isn't at a limit of the search. A quarter of a
+    second of samples at least."""
+    size = max(rate // envelope_rate, 1)
     n = len(samples) // size
-    if n < 8:
+    if len(samples) <= rate / 4 or n <= 8:
         return None
     env = np.sqrt(np.mean(np.square(np.asarray(samples[: n * size], float).reshape(n, size)), axis=1))
     env = env - env.mean()
-    lo, hi = max(1, round(shortest * envelope_rate)), min(round(longest * envelope_rate), n // 2)
-    if hi - lo < 2 or not float(env @ env):
+    energy, per_second = float(env @ env), rate / size
+    lo, hi = max(int(shortest * per_second), 1), min(int(longest * per_second), n // 2)
+    if hi <= lo or energy <= 0:
         return None
-    corr = np.array([float(env[: n - k] @ env[k:]) / (n - k) for k in range(lo, hi + 1)])
+    corr = np.array([float(env[: n - k] @ env[k:]) / energy for k in range(lo, hi + 1)])
     best = int(corr.argmax())
-    if best in (0, len(corr) - 1) or corr[best] <= 0 or corr[best] / np.mean(np.abs(corr)) <= least:
+    if corr[best] <= 0 or best in (0, len(corr) - 1) or corr[best] / float(np.mean(np.abs(corr))) <= least:
+        return None
+    return (lo + best) / per_second
+
+
+def echo_shift(first: np.ndarray, later: np.ndarray, distance, most: int) -> int | None:
+    """By how many samples a panel shows what another showed before: the shift with the least mean distance, if it is inside the search and at least 2 % under that
+    of no shift. Seven samples at least; a shift needs five pairs."""
+    n = len(first)
+    most = min(most, n // 2)
+    if n <= 6 or most < 1:
         return None
-    return (lo + best) / envelope_rate
+
+    def score(shift: int) -> float:
+        pairs = [distance(first[i], later[i + shift]) for i in range(n) if i + shift < len(later)]
+        return float(np.mean(pairs)) if len(pairs) > 4 else float("inf")
+
+    scores = [score(k) for k in range(most + 1)]
+    best = int(np.argmin(scores))
+    return best if 0 < best < most and scores[best] < 0.98 * scores[0] else None
 
 
 # ---- takes -----------------------------------------------------------------------------------------------------------
@@ -90,7 +148,7 @@ def _lines(pdf: pd.DataFrame) -> list[dict]:
 
 
 def _score(words: list[dict], separation: float | None) -> dict[str, float]:
-    plain = [Q._plain(w["word"]) for w in words]
+    plain = [Q.trimmed(w["word"]) for w in words]
     stalls = sum(b["start_ms"] - a["end_ms"] > 550 for a, b in zip(words, words[1:]))
     restarts = sum(a == b and a != "" for a, b in zip(plain, plain[1:]))
     return Q.rendition_score(len(words), sum(p in FILLERS for p in plain), restarts, stalls, float(np.mean([w["conf"] for w in words])) / 100 if words else 0.0, separation)
@@ -109,7 +167,7 @@ def choose_takes(words: DataFrame, key: str) -> DataFrame:
         lines = _lines(pdf.sort_values(["take", "idx"]))
         takes = sorted({x["take"] for x in lines})
         by = [[x["words"] for x in lines if x["take"] == t] for t in takes]
-        tokens = [[[p for p in (Q._plain(y["word"]) for y in x) if p] for x in own] for own in by]
+        tokens = [[[p for p in (Q.word_key(y["word"]) for y in x) if p] for x in own] for own in by]
         rows = Q.align_takes(tokens)
         spine = max(range(len(takes)), key=lambda t: (sum(map(len, tokens[t])), -t)) if takes else 0
         out = []
@@ -138,15 +196,24 @@ def assemble(choices: DataFrame, keys: Sequence[str], order: str, start: str, en
     return c.withColumn("confidence", F.floor((0.70 + 0.25 * score) * 100) / 100)
 
 
-def panel_plan(cuts: DataFrame, keys: Sequence[str], order: str, start: str, end: str, panel: str, frame: int, panels: int) -> DataFrame:
-    """Cuts of a script snapped to the frame grid, at least one frame long, with their playheads; and for every other panel the source
-    position at which it stays frozen (where it last played, NULL before it has)."""
-    snap = lambda c: F.floor(F.col(c) / frame + 0.5).cast("bigint") * frame
+def panel_plan(cuts: DataFrame, keys: Sequence[str], order: str, start: str, end: str, panel: str, frame: int, panels: int, opening: Column | None = None, echo: int = 0) -> DataFrame:
+    """Cuts of a script on the frame grid with their playheads; and for every panel the source position at which it stays frozen (NULL before it has played).
+
+    Start and length are snapped, the length to at least one frame. A cut of the ``opening`` is played by all panels, each ``echo`` after the one
+    before, so it lasts until the last has finished, and each is frozen where it got to. Cuts without a range are left out. A script's cuts are one window.
+    """
+    snap = lambda c: F.floor(c / frame + 0.5).cast("bigint") * frame
     w = Window.partitionBy(*keys).orderBy(order)
-    c = cuts.withColumn("source_start", snap(start)).withColumn("source_end", F.greatest(snap(end), snap(start) + frame))
-    c = c.withColumn("at", F.coalesce(F.sum(F.col("source_end") - F.col("source_start")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    frozen = [F.last(F.when(F.col(panel) == p, F.col("source_end")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"frozen_{p}") for p in range(panels)]
-    return c.select("*", *frozen)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    step = (echo + frame // 2) // frame * frame
+    opens = F.lit(False) if opening is None else F.coalesce(opening, F.lit(False))
+    c = cuts.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__opens", opens).withColumn("source_start", snap(F.col(start)))
+    c = c.withColumn("source_end", F.col("source_start") + F.greatest(snap(F.col(end) - F.col(start)), F.lit(frame)))
+    c = c.withColumn("span", F.col("source_end") - F.col("source_start") + F.when(F.col("__opens"), step * max(panels - 1, 0)).otherwise(0))
+    c = c.withColumn("at", F.coalesce(F.sum("span").over(earlier), F.lit(0)))
+    stop = lambda p: F.when(F.col("__opens"), F.greatest(F.col("source_end") - step * p, F.lit(0))).when(F.col(panel) == p, F.col("source_end"))
+    frozen = [F.last(stop(p), ignorenulls=True).over(earlier).alias(f"frozen_{p}") for p in range(panels)]
+    return c.select("*", *frozen).drop("__opens")
 
 
 def brief_of(scenes: DataFrame, key: str, order: str, shot: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,31 +48,86 @@ def matched_indices(a: Sequence, b: Sequence) -> list[int]:
     return out
 
 
+def match_masks(a: Sequence, others: Sequence, match: Callable | None = None) -> dict:
+    """For each distinct word of ``others`` the places in ``a`` that match it, as bits."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    if match is None:
+        return {y: where.get(y, 0) for y in set(others)}
+    return {y: sum(bits for x, bits in where.items() if match(x, y)) for y in set(others)}
+
+
+def common_length(n: int, masks: dict, others: Sequence) -> int:
+    """Length of the longest common subsequence with the n words behind the masks: a column of the table in the bits of one number."""
+    full = (1 << n) - 1
+    row = full
+    for y in others:
+        hit = row & masks[y]
+        row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
 def similarity(a: Sequence, b: Sequence, match: Callable | None = None) -> float:
     """Common subsequence over the longer length; 0 of nothing."""
-    return lcs_table(a, b, match)[0][0] / max(len(a), len(b)) if a and b else 0.0
+    return common_length(len(a), match_masks(a, b, match), b) / max(len(a), len(b)) if a and b else 0.0
 
 
-def containment(want: Sequence, heard: Sequence) -> float:
+def containment(want: Sequence, heard: Sequence, match: Callable | None = None) -> float:
     """Share of the wanted words heard in order."""
-    return similarity(want, heard) * max(len(want), len(heard)) / len(want) if want else 0.0
+    return similarity(want, heard, match) * max(len(want), len(heard)) / len(want) if want else 0.0
 
 
 def word_errors(reference: Sequence, hypothesis: Sequence) -> int:
-    row = list(range(len(hypothesis) + 1))
-    for i, x in enumerate(reference, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(hypothesis, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
+    """Edit distance of two sequences of words, a column of the table in the bits of one number."""
+    if not reference:
+        return len(hypothesis)
+    masks = match_masks(reference, hypothesis)
+    last, full = 1 << len(reference) - 1, (1 << len(reference)) - 1
+    up, down, distance = full, 0, len(reference)
+    for w in hypothesis:
+        same = masks[w]
+        diagonal = (((same & up) + up) ^ up) | same | down
+        h_up, h_down = down | ~(diagonal | up), up & diagonal
+        distance += bool(h_up & last) - bool(h_down & last)
+        h_up, h_down = (h_up << 1 | 1) & full, h_down << 1 & full
+        up, down = (h_down | ~(same | down | h_up)) & full, h_up & (same | down)
+    return distance
+
+
+_EDGES = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
+_NO_KEY = regex.compile(r"[^\p{L}\p{N} ]+")
+
 
+def trimmed(word: str) -> str:
+    """Lower case, without what isn't a letter or digit at the ends."""
+    return _EDGES.sub("", word.lower())
 
-def _plain(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum() or c == "'").strip("'")
 
+def word_key(word: str) -> str:
+    """Lower case, only letters and digits."""
+    return _NO_KEY.sub("", word.lower()).strip(" ")
 
-def _overlap_bound(a: Counter, b: Counter) -> int:
-    return sum(min(n, b[w]) for w, n in a.items() if w in b)
+
+def key_words(text: str | None) -> list[str]:
+    """The words of a text in lower case, only letters and digits."""
+    return [w for w in _NO_KEY.sub("", (text or "").lower()).split(" ") if w]
+
+
+def _stem(word: str) -> str:
+    for ending in ("ing", "ed", "es", "s"):
+        if word.endswith(ending) and len(word) - len(ending) >= 3:
+            return word[: -len(ending)]
+    return word
+
+
+@lru_cache(maxsize=262_144)
+def same_word(a: str, b: str) -> bool:
+    """Equal, of equal stems, or both of four letters or more and within a quarter of the longer one's length in edits."""
+    if a == b or _stem(a) == _stem(b):
+        return True
+    room = max(1, max(len(a), len(b)) // 4)
+    return min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= room and word_errors(a, b) <= room
 
 
 # ---- kernels ---------------------------------------------------------------------------------------------------------
@@ -82,7 +139,7 @@ def self_corrections(words: list[str], start: list[int], end: list[int], least:
     At each word the best pair of neighbouring runs of 2 to 12 words counts; a later pair must beat the best by more than 0.001. The
     search goes on at the kept run.
     """
-    w = [_plain(x) for x in words]
+    w = [word_key(x) for x in words]
     out, i, n = [], 0, len(w)
     while i < n - 2 * shortest + 1:
         best: tuple[float, int, int] | None = None
@@ -180,45 +237,40 @@ def section_breaks(cohesion: list[float], at: list[int], sections: int, n_words:
     return sorted(chosen)
 
 
-def locate_line(want: list[str], heard: list[str], least: float = 0.45) -> tuple[int, int, float] | None:
-    """The stretch of heard words most like a line, trimmed to matching words at its edges: first, last, similarity.
+def locate_line(want: list[str], heard: list[str], closes: Sequence[bool], least: float = 0.45) -> tuple[int, int, float] | None:
+    """The stretch of heard words most like a line, by ``same_word``: first, last, similarity; None if nothing is alike at all.
 
-    Every start and the lengths n, 1.5 n + 1 and 0.7 n are tried; the first of equals wins. Counts of common words bound the
-    similarity, so most stretches are passed over.
+    Every start and the lengths n, 1.5 n + 1 and 0.7 n (two words at least) are tried; the first of equals wins. Where it is alike enough (``least``)
+    the stretch is trimmed to words of the line, and at its front to one that doesn't close a sentence (``closes``). How many words of
+    a stretch match any of the line bounds its similarity, so most stretches are passed over.
     """
     n = len(want)
-    if not n or not heard:
+    if not n or len(heard) < 2:
         return None
+    masks = match_masks(want, heard, same_word)
+    known = [0]
+    for w in heard:
+        known.append(known[-1] + bool(masks[w]))
     sizes = sorted({n, n * 3 // 2 + 1, max(n * 7 // 10, 2)})
-    need = Counter(want)
     best: tuple[float, int, int] | None = None
-    for size in sizes:
-        if size > len(heard):
-            size = len(heard)
-        window = Counter(heard[:size])
-        common = _overlap_bound(need, window)
-        for i in range(len(heard) - size + 1):
-            if i:
-                out, new = heard[i - 1], heard[i + size - 1]
-                if out != new:
-                    if out in need and window[out] <= need[out]:
-                        common -= 1
-                    window[out] -= 1
-                    window[new] += 1
-                    if new in need and window[new] <= need[new]:
-                        common += 1
-            bound = common / max(n, size)
-            if bound >= least and (best is None or bound > best[0]):
-                s = similarity(want, heard[i : i + size])
-                if s >= least and (best is None or s > best[0]):
-                    best = (s, i, i + size - 1)
+    for i in range(len(heard) - 1):
+        for size in sizes:
+            end = min(i + size, len(heard))
+            if end - i < 2:
+                continue
+            bound = min(known[end] - known[i], n) / max(n, end - i)
+            if bound > (best[0] if best else 0.0):
+                s = common_length(n, masks, heard[i:end]) / max(n, end - i)
+                if s > (best[0] if best else 0.0):
+                    best = (s, i, end - 1)
     if best is None:
         return None
     s, a, z = best
-    while a < z and heard[a] not in need:
-        a += 1
-    while z > a and heard[z] not in need:
-        z -= 1
+    if s >= least:
+        while a < z and (not masks[heard[a]] or closes[a]):
+            a += 1
+        while z > a and not masks[heard[z]]:
+            z -= 1
     return a, z, s
 
 
@@ -423,7 +475,7 @@ def repeated_lines(lines: DataFrame, key: str, order: str, text: str, start: str
     l = lines.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"), F.col(start).cast("bigint").alias("at"))
 
     def kernel(rows: list[dict]) -> list[tuple]:
-        said = [(r, t) for r, t in ((r, [p for p in map(_plain, (r["text"] or "").split()) if p]) for r in rows) if t]
+        said = [(r, t) for r, t in ((r, key_words(r["text"])) for r in rows) if t]
         g = leader_groups([t for _, t in said], least)
         passes = count_passes(g, len(set(g)))
         by: dict[int, list[dict]] = defaultdict(list)
@@ -455,7 +507,7 @@ def vote(primary: DataFrame, secondary: DataFrame, key: str, window_ms: int = 30
 
     def kernel(rows: list[dict]) -> list[tuple]:
         mine, theirs = [r for r in rows if r["mine"]], [r for r in rows if not r["mine"]]
-        hit = set(matched_indices([_plain(r["word"]) for r in mine], [_plain(r["word"]) for r in theirs]))
+        hit = set(matched_indices([trimmed(r["word"]) for r in mine], [trimmed(r["word"]) for r in theirs]))
         return [(r["idx"], r["word"], agreeing if i in hit else disagreeing, 1 + (i in hit)) for i, r in enumerate(mine)]
 
     columns = [("idx", a.schema["idx"].dataType), ("word", _TEXT), ("confidence", _REAL), ("n_sources", _INT)]

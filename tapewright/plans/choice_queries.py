@@ -10,6 +10,7 @@ from tapewright.operators import scripts as X
 from tapewright.operators import selection as H
 from tapewright.operators import statistics as S
 from tapewright.plans.catalog import Catalog
+from tapewright.session import cut_lineage
 from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, events, frames, shots, turns, words
 from tapewright.sources.tables import table
 
@@ -34,6 +35,12 @@ def _transcript_words(spark: SparkSession, sf: str) -> DataFrame:
     return l.select("transcript_id", "idx", "word", (F.col("idx") * 400).cast("bigint").alias("start_ms"), (F.col("idx") * 400 + 300).cast("bigint").alias("end_ms"))
 
 
+def _paused_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The same words with 400 ms of silence where the typed line has an ellipsis, a dash or a bracket."""
+    pause = F.col("word").rlike(r"(\.\.\.|…|—|-|\])$")
+    return _transcript_words(spark, sf).withColumn("end_ms", F.when(pause, F.col("start_ms")).otherwise(F.col("end_ms")))
+
+
 def _located(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "corrections").dropDuplicates(["correction_id"]).select("transcript_id", F.col("correction_id").cast("int").alias("ord"), F.col("text").alias("line"))
     return X.locate_lines(lines, _transcript_words(spark, sf), "transcript_id")
@@ -45,14 +52,57 @@ def choice_located_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _located(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
+def _beats(spark: SparkSession, sf: str) -> DataFrame:
+    """The located lines one after another, as the plan of an output."""
+    w = Window.partitionBy("transcript_id").orderBy("ord")
+    l = _located(spark, sf).where("start_ms IS NOT NULL").withColumn("length", F.col("end_ms") - F.col("start_ms"))
+    start = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return l.select("transcript_id", "ord", "line", F.col("start_ms").alias("source_start"), F.col("end_ms").alias("source_end"), start.alias("start"), (start + F.col("length")).alias("end"))
+
+
 @CATALOG.add("choice_read_back")
 def choice_read_back(spark: SparkSession, sf: str) -> DataFrame:
-    return X.read_back(_located(spark, sf), "transcript_id")
+    """An output that plays the located lines, less the last 400 ms of each, read back against its plan."""
+    from tapewright.operators.intervals import overlap_pairs
+
+    words_, beats = _transcript_words(spark, sf), cut_lineage(_beats(spark, sf))
+    played = beats.select("transcript_id", "source_start", (F.col("source_end") - 400).alias("stop"), "start")
+    o = overlap_pairs(played, words_, ["transcript_id"], ("source_start", "stop"), ("start_ms", "end_ms"), 10_000).where("start_ms >= source_start AND end_ms <= stop")
+    o = o.select("transcript_id", F.row_number().over(Window.partitionBy("transcript_id").orderBy("start", "idx")).alias("idx"), "word", (F.col("start_ms") - F.col("source_start") + F.col("start")).alias("start_ms"), (F.col("end_ms") - F.col("source_start") + F.col("start")).alias("end_ms"))
+    return X.read_back(beats, o, words_, "transcript_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@CATALOG.add("choice_times_heard")
+def choice_times_heard(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the abandoned speech of a transcript's first correction is said in it."""
+    c = table(spark, sf, "corrections").where("text IS NOT NULL").groupBy("transcript_id").agg(F.min_by("text", "correction_id").alias("phrase"))
+    return X.times_heard(c, _transcript_words(spark, sf), "transcript_id")
 
 
 @CATALOG.add("choice_stumbles")
 def choice_stumbles(spark: SparkSession, sf: str) -> DataFrame:
-    return X.stumbles(_located(spark, sf), _transcript_words(spark, sf), "transcript_id", 100)
+    return X.stumbles(_located(spark, sf), _paused_words(spark, sf), "transcript_id")
+
+
+@CATALOG.add("choice_script_problems")
+def choice_script_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return X.script_problems(_located(spark, sf), _paused_words(spark, sf), "transcript_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@CATALOG.add("choice_join_costs")
+def choice_join_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """The joins that would leave out the pause between two turns, over a sound of two tones whose pitch and level follow the time."""
+    from tapewright.operators.blocked import blocks, following
+    from tapewright.operators.intervals import HOUR
+
+    rate = 1000
+    t = following(blocks(turns(spark, sf), "start_us", HOUR), ["asset"], "__block", ["start_us", "turn_id"], "start_us", "next")
+    ms = lambda c: F.call_function("div", c, F.lit(10**6 // rate))
+    j = t.where("next.value > end_us").select(F.col("turn_id").alias("join_id"), "asset", ms(F.col("end_us")).alias("out_at"), ms(F.col("next.value")).alias("in_at"))
+    near = j.select("asset", F.explode(F.array_union(F.sequence(F.greatest(F.col("out_at") - 360, F.lit(0)), F.col("out_at")), F.sequence("in_at", F.col("in_at") + 120))).alias("n")).distinct()
+    hz = F.lit(90.0) + F.pmod(F.call_function("div", F.col("n"), F.lit(2000)), F.lit(5)) * 25
+    sound = (F.lit(0.1) + F.pmod(F.call_function("div", F.col("n"), F.lit(700)), F.lit(7)) * 0.1) * F.sin(F.col("n") * hz * 6.283185307179586 / rate)
+    return H.join_costs(j, near.withColumn("v", sound), rate).select("join_id", *[F.round(c, 4).alias(c) for c in ("level_step", "room_step", "pitch_step", "cost")], "settled")
 
 
 @CATALOG.add("choice_captions_not_heard")
@@ -83,16 +133,21 @@ def choice_label_scores(spark: SparkSession, sf: str) -> DataFrame:
     return X.label_scores(r.select("utterance_id", split("parakeet").alias("truth"), split("apple").alias("predicted")), "utterance_id").withColumn("recall", F.round("recall", 6))
 
 
-_PANELS = f"""WITH {SHOTS}, c AS (SELECT asset, shot_id, shot_id % 3 AS panel, floor(start_us / 40000::DOUBLE + 0.5)::BIGINT * 40000 AS ss, floor(end_us / 40000::DOUBLE + 0.5)::BIGINT * 40000 AS se FROM s),
-d AS (SELECT asset, shot_id, panel, ss AS source_start, greatest(se, ss + 40000) AS source_end FROM c)
-SELECT asset, shot_id, panel, source_start, source_end, coalesce(sum(source_end - source_start) OVER w, 0)::BIGINT AS "at", last_value(CASE WHEN panel = 0 THEN source_end END IGNORE NULLS) OVER w AS frozen_0, last_value(CASE WHEN panel = 1 THEN source_end END IGNORE NULLS) OVER w AS frozen_1,
-  last_value(CASE WHEN panel = 2 THEN source_end END IGNORE NULLS) OVER w AS frozen_2 FROM d WINDOW w AS (PARTITION BY asset ORDER BY shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_PANELS = f"""WITH {SHOTS}, c AS (SELECT asset, shot_id, CASE WHEN boundary_score IS NULL THEN 0 WHEN boundary_score > 0.5 THEN 1 ELSE 2 END AS panel, shot_id = min(shot_id) OVER (PARTITION BY asset) AS opens,
+  floor(start_us / 40000::DOUBLE + 0.5)::BIGINT * 40000 AS source_start, greatest(floor((end_us - start_us) / 40000::DOUBLE + 0.5)::BIGINT * 40000, 40000) AS len FROM s),
+d AS (SELECT asset, shot_id, panel, opens, source_start, source_start + len AS source_end, len + CASE WHEN opens THEN 160000 ELSE 0 END AS span FROM c)
+SELECT asset, shot_id, panel, source_start, source_end, span, coalesce(sum(span) OVER w, 0)::BIGINT AS "at", last_value(CASE WHEN opens OR panel = 0 THEN source_end END IGNORE NULLS) OVER w AS frozen_0,
+  last_value(CASE WHEN opens THEN greatest(source_end - 80000, 0) WHEN panel = 1 THEN source_end END IGNORE NULLS) OVER w AS frozen_1, last_value(CASE WHEN opens THEN greatest(source_end - 160000, 0) WHEN panel = 2 THEN source_end END IGNORE NULLS) OVER w AS frozen_2
+FROM d WINDOW w AS (PARTITION BY asset ORDER BY shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 @CATALOG.add("choice_panel_plan", _PANELS)
 def choice_panel_plan(spark: SparkSession, sf: str) -> DataFrame:
-    c = shots(spark, sf).withColumn("panel", F.col("shot_id") % 3)
-    return H.panel_plan(c, ["asset"], "shot_id", "start_us", "end_us", "panel", 40_000, 3).select("asset", "shot_id", "panel", "source_start", "source_end", "at", "frozen_0", "frozen_1", "frozen_2")
+    """Shots as the cuts of a script, panels by their score; the first of a recording opens on all panels, which follow each other by 70 ms (two frames on the grid)."""
+    b = F.col("boundary_score")
+    c = shots(spark, sf).withColumn("panel", F.when(b.isNull(), 0).when(b > 0.5, 1).otherwise(2)).withColumn("first_id", F.min("shot_id").over(Window.partitionBy("asset")))
+    p = H.panel_plan(c, ["asset"], "shot_id", "start_us", "end_us", "panel", 40_000, 3, F.col("shot_id") == F.col("first_id"), 70_000)
+    return p.select("asset", "shot_id", "panel", "source_start", "source_end", "span", "at", "frozen_0", "frozen_1", "frozen_2")
 
 
 _ASSEMBLE = f"""WITH {TURNS}, c AS (SELECT asset, turn_id, greatest(start_us - 80000, 0) AS source_start, end_us + 80000 AS source_end, turn_id % 101 / 100.0::DOUBLE AS q FROM t)

@@ -3,9 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from tapewright.operators import command_log as C
+from tapewright.operators import scripts as X
+from tapewright.operators import selection as H
 from tapewright.operators import sequences as Q
 from tapewright.operators import timeline as L
 
@@ -106,7 +109,7 @@ def test_lcs_and_vote(spark):
 
 
 def _brute_corrections(words, start, end, least=0.7):
-    w = [Q._plain(x) for x in words]
+    w = [Q.word_key(x) for x in words]
     out, i = [], 0
     while i < len(w) - 3:
         best = None
@@ -152,16 +155,116 @@ def test_locate_line():
     for _ in range(60):
         want = [rng.choice("abcde") for _ in range(rng.randint(1, 6))]
         heard = [rng.choice("abcdexyz") for _ in range(rng.randint(0, 25))]
-        best = None
+        best = (0.0, None, None)
         n = len(want)
-        for size in sorted({n, n * 3 // 2 + 1, max(n * 7 // 10, 2)}):
-            size = min(size, len(heard))
-            for i in range(len(heard) - size + 1):
-                s = Q.similarity(want, heard[i : i + size])
-                if s >= 0.45 and (best is None or s > best):
-                    best = s
-        got = Q.locate_line(want, heard)
-        assert (got is None) == (best is None) and (got is None or got[2] == best)
+        for i in range(len(heard)):
+            for size in sorted({n, n * 3 // 2 + 1, max(n * 7 // 10, 2)}):
+                part = heard[i : i + size]
+                s = _brute_lcs(want, part) / max(n, len(part))
+                if len(part) >= 2 and s > best[0]:
+                    best = (s, i, i + len(part) - 1)
+        got = Q.locate_line(want, heard, [False] * len(heard))
+        assert (got is None) == (best[1] is None)
+        if got:
+            s, a, z = best
+            while s >= 0.45 and a < z and heard[a] not in want:
+                a += 1
+            while s >= 0.45 and z > a and heard[z] not in want:
+                z -= 1
+            assert got == (a, z, s)
+
+
+def test_same_words_and_normalisers():
+    assert all(Q.same_word(a, b) for a, b in [("files", "file"), ("testing", "test"), ("claudemd", "claudemt"), ("instruction", "instructions"), ("a", "a")])
+    assert not any(Q.same_word(a, b) for a, b in [("to", "it"), ("cat", "cut"), ("hook", "book s"), ("plan", "panel")])
+    assert Q.trimmed("“Don't—") == "don't" and Q.word_key("“Don't—") == "dont" and Q.key_words("Second: instruction-files. ") == ["second", "instructionfiles"]
+    rng = random.Random(3)
+    for _ in range(100):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        near = lambda x, y: x == y or {x, y} == {"x", "y"}
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if near(x, y) else max(t[i][j + 1], t[i + 1][j])
+        assert Q.similarity(a, b, near) == (t[-1][-1] / max(len(a), len(b)) if a and b else 0)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        assert Q.word_errors(a, b) == row[-1]
+
+
+def _said(spark, text, gaps=(), key="r"):
+    rows, at = [], 0
+    for i, w in enumerate(text.split()):
+        at += dict(gaps).get(i, 100)
+        rows.append((key, i, w, at, at + 200))
+        at += 200
+    return spark.createDataFrame(rows, "k string, idx int, word string, start_ms bigint, end_ms bigint")
+
+
+def test_scripts(spark):
+    # a word heard otherwise, a line that begins behind a full stop, and one that isn't there
+    said = _said(spark, "First folders. Pinklot Second instructions file goes here um and random nothing else matters", {2: 600, 3: 500, 8: 700})
+    lines = spark.createDataFrame([("r", 1, "First folders"), ("r", 2, "Second: instruction files"), ("r", 3, "a line of quite other speech")], "k string, ord int, line string")
+    got = {r.ord: r for r in X.locate_lines(lines, said, "k").collect()}
+    assert (got[1].first_idx, got[1].last_idx, got[1].similarity) == (0, 1, 1.0)
+    assert (got[2].first_idx, got[2].last_idx) == (3, 7) and got[2].similarity >= 0.6
+    assert got[3].first_idx is None and 0 <= got[3].similarity < 0.45
+    located = spark.createDataFrame([("r", 2, "Second: instruction files goes", 2, 7, 1200, 3200)], "k string, ord int, line string, first_idx int, last_idx int, start_ms bigint, end_ms bigint")
+    found = X.stumbles(located, said, "k")
+    assert [(r.ord, r.idx, r.edge) for r in found.orderBy("idx").collect()] == [(2, 2, "first"), (2, 7, "last")]
+    cut = X.without_stumbles(located, found, "k").first()
+    at = {r.idx: r for r in said.collect()}
+    assert (cut.start_ms, cut.end_ms) == (at[2].end_ms, at[7].start_ms)
+    problems = {(r.ord, r.problem) for r in X.script_problems(X.locate_lines(lines, said, "k"), said, "k").collect()}
+    assert (3, "not found") in problems and not any(p == "overlaps another line" for _, p in problems)
+
+
+def test_read_back(spark):
+    source = _said(spark, "automate it with a hook then write down your notes today and so on")
+    plan = [("r", 0, "Automate it with a hook", 0, 1500, 0, 1500), ("r", 1, "write down your notes", 1800, 3000, 1500, 2700)]
+    schema = "k string, ord int, line string, source_start bigint, source_end bigint, start bigint, end bigint"
+    run = lambda text: {r.ord: r for r in X.read_back(spark.createDataFrame(plan, schema), _said(spark, text), source, "k").collect()}
+    good = run("automate it with a hook write down your notes")
+    assert all(r.heard and r.chopped is None and r.repeated is None for r in good.values())
+    assert run("automate it with a then write down your notes")[0].chopped is None
+    bad = run("automate it with more speech entirely")
+    assert bad[0].heard and bad[0].chopped == "a hook" and not bad[1].heard
+    twice = run("automate it with a hook or some hook down your notes")
+    assert twice[0].repeated == "hook"
+    heard = X.times_heard(spark.createDataFrame([("r", "with a hook")], "k string, phrase string"), _said(spark, "with a hook and with the hook with a"), "k")
+    assert heard.first().times == 2
+
+
+def test_joins():
+    rate = 8000
+    tone = lambda hz, s, level=0.3: level * np.sin(2 * np.pi * hz * np.arange(int(s * rate)) / rate)
+    assert H.pitch(tone(150, 0.12), rate) == pytest.approx(150, abs=3) and H.pitch(np.zeros(900), rate) is None and H.pitch(tone(150, 0.12)[:64], rate) is None
+    same = H.measure_join(tone(150, 0.36), tone(150, 0.12), rate)
+    assert same["settled"] and same["cost"] < 0.05
+    apart = H.measure_join(tone(150, 0.36), tone(300, 0.12, 0.15), rate)
+    assert apart["level_step"] == pytest.approx(-6.02, abs=0.1) and apart["pitch_step"] == pytest.approx(12, abs=0.5)
+    assert apart["cost"] == pytest.approx(6.02 / 6 + 1.5 + 3.0, abs=0.1)
+    rising = np.concatenate([tone(150, 0.12, 0.1), tone(150, 0.24, 0.3)])
+    assert not H.measure_join(rising, tone(150, 0.12), rate)["settled"]
+    assert H.join_cost(12, 8, 10, False) == 1.5 + 1.5 + 3.0 + 1.0 and H.join_cost(-3, 2, None, True) == 1.0
+
+
+def test_echoes():
+    rng = np.random.default_rng(1)
+    rate = 4000
+    dry = rng.normal(size=2 * rate) * (rng.random(2 * rate // 200).repeat(200) > 0.7)
+    wet = dry.copy()
+    wet[400:] += dry[:-400]
+    got = H.echo_lag(wet, rate)
+    assert got is None or got == pytest.approx(0.1, abs=0.011)
+    assert H.echo_lag(np.ones(4 * rate), rate) is None and H.echo_lag(wet[:900], rate) is None
+    first = [np.full(4, 10.0 * i) for i in range(30)]
+    far = lambda a, b: float(np.abs(a - b).mean())
+    assert H.echo_shift(first, [first[max(i - 3, 0)] for i in range(30)], far, 10) == 3
+    assert H.echo_shift(first, first, far, 10) is None and H.echo_shift(first[:6], first[:6], far, 3) is None
 
 
 def test_cheapest_path():
