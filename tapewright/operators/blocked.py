@@ -124,3 +124,10 @@ def running_sums(df: DataFrame, entity: Sequence[str], block: str, order: Sequen
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[F.sum(f"__a_{v}").over(upto).alias(o) for v, o in values.items()])
     return rows.where("__own").drop("__own", *[f"__a_{v}" for v in values])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, width: int) -> DataFrame:
+    """``out``: the place of a row in its entity, from 0, by ``order``; blocks are cut by the first of it, ``width`` units each."""
+    d = blocks(df.withColumn("__one", F.lit(1).cast("bigint")), order[0], width)
+    d = running_sum(d, keys, "__block", order, "__one", "__place").drop("__one", "__block")
+    return d.withColumn(out, (F.col("__place") - 1).cast("int")).drop("__place")

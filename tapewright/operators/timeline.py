@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.intervals import merge, overlap_pairs, subtract
+from tapewright.operators.blocked import blocks, numbered, running_sum
+from tapewright.operators.intervals import HOUR, PLACES, merge, nearest_samples, overlap_pairs, subtract
 from tapewright.session import cut_lineage
 
 TRACK = ["doc", "track"]
@@ -29,7 +30,7 @@ def source_time(clips_at: DataFrame, at: str, out: str) -> DataFrame:
     return clips_at.withColumn(out, F.when(span > 0, F.col("source_start") + F.call_function("div", off, span)).otherwise(F.col("source_start")))
 
 
-def ripple_delete(clips: DataFrame, removals: DataFrame, width: int) -> DataFrame:
+def ripple_delete(clips: DataFrame, removals: DataFrame, width: int, block: int = HOUR) -> DataFrame:
     """Cuts ranges (doc, track, start, end on the timeline) out of their tracks and closes the holes; all at once.
 
     Overlapping removals count once. A clip that is cut inside becomes two. ``width``: bucket of the join, about the length of a clip.
@@ -44,8 +45,8 @@ def ripple_delete(clips: DataFrame, removals: DataFrame, width: int) -> DataFram
     # what was removed before a piece: a running sum over the removals' ends and the pieces' starts
     ends = r.select(*TRACK, F.col("r_end").alias("t"), F.lit(0).alias("kind"), (F.col("r_end") - F.col("r_start")).alias("gone"))
     pieces = p.select(*TRACK, F.col("k_start").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("gone"), F.struct("clip", "asset", "source_start", "start", "k_start", "k_end").alias("p"))
-    w = Window.partitionBy(*TRACK).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = ends.unionByName(pieces, allowMissingColumns=True).withColumn("before", F.sum("gone").over(w)).where("kind = 1")
+    u = blocks(ends.unionByName(pieces, allowMissingColumns=True), "t", block)
+    u = running_sum(u, TRACK, "__block", ["t", "kind"], "gone", "before").where("kind = 1")
     out = u.select(
         *TRACK,
         F.col("p.asset").alias("asset"),
@@ -53,10 +54,10 @@ def ripple_delete(clips: DataFrame, removals: DataFrame, width: int) -> DataFram
         (F.col("p.source_start") + F.col("p.k_end") - F.col("p.start")).alias("source_end"),
         (F.col("p.k_start") - F.col("before")).alias("start"),
     )
-    return out.withColumn("clip", F.row_number().over(Window.partitionBy(*TRACK).orderBy("start", "source_start")) - 1).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
+    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
 
 
-def move_range(clips: DataFrame, moves: DataFrame) -> DataFrame:
+def move_range(clips: DataFrame, moves: DataFrame, block: int = HOUR) -> DataFrame:
     """Moves one range per document (doc, a, b, to) on every track: it is lifted, the hole closes, and it lands before ``to``.
 
     A destination inside or at the end of the range, or an empty range, leaves the document as it is. Clips are cut at the range's edges and
@@ -78,16 +79,32 @@ def move_range(clips: DataFrame, moves: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     out = c.select(*TRACK, "asset", (F.col("source_start") + s - F.col("start")).alias("source_start"), (F.col("source_start") + F.col("p.e") - F.col("start")).alias("source_end"), (s + offset).alias("start"))
-    return out.withColumn("clip", F.row_number().over(Window.partitionBy(*TRACK).orderBy("start", "source_start")) - 1).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
+    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Source time per track and asset that is in one version only: change ('removed' or 'added'), source_start, source_end."""
+def diff(before: DataFrame, after: DataFrame, block: int = HOUR) -> DataFrame:
+    """What changed between two versions, per document the largest first (``ord``): change, source_start, source_end, and where it is in the new
+    version (``start``, NULL for what was removed).
+
+    'removed' and 'added' compare the source time that each track uses of an asset, not its clips. 'reframed', where both versions have a ``placement``, is a clip of
+    the new version whose source range is in the old one (its first clip counts) at another place in the frame."""
     keys = [*TRACK, "asset"]
-    before, after = cut_lineage(before.select(*keys, "source_start", "source_end")), cut_lineage(after.select(*keys, "source_start", "source_end"))
-    removed = subtract(before, after, keys, "source_start", "source_end").withColumn("change", F.lit("removed"))
-    added = subtract(after, before, keys, "source_start", "source_end").withColumn("change", F.lit("added"))
-    return removed.unionByName(added)
+    placed = "placement" in before.columns and "placement" in after.columns
+    more = ["placement"] if placed else []
+    old, new = (cut_lineage(x.select(*keys, "clip", "source_start", "source_end", "start", *more)) for x in (before, after))
+    span = ("source_start", "source_end")
+    removed = subtract(old.select(*keys, *span), new.select(*keys, *span), keys, *span, block).withColumn("change", F.lit("removed")).withColumn("start", F.lit(None).cast("bigint"))
+    added = subtract(new.select(*keys, *span), old.select(*keys, *span), keys, *span, block)
+    # the first clip of the new version that plays some of it
+    n = new.select(*keys, F.col("clip").alias("n_clip"), F.col("source_start").alias("n_s"), F.col("source_end").alias("n_e"), F.col("start").alias("n_start"))
+    landed = overlap_pairs(added, n, keys, span, ("n_s", "n_e"), block // 60).groupBy(*keys, *span).agg(F.min(F.struct("n_clip", "n_start"))["n_start"].alias("start"))
+    out = removed.unionByName(landed.withColumn("change", F.lit("added")))
+    if placed:
+        first = old.groupBy(*keys, *span).agg(F.min(F.struct("clip", "placement"))["placement"].alias("was"))
+        moved = new.join(first, [*keys, *span]).where(~F.col("was").eqNullSafe(F.col("placement")))
+        out = out.unionByName(moved.select(*keys, *span, F.lit("reframed").alias("change"), "start"))
+    out = out.withColumn("__size", F.col("source_start") - F.col("source_end"))
+    return numbered(out, ["doc"], ["__size", "track", "asset", "change", "source_start", "start"], "ord", block // 360).drop("__size")
 
 
 def lower_plan(clips: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
@@ -129,8 +146,9 @@ def placement_problem(confidence: Column, floor: Column, known_track: Column, kn
 def broken_links(beats: DataFrame, links: DataFrame, surviving: DataFrame) -> DataFrame:
     """Links of which exactly one side survives: ``beats`` doc, beat, first, last (words, inclusive); ``links`` doc, link, setup, payoff;
     ``surviving`` doc, idx. A beat survives if any of its words does; a link to a beat that isn't there is reported as missing."""
-    w = surviving.select(F.col("doc").alias("w_doc"), F.col("idx"))
-    b = beats.join(w, (F.col("doc") == F.col("w_doc")) & F.col("idx").between(F.col("first"), F.col("last")), "left").groupBy("doc", "beat").agg((F.count("idx") > 0).alias("lives"))
+    # a beat survives if the first word that does, at or behind its own first, isn't past its end
+    b = nearest_samples(beats, surviving.select("doc", "idx"), ["doc"], "first", "idx", [], block=PLACES)
+    b = b.select("doc", "beat", F.coalesce(F.col("after.at") <= F.col("last"), F.lit(False)).alias("lives"))
     side = lambda name: b.select(F.col("doc").alias(f"{name}_doc"), F.col("beat").alias(f"{name}_beat"), F.col("lives").alias(f"{name}_lives"))
     j = links.join(side("s"), (F.col("doc") == F.col("s_doc")) & (F.col("setup") == F.col("s_beat")), "left").join(side("p"), (F.col("doc") == F.col("p_doc")) & (F.col("payoff") == F.col("p_beat")), "left")
     why = F.when(F.col("s_lives").isNull() | F.col("p_lives").isNull(), "missing beat").when(F.col("s_lives") & ~F.col("p_lives"), "payoff lost").when(~F.col("s_lives") & F.col("p_lives"), "setup lost")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.exact_time import floor_div
+from tapewright.operators import rules as R
 from tapewright.operators import timeline as L
-from tapewright.operators.intervals import merge
+from tapewright.operators.blocked import blocks, running_sums
+from tapewright.operators.command_log import Gates, replay
+from tapewright.operators.intervals import HOUR, merge, overlap_pairs
 from tapewright.plans.catalog import Catalog
 from tapewright.plans.interval_queries import _MERGED
 from tapewright.session import cut_lineage
-from tapewright.sources.standins import CUTS, EVENTS, SHOTS, WORDS, cut_ranges, events, shots, words
+from tapewright.sources.standins import CUTS, EVENTS, SHOTS, TURNS, WORDS, cut_ranges, events, shots, turns, us, words
+from tapewright.sources.tables import table
 
 CATALOG = Catalog()
 BUCKET = 20 * 10**6
@@ -25,9 +30,9 @@ _LOWERED = """lo AS (SELECT k.doc, greatest(c.start_us, k.source_start) - k.sour
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     m = cut_lineage(merge(shots(spark, sf), ["asset"], "start_us", "end_us"))
-    w = Window.partitionBy("asset").orderBy("start_us")
-    before = F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return m.select(F.col("asset").alias("doc"), F.lit(0).alias("track"), (F.row_number().over(w) - 1).alias("clip"), "asset", F.col("start_us").alias("source_start"), F.col("end_us").alias("source_end"), before.alias("start"))
+    m = blocks(m.withColumn("length", F.col("end_us") - F.col("start_us")).withColumn("one", F.lit(1).cast("bigint")), "start_us", HOUR)
+    m = running_sums(m, ["asset"], "__block", ["start_us"], {"length": "upto", "one": "place"})
+    return m.select(F.col("asset").alias("doc"), F.lit(0).alias("track"), (F.col("place") - 1).cast("int").alias("clip"), "asset", F.col("start_us").alias("source_start"), F.col("end_us").alias("source_end"), (F.col("upto") - F.col("length")).alias("start"))
 
 
 def lowered(spark: SparkSession, sf: str, c: DataFrame) -> DataFrame:
@@ -79,17 +84,78 @@ def timeline_move(spark: SparkSession, sf: str) -> DataFrame:
 _DIFF = f"""WITH {_CLIPS}, {_LOWERED}, e AS (
   SELECT asset, pt, sum(da) AS da, sum(db) AS db FROM (SELECT asset, source_start AS pt, 1 AS da, 0 AS db FROM k UNION ALL SELECT asset, source_end, -1, 0 FROM k UNION ALL SELECT asset, start_us, 0, 1 FROM c UNION ALL SELECT asset, end_us, 0, -1 FROM c) GROUP BY asset, pt),
 r AS (SELECT asset, pt, lead(pt) OVER w AS nxt, sum(da) OVER w AS a, sum(db) OVER w AS b FROM e WINDOW w AS (PARTITION BY asset ORDER BY pt)), x AS (SELECT * FROM r WHERE a > 0 AND b > 0 AND nxt IS NOT NULL),
-g AS (SELECT *, sum(CASE WHEN was = pt THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY pt) AS n FROM (SELECT *, lag(nxt) OVER (PARTITION BY asset ORDER BY pt) AS was FROM x))
-SELECT asset AS doc, 0 AS track, asset, min(pt) AS source_start, max(nxt) AS source_end, 'removed' AS change FROM g GROUP BY asset, n"""
+g AS (SELECT *, sum(CASE WHEN was = pt THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY pt) AS n FROM (SELECT *, lag(nxt) OVER (PARTITION BY asset ORDER BY pt) AS was FROM x)),
+rm AS (SELECT asset AS doc, 0 AS track, asset, min(pt) AS source_start, max(nxt) AS source_end, 'removed' AS change, NULL::BIGINT AS start FROM g GROUP BY asset, n)
+SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY source_start - source_end, source_start) - 1)::INT AS ord FROM rm"""
 
 
 @CATALOG.add("timeline_diff", _DIFF)
 def timeline_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """What the cut plans took out, by comparing the versions before and after."""
+    """What the cut plans took out, by comparing the versions before and after, the largest first."""
     c = clips(spark, sf)
     return L.diff(c, L.ripple_delete(c, lowered(spark, sf, c), BUCKET))
 
 
+_REFRAMED = f"""WITH {_CLIPS} SELECT doc, track, asset, source_start, source_end, 'reframed' AS change, start, (row_number() OVER (PARTITION BY doc ORDER BY source_start - source_end, source_start, start) - 1)::INT AS ord FROM k WHERE source_end - source_start > 20000000"""
+
+
+@CATALOG.add("timeline_reframed", _REFRAMED)
+def timeline_reframed(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips of over 20 s put to another place in the frame."""
+    c = clips(spark, sf).withColumn("placement", F.lit("full"))
+    return L.diff(c, c.withColumn("placement", F.when(F.col("source_end") - F.col("source_start") > 20 * 10**6, "left").otherwise("full")))
+
+
+_INSTANTS = f"""WITH {_CLIPS} SELECT doc, track, clip, asset, start AS "at", source_start AS source_at FROM k WHERE start > 0"""
+
+
+@CATALOG.add("timeline_cut_instants", _INSTANTS)
+def timeline_cut_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the cuts are on the timeline, and the source instants at which they resume."""
+    c = clips(spark, sf)
+    return R.cut_instants(c, c.select("doc", "track", F.lit("video").alias("kind")).distinct())
+
+
+_AT = f"""WITH {_CLIPS}, {TURNS}, i AS (SELECT turn_id, asset, start_us FROM t),
+b AS (SELECT *, unnest(generate_series(start // 20000000, (start + source_end - source_start - 1) // 20000000)) AS b FROM k)
+SELECT i.turn_id, b.clip, b.source_start + i.start_us - b.start AS source_at FROM i JOIN b ON i.asset = b.doc AND i.start_us // 20000000 = b.b AND b.start <= i.start_us AND i.start_us < b.start + b.source_end - b.source_start"""
+
+
+@CATALOG.add("timeline_source_time", _AT)
+def timeline_source_time(spark: SparkSession, sf: str) -> DataFrame:
+    """The source instant that the timeline plays at the times at which turns start, and the topmost clip there."""
+    c = L.with_end(clips(spark, sf)).withColumn("duration", F.lit(None).cast("bigint"))
+    points = turns(spark, sf).select(F.col("asset").alias("doc"), "turn_id", F.col("start_us").alias("t"), (F.col("start_us") + 1).alias("t_end"))
+    hit = overlap_pairs(points, c, ["doc"], ("t", "t_end"), ("start", "end"), BUCKET)
+    top = L.topmost(hit, ["doc", "turn_id"]).select(F.col("turn_id").alias("top_turn"), F.col("track").alias("top_track"), F.col("clip").alias("top_clip"))
+    top_only = hit.join(top, (F.col("turn_id") == F.col("top_turn")) & (F.col("track") == F.col("top_track")) & (F.col("clip") == F.col("top_clip")))
+    return L.source_time(top_only, "t", "source_at").select("turn_id", "clip", "source_at")
+
+
+@CATALOG.add("timeline_commands")
+def timeline_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents from a log: an asset, a track, every shot placed where it was, on a grid of 25 frames a second, with its score as the confidence, its place in
+    the frame, and thirty seconds moved at the end; what the gates refuse isn't there."""
+    frame, million = 40_000, 10**6
+    nothing = {"track": "int", "asset": "string", "a": "bigint", "b": "bigint", "to": "bigint", "confidence": "double", "placement": "string"}
+
+    def command(df: DataFrame, kind: str, seq, **given) -> DataFrame:
+        return df.select(F.col("asset").alias("doc"), seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in nothing.items()])
+
+    a = table(spark, sf, "assets").where("asset IS NOT NULL").groupBy("asset").agg(F.coalesce(F.max(us("duration_num", "duration_den")), F.lit(0)).alias("duration"))
+    s = shots(spark, sf).withColumn("s", floor_div(F.col("start_us"), F.lit(frame)) * frame).withColumn("e", floor_div(F.col("end_us"), F.lit(frame)) * frame)
+    number = F.col("shot_id") * 2 + 10
+    log = command(a, "addAsset", F.lit(0), asset=F.col("asset"), b=F.col("duration"))
+    for more in (
+        command(a, "addTrack", F.lit(1), asset=F.lit("video")),
+        command(s, "place", number, track=F.lit(0), asset=F.col("asset"), a=F.col("s"), b=F.col("e"), to=F.col("s"), confidence=F.col("boundary_score") + 0.5),
+        command(s, "placeInFrame", number + 1, track=F.lit(0), a=F.lit(0), confidence=F.lit(1.0), placement=F.col("shot_id").cast("string")),
+        command(a, "move", F.lit(2**60), track=F.lit(0), a=F.lit(0), b=F.lit(30 * million), to=F.lit(60 * million), confidence=F.lit(1.0)),
+    ):
+        log = log.unionByName(more)
+    return replay(log, gates=Gates(frame=frame))
+
+
 _HASH = f"""WITH {_CLIPS} SELECT doc, clip, sha256('{{"asset":"' || asset || '","source_end":' || source_end || ',"source_start":' || source_start || ',"start":' || start || '}}') AS id FROM k"""
 
 
