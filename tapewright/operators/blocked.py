@@ -90,28 +90,34 @@ def blocks(df: DataFrame, at: str, width: int, out: str = "__block") -> DataFram
     return df.withColumn(out, floor_div(F.col(at).cast("bigint"), F.lit(width).cast("bigint")))
 
 
-def value_runs(df: DataFrame, keys: Sequence[str], at: str, value: str, width: int, tie: Sequence[str] = (), total: str | None = None) -> DataFrame:
-    """Longest stretches of rows, in the order of ``at``, with one value (NULL is one): keys, value, start, end (first and last place), n and, of
-    a column ``total``, its sum.
+def value_runs(df: DataFrame, keys: Sequence[str], at: str, value: str, width: int | None, tie: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Longest stretches of rows, in the order of ``at``, with one value (NULL is one): keys, value, start, end (first and last place), n, next (the place
+    of the first row behind, NULL at the end of the entity) and, of a column ``total``, its sum.
 
     A block of ``width`` units sums up its runs, and only its first and last run are joined with those of other blocks. Rows at one
-    place are ordered by ``tie``.
+    place are ordered by ``tie``. Without a width ``df`` has its blocks already, as ``__block``, and keeps its partitioning.
     """
-    d = blocks(df.select(*keys, at, value, *[c for c in dict.fromkeys((*tie, *([total] if total else []))) if c not in (at, value, *keys)]), at, width)
+    d = df if width is None else blocks(df, at, width)
+    d = d.select(*dict.fromkeys((*keys, "__block", at, value, *tie, *([total] if total else []))))
     w = Window.partitionBy(*keys, "__block").orderBy(at, *tie)
-    was = F.lag(F.struct(F.col(value).alias("v"))).over(w)
-    d = d.withColumn("__was", was).withColumn("__fresh", (F.col("__was").isNull() | ~F.col("__was.v").eqNullSafe(F.col(value))).cast("int"))
+    d = d.withColumn("__was", F.lag(F.struct(F.col(value).alias("v"))).over(w)).withColumn("__next", F.lead(at).over(w))
+    d = d.withColumn("__fresh", (F.col("__was").isNull() | ~F.col("__was.v").eqNullSafe(F.col(value))).cast("int"))
     d = d.withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    what = [F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"), *([F.sum(total).alias("total")] if total else [])]
-    local = d.groupBy(*keys, "__block", "__run", value).agg(*what).withColumn("__last", F.col("__run") == F.max("__run").over(Window.partitionBy(*keys, "__block")))
-    cols = [*keys, value, "start", "end", "n", *(["total"] if total else [])]
+    more = [F.sum(total).alias("total")] if total else []
+    # the place behind a run: of the last row, which is the only one with a larger or no next place
+    behind = F.max_by("__next", F.struct(at, *tie)).alias("next")
+    local = d.groupBy(*keys, "__block", "__run", value).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"), behind, *more)
+    local = local.withColumn("__last", F.col("__run") == F.max("__run").over(Window.partitionBy(*keys, "__block")))
+    cols = [*keys, value, "start", "end", "n", "next", *(["total"] if total else [])]
     # one or two rows per block
     e = Window.partitionBy(*keys).orderBy("__block", "__run")
     edges = local.where("__run = 1 OR __last").withColumn("__was", F.lag(F.struct(F.col(value).alias("v"))).over(e))
+    edges = edges.withColumn("next", F.coalesce("next", F.lead("start").over(e)))
     fresh = (F.col("__run") > 1) | F.col("__was").isNull() | ~F.col("__was.v").eqNullSafe(F.col(value))
     edges = edges.withColumn("__whole", F.sum(fresh.cast("int")).over(e.rowsBetween(Window.unboundedPreceding, 0)))
-    what = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *([F.sum("total").alias("total")] if total else [])]
-    merged = edges.groupBy(*keys, "__whole", value).agg(*what).select(*cols)
+    more = [F.sum("total").alias("total")] if total else []
+    what = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.max_by("next", F.struct("__block", "__run")).alias("next")]
+    merged = edges.groupBy(*keys, "__whole", value).agg(*what, *more).select(*cols)
     return local.where("__run > 1 AND NOT __last").select(*cols).unionByName(merged)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.exact_time import floor_div, int_div
 from tapewright.operators.blocked import blocks, following, previous, running_max, running_sum, running_sums, value_runs
 from tapewright.operators.run_bitmap import periods_and_gaps
+from tapewright.session import cut_lineage
 
 #: An hour of microseconds.
 HOUR = 3600 * 10**6
@@ -44,10 +45,9 @@ def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: s
     e = edges(a.where(F.col(end) > F.col(start)), 1, 0).unionByName(edges(b.where(F.col(end) > F.col(start)), 0, 1))
     e = blocks(e.groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db")), "at", block)
     e = running_sums(e, keys, "__block", ["at"], {"da": "na", "db": "nb"})
-    r = value_runs(e.withColumn("kept", (F.col("na") > 0) & (F.col("nb") <= 0)), keys, "at", "kept", block)
     # a stretch ends where the next begins; the last edge covers nothing
-    r = following(blocks(r, "start", block), keys, "__block", ["start"], "start", "nxt")
-    return r.where("kept AND nxt IS NOT NULL").select(*keys, F.col("start").alias(start), F.col("nxt.value").alias(end))
+    r = value_runs(e.withColumn("kept", (F.col("na") > 0) & (F.col("nb") <= 0)), keys, "at", "kept", None)
+    return r.where("kept AND next IS NOT NULL").select(*keys, F.col("start").alias(start), F.col("next").alias(end))
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], fresh: Column, out: str, block: int = HOUR) -> DataFrame:
@@ -59,13 +59,23 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], fresh: Col
 def coalesce_within(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int, reason: str, block: int = HOUR) -> DataFrame:
     """Ranges of one class at most ``gap`` apart become one; reasons are chained by "; " unless equal to what the chain holds so far.
 
-    The chain is one text per range of the result, so it is as long as that range has different reasons in turn."""
+    A block sums up its ranges, of which the first may go on from the block before. The chain is one text per range of the result, so it is as
+    long as that range has different reasons in turn."""
     order = [start, end, reason]
-    g = running_max(blocks(df, start, block), keys, "__block", order, end, "__reach").drop("__block")
-    g = islands(g, keys, order, F.col(start) - F.col("__reach") > gap, "__n", block)
-    said = F.transform(F.array_sort(F.collect_list(F.struct(start, end, reason))), lambda x: x[reason])
-    chain = F.reduce(F.slice(said, 2, 1_000_000_000), F.element_at(said, 1), lambda a, b: F.when(a == b, a).otherwise(F.concat(a, F.lit("; "), b)))
-    return g.groupBy(*keys, "__n").agg(F.min(start).alias(start), F.max(end).alias(end), chain.alias(reason), F.count(F.lit(1)).alias("n_items")).drop("__n")
+    g = running_max(blocks(df.select(*keys, *order), start, block), keys, "__block", order, end, "__reach")
+    w = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("__run", F.sum(F.coalesce(F.col(start) - F.col("__reach") > gap, F.lit(True)).cast("int")).over(w))
+    local = g.groupBy(*keys, "__block", "__run").agg(F.min(start).alias("s"), F.max(end).alias("e"), F.array_sort(F.collect_list(F.struct(*order))).alias("said"), F.count(F.lit(1)).alias("n_items"))
+    local = local.withColumn("__last", F.col("__run") == F.max("__run").over(Window.partitionBy(*keys, "__block")))
+    # run 0 goes on; one or two rows per block can be joined
+    e = Window.partitionBy(*keys).orderBy("__block", "__run").rowsBetween(Window.unboundedPreceding, 0)
+    edges = local.where("__run = 0 OR __last").withColumn("__whole", F.sum((F.col("__run") > 0).cast("int")).over(e))
+    merged = edges.groupBy(*keys, "__whole").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_sort(F.flatten(F.collect_list("said"))).alias("said"), F.sum("n_items").alias("n_items"))
+    cols = [*keys, "s", "e", "said", "n_items"]
+    out = local.where("__run > 0 AND NOT __last").select(*cols).unionByName(merged.select(*cols))
+    reasons = F.transform("said", lambda x: x[reason])
+    chain = F.reduce(F.slice(reasons, F.lit(2), F.size(reasons)), F.element_at(reasons, 1), lambda a, b: F.when(a == b, a).otherwise(F.concat(a, F.lit("; "), b)))
+    return out.select(*keys, F.col("s").alias(start), F.col("e").alias(end), chain.alias(reason), "n_items")
 
 
 def threshold_runs(df: DataFrame, keys: Sequence[str], order: str, level: str, below: float, longer_than: int, padding: int, block: int = HOUR) -> DataFrame:
@@ -88,7 +98,7 @@ def sample_ranges(df: DataFrame, keys: Sequence[str], at: str, holds: Column, to
 
 def visits(df: DataFrame, keys: Sequence[str], order: str, holder: str, at_least: int, rejoin: int, block: int = HOUR) -> DataFrame:
     """Runs with one exclusive holder (NULL: none or several), of a minimum length; then runs of one holder close together are joined again."""
-    r = value_runs(df, keys, order, holder, block).where(F.col(holder).isNotNull() & (F.col("end") - F.col("start") >= at_least)).select(*keys, holder, "start", "end")
+    r = cut_lineage(value_runs(df, keys, order, holder, block).where(F.col(holder).isNotNull() & (F.col("end") - F.col("start") >= at_least)).select(*keys, holder, "start", "end"))
     r = previous(blocks(r.withColumn("__run", F.struct(F.col(holder).alias("holder"), "end")), "start", block), keys, "__block", ["start"], "__run", "__was").drop("__block", "__run")
     was = F.col("__was.value")
     r = islands(r, keys, ["start"], ~((was["holder"] == F.col(holder)) & (F.col("start") - was["end"] < rejoin)), "__m", block)
@@ -97,7 +107,7 @@ def visits(df: DataFrame, keys: Sequence[str], order: str, holder: str, at_least
 
 def opening_run(df: DataFrame, keys: Sequence[str], order: str, active: Column, most_misses: int, at_least: int, block: int = HOUR) -> DataFrame:
     """The run from the beginning in which all are active, over at most ``most_misses`` misses in a row; NULL end if it ends before ``at_least``."""
-    r = value_runs(df.withColumn("__on", F.coalesce(active, F.lit(False))), keys, order, "__on", block)
+    r = cut_lineage(value_runs(df.withColumn("__on", F.coalesce(active, F.lit(False))), keys, order, "__on", block))
     broken = r.groupBy(*keys).agg(F.min(F.when(~F.col("__on") & (F.col("n") > most_misses), F.col("start"))).alias("__stop"))
     r = r.join(broken, list(keys)).where("__stop IS NULL OR start < __stop")
     last = r.where("__on").groupBy(*keys).agg(F.max("end").alias("__end"))
@@ -107,17 +117,16 @@ def opening_run(df: DataFrame, keys: Sequence[str], order: str, active: Column,
 
 def longest_absence(df: DataFrame, keys: Sequence[str], order: str, present: Column, tail: int, block: int = HOUR) -> DataFrame:
     """The longest run without presence, from its first sample to the next presence; an open run ends one ``tail`` after its last sample."""
-    r = value_runs(df.withColumn("__on", F.coalesce(present, F.lit(False))), keys, order, "__on", block)
-    r = following(blocks(r, "start", block), keys, "__block", ["start"], "start", "__next").where("NOT __on")
-    length = F.coalesce(F.col("__next.value"), F.col("end") + tail) - F.col("start")
+    r = value_runs(df.withColumn("__on", F.coalesce(present, F.lit(False))), keys, order, "__on", block).where("NOT __on")
+    length = F.coalesce(F.col("next"), F.col("end") + tail) - F.col("start")
     best = F.max(F.struct(length.alias("length"), (-F.col("start")).alias("first")))
     return r.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.first")).alias("start"), F.col("b.length").alias("length"))
 
 
-def _levels(width: int, *ranges: tuple[DataFrame, str, str]) -> list[int]:
-    """Bucket widths: the given one, and as many larger ones, each SPREAD times the last, as the longest range asks for."""
+def _levels(width: int, longest: int | None, *ranges: tuple[DataFrame, str, str]) -> list[int]:
+    """Bucket widths: the given one, and as many larger ones, each SPREAD times the last, as the longest range asks for, which is looked up if it isn't known."""
     out = [width]
-    longest = max((df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0) for df, s, e in ranges)
+    longest = longest if longest is not None else max((df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0) for df, s, e in ranges)
     while longest > out[-1] * SPREAD:
         out.append(out[-1] * SPREAD)
     return out
@@ -145,12 +154,13 @@ def _listed(df: DataFrame, start: str, end: str, levels: Sequence[int], out: str
     return df.withColumn(out, F.explode(F.concat(*at) if len(at) > 1 else at[0]))
 
 
-def point_in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: Sequence[str], width: int) -> DataFrame:
+def point_in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: Sequence[str], width: int, longest: int | None = None) -> DataFrame:
     """Each point with the first range, by ``order``, that contains it; points in no range keep NULLs, repeated points stay. Ranges have distinct column
-    names; repeated, empty and reversed ones and NULL edges don't matter. ``width``: about the length of a range."""
+    names; repeated, empty and reversed ones and NULL edges don't matter. ``width``: about the length of a range; ``longest``: of the longest, if it is
+    known."""
     cols = [c for c in ranges.columns if c not in keys]
     r = ranges.where(F.col(end) > F.col(start)).dropDuplicates()
-    levels = _levels(width, (r, start, end))
+    levels = _levels(width, longest, (r, start, end))
     rk = [f"__r_{k}" for k in keys]
     r = _listed(r, start, end, levels, "__rb", False).select(*[F.col(k).alias(n) for k, n in zip(keys, rk)], *cols, "__rb")
     p = points.withColumn("__pb", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), floor_div(F.col(at), F.lit(x)).alias("bucket")) for n, x in enumerate(levels)])))
@@ -166,12 +176,12 @@ def point_in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at
     return out.select(*points.columns, *[F.col(f"__b.f.{c}").alias(c) for c in cols])
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int) -> DataFrame:
+def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int, longest: int | None = None) -> DataFrame:
     """All pairs of overlapping ranges of one entity, once: a pair is reported in the bucket where the later of the two begins, at the level of the longer."""
     (s, e), (t, u) = a_range, b_range
     bk = [f"__b_{k}" for k in keys]
     a, b = a.where(F.col(e) > F.col(s)), b.where(F.col(u) > F.col(t))
-    levels = _levels(width, (a, s, e), (b, t, u))
+    levels = _levels(width, longest, (a, s, e), (b, t, u))
     left = _listed(a.withColumn("__al", _level_of(s, e, levels)), s, e, levels, "__ab", True)
     right = _listed(b.withColumn("__bl", _level_of(t, u, levels)), t, u, levels, "__bb", True).select(*[F.col(k).alias(n) for k, n in zip(keys, bk)], *[c for c in b.columns if c not in keys], "__bl", "__bb")
     home = F.lit(None).cast("bigint")

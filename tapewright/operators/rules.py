@@ -197,7 +197,7 @@ def cuts_rest_on_confident_words(cuts: DataFrame, words: DataFrame, reach: int,
     """The least sure word with an edge within ``reach`` of a cut, if it is under ``least`` (confidence in hundredths)."""
     edges = words.select("doc", "idx", "conf", F.explode(F.array("start", "end")).alias("edge")).select("doc", "idx", "conf", (F.col("edge") - reach).alias("lo"), (F.col("edge") + reach + 1).alias("hi"))
     c = cuts.select("doc", "at").distinct().withColumn("at_end", F.col("at") + 1)
-    j = overlap_pairs(c, edges, ["doc"], ("at", "at_end"), ("lo", "hi"), width)
+    j = overlap_pairs(c, edges, ["doc"], ("at", "at_end"), ("lo", "hi"), width, 2 * reach + 1)
     worst = j.groupBy("doc", "at").agg(F.min(F.struct("conf", "idx")).alias("w")).where(F.col("w.conf") < least)
     return finding(worst, "cuts rest on confident words", "speech", "hold", F.col("doc"), F.col("at"), F.concat(F.lit("word "), F.col("w.idx").cast("string")))
 

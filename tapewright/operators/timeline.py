@@ -45,7 +45,7 @@ def ripple_delete(clips: DataFrame, removals: DataFrame, width: int, block: int
     # what was removed before a piece: a running sum over the removals' ends and the pieces' starts
     ends = r.select(*TRACK, F.col("r_end").alias("t"), F.lit(0).alias("kind"), (F.col("r_end") - F.col("r_start")).alias("gone"))
     pieces = p.select(*TRACK, F.col("k_start").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("gone"), F.struct("clip", "asset", "source_start", "start", "k_start", "k_end").alias("p"))
-    u = blocks(ends.unionByName(pieces, allowMissingColumns=True), "t", block)
+    u = cut_lineage(blocks(ends.unionByName(pieces, allowMissingColumns=True), "t", block))
     u = running_sum(u, TRACK, "__block", ["t", "kind"], "gone", "before").where("kind = 1")
     out = u.select(
         *TRACK,
@@ -103,7 +103,7 @@ def diff(before: DataFrame, after: DataFrame, block: int = HOUR) -> DataFrame:
         first = old.groupBy(*keys, *span).agg(F.min(F.struct("clip", "placement"))["placement"].alias("was"))
         moved = new.join(first, [*keys, *span]).where(~F.col("was").eqNullSafe(F.col("placement")))
         out = out.unionByName(moved.select(*keys, *span, F.lit("reframed").alias("change"), "start"))
-    out = out.withColumn("__size", F.col("source_start") - F.col("source_end"))
+    out = cut_lineage(out.withColumn("__size", F.col("source_start") - F.col("source_end")))
     return numbered(out, ["doc"], ["__size", "track", "asset", "change", "source_start", "start"], "ord", block // 360).drop("__size")
 
 

@@ -32,6 +32,10 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
     m = cut_lineage(merge(shots(spark, sf), ["asset"], "start_us", "end_us"))
     m = blocks(m.withColumn("length", F.col("end_us") - F.col("start_us")).withColumn("one", F.lit(1).cast("bigint")), "start_us", HOUR)
     m = running_sums(m, ["asset"], "__block", ["start_us"], {"length": "upto", "one": "place"})
+    return cut_lineage(_as_clips(m))
+
+
+def _as_clips(m: DataFrame) -> DataFrame:
     return m.select(F.col("asset").alias("doc"), F.lit(0).alias("track"), (F.col("place") - 1).cast("int").alias("clip"), "asset", F.col("start_us").alias("source_start"), F.col("end_us").alias("source_end"), (F.col("upto") - F.col("length")).alias("start"))
 
 
