@@ -56,14 +56,15 @@ def integrated_loudness(blocks: DataFrame, keys: Sequence[str], power: str = "po
 
 def loudness_range(blocks: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
     """Spread between the 10th and 95th percentile (nearest rank, rounded) of the short-term loudness, gated at -70 and 20 below the mean."""
-    from tapewright.operators.statistics import nearest_rank
+    from tapewright.operators.statistics import at_ranks, nearest_rank
 
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - blocks_per_window, 0)
     s = blocks.select(*keys, F.avg(power).over(w).alias("p"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == blocks_per_window)
     s = s.where(loudness(F.col("p")) > ABSOLUTE_GATE)
     gate = s.groupBy(*keys).agg((loudness(F.avg("p")) + RANGE_GATE).alias("__gate"))
     s = s.join(gate, list(keys)).where(loudness(F.col("p")) > F.col("__gate")).withColumn("l", loudness(F.col("p")))
-    return s.groupBy(*keys).agg((nearest_rank(F.col("l"), 0.95, True) - nearest_rank(F.col("l"), 0.10, True)).alias("loudness_range"))
+    r = at_ranks(s, keys, "l", {"high": nearest_rank(0.95, True), "low": nearest_rank(0.10, True)})
+    return r.select(*keys, (F.col("high") - F.col("low")).alias("loudness_range"))
 
 
 def gain_to(target: Column, integrated: Column) -> Column:
@@ -79,19 +80,45 @@ def rms_frames(samples: DataFrame, keys: Sequence[str], n: str, value: str, size
 
 def silence_profile(frames: DataFrame, keys: Sequence[str], db: str = "db", below_speech: float = 25.0) -> DataFrame:
     """Speech level (55th percentile of the frames over -45 dB), noise floor (10th of all) and the threshold under which it is silent."""
-    from tapewright.operators.statistics import nearest_rank
+    from tapewright.operators.statistics import at_ranks, nearest_rank
 
-    loud = F.when(F.col(db) > -45, F.col(db))
-    g = frames.groupBy(*keys).agg(F.coalesce(nearest_rank(loud, 0.55), F.lit(-120.0)).alias("speech_level"), nearest_rank(F.col(db), 0.10).alias("noise_floor"))
+    floor = at_ranks(frames, keys, db, {"noise_floor": nearest_rank(0.10)}).select(*keys, "noise_floor")
+    speech = at_ranks(frames.where(F.col(db) > -45), keys, db, {"speech_level": nearest_rank(0.55)}).select(*keys, "speech_level")
+    g = floor.join(speech, list(keys), "left").select(*keys, F.coalesce("speech_level", F.lit(-120.0)).alias("speech_level"), "noise_floor")
     return g.withColumn("threshold", F.col("speech_level") - below_speech)
 
 
 def cut_scores(df: DataFrame, keys: Sequence[str], distance: str = "distance", factor: float = 6.0, least: float = 0.08) -> DataFrame:
-    """Threshold of shot cuts: a multiple of the upper median distance, at least a fixed value; ``is_cut`` is strict."""
-    from tapewright.operators.statistics import upper_median
+    """Threshold of shot cuts: a multiple of the upper median distance, at least a fixed value; ``is_cut`` is strict. Without a distance nothing is a cut."""
+    from tapewright.operators.statistics import ranked_value, upper_median
 
-    t = df.groupBy(*keys).agg(F.greatest(factor * upper_median(F.col(distance)), F.lit(least)).alias("threshold"))
-    return df.join(t, list(keys)).withColumn("is_cut", F.coalesce(F.col(distance) > F.col("threshold"), F.lit(False)))
+    t = ranked_value(df, keys, distance, upper_median).select(*keys, F.greatest(factor * F.col(distance), F.lit(least)).alias("threshold"))
+    return df.join(t, list(keys), "left").withColumn("is_cut", F.coalesce(F.col(distance) > F.col("threshold"), F.lit(False)))
+
+
+def shots_of_cuts(scores: DataFrame, keys: Sequence[str], at: str, distance: str, end: DataFrame, shortest: int) -> DataFrame:
+    """Shots from frames with ``is_cut``: keys, shot, start, end, boundary_score.
+
+    ``end``: keys and ``end`` of each recording. A cut counts if more than ``shortest`` lies between it and the last one that did (or 0), which is decided in
+    order, over the cuts of one recording alone; the shot behind it carries its distance. What is left is a shot of any length; without cuts the whole recording is one.
+    """
+    import pandas as pd
+
+    cuts = scores.where("is_cut").select(*keys, F.col(at).cast("bigint").alias("at"), F.col(distance).cast("double").alias("score"))
+    j = end.select(*keys, "end").join(cuts, list(keys), "left")
+    kinds = ", ".join(f"{k} {end.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        stop, start, score, out = int(pdf["end"].iloc[0]), 0, 0.0, []
+        for t, s in sorted((int(t), s) for t, s in zip(pdf["at"], pdf["score"]) if t == t and t is not pd.NA and t is not None):
+            if t - start > shortest:
+                out.append((*key, len(out), start, t, score))
+                start, score = t, s
+        if start < stop or not out:
+            out.append((*key, len(out), start, max(stop, start), score))
+        return pd.DataFrame(out, columns=[*keys, "shot", "start", "end", "boundary_score"])
+
+    return j.groupBy(*keys).applyInPandas(run, f"{kinds}, shot int, start bigint, end bigint, boundary_score double")
 
 
 def otsu_threshold(df: DataFrame, keys: Sequence[str], value: str, bins: int = 128, fallback: float = 0.005) -> DataFrame:
@@ -140,11 +167,12 @@ def classify_frames(stats: DataFrame, low: Column, high: Column, tagged: Column)
 
 def cadence(df: DataFrame, keys: Sequence[str], at: str, first: int = 12) -> DataFrame:
     """Frames per second from the first timestamps (microseconds): 1 over the upper median of the positive gaps; NULL with fewer than three timestamps."""
-    from tapewright.operators.statistics import upper_median
+    from tapewright.operators.statistics import ranked_value, upper_median
 
     w = Window.partitionBy(*keys).orderBy(at)
     g = df.withColumn("__k", F.row_number().over(w)).withColumn("gap", F.col(at) - F.lag(at).over(w)).where(F.col("__k") <= first)
-    m = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), upper_median(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"))
+    n = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    m = n.join(ranked_value(g.where("gap > 0"), keys, "gap", upper_median, "n_gaps"), list(keys), "left")
     return m.select(*keys, F.when((F.col("n") >= 3) & (F.col("gap") > 0), F.lit(1e6) / F.col("gap")).alias("fps"))
 
 

@@ -10,27 +10,54 @@ from pyspark.sql import functions as F
 from tapewright.functions.exact_time import int_div
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value, of two the upper: an aggregate. NULLs don't count; of nothing it is NULL."""
-    return F.try_element_at(F.sort_array(F.collect_list(values)), (F.floor(F.count(values) / 2) + 1).cast("int"))
+#: Values of one block of ranks: so many to a doubling of size.
+PER_OCTAVE = 16
 
 
-def nearest_rank(values: Column, share: float, rounded: bool = False) -> Column:
-    """The value at rank (n - 1) * share, rounded down or to the nearest: an aggregate."""
-    at = (F.count(values) - 1) * share
-    at = F.round(at) if rounded else F.floor(at)
-    return F.when(F.count(values) > 0, F.try_element_at(F.sort_array(F.collect_list(values)), (at + 1).cast("int")))
+def upper_median(n: Column) -> Column:
+    """The rank (from 0) of the middle value of n, of two the upper."""
+    return F.floor(n / 2)
 
 
-def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank: Column, count: str = "n") -> DataFrame:
-    """The value at a rank (from 0, a column over ``count``) in each group, without gathering a group's values: by counts of the distinct values.
+def nearest_rank(share: float, rounded: bool = False):
+    """The rank (from 0) at (n - 1) * share, rounded down or to the nearest."""
+    return lambda n: F.round((n - 1) * share) if rounded else F.floor((n - 1) * share)
 
-    A group with few distinct values shrinks to those before the shuffle; use it where groups may hold a large share of all rows.
+
+def _size_block(value: Column) -> Column:
+    """Blocks in the order of the values: by sign and logarithm."""
+    steps = F.floor(F.log2(F.abs(value)) * PER_OCTAVE).cast("bigint") + 20_000
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, steps).otherwise(-steps)
+
+
+def at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, object], count: str = "n") -> DataFrame:
+    """One row per group with the values at ranks (name -> function of the number of values), from the counts of the distinct values.
+
+    Values are counted before they are shuffled, and summed up in blocks by size, so a group of any size is spread; nothing gathers its values. NULLs
+    don't count and a group without values gives no row. Also ``count``, the number of values.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    c = c.withColumn("__upto", F.sum("__c").over(w)).withColumn(count, F.sum("__c").over(Window.partitionBy(*keys)))
-    return c.where((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)).select(*keys, value, count)
+    c = df.select(*keys, F.col(value).alias("__v")).where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    c = c.withColumn("__block", _size_block(F.col("__v").cast("double")))
+    inner = c.groupBy(*keys, "__block").agg(F.sum("__c").alias("__s"))
+    w = Window.partitionBy(*keys)
+    blocks = inner.select(*keys, "__block", (F.sum("__s").over(w.orderBy("__block")) - F.col("__s")).alias("__before"), F.sum("__s").over(w).alias(count), F.col("__s"))
+    # only the blocks that hold a rank
+    wanted = [r(F.col(count)) for r in ranks.values()]
+    holds = F.lit(False)
+    for r in wanted:
+        holds = holds | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__s")))
+    blocks = blocks.where(holds).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"), "__before", count)
+    cond = F.col("__block") == F.col("__b")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    j = c.join(blocks, cond).withColumn("__upto", F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__block").orderBy("__v")))
+    pick = [F.max(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__c") <= r), F.col("__v"))).alias(name) for name, r in zip(ranks, wanted)]
+    return j.groupBy(*keys).agg(*pick, F.max(count).alias(count))
+
+
+def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank, count: str = "n") -> DataFrame:
+    """The value at a rank (a function of their number) in each group, and how many there are."""
+    return at_ranks(df, keys, value, {"__r": rank}, count).select(*keys, F.col("__r").alias(value), count)
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
@@ -130,7 +157,3 @@ def grid_cell(x: Column, y: Column, width: int, height: int, cells: int = 10) ->
     """Cell of a position on a square grid over the picture."""
     at = lambda c, size: F.least(F.greatest(F.floor(c * cells / size), F.lit(0)), F.lit(cells - 1)).cast("int")
     return at(y, height) * cells + at(x, width)
-
-
-def block_of(c: Column, size: int) -> Column:
-    return int_div(c, F.lit(size))

@@ -105,15 +105,15 @@ def signal_spatial_guard(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(peak, "user_id")
 
 
-_BANDS = """WITH c AS (SELECT label % 4 AS piece, vec_id AS frame, i // 16 AS band, embedding[i + 1]::DOUBLE * 10 AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
-s AS (SELECT piece, frame, band, stddev_pop(v) AS s FROM c GROUP BY ALL) SELECT piece, band, round(avg(s), 5) AS spread, avg(s) < 1.2 AS blank FROM s GROUP BY piece, band"""
+_BANDS = """WITH c AS (SELECT label % 4 AS piece, vec_id AS frame, i // 16 AS band, embedding[i + 1]::DOUBLE * 17 AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
+s AS (SELECT piece, frame, band, stddev_pop(v) AS s FROM c GROUP BY ALL) SELECT piece, band, round(avg(s), 5) AS spread, avg(s) < 2 AS blank FROM s GROUP BY piece, band"""
 
 
 @CATALOG.add("signal_blank_bands", _BANDS)
 def signal_blank_bands(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "embeddings").select((F.col("label") % 4).alias("piece"), F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
-    c = c.select("piece", "frame", F.call_function("div", F.col("i"), F.lit(16)).alias("band"), (F.col("v").cast("double") * 10).alias("v"))
-    return G.blank_bands(c, ["piece"], "frame", "band", "v", 1.2).withColumn("spread", F.round("spread", 5))
+    c = c.select("piece", "frame", F.call_function("div", F.col("i"), F.lit(16)).alias("band"), (F.col("v").cast("double") * 17).alias("v"))
+    return G.blank_bands(c, ["piece"], "frame", "band", "v").withColumn("spread", F.round("spread", 5))
 
 
 @CATALOG.add("signal_echo_step", "WITH o AS (SELECT label % 6 AS piece, vec_id, vec_id * 7 % 50 AS off FROM embeddings), d AS (SELECT piece, off - lag(off) OVER (PARTITION BY piece ORDER BY vec_id) AS step FROM o) SELECT piece, round(avg(step) FILTER (WHERE step > 0), 6) AS echo_step FROM d GROUP BY piece")

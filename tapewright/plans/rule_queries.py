@@ -125,7 +125,7 @@ wb AS (SELECT doc_id, idx, start_ms, end_ms, unnest(generate_series(start_ms //
 eb AS (SELECT doc_id, idx, conf, edge, unnest([edge // 1000 - 1, edge // 1000, edge // 1000 + 1]) AS b FROM (SELECT doc_id, idx, conf, unnest([start_ms, end_ms]) AS edge FROM w)),
 h AS (SELECT cp.doc, cp.pt, arg_min(idx, conf * 1000000 + idx) AS idx, min(conf) AS conf FROM cp JOIN eb ON cp.doc = eb.doc_id AND cp.pt // 1000 = eb.b WHERE abs(edge - cp.pt) <= 500 GROUP BY ALL)
 SELECT doc::VARCHAR AS subject, 'no cut inside a word' AS rule, 'speech' AS category, 'block' AS mode, pt AS "at", 'word ' || idx AS detail FROM (SELECT cp.doc, cp.pt, wb.idx, wb.start_ms, wb.end_ms FROM cp JOIN wb ON cp.doc = wb.doc_id AND cp.pt // 2000 = wb.b AND wb.start_ms <= cp.pt AND cp.pt < wb.end_ms) WHERE pt - start_ms > 20 AND end_ms - pt > 20
-UNION ALL SELECT doc::VARCHAR, 'cuts rest on confident words', 'speech', 'hold', pt, 'word ' || idx FROM h WHERE conf < 60"""
+UNION ALL SELECT doc::VARCHAR, 'cuts rest on confident words', 'speech', 'hold', pt, 'word ' || idx FROM h WHERE conf < 70"""
 
 
 @CATALOG.add("rule_cuts_and_words", _WORD_RULES)
@@ -136,7 +136,7 @@ def rule_cuts_and_words(spark: SparkSession, sf: str) -> DataFrame:
     was = F.lag("word").over(Window.partitionBy("doc_id").orderBy("idx"))
     w = words(spark, sf).withColumn("was", was).select(F.col("doc_id").alias("doc"), "idx", "conf", "was", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     cuts = w.where(F.col("was").rlike(r"[.?!]$")).select("doc", (F.col("start") + 150).alias("at"))
-    return R.no_cut_inside_a_word(cuts, w, 20, 2000).unionByName(R.cuts_rest_on_confident_words(cuts, w, 500, 60, 2000))
+    return R.no_cut_inside_a_word(cuts, w, 20, 2000).unionByName(R.cuts_rest_on_confident_words(cuts, w, 500, 70, 2000))
 
 
 _PICTURE = f"""WITH {SHOTS}, {TURNS}, n AS (SELECT asset, count(*) AS n FROM s GROUP BY asset HAVING count(*) > 1), cp AS (SELECT DISTINCT asset, start_us AS pt FROM t),

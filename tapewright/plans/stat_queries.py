@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import signals as G
 from tapewright.operators import statistics as S
+from tapewright.operators.blocked import blocks, previous
+from tapewright.operators.intervals import HOUR
 from tapewright.plans.catalog import Catalog
+from tapewright.session import cut_lineage
 from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, events, frames, shots, turns
 from tapewright.sources.tables import table
 
@@ -20,14 +23,15 @@ _MEDIANS = f"""WITH {EVENTS} SELECT user_id, list_sort(list(value))[len(list(val
 
 @CATALOG.add("stat_ranks", _MEDIANS)
 def stat_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return events(spark, sf).groupBy("user_id").agg(S.upper_median(v).alias("upper"), F.median(v).alias("middle"), S.nearest_rank(v, 0.9).alias("p90"), S.nearest_rank(v, 0.95, True).alias("p95r"))
+    lower_median = lambda n: F.floor((n - 1) / 2)
+    r = S.at_ranks(events(spark, sf), ["user_id"], "value", {"upper": S.upper_median, "low": lower_median, "p90": S.nearest_rank(0.9), "p95r": S.nearest_rank(0.95, True)})
+    return r.select("user_id", "upper", ((F.col("low") + F.col("upper")) / 2).alias("middle"), "p90", "p95r")
 
 
 @CATALOG.add("stat_rank_by_counts", "SELECT l_returnflag, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_returnflag")
 def stat_rank_by_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The upper median of very large groups, from the counts of their distinct values."""
-    return S.ranked_value(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", F.floor(F.col("n") / 2))
+    return S.ranked_value(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", S.upper_median)
 
 
 _Z = f"""WITH {EVENTS}, m AS (SELECT user_id, median(value) AS med FROM e WHERE value IS NOT NULL GROUP BY user_id), d AS (SELECT e.event_id, e.user_id, e.value, m.med FROM e JOIN m USING (user_id) WHERE value IS NOT NULL),
@@ -50,13 +54,13 @@ a AS (SELECT m.video, m.metric, m.value, m.med, m.n_history, median(abs(hx - med
 
 @CATALOG.add(
     "stat_catalogue_compare",
-    f"WITH {_CATALOGUE}, z AS (SELECT *, CASE WHEN mad > 0 THEN (value - med) / (1.4826::DOUBLE * mad) WHEN value = med THEN 0.0 WHEN value > med THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS z FROM a WHERE n_history >= 5) SELECT video, metric, value, n_history AS n_others, round(z, 5) AS z FROM z WHERE abs(z) > 2.5",
+    f"WITH {_CATALOGUE}, z AS (SELECT *, CASE WHEN mad > 0 THEN (value - med) / (1.4826::DOUBLE * mad) WHEN value = med THEN 0.0 WHEN value > med THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS z FROM a WHERE n_history >= 5) SELECT video, metric, value, n_history AS n_others, round(z, 5) AS z FROM z WHERE abs(z) > 3",
 )
 def stat_catalogue_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as recordings: which of their metrics stand out against all other suppliers'."""
     m = table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("kind"), F.col("l_suppkey").alias("video")).agg(F.avg("l_extendedprice").alias("v"), F.count(F.lit(1)).alias("n"))
     long = m.select("video", F.explode(F.create_map(F.concat("kind", F.lit("_mean")), F.round("v", 4), F.concat("kind", F.lit("_count")), F.col("n").cast("double"))).alias("metric", "value"))
-    return S.history_deviations(long, "metric", "value", "video", 5, 2.5).withColumn("z", F.round("z", 5))
+    return S.history_deviations(long, "metric", "value", "video").withColumn("z", F.round("z", 5))
 
 
 _TREND = f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us DESC, event_id DESC) AS back FROM e)
@@ -109,7 +113,7 @@ SELECT a.asset, round((coalesce(shots, 0) - 1) / greatest(secs / 60, 0.001), 5)
 def stat_style_vector(spark: SparkSession, sf: str) -> DataFrame:
     """The style of each recording: cuts, shots, voices, faces and text in proportion to its length."""
     a = table(spark, sf, "assets").where("duration_num IS NOT NULL AND duration_den IS NOT NULL").select("asset", (F.col("duration_num").cast("double") / F.col("duration_den")).alias("secs")).distinct()
-    sh = shots(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("shots"), S.upper_median(F.col("end_us") - F.col("start_us")).alias("median_shot_us"))
+    sh = S.ranked_value(shots(spark, sf).withColumn("median_shot_us", F.col("end_us") - F.col("start_us")), ["asset"], "median_shot_us", S.upper_median, "shots")
     tu = turns(spark, sf).groupBy("asset").agg(F.count_distinct("speaker").alias("speakers"), (F.sum(F.col("end_us") - F.col("start_us")) / 1e6).alias("voice"))
     fr = frames(spark, sf).groupBy("asset").agg(S.share(F.col("n_faces") > 0).alias("faces"), S.share(F.col("n_lines") > 0).alias("lines"))
     j = a.join(sh, "asset", "left").join(tu, "asset", "left").join(fr, "asset", "left")
@@ -152,7 +156,7 @@ def stat_screen_time(spark: SparkSession, sf: str) -> DataFrame:
 
 _PERSISTENT = f"""WITH {_LINES}, t AS (SELECT asset, count(DISTINCT frame_id) AS frames FROM l GROUP BY asset),
 c AS (SELECT asset, line, (least(greatest(floor(box.y * 10 / 1920), 0), 9) * 10 + least(greatest(floor(box.x * 10 / 1080), 0), 9))::INT AS cell, count(DISTINCT frame_id) AS n FROM l GROUP BY ALL)
-SELECT asset, line, cell, n, round(n / frames::DOUBLE, 6) AS persistence, n / frames::DOUBLE >= 0.02 AS persistent FROM c JOIN t USING (asset)"""
+SELECT asset, line, cell, n, round(n / frames::DOUBLE, 6) AS persistence, n / frames::DOUBLE >= 0.6 AS persistent FROM c JOIN t USING (asset)"""
 
 
 @CATALOG.add("stat_persistent_text", _PERSISTENT)
@@ -162,7 +166,7 @@ def stat_persistent_text(spark: SparkSession, sf: str) -> DataFrame:
     t = l.groupBy("asset").agg(F.count_distinct("frame_id").alias("frames"))
     c = l.groupBy("asset", "line", S.grid_cell(F.col("box.x"), F.col("box.y"), 1080, 1920).alias("cell")).agg(F.count_distinct("frame_id").alias("n"))
     p = F.col("n") / F.col("frames")
-    return c.join(t, "asset").select("asset", "line", "cell", "n", r6(p).alias("persistence"), (p >= 0.02).alias("persistent"))
+    return c.join(t, "asset").select("asset", "line", "cell", "n", r6(p).alias("persistence"), (p >= 0.6).alias("persistent"))
 
 
 _FACE = """WITH x AS (SELECT DISTINCT frame_id, asset, faces FROM frames WHERE asset IS NOT NULL AND faces IS NOT NULL AND len(faces) > 0), u AS (SELECT frame_id, asset, unnest(faces) AS b FROM x),
@@ -175,8 +179,9 @@ def stat_largest_face(spark: SparkSession, sf: str) -> DataFrame:
     """Where the largest face of each frame is as a rule; needs three frames with a face."""
     f = table(spark, sf, "frames").where("asset IS NOT NULL AND size(faces) > 0").dropDuplicates(["frame_id"])
     big = F.array_max(F.transform("faces", lambda b: F.struct((b["width"] * b["height"]).alias("a"), (-b["x"]).alias("nx"), (-b["y"]).alias("ny"), b["width"].alias("w"), b["height"].alias("h"))))
-    g = f.select("asset", big.alias("b")).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), S.upper_median(-F.col("b.nx") + F.col("b.w") / 2).alias("mid_x"), S.upper_median(-F.col("b.ny") + F.col("b.h") / 2).alias("mid_y"))
-    return g.where("n >= 3")
+    g = f.select("asset", big.alias("b")).select("asset", (-F.col("b.nx") + F.col("b.w") / 2).alias("mid_x"), (-F.col("b.ny") + F.col("b.h") / 2).alias("mid_y"))
+    y = S.ranked_value(g, ["asset"], "mid_y", S.upper_median, "n_y").select("asset", "mid_y")
+    return S.ranked_value(g, ["asset"], "mid_x", S.upper_median).where("n >= 3").join(y, "asset")
 
 
 _PREFS = r"""WITH n AS (SELECT CASE WHEN event_id % 3 = 0 THEN upper(event_type) || '!' ELSE event_type END AS note, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'p' || (user_id % 5) END AS project, epoch_us(ts)::BIGINT AS at_us FROM events),
@@ -205,16 +210,30 @@ def signal_distances(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-_CUTS = """WITH d AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS was FROM embeddings),
-x AS (SELECT vec_id, label, round(CASE WHEN was IS NOT NULL THEN list_sum(list_transform(list_zip(embedding, was), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / 3 END, 5) AS distance FROM d),
-t AS (SELECT label, greatest(1.01::DOUBLE * list_sort(list(distance) FILTER (WHERE distance IS NOT NULL))[count(distance) // 2 + 1], 0.08) AS threshold FROM x GROUP BY label)
-SELECT vec_id, round(threshold, 5) AS threshold, coalesce(distance > threshold, false) AS is_cut FROM x JOIN t USING (label)"""
+_CUTS = f"""WITH {EVENTS}, d AS (SELECT event_id, user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)) AS distance FROM e),
+t AS (SELECT user_id, greatest(6 * list_sort(list(distance) FILTER (WHERE distance IS NOT NULL))[count(distance) // 2 + 1], 0.08) AS threshold FROM d GROUP BY user_id)
+SELECT event_id, round(threshold, 5) AS threshold, coalesce(distance > threshold, false) AS is_cut FROM d JOIN t USING (user_id)"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames, the step of the level from one to the next as their distance, and the cuts that stand out."""
+    e = previous(blocks(events(spark, sf), "ts_us", 24 * HOUR), ["user_id"], "__block", ["ts_us", "event_id"], "value", "was")
+    d = cut_lineage(e.select("event_id", "user_id", "ts_us", F.abs(F.col("value") - F.col("was.value")).alias("distance")))
+    return G.cut_scores(d, ["user_id"])
 
 
 @CATALOG.add("signal_cuts", _CUTS)
 def signal_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    d = G.consecutive_distance(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding").withColumn("distance", F.round("distance", 5))
-    return G.cut_scores(d.select("vec_id", "label", "distance"), ["label"], factor=1.01).select("vec_id", F.round("threshold", 5).alias("threshold"), "is_cut")
+    return _scored(spark, sf).select("event_id", F.round("threshold", 5).alias("threshold"), "is_cut")
+
+
+@CATALOG.add("signal_shots")
+def signal_shots(spark: SparkSession, sf: str) -> DataFrame:
+    """The shots between those cuts."""
+    first = F.lit(1_704_067_200_000_000)
+    d = _scored(spark, sf).withColumn("at", F.col("ts_us") - first)
+    end = events(spark, sf).groupBy("user_id").agg((F.max("ts_us") - first).alias("end"))
+    return G.shots_of_cuts(d, ["user_id"], "at", "distance", end, 200_000)
 
 
 _HOPS = f"""{EVENTS}, h AS (SELECT user_id, ts_us // 21600000000 AS hop, sum(value * value / 10000) AS energy, count(*)::DOUBLE AS samples FROM e GROUP BY ALL),
@@ -238,14 +257,14 @@ def signal_loudness(spark: SparkSession, sf: str) -> DataFrame:
     return i.select("user_id", F.round("integrated", 5).alias("integrated"), "n_blocks", F.round(G.gain_to(F.lit(-23.0), F.col("integrated")), 5).alias("gain"))
 
 
-_RANGE = f"""WITH {_HOPS}, s AS (SELECT user_id, p, -0.691::DOUBLE + 10 * log10(p) AS l FROM (SELECT user_id, avg(power) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY hop ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10 AND p > 0),
+_RANGE = f"""WITH {_HOPS}, s AS (SELECT user_id, p, -0.691::DOUBLE + 10 * log10(p) AS l FROM (SELECT user_id, avg(power) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY hop ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE n = 30 AND p > 0),
 g AS (SELECT user_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 20 AS gate FROM s WHERE l > -70 GROUP BY user_id), k AS (SELECT s.user_id, list_sort(list(l)) AS x FROM s JOIN g USING (user_id) WHERE l > -70 AND l > gate GROUP BY s.user_id)
 SELECT user_id, round(x[round((len(x) - 1) * 0.95::DOUBLE)::INT + 1] - x[round((len(x) - 1) * 0.1::DOUBLE)::INT + 1], 5) AS loudness_range FROM k"""
 
 
 @CATALOG.add("signal_loudness_range", _RANGE)
 def signal_loudness_range(spark: SparkSession, sf: str) -> DataFrame:
-    return G.loudness_range(_blocks(spark, sf), ["user_id"], "hop", blocks_per_window=10).withColumn("loudness_range", F.round("loudness_range", 5))
+    return G.loudness_range(_blocks(spark, sf), ["user_id"], "hop").withColumn("loudness_range", F.round("loudness_range", 5))
 
 
 _SILENCE = f"""WITH {EVENTS}, n AS (SELECT user_id, value / 100 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) - 1 AS n FROM e),

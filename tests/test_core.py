@@ -269,3 +269,29 @@ def test_a_range_without_end_and_repeated_points(spark):
     assert got == [("", 55, 0), ("a", -1, 0), ("a", 55, 1), ("a", 55, 1), ("a", far - 1, 1), ("b", far - 1, 5), ("c", 5, 0), ("c", 5, 0)]
     pairs = I.overlap_pairs(ranges, ranges.selectExpr("k", "id AS id2", "s AS s2", "e AS e2"), ["k"], ("s", "e"), ("s2", "e2"), 10).where("id < id2")
     assert sorted((r.id, r.id2) for r in pairs.collect()) == [(1, 2), (1, 2)]
+
+
+def test_ranks_from_counts(spark):
+    from tapewright.operators import statistics as S
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 0.0, -3.5, 7.25, rng.gauss(0, 50), float(rng.randint(-4, 4)), 1e-9])) for _ in range(600)] + [("lone", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("n", F.lit("x"))
+    got = {r.k: r for r in S.at_ranks(df.repartition(5), ["k"], "v", {"upper": S.upper_median, "p90": S.nearest_rank(0.9), "p95": S.nearest_rank(0.95, True), "first": lambda n: n * 0}, "count").collect()}
+    assert set(got) == {"a", "b", None, "lone"}
+    for k, r in got.items():
+        v = sorted(x for y, x in rows if y == k and x is not None)
+        n = len(v)
+        assert (r["count"], r.upper, r.p90, r.first) == (n, v[n // 2], v[int((n - 1) * 0.9)], v[0]) and r.p95 == v[int((n - 1) * 0.95 + 0.5)]
+    assert S.at_ranks(df.where("false"), ["k"], "v", {"m": S.upper_median}).count() == 0
+
+
+def test_shots_of_cuts(spark):
+    from tapewright.operators import signals as G
+
+    rows = [("a", t, t in (100, 250, 400, 900), t / 1000) for t in range(0, 1000, 50)] + [("b", 10, False, 0.1)]
+    df = spark.createDataFrame(rows, "k string, t bigint, is_cut boolean, d double")
+    end = spark.createDataFrame([("a", 1000), ("b", 80), ("c", 0)], "k string, `end` bigint")
+    got = sorted(tuple(r) for r in G.shots_of_cuts(df, ["k"], "t", "d", end, 200).collect())
+    # the cut at 100 comes too soon; that at 400 lies 150 behind the one at 250; the tail is a shot of any length
+    assert got == [("a", 0, 0, 250, 0.0), ("a", 1, 250, 900, 0.25), ("a", 2, 900, 1000, 0.9), ("b", 0, 0, 80, 0.0), ("c", 0, 0, 0, 0.0)]
