@@ -133,15 +133,17 @@ def same_word(a: str, b: str) -> bool:
 # ---- kernels ---------------------------------------------------------------------------------------------------------
 
 
-def self_corrections(words: list[str], start: list[int], end: list[int], least: float = 0.7, gap_ms: int = 2500, shortest: int = 2, longest: int = 12) -> list[tuple[int, int, int, int, float]]:
-    """(first, last of the abandoned run, first, last of the kept one, similarity), greedily from the left.
+SHORTEST, LONGEST = 2, 12
 
-    At each word the best pair of neighbouring runs of 2 to 12 words counts; a later pair must beat the best by more than 0.001. The
-    search goes on at the kept run.
-    """
+
+def best_corrections(words: list[str], start: list[int], end: list[int], upto: int | None = None, least: float = 0.7, gap_ms: int = 2500, shortest: int = SHORTEST, longest: int = LONGEST) -> list[tuple[int, int, int, float]]:
+    """(place, length of the run there, length of the run behind it, similarity) of the best pair of neighbouring runs at every place (below ``upto``) that has one.
+
+    Runs have 2 to 12 words, the longer ones first; a later pair must beat the best by more than 0.001. Counts of common words bound the
+    similarity."""
     w = [word_key(x) for x in words]
-    out, i, n = [], 0, len(w)
-    while i < n - 2 * shortest + 1:
+    out, n = [], len(w)
+    for i in range(min(n - 2 * shortest + 1, n if upto is None else upto)):
         best: tuple[float, int, int] | None = None
         for size in range(min(longest, n - i - shortest), shortest - 1, -1):
             mid = i + size
@@ -163,14 +165,24 @@ def self_corrections(words: list[str], start: list[int], end: list[int], least:
                 if s >= least and (best is None or s > best[0] + 0.001):
                     best = (s, size, other)
         if best:
-            s, size, other = best
+            out.append((i, best[1], best[2], best[0]))
+    return out
+
+
+def greedy_corrections(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """(first, last of the abandoned run, first, last of the kept one, similarity), from the left; the search goes on at the kept run."""
+    out, at = [], 0
+    for i, size, other, s in found:
+        if i >= at:
             out.append((i, i + size - 1, i + size, i + size + other - 1, s))
-            i += size
-        else:
-            i += 1
+            at = i + size
     return out
 
 
+def self_corrections(words: list[str], start: list[int], end: list[int]) -> list[tuple[int, int, int, int, float]]:
+    return greedy_corrections(best_corrections(words, start, end))
+
+
 def leader_groups(lines: list[list[str]], least: float = 0.72) -> list[int]:
     """Greedy grouping: each line joins the first earlier leader it is similar enough to, or leads a group of its own; not transitive.
 
@@ -446,25 +458,44 @@ def per_group(rows: DataFrame, keys: Sequence[str], order: str, kernel: Callable
 _INT, _LONG, _REAL, _TEXT, _FLAG = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
 
-def find_self_corrections(words: DataFrame, key: str) -> DataFrame:
-    kernel = lambda rows: self_corrections([r["word"] for r in rows], [r["start_ms"] for r in rows], [r["end_ms"] for r in rows])
-    columns = [("abandoned_first", _INT), ("abandoned_last", _INT), ("kept_first", _INT), ("kept_last", _INT), ("similarity", _REAL)]
-    return per_group(_ordered(words, key), ["key"], "idx", kernel, columns).withColumnRenamed("key", key)
+def find_self_corrections(words: DataFrame, key: str, chunk: int = 2_000) -> DataFrame:
+    """Abandoned runs and those said instead: key, abandoned_first, abandoned_last, kept_first, kept_last, similarity. ``idx`` counts a recording's words from 0.
 
+    The best pair at a place depends on the 24 words from there on, so it is looked for in chunks that reach so far into the next; the choice from the
+    left then runs over the few places that have one."""
+    reach = 2 * LONGEST
+    w = _ordered(words, key).withColumn("chunk", F.explode(F.array_distinct(F.array(F.expr(f"idx div {chunk}"), F.expr(f"greatest(idx - {reach - 1}, 0) div {chunk}")))))
 
-def caption(words: DataFrame, key: str, size: int = 4) -> DataFrame:
     def kernel(rows: list[dict]) -> list[tuple]:
-        g = caption_groups([r["word"] for r in rows], [r["start_ms"] for r in rows], [r["end_ms"] for r in rows], size)
-        out: list[list] = []
-        for n, r in zip(g, rows):
-            if n == len(out):
-                out.append([n, r["word"], r["start_ms"], r["end_ms"]])
-            else:
-                out[n][1] += " " + r["word"]
-                out[n][3] = r["end_ms"]
-        return [tuple(x) for x in out]
+        first = rows[0]["idx"]
+        own = (first // chunk + 1) * chunk - first
+        found = best_corrections([r["word"] for r in rows], [r["start_ms"] for r in rows], [r["end_ms"] for r in rows], own)
+        return [(first + i, n, m, s) for i, n, m, s in found]
+
+    hits = per_group(w, ["key", "chunk"], "idx", kernel, [("at", _INT), ("n", _INT), ("m", _INT), ("s", _REAL)]).drop("chunk")
+    choose = lambda rows: greedy_corrections([(r["at"], r["n"], r["m"], r["s"]) for r in rows])
+    columns = [("abandoned_first", _INT), ("abandoned_last", _INT), ("kept_first", _INT), ("kept_last", _INT), ("similarity", _REAL)]
+    return per_group(hits, ["key"], "at", choose, columns).withColumnRenamed("key", key)
+
 
-    return per_group(_ordered(words, key), ["key"], "idx", kernel, [("caption", _INT), ("text", _TEXT), ("start_ms", _LONG), ("end_ms", _LONG)]).withColumnRenamed("key", key)
+def caption(words: DataFrame, key: str, size: int = 4, breath_ms: int = 350, block: int = 50_000) -> DataFrame:
+    """Captions of a recording: key, caption (from 0), text, start_ms, end_ms; as ``caption_groups`` divides them.
+
+    A final mark or a pause ends a caption for certain, so the words between two of those are divided on their own; places and numbers come from
+    prefix operations in blocks of words."""
+    from tapewright.operators.blocked import blocks, carry_forward, previous, running_sum
+
+    w = blocks(_ordered(words, key).withColumn("said", F.struct("word", "end_ms")), "idx", block)
+    w = previous(w, ["key"], "__block", ["idx"], "said", "was")
+    was = F.col("was.value")
+    w = w.withColumn("fresh", F.coalesce(was["word"].rlike(r"[.?!]$") | (F.col("start_ms") - was["end_ms"] >= breath_ms), F.lit(True)))
+    w = w.select("key", "__block", "idx", "word", "start_ms", "end_ms", F.when(F.col("fresh"), F.col("idx")).alias("head"))
+    w = carry_forward(w, ["key"], "__block", ["idx"], "head", "first")
+    w = w.withColumn("opens", ((F.col("idx") - F.col("first")) % size == 0).cast("int")).drop("head", "first")
+    w = running_sum(w, ["key"], "__block", ["idx"], "opens", "caption")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ")
+    g = w.groupBy("key", "caption").agg(text.alias("text"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"))
+    return g.select(F.col("key").alias(key), (F.col("caption") - 1).cast("int").alias("caption"), "text", "start_ms", "end_ms")
 
 
 def repeated_lines(lines: DataFrame, key: str, order: str, text: str, start: str, least: float = 0.72) -> DataFrame:
@@ -533,17 +564,50 @@ def word_error_rate(pairs: DataFrame, keys: Sequence[str], reference: str, hypot
     return g.agg(F.sum("errors").alias("errors"), F.sum("n").alias("n_words")).withColumn("wer", F.try_divide(F.col("errors"), F.col("n_words")))
 
 
-def diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
-    """Per recording: speech, missed, false and confused time and their share. Rows: key, speaker, start, end. Turns without a speaker are left out."""
-    cols = [F.col(key).alias("key"), F.col("speaker").cast("string").alias("speaker"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")]
-    keep = "speaker IS NOT NULL AND `end` > start"
-    r, h = reference.select(*cols).where(keep), hypothesis.select(*cols).where(keep)
-    kind = r.schema["key"].dataType.simpleString()
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("h", T.StringType()), T.StructField("r", T.StringType())])))
+def _mapped(shared: pd.Series) -> pd.Series:
+    out = []
+    for own in shared:
+        cells = {(x["r"], x["h"]): x["us"] for x in own}
+        refs, hyps = sorted({r for r, _ in cells}), sorted({h for _, h in cells})
+        out.append([{"h": h, "r": r} for h, r in best_mapping(cells, refs, hyps).items()])
+    return pd.Series(out)
 
-    def run(k: tuple, ref: pd.DataFrame, hyp: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda p: list(p[["speaker", "start", "end"]].itertuples(index=False, name=None))
-        d = diarization_error(rows(ref), rows(hyp))
-        total = d["missed"] + d["false"] + d["confused"]
-        return pd.DataFrame([(k[0], d["speech"], d["missed"], d["false"], d["confused"], total / d["speech"] if d["speech"] else None, ref["speaker"].nunique() - hyp["speaker"].nunique())], columns=["key", "speech", "missed", "false_alarm", "confused", "der", "count_error"])
 
-    return r.groupBy("key").cogroup(h.groupBy("key")).applyInPandas(run, f"key {kind}, speech bigint, missed bigint, false_alarm bigint, confused bigint, der double, count_error int").withColumnRenamed("key", key)
+def diarization_errors(reference: DataFrame, hypothesis: DataFrame, key: str, width: int = 10 * 10**6, block: int = 3600 * 10**6) -> DataFrame:
+    """Per recording of the reference: speech, missed, false and confused time and their share. Rows: key, speaker, start, end (integers). Turns without a speaker
+    and empty ones are left out.
+
+    The time that speakers share is summed over overlapping turns, the mapping with the most shared time is found over a recording's speakers alone, and
+    one sweep over the edges of both sides and of the shared turns of mapped speakers, in blocks of time, sums up the errors (as ``diarization_error`` does).
+    """
+    from tapewright.operators.blocked import blocks, following, running_sums
+    from tapewright.operators.intervals import merge, overlap_pairs
+    from tapewright.session import cut_lineage
+
+    def side(df: DataFrame, who: str) -> DataFrame:
+        d = df.select(F.col(key).alias("key"), F.col("speaker").cast("string").alias(who), F.col("start").cast("bigint").alias("s"), F.col("end").cast("bigint").alias("e"))
+        return cut_lineage(merge(d.where(f"key IS NOT NULL AND {who} IS NOT NULL AND e > s"), ["key", who], "s", "e"))
+
+    r, h = side(reference, "r"), side(hypothesis, "h").withColumnsRenamed({"s": "hs", "e": "he"})
+    both = cut_lineage(overlap_pairs(r, h, ["key"], ("s", "e"), ("hs", "he"), width).select("key", "r", "h", F.greatest("s", "hs").alias("s"), F.least("e", "he").alias("e")))
+    shared = both.groupBy("key", "r", "h").agg(F.sum(F.col("e") - F.col("s")).alias("us"))
+    pairs = shared.groupBy("key").agg(F.collect_list(F.struct("r", "h", "us")).alias("cells")).select(F.col("key").alias("m_key"), F.inline(_mapped("cells"))).withColumnsRenamed({"h": "m_h", "r": "m_r"})
+    right = both.join(pairs, (F.col("key") == F.col("m_key")) & (F.col("r") == F.col("m_r")) & (F.col("h") == F.col("m_h"))).select("key", "s", "e")
+    names = ("nr", "nh", "nc")
+    edges = None
+    for n, df in zip(names, (r.select("key", "s", "e"), h.select("key", F.col("hs").alias("s"), F.col("he").alias("e")), right)):
+        for at, sign in (("s", 1), ("e", -1)):
+            d = df.select("key", F.col(at).alias("at"), *[F.lit(sign if c == n else 0).alias(c) for c in names])
+            edges = d if edges is None else edges.unionByName(d)
+    e = blocks(edges.groupBy("key", "at").agg(*[F.sum(c).alias(c) for c in names]), "at", block)
+    e = running_sums(e, ["key"], "__block", ["at"], {c: f"{c}_now" for c in names})
+    e = following(e, ["key"], "__block", ["at"], "at", "next").where("next IS NOT NULL").withColumn("d", F.col("next.value") - F.col("at"))
+    nr, nh, nc = (F.col(f"{c}_now") for c in names)
+    sums = e.groupBy("key").agg(
+        F.sum(F.col("d") * nr).alias("speech"), F.sum(F.col("d") * F.greatest(nr - nh, F.lit(0))).alias("missed"), F.sum(F.col("d") * F.greatest(nh - nr, F.lit(0))).alias("false_alarm"), F.sum(F.col("d") * (F.least(nr, nh) - nc)).alias("confused")
+    )
+    counts = r.groupBy("key").agg(F.count_distinct("r").alias("n_r")).join(h.groupBy("key").agg(F.count_distinct("h").alias("n_h")), "key", "left")
+    j = sums.join(counts, "key")
+    total = F.col("missed") + F.col("false_alarm") + F.col("confused")
+    return j.select(F.col("key").alias(key), "speech", "missed", "false_alarm", "confused", F.try_divide(total.cast("double"), F.col("speech")).alias("der"), (F.col("n_r") - F.coalesce("n_h", F.lit(0))).cast("int").alias("count_error"))

@@ -375,3 +375,39 @@ def test_gates_of_the_fold(spark):
     got = [tuple(r)[1:] for r in C.replay(df, gates=gates).orderBy("track", "clip").collect()]
     # a cut in time keeps the place in the frame
     assert got == [(0, 0, "x", 0, 20, 0, "left"), (0, 1, "x", 40, 100, 20, "left"), (1, 0, "x", 0, 103, 205, None)]
+
+
+def test_captions_and_corrections_across_blocks(spark):
+    rng = random.Random(13)
+    rows, want_c, want_s = [], {}, {}
+    for k in ("a", "b"):
+        words = [rng.choice(["the", "a", "we", "cut.", "it", "then", "shot", "so!"]) for _ in range(130)]
+        start = list(itertools.accumulate([rng.choice([300, 300, 700, 3500]) for _ in words]))
+        rows += [(k, i, w, s, s + 200) for i, (w, s) in enumerate(zip(words, start))]
+        want_c[k] = Q.caption_groups(words, start, [s + 200 for s in start])
+        want_s[k] = _brute_corrections(words, start, [s + 200 for s in start])
+    df = spark.createDataFrame(rows, "k string, idx int, word string, start_ms bigint, end_ms bigint")
+    got = {(r.k, r.caption): (r.text, r.start_ms, r.end_ms) for r in Q.caption(df, "k", block=7).collect()}
+    for k, groups in want_c.items():
+        own = [r for r in rows if r[0] == k]
+        for n in set(groups):
+            part = [r for r, g in zip(own, groups) if g == n]
+            assert got[k, n] == (" ".join(r[2] for r in part), part[0][3], part[-1][4])
+    assert len(got) == sum(len(set(g)) for g in want_c.values())
+    found = Q.find_self_corrections(df, "k", chunk=30).collect()
+    for k, want in want_s.items():
+        assert sorted(tuple(r)[1:] for r in found if r.k == k) == want
+
+
+def test_diarization_errors_are_those_of_the_kernel(spark):
+    rng = random.Random(14)
+    turn = lambda names: (rng.choice(names), s := rng.randint(0, 300), s + rng.randint(0, 60))
+    ref = {k: [turn("abc") for _ in range(12)] for k in ("x", "y")}
+    hyp = {"x": [turn("pqrs") for _ in range(12)], "z": [turn("p")]}
+    frame = lambda d: spark.createDataFrame([(k, *t) for k, own in d.items() for t in own] + [("x", None, 0, 9)], "k string, speaker string, start bigint, `end` bigint")
+    got = {r.k: r for r in Q.diarization_errors(frame(ref), frame(hyp), "k", 20, 50).collect()}
+    assert set(got) == {"x", "y"}
+    for k, r in got.items():
+        keep = lambda rows: [t for t in rows if t[2] > t[1]]
+        want = Q.diarization_error(keep(ref[k]), keep(hyp.get(k, [])))
+        assert (r.speech, r.missed, r.false_alarm) == (want["speech"], want["missed"], want["false"]) and r.confused == want["confused"]
