@@ -253,6 +253,11 @@ def adjacent_overlaps(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return d.where(F.col("__next.value") < F.col(end)).withColumn("by", F.col(end) - F.col("__next.value")).drop("__next")
 
 
+def turns_of(segments: DataFrame, start: str, end: str, least: int = 3 * 10**5) -> DataFrame:
+    """Segments of speakers as turns: those of at least 0.3 s (of microseconds). Shorter, reversed and open ones are none."""
+    return segments.where(F.col(end) - F.col(start) >= least)
+
+
 def padded_span(start: Column, end: Column, pad: int) -> tuple[Column, Column]:
     return F.greatest(start - pad, F.lit(0)), end + pad
 

@@ -228,9 +228,29 @@ def brief_of(scenes: DataFrame, key: str, order: str, shot: str) -> DataFrame:
     return s.groupBy(key).agg(F.max("dominant").alias("dominant"), F.count_if(change).alias("changes"), F.count_if(cutaway).alias("cutaways"), F.count(F.lit(1)).alias("n"))
 
 
+def panel_similarities(frames: DataFrame, keys: Sequence[str], vector: str, panels: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """How alike the parts of a picture are if it is split: keys, panels, arrangement ('stacked': the picture's values cut into runs, 'side': dealt out in turn) and
+    similarity, 1 less the mean difference, of every pair of parts of every frame. Values are shares; a rest that doesn't fill a part is left out."""
+    options = []
+    for n in panels:
+        size = F.call_function("div", F.size(vector), F.lit(n)).cast("int")
+        stacked = [F.slice(vector, size * i + 1, size) for i in range(n)]
+        side = [_dealt(vector, i, n, size) for i in range(n)]
+        for name, parts in (("stacked", stacked), ("side", side)):
+            for i in range(n):
+                for j in range(i + 1, n):
+                    apart = F.aggregate(F.zip_with(parts[i], parts[j], lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / size
+                    options.append(F.struct(F.lit(n).alias("panels"), F.lit(name).alias("arrangement"), (1 - apart).alias("similarity")))
+    return frames.where(F.size(vector) >= max(panels)).select(*keys, F.explode(F.array(*options)).alias("o")).select(*keys, "o.*")
+
+
+def _dealt(vector: str, i: int, n: int, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.element_at(vector, k * n + (i + 1)))
+
+
 def panel_layout(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The arrangement whose parts are most alike, from ``pairs`` (keys, panels, arrangement, similarity): split if the mean is over 0.55."""
-    m = pairs.groupBy(*keys, "panels", "arrangement").agg(F.avg("similarity").alias("s"))
+    m = pairs.groupBy(*keys, "panels", "arrangement").agg(F.round(F.avg("similarity"), 9).alias("s"))
     best = m.groupBy(*keys).agg(F.max(F.struct("s", (-F.col("panels")).alias("p"), "arrangement")).alias("b"))
     return best.select(*keys, (-F.col("b.p")).alias("panels"), "b.arrangement", F.col("b.s").alias("similarity"), (F.col("b.s") > 0.55).alias("is_split"))
 

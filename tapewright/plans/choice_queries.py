@@ -171,15 +171,17 @@ def choice_recording_brief(spark: SparkSession, sf: str) -> DataFrame:
     return H.brief_of(s, "asset", "time_us", "shot")
 
 
-_LAYOUT = """WITH p AS (SELECT label % 5 AS piece, 2 + vec_id % 3 AS panels, CASE WHEN vec_id % 2 = 0 THEN 'side' ELSE 'stacked' END AS arrangement, vec_id * 37 % 100 / 100.0::DOUBLE AS similarity FROM embeddings),
-m AS (SELECT piece, panels, arrangement, avg(similarity) AS s FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY s DESC, panels, arrangement DESC) AS k FROM m)
+_LAYOUT = """WITH e AS (SELECT label AS piece, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, len(embedding) AS len FROM embeddings), n AS (SELECT e.*, p.n, len // p.n AS size FROM e, (SELECT unnest([2, 3, 4]) AS n) p),
+o AS (SELECT *, 'stacked' AS arrangement, 1 AS across FROM n UNION ALL SELECT *, 'side', n FROM n), ij AS (SELECT o.*, i.i, j.j FROM o JOIN (SELECT unnest(range(4)) AS i) i ON i.i < o.n JOIN (SELECT unnest(range(4)) AS j) j ON j.j < o.n AND j.j > i.i),
+d AS (SELECT piece, n AS panels, arrangement, 1 - list_sum(list_transform(range(size), lambda k: CASE WHEN across = 1 THEN abs(v[i * size + k + 1] - v[j * size + k + 1]) ELSE abs(v[k * n + i + 1] - v[k * n + j + 1]) END)) / size AS s FROM ij),
+m AS (SELECT piece, panels, arrangement, round(avg(s), 9) AS s FROM d GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY s DESC, panels, arrangement DESC) AS k FROM m)
 SELECT piece, panels, arrangement, round(s, 6) AS similarity, s > 0.55 AS is_split FROM k WHERE k = 1"""
 
 
 @CATALOG.add("choice_panel_layout", _LAYOUT)
 def choice_panel_layout(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    p = table(spark, sf, "embeddings").select((F.col("label") % 5).alias("piece"), (2 + v % 3).alias("panels"), F.when(v % 2 == 0, "side").otherwise("stacked").alias("arrangement"), (v * 37 % 100 / 100.0).alias("similarity"))
+    """Vectors of a label as pictures: the split whose parts are most alike."""
+    p = H.panel_similarities(table(spark, sf, "embeddings").withColumnRenamed("label", "piece"), ["piece"], "embedding")
     return H.panel_layout(p, ["piece"]).withColumn("similarity", F.round("similarity", 6))
 
 

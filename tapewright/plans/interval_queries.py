@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions import ranges as R
 from tapewright.operators import intervals as I
+from tapewright.operators.blocked import blocks, following
 from tapewright.plans.catalog import Catalog
 from tapewright.sources.standins import CUTS, EVENTS, FRAMES, SHOTS, TURNS, WORDS, cut_ranges, events, frames, shots, turns, words
 
@@ -259,3 +261,23 @@ def interval_padded_spans(spark: SparkSession, sf: str) -> DataFrame:
     g = words(spark, sf).groupBy("doc_id", F.call_function("div", F.col("idx"), F.lit(12)).alias("span")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     s, e = I.padded_span(F.col("s"), F.col("e"), 250)
     return g.select("doc_id", "span", s.alias("start_ms"), e.alias("end_ms"))
+
+
+_RELATIONS = f"""WITH {TURNS}, n AS (SELECT *, lead(start_us) OVER w AS s2, lead(end_us) OVER w AS e2 FROM t WINDOW w AS (PARTITION BY asset ORDER BY start_us, end_us, turn_id))
+SELECT turn_id, start_us <= s2 AND s2 < end_us AS contains, start_us < e2 AND s2 < end_us AS overlaps, CASE WHEN start_us < e2 AND s2 < end_us THEN least(end_us, e2) - greatest(start_us, s2) END AS shared_us FROM n WHERE s2 IS NOT NULL"""
+
+
+@CATALOG.add("interval_relations", _RELATIONS)
+def interval_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn and the one behind it: whether it holds that one's start, whether they overlap, and how much they share."""
+    t = turns(spark, sf).withColumn("range", F.struct("start_us", "end_us"))
+    n = following(blocks(t, "start_us", I.HOUR), ["asset"], "__block", ["start_us", "end_us", "turn_id"], "range", "next").where("next IS NOT NULL")
+    own, other = (F.col("start_us"), F.col("end_us")), (F.col("next.value.start_us"), F.col("next.value.end_us"))
+    both = R.intersection(*own, *other)
+    return n.select("turn_id", R.contains(*own, other[0]).alias("contains"), R.overlaps(*own, *other).alias("overlaps"), (both["end"] - both["start"]).alias("shared_us"))
+
+
+@CATALOG.add("interval_turns_of", f"WITH {TURNS} SELECT turn_id, asset, speaker, start_us, end_us FROM t WHERE end_us - start_us >= 300000")
+def interval_turns_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments long enough to be turns."""
+    return I.turns_of(turns(spark, sf), "start_us", "end_us")
