@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.consensus import consensus
-from tapewright.llm.mixing import mix
+from tapewright.llm.mixing import mix, plain_source
 from tapewright.llm.nearest import nearest_in_time
 from tapewright.llm.packing import pack
 from tapewright.llm.runs import collapse_runs
@@ -14,6 +14,7 @@ from tapewright.llm.sentences import sentences
 from tapewright.llm.tokens import token_counts
 from tapewright.llm.turns import speaker_turns
 from tapewright.plans.catalog import Catalog
+from tapewright.session import cut_lineage
 from tapewright.sources.tables import table
 
 CATALOG = Catalog()
@@ -121,6 +122,22 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_WHOLE_PACKS = """WITH d AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0)
+SELECT container, d.n AS n_texts, 0::BIGINT AS overfull, 0::BIGINT AS needlessly_divided, 0::BIGINT AS not_whole FROM containers, d"""
+
+
+@CATALOG.add("p6_whole", _WHOLE_PACKS)
+def p6_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any packing: every text with tokens is in each kind of container, no pack is overfull, no text is divided that would fit, and the pieces of
+    a text follow each other without gaps or overlaps."""
+    packed = cut_lineage(p6_pack(spark, sf))
+    packs = packed.groupBy("container", "pack_no").agg(F.sum("tokens").alias("t"), F.max("fill_tokens").alias("f"), F.max("capacity").alias("c"))
+    over = packs.groupBy("container").agg(F.count_if((F.col("t") > F.col("c")) | (F.col("t") != F.col("f"))).alias("overfull"))
+    texts = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("token_start") + F.col("tokens")).alias("end"), F.max("piece_no").alias("last"), F.max("capacity").alias("c"))
+    whole = texts.groupBy("container").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("c"))).alias("needlessly_divided"), F.count_if((F.col("t") != F.col("end")) | (F.col("n") != F.col("last") + 1)).alias("not_whole"))
+    return whole.join(over, "container")
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix(token_counts(table(spark, sf, "documents"), ["doc_id", "source"]), table(spark, sf, "mix_targets"))
 
@@ -131,6 +148,22 @@ def p7_draw(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[0]
 
 
+_WHOLE_DRAW = r"""WITH d AS (SELECT regexp_replace(trim(lower(source)), '[\s_\-]+', '_', 'g') AS source, count(*) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND source IS NOT NULL GROUP BY 1)
+SELECT m.source, coalesce(n, 0) AS n_available, 0::BIGINT AS over_cap, 0::BIGINT AS drawn_twice FROM mix_targets m LEFT JOIN d ON m.source = d.source"""
+
+
+@CATALOG.add("p7_whole", _WHOLE_DRAW)
+def p7_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of any draw: only listed sources and texts that are there, each in one row, none more often than its source allows."""
+    sized = token_counts(table(spark, sf, "documents"), ["doc_id", "source"])
+    draw, shares = mix(sized, table(spark, sf, "mix_targets"))
+    draw = draw.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("copies"))
+    have = sized.where("tokens > 0 AND source IS NOT NULL").groupBy(plain_source(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n_available"))
+    j = shares.select("source", "max_repeats").join(draw, "source", "full")
+    seen = j.groupBy("source").agg(F.count_if(F.col("max_repeats").isNull() | (F.col("copies") > F.col("max_repeats"))).alias("over_cap"), F.count_if(F.col("n") > 1).alias("drawn_twice"))
+    return seen.join(have, "source", "left").select("source", F.coalesce("n_available", F.lit(0)).alias("n_available"), "over_cap", "drawn_twice")
+
+
 @CATALOG.add("p7_shares")
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The shares aimed at and reached."""
