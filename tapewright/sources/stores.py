@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tapewright.functions.exact_time import int_div
 
@@ -18,17 +19,36 @@ def write_rttm(turns: DataFrame, path: str) -> None:
     turns.where("asset IS NOT NULL AND speaker IS NOT NULL AND end_us >= start_us").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def read_rttm(spark: SparkSession, path: str) -> DataFrame:
-    """RTTM lines as turns; overlaps stay, other lines and malformed ones are left out."""
+def _rttm(spark: SparkSession, path: str) -> DataFrame:
     p = F.split(F.trim("value"), r"\s+")
     us = lambda i: F.round(F.get(p, F.lit(i)).try_cast("decimal(20,9)") * 10**6).cast("bigint")
-    t = spark.read.text(path).where(F.col("value").startswith("SPEAKER ")).select(F.get(p, F.lit(1)).alias("asset"), us(3).alias("start_us"), us(4).alias("dur"), F.get(p, F.lit(7)).alias("speaker"))
-    return t.where("start_us IS NOT NULL AND dur IS NOT NULL").select("asset", "speaker", "start_us", (F.col("start_us") + F.col("dur")).alias("end_us"))
+    return spark.read.text(path).where(F.col("value").startswith("SPEAKER ")).select("value", F.get(p, F.lit(1)).alias("asset"), us(3).alias("start_us"), us(4).alias("dur"), F.get(p, F.lit(7)).alias("speaker"))
+
+
+def read_rttm(spark: SparkSession, path: str) -> DataFrame:
+    """RTTM lines as turns; overlaps stay, lines of other kinds and malformed ones are left out (``malformed_rttm`` has those)."""
+    t = _rttm(spark, path).where("start_us IS NOT NULL AND dur IS NOT NULL")
+    return t.select("asset", "speaker", "start_us", (F.col("start_us") + F.col("dur")).alias("end_us"))
+
+
+def malformed_rttm(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_rttm`` can't read: value."""
+    return _rttm(spark, path).where("start_us IS NULL OR dur IS NULL").select("value")
+
+
+def _records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    kind = spark.createDataFrame([], schema).schema
+    return spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", StructType([*kind.fields, StructField("__malformed", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__malformed"}).alias("r"))
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines with a fixed schema: fields that are missing are NULL, malformed lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a fixed schema: fields that are missing are NULL, malformed lines are left out (``malformed_records`` has those)."""
+    return _records(spark, path, schema).where("r.__malformed IS NULL").select("r.*").drop("__malformed")
+
+
+def malformed_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The lines that ``read_records`` can't read: value."""
+    return _records(spark, path, schema).where("r.__malformed IS NOT NULL").select("value")
 
 
 def append_records(records: DataFrame, path: str) -> None:
@@ -50,7 +70,8 @@ def write_transcript(words: DataFrame, key: str, path: str) -> None:
 class LayerCache:
     """Derived tables kept by layer and version, one row set per fingerprint.
 
-    A layer made by another version is no hit. ``missing`` tells what has to be made; ``get`` makes only that and returns everything asked for.
+    A layer made by another version is no hit. ``missing`` tells what has to be made; ``get`` makes only that and returns everything asked for. What is made is written
+    beside the layer and renamed into it, so a reader sees all of it or nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str, versions: dict[str, str]) -> None:
@@ -61,7 +82,7 @@ class LayerCache:
 
     def load(self, layer: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self._path(layer))
+            return self.spark.read.parquet(self._path(layer)).drop("part")
         except Exception as e:  # no such folder yet
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -73,10 +94,20 @@ class LayerCache:
         asked = wanted.select("fingerprint").distinct()
         return asked if have is None else asked.join(have.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
+    def _add(self, layer: str, made: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        made.write.parquet(f"{self.root}/_writing/{name}")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        source, target = jvm.Path(f"{self.root}/_writing/{name}"), jvm.Path(f"{self._path(layer)}/part={name}")
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"can't rename {source} to {target}")
+
     def get(self, layer: str, wanted: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         todo = self.missing(layer, wanted)
         if not todo.isEmpty():
-            make(wanted.join(todo, "fingerprint", "left_semi")).write.mode("append").parquet(self._path(layer))
+            self._add(layer, make(wanted.join(todo, "fingerprint", "left_semi")))
         have = self.load(layer)
         if have is None:
             return make(wanted.limit(0))
@@ -94,6 +125,18 @@ class LayerCache:
         return n
 
 
+MIB = 1 << 20
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """path and fingerprint of files: SHA-256 over their size, time of change (ms), first MiB and, if they are over 2 MiB, last MiB. Empty files have no row."""
+    f = spark.read.format("binaryFile").load(path)
+    size = F.col("length")
+    tail = F.when(size > 2 * MIB, F.substring("content", -MIB, MIB)).otherwise(F.lit(b""))
+    head = F.encode(F.concat_ws("\u001f", size.cast("string"), F.unix_millis("modificationTime").cast("string"), F.lit("")), "UTF-8")
+    return f.select("path", F.sha2(F.concat(head, F.substring("content", 1, MIB), tail), 256).alias("fingerprint"))
+
+
 def fingerprints(assets: DataFrame, *fields: str) -> DataFrame:
     """SHA-256 of what identifies a recording's content."""
     return assets.withColumn("fingerprint", F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in fields]), 256))

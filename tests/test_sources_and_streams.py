@@ -22,6 +22,9 @@ def test_records_and_references(spark, tmp_path):
     (tmp_path / "j" / "bad.json").write_text("{nonsense\n")
     got = S.read_records(spark, f"{tmp_path}/j", "video string, value double, note string")
     assert got.where("video IS NOT NULL").count() == 4 and got.columns == ["video", "value", "note"]
+    assert [r.value for r in S.malformed_records(spark, f"{tmp_path}/j", "video string, value double").collect()] == ["{nonsense"]
+    (tmp_path / "x.rttm").write_text("SPEAKER a 1 0.5 1.0 <NA> <NA> 3 <NA> <NA>\nSPEAKER a 1 x 1.0 <NA> <NA> 3\nLEXEME a\n")
+    assert S.read_rttm(spark, f"{tmp_path}/x.rttm").count() == 1 and S.malformed_rttm(spark, f"{tmp_path}/x.rttm").first().value.startswith("SPEAKER a 1 x")
     (tmp_path / "ref.txt").write_text("u1 THE CAT\n\nu2\n")
     assert sorted(map(tuple, S.read_references(spark, f"{tmp_path}/ref.txt").collect())) == [("u1", "THE CAT"), ("u2", "")]
 
@@ -42,6 +45,26 @@ def test_layer_cache(spark, tmp_path):
     assert cache.clear("shots") == 2 and cache.count("shots") == 0
 
 
+def test_file_fingerprints(spark, tmp_path):
+    import hashlib
+    import os
+
+    want = {}
+    for name, size in (("small", 10), ("two", 2 << 20), ("large", (2 << 20) + 7)):
+        data = os.urandom(size)
+        (tmp_path / name).write_bytes(data)
+        os.utime(tmp_path / name, (1_700_000_000, 1_700_000_000))
+        tail = data[-(1 << 20) :] if size > 2 << 20 else b""
+        want[name] = hashlib.sha256(f"{size}\x1f1700000000000\x1f".encode() + data[: 1 << 20] + tail).hexdigest()
+    assert {r.path.rsplit("/", 1)[1]: r.fingerprint for r in S.file_fingerprints(spark, str(tmp_path)).collect()} == want
+
+
+def test_transcripts_as_text(spark, tmp_path):
+    w = spark.createDataFrame([("a", 1, "world"), ("a", 0, "hello"), ("b", 0, "x")], "k string, idx int, word string")
+    S.write_transcript(w, "k", f"{tmp_path}/t")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t").collect()) == ["a\thello world", "b\tx"]
+
+
 def _run(stream, name):
     q = stream.writeStream.outputMode("append").format("memory").queryName(name).start()
     try:
