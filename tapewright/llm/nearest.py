@@ -12,12 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import exact_time as X
 
 
+#: Two times with larger denominators may share a tick and its rest.
+MAX_DENOMINATOR = 8 * 10**8
+
+
+def _checked(den: Column) -> Column:
+    return F.when(den > MAX_DENOMINATOR, F.raise_error(F.lit(f"a time has a denominator over {MAX_DENOMINATOR}")).cast("bigint")).otherwise(den)
+
+
 def nearest_in_time(
     left: DataFrame,
     right: DataFrame,
@@ -35,7 +43,7 @@ def nearest_in_time(
     equally near records the earlier wins, of several at the same time the one with the least id. Left out
     are rows with a NULL entity or time on either side, or a zero denominator. Repeated rows with the same
     keys give one row; a left record without a partner gives none; an empty side gives an empty result.
-    Other columns are ignored, whatever their names. Exact for denominators up to 8*10^8.
+    Other columns are ignored, whatever their names. Exact for denominators up to MAX_DENOMINATOR; a larger one is an error.
     """
     tol_num, tol_den = tolerance
     reach = -(-tol_num * X.TICKS // tol_den) + 2
@@ -43,7 +51,7 @@ def nearest_in_time(
     bucket = lambda c: X.floor_div(c, F.lit(width))
 
     rn, rd = X.signed(*right_time)
-    r = right.select(F.col(entity).alias("e"), F.col(right_id).alias("rid"), rn.alias("rn"), rd.alias("rd"), X.tick(*right_time).alias("rt"), X.sub_tick(*right_time).alias("rs"))
+    r = right.select(F.col(entity).alias("e"), F.col(right_id).alias("rid"), rn.alias("rn"), _checked(rd).alias("rd"), X.tick(*right_time).alias("rt"), X.sub_tick(*right_time).alias("rs"))
     r = r.where("e IS NOT NULL AND rid IS NOT NULL AND rt IS NOT NULL")
     r = r.withColumn("b", F.explode(F.sequence(bucket(F.col("rt") - reach), bucket(F.col("rt") + reach))))
     r = r.repartition("e", "b").groupBy("e", "b", "rt", "rs").agg(F.min(F.struct("rid", "rn", "rd")).alias("r"))
@@ -60,7 +68,7 @@ def nearest_in_time(
     )
 
     ln, ld = X.signed(*left_time)
-    l = left.select(F.col(entity).alias("le"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(left_keys)], ln.alias("ln"), ld.alias("ld"), X.tick(*left_time).alias("lt"))
+    l = left.select(F.col(entity).alias("le"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(left_keys)], ln.alias("ln"), _checked(ld).alias("ld"), X.tick(*left_time).alias("lt"))
     l = l.where("le IS NOT NULL AND lt IS NOT NULL").withColumn("lb", bucket(F.col("lt")))
     keys = [f"k{i}" for i in range(len(left_keys))]
 

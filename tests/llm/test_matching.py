@@ -206,6 +206,12 @@ def test_nearest_in_time(spark, seed):
         assert got == _nearest(left, right, Fraction(*tol))
 
 
+def test_nearest_refuses_what_it_cannot_tell_apart(spark):
+    left, right = spark.createDataFrame([(1, "a", 1, 10**9)], LEFT), spark.createDataFrame([(1, "a", 1, 3)], RIGHT)
+    with pytest.raises(Exception, match="denominator over"):
+        nearest_in_time(left, right, ["id"], "frame_id").collect()
+
+
 def test_nearest_of_nothing(spark):
     l, r = spark.createDataFrame([], LEFT), spark.createDataFrame([(1, "a", 1, 1)], RIGHT)
     assert nearest_in_time(l, r, ["id"], "frame_id").count() == 0
