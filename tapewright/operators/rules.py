@@ -283,7 +283,7 @@ def reference_differences(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: doc, band, face and ref_face (height in the band, NULL: no face), faceless_run and ref_faceless_run (seconds), captions and
     ref_captions (share of frames, NULL: none), label and ref_label (whether there is one)."""
-    ratio = F.col("face") / F.greatest(F.col("ref_face"), F.lit(0.001))
+    ratio = F.when(F.col("ref_face").isNotNull(), F.col("face") / F.greatest(F.col("ref_face"), F.lit(0.001)))
     wanted = F.col("ref_captions") > 0.5
     checks = F.array(
         F.when(F.col("ref_label") & ~F.col("label"), "no label"),
@@ -316,3 +316,65 @@ def review_items(findings: DataFrame, window: int = 2 * SECOND) -> DataFrame:
     sev = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     half = window // 2
     return findings.where("at IS NOT NULL").select("subject", F.element_at(sev, F.col("mode")).alias("severity"), F.greatest(F.col("at") - half, F.lit(0)).alias("start"), (F.col("at") + half).alias("end"), F.col("detail").alias("reason"))
+
+
+# ---- sets of rules ---------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Brief:
+    """How a piece should carry itself: what its register and stakes ask for, devices forbidden and required beside them."""
+
+    register: str
+    stakes: str
+    prohibited: tuple[str, ...] = ()
+    required: tuple[str, ...] = ()
+
+
+def standard_rules(frame: int = SECOND // 25, ship: float = 0.85) -> list[Rule]:
+    """The 11 rules of every document. Inputs: applied, decisions, docs, clips (doc, track, clip, asset, source_start, source_end, start, end), assets and
+    readings; the grid is ``frame`` units."""
+    return [
+        Rule("every decision has a basis", "provenance", "block", ("applied", "decisions"), lambda c: every_decision_has_a_basis(c["applied"], c["decisions"])),
+        Rule("no decision below the floor", "confidence", "block", ("decisions",), lambda c: none_below_floor(c["decisions"])),
+        Rule("safety is not overridden", "safety", "block", ("decisions",), lambda c: safety_is_not_overridden(c["decisions"])),
+        Rule("clips do not overlap", "structure", "block", ("clips",), lambda c: clips_do_not_overlap(c["clips"])),
+        Rule("clips are on the grid", "structure", "block", ("clips",), lambda c: clips_are_on_the_grid(c["clips"], F.lit(frame))),
+        Rule("no shot is too short", "pacing", "warn", ("clips",), lambda c: no_short_shot(c["clips"])),
+        Rule("sources are within their assets", "structure", "block", ("clips", "assets"), lambda c: sources_are_within_assets(c["clips"], c["assets"])),
+        Rule("timeline is not empty", "structure", "block", ("docs", "clips"), lambda c: timeline_is_not_empty(c["docs"], c["clips"])),
+        Rule("loudness within target", "sound", "block", ("readings",), lambda c: loudness_within_target(c["readings"])),
+        Rule("true peak below ceiling", "sound", "block", ("readings",), lambda c: true_peak_below_ceiling(c["readings"])),
+        Rule("low confidence holds", "confidence", "hold", ("decisions",), lambda c: low_confidence_holds(c["decisions"], ship=ship)),
+    ]
+
+
+def brief_rules(brief: Brief) -> list[Rule]:
+    """The four rules a brief compiles to. Inputs: decisions, and intents (subject, intent)."""
+
+    def required(c: dict) -> DataFrame:
+        wanted = c["decisions"].sparkSession.createDataFrame([(d,) for d in brief.required], "device string")
+        return required_devices_are_used(c["decisions"], wanted)
+
+    return [
+        Rule("no prohibited device", "brief", "block", ("decisions",), lambda c: no_prohibited_device(c["decisions"], brief.register, brief.prohibited)),
+        Rule("required devices are used", "brief", "warn", ("decisions",), required),
+        Rule("stakes raise the bar", "brief", "hold", ("decisions",), lambda c: stakes_raise_the_bar(c["decisions"], brief.stakes)),
+        Rule("brief can be contradicted", "brief", "warn", ("intents",), lambda c: brief_can_be_contradicted(c["intents"], "intent", "subject")),
+    ]
+
+
+def perception_rules(width: int = 1920, height: int = 1080) -> list[Rule]:
+    """The five rules that perception makes checkable. Inputs: cuts (doc, at: source instants, microseconds), words, lines, shown and shots."""
+    return [
+        Rule("no cut inside a word", "speech", "block", ("cuts", "words"), lambda c: no_cut_inside_a_word(c["cuts"], c["words"], SECOND // 50, 2 * SECOND)),
+        Rule("cuts rest on confident words", "speech", "hold", ("cuts", "words"), lambda c: cuts_rest_on_confident_words(c["cuts"], c["words"], SECOND // 2, 70, 2 * SECOND)),
+        Rule("text is inside the safe area", "text", "warn", ("lines",), lambda c: text_is_inside_the_safe_area(c["lines"], width, height)),
+        Rule("text is on screen long enough", "text", "warn", ("shown",), lambda c: text_is_readable(c["shown"])),
+        Rule("cuts fall on shot boundaries", "picture", "warn", ("cuts", "shots"), lambda c: cuts_fall_on_shot_boundaries(c["cuts"], c["shots"], 3 * SECOND // 10, 20 * SECOND)),
+    ]
+
+
+def rules_for(brief: Brief | None = None, perception: bool = False) -> list[Rule]:
+    """11 rules, 15 with a brief, 16 with perception, 20 with both."""
+    return [*standard_rules(), *(brief_rules(brief) if brief else []), *(perception_rules() if perception else [])]

@@ -243,7 +243,7 @@ m AS (SELECT *, n_faces > 0 AS p, lead(time_us) OVER w AS nxt, coalesce(lag(n_fa
 r AS (SELECT asset, max(len) AS run FROM (SELECT asset, max(coalesce(nxt, time_us + 500000)) - min(time_us) AS len FROM i WHERE NOT p GROUP BY asset, n) GROUP BY asset),
 st AS (SELECT asset, count(*) AS frames, round(avg(tall), 6) AS face, avg((n_lines > 0)::INT) AS captions, avg((n_lines > 1)::INT) > 0.5 AS label FROM g GROUP BY asset),
 y AS (SELECT st.*, coalesce(run, 0) / 1e6::DOUBLE AS run FROM st LEFT JOIN r USING (asset)), z AS (SELECT * FROM y ORDER BY frames DESC, asset LIMIT 1)"""
-_REFERENCE = f"""{_STYLES}, c AS (SELECT y.asset AS doc, 0 AS band, unnest([CASE WHEN z.label AND NOT y.label THEN 'no label' END, CASE WHEN y.face / greatest(z.face, 0.001) < 0.7 OR y.face / greatest(z.face, 0.001) > 1.4 THEN 'face size' END, CASE WHEN z.face IS NOT NULL AND y.face IS NULL THEN 'no face' END,
+_REFERENCE = f"""{_STYLES}, c AS (SELECT y.asset AS doc, 0 AS band, unnest([CASE WHEN z.label AND NOT y.label THEN 'no label' END, CASE WHEN z.face IS NOT NULL AND (y.face / greatest(z.face, 0.001) < 0.7 OR y.face / greatest(z.face, 0.001) > 1.4) THEN 'face size' END, CASE WHEN z.face IS NOT NULL AND y.face IS NULL THEN 'no face' END,
   CASE WHEN y.run > greatest(z.run, 1.0) + 0.5 THEN 'longer without a face' END, CASE WHEN z.captions > 0.5 AND y.captions < z.captions * 0.5 THEN 'fewer captions' END]) AS differs FROM y, z)
 SELECT * FROM c WHERE differs IS NOT NULL"""
 
@@ -303,3 +303,28 @@ def rule_review_queue(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("boundary_score")
     f = shots(spark, sf).where("boundary_score IS NOT NULL").select(F.col("asset").alias("subject"), F.when(b > 0.6, "block").when(b > 0.4, "hold").otherwise("warn").alias("mode"), F.col("start_us").alias("at"), F.lit("score").alias("detail"))
     return I.coalesce_within(R.review_items(f), ["subject", "severity"], "start", "end", 2 * SECOND, "reason")
+
+
+@CATALOG.add("rule_all_sets")
+def rule_all_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """All twenty rules over recordings as documents: shots as clips, events as decisions, titles as intents; sound was never measured, and says so."""
+    from tapewright.sources.standins import us
+
+    c = shots(spark, sf).select(F.col("asset").alias("doc"), F.lit(0).alias("track"), F.col("shot_id").alias("clip"), "asset", F.col("start_us").alias("source_start"), F.col("end_us").alias("source_end"), F.col("start_us").alias("start"), F.col("end_us").alias("end"))
+    d = _decisions(spark, sf)
+    w = turns(spark, sf).select(F.col("asset").alias("doc"), F.col("turn_id").alias("idx"), F.col("start_us").alias("start"), F.col("end_us").alias("end"), F.pmod(F.col("end_us") - F.col("start_us"), F.lit(100)).cast("int").alias("conf"))
+    lines = _lines(spark, sf).withColumnsRenamed({"asset": "subject", "time_us": "at"})
+    context = {
+        "decisions": d,
+        "applied": d,
+        "docs": table(spark, sf, "assets").where("asset IS NOT NULL").select(F.col("asset").alias("doc")),
+        "assets": table(spark, sf, "assets").select("asset", us("duration_num", "duration_den").alias("duration")).distinct(),
+        "clips": c,
+        "intents": table(spark, sf, "documents").where("title IS NOT NULL").select(F.col("doc_id").alias("subject"), F.col("title").alias("intent")),
+        "cuts": R.cut_instants(c).select("doc", F.col("source_at").alias("at")),
+        "words": w,
+        "lines": lines.where("box IS NOT NULL"),
+        "shown": S.screen_time(_lines(spark, sf), ["asset"], "line", "time_us").withColumnRenamed("asset", "subject"),
+        "shots": c.select("doc", F.col("clip").alias("shot"), "start", "end"),
+    }
+    return R.verify(R.rules_for(R.Brief("grave", "high", required=("dissolve", "speedRamp")), True), context, spark)
