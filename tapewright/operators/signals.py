@@ -14,6 +14,8 @@ ABSOLUTE_GATE = -70.0
 RELATIVE_GATE = -10.0
 RANGE_GATE = -20.0
 LOUDNESS_OFFSET = -0.691
+#: Of left, right, centre, low effects, left and right surround.
+CHANNEL_WEIGHTS = (1.0, 1.0, 1.0, 0.0, 1.41, 1.41)
 
 
 def l1_distance(a: Column, b: Column) -> Column:
@@ -40,6 +42,19 @@ def block_power(hops: DataFrame, keys: Sequence[str], hop: str, energy: str, sam
     return b.where(F.col("__n") == hops_per_block).drop("__n")
 
 
+def channel_power(blocks: DataFrame, keys: Sequence[str], hop: str, channel: str, power: str = "power", weights: Sequence[float] = CHANNEL_WEIGHTS) -> DataFrame:
+    """The weighted sum of the channels' powers in each block: keys, hop, power. Channels are numbered in the order of the weights; others count nothing."""
+    weight = F.coalesce(F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col(channel)), F.lit(0.0))
+    return blocks.groupBy(*keys, hop).agg(F.sum(F.col(power) * weight).alias("power"))
+
+
+def loudness_maxima(blocks: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
+    """The largest momentary loudness (of a block) and short-term loudness (of a window of blocks), NULL where there is none but silence."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - blocks_per_window, 0)
+    s = blocks.select(*keys, F.col(power).alias("p"), F.when(F.count(F.lit(1)).over(w) == blocks_per_window, F.avg(power).over(w)).alias("long"))
+    return s.groupBy(*keys).agg(loudness(F.max("p")).alias("momentary"), loudness(F.max("long")).alias("short_term"))
+
+
 def loudness(power: Column) -> Column:
     """LUFS of a mean square, NULL for silence."""
     return F.when(power > 0, F.lit(LOUDNESS_OFFSET) + 10 * F.log10(power))

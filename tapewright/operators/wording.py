@@ -47,6 +47,20 @@ def removal_plan(words: DataFrame, removed: Column, key: str, retention: float)
     return r.select(key, "first_idx", "last_idx", start.alias("start_ms"), F.greatest("e", F.coalesce("next_start", "e")).alias("end_ms"))
 
 
+def requested_removals(words: DataFrame, requested: DataFrame, key: str, retention: float) -> tuple[DataFrame, DataFrame]:
+    """(plan, unknown) for the removal of requested words (key, idx; repeats count once): the cuts of ``removal_plan``, overlapping and touching ones joined, as key, start_ms,
+    end_ms; and the requests for words that aren't there."""
+    from tapewright.operators.intervals import merge
+
+    r = requested.where(F.col(key).isNotNull() & F.col("idx").isNotNull()).select(F.col(key).alias("__k"), F.col("idx").alias("__i")).distinct()
+    marked = words.join(r, (F.col(key) == F.col("__k")) & (F.col("idx") == F.col("__i")), "left")
+    # a recording without requests needs no plan
+    marked = marked.join(r.select(F.col("__k").alias("__asked")).distinct(), F.col(key) == F.col("__asked"), "left_semi")
+    plan = merge(removal_plan(marked, F.col("__i").isNotNull(), key, retention).where("end_ms > start_ms"), [key], "start_ms", "end_ms")
+    unknown = r.join(words.select(F.col(key).alias("__wk"), F.col("idx").alias("__wi")), (F.col("__k") == F.col("__wk")) & (F.col("__i") == F.col("__wi")), "left_anti")
+    return plan, unknown.select(F.col("__k").alias(key), F.col("__i").alias("idx"))
+
+
 def term_vectors(words: DataFrame, key: Sequence[str]) -> DataFrame:
     """Counts of the terms that mean something: no stop words, more than two letters."""
     t = words.select(*key, N.bare(F.col("word")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(N.STOP_WORDS))
@@ -72,10 +86,12 @@ def distinctive_terms(counts: DataFrame, group: str, top: int = 6) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(group, "term", F.col("n").alias("here"), (F.col("all_n") - F.col("n")).alias("elsewhere"), "score", "rank")
 
 
-def section_labels(terms: DataFrame, group: str) -> DataFrame:
-    """The two most distinctive terms in capitals."""
+def section_labels(terms: DataFrame, group: str, groups: DataFrame) -> DataFrame:
+    """The two most distinctive terms of each of the groups in capitals, "SECTION" for one that has none."""
     two = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: F.upper(x["term"])), " ")
-    return terms.where("rank <= 2").groupBy(group).agg(two.alias("label"))
+    labels = terms.where("rank <= 2").groupBy(F.col(group).alias("__g")).agg(two.alias("label"))
+    g = groups.select(group).distinct()
+    return g.join(labels, F.col(group) == F.col("__g"), "left").select(group, F.coalesce("label", F.lit("SECTION")).alias("label"))
 
 
 def parse_script(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions import normalise as N
+from tapewright.operators import intervals as I
 from tapewright.operators import report as P
 from tapewright.operators import scripts as X
 from tapewright.operators import selection as H
 from tapewright.operators import statistics as S
 from tapewright.plans.catalog import Catalog
+from tapewright.plans.interval_queries import _MERGED
+from tapewright.plans.stat_queries import _lines
 from tapewright.session import cut_lineage
-from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, events, frames, shots, turns, words
+from tapewright.sources.standins import FRAMES, SHOTS, TURNS, frames, shots, turns, words
 from tapewright.sources.tables import table
 
 CATALOG = Catalog()
@@ -192,40 +196,80 @@ def choice_freeze_resume(spark: SparkSession, sf: str) -> DataFrame:
     return H.freeze_and_resume(e, ["label"], "vec_id", "distance", "embedding").withColumn("difference", F.round("difference", 9))
 
 
-_REPORT = f"""WITH {SHOTS}, {TURNS}, {FRAMES}, a AS (SELECT asset, max(CASE WHEN duration_num IS NOT NULL AND duration_den IS NOT NULL THEN duration_num::DOUBLE / duration_den END) AS seconds, bool_or(has_video) AS v, bool_or(has_audio) AS au FROM assets GROUP BY asset),
-x AS (SELECT a.*, (SELECT nullif(count(*), 0) FROM s WHERE s.asset = a.asset) AS n_shots, (SELECT CASE WHEN count(*) > 0 THEN count(DISTINCT speaker) END FROM t WHERE t.asset = a.asset) AS n_speakers,
-  (SELECT avg((n_faces > 0)::INT) FROM f WHERE f.asset = a.asset) AS fs, (SELECT avg((n_lines > 0)::INT) FROM f WHERE f.asset = a.asset) AS ts FROM a)
+_SPEECH = r"""sp AS (SELECT asset, count(*) AS words, count(*) FILTER (WHERE regexp_replace(lower(x), '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g') IN ('um', 'uh', 'erm', 'hmm', 'mm', 'eh', 'ah')) AS fillers
+  FROM (SELECT asset, unnest(regexp_extract_all(raw_line, '(\S+)', 1)) AS x FROM (SELECT DISTINCT line_id, asset, raw_line FROM raw_transcripts WHERE asset IS NOT NULL)) GROUP BY asset),
+sg AS (SELECT asset, count(*) AS segments, max(end_us - start_us) / 1e6::DOUBLE AS longest_segment, max(end_us) AS last_us FROM t GROUP BY asset)"""
+_REPORT = f"""WITH {SHOTS}, {TURNS}, {FRAMES}, {_SPEECH}, v AS (SELECT asset, time_us AS start_us, time_us + 4000000 AS end_us FROM f WHERE n_faces > 0), {_MERGED.format(src='v')},
+a AS (SELECT asset, max(CASE WHEN duration_num IS NOT NULL AND duration_den IS NOT NULL THEN duration_num::DOUBLE / duration_den END) AS seconds, bool_or(has_video) AS v, coalesce(bool_or(has_audio), false) AS au FROM assets GROUP BY asset),
+sh AS (SELECT asset, count(*) AS shots, list_sort(list(end_us - start_us))[count(*) // 2 + 1] / 1e6::DOUBLE AS median_shot, max(end_us - start_us) / 1e6::DOUBLE AS longest_shot FROM s GROUP BY asset),
+h AS (SELECT DISTINCT frame_id, coalesce(len(hands), 0) > 0 AS hands FROM frames), l AS (SELECT asset, count(DISTINCT upper(trim(u.text))) AS distinct_lines FROM (SELECT asset, unnest(text) AS u FROM frames WHERE asset IS NOT NULL AND time_num IS NOT NULL AND text IS NOT NULL) WHERE u.text IS NOT NULL GROUP BY asset),
+fr AS (SELECT asset, count(*) AS samples, count(*) FILTER (WHERE n_faces > 0) AS with_face, count(*) FILTER (WHERE n_lines > 0) AS with_text, count(*) FILTER (WHERE hands) AS with_hands FROM f JOIN h USING (frame_id) GROUP BY asset),
+pr AS (SELECT asset, count(*) AS person_runs FROM m GROUP BY asset),
+x AS (SELECT a.*, words, fillers, segments, longest_segment, shots, median_shot, longest_shot, samples, with_face, with_text, with_hands, distinct_lines, person_runs FROM a LEFT JOIN sp USING (asset) LEFT JOIN sg USING (asset) LEFT JOIN sh USING (asset) LEFT JOIN fr USING (asset) LEFT JOIN l USING (asset) LEFT JOIN pr USING (asset))
 SELECT asset, u.o::INT AS ord, u.k AS kind, u.l AS layer, u.t AS text FROM (SELECT asset, unnest([
-  CASE WHEN seconds IS NULL THEN {{'o': 0, 'k': 'problem', 'l': 'container', 't': 'duration unknown'}} END, CASE WHEN seconds IS NOT NULL THEN {{'o': 1, 'k': 'fact', 'l': 'container', 't': 'runs ' || floor(seconds)::BIGINT || ' s'}} END,
-  CASE WHEN NOT coalesce(au, false) THEN {{'o': 2, 'k': 'problem', 'l': 'container', 't': 'no sound'}} END, CASE WHEN NOT coalesce(v, false) THEN {{'o': 3, 'k': 'problem', 'l': 'container', 't': 'no picture'}} END,
-  CASE WHEN n_shots IS NULL THEN {{'o': 4, 'k': 'problem', 'l': 'shots', 't': 'shots not measured'}} END, CASE WHEN n_shots = 1 THEN {{'o': 5, 'k': 'fact', 'l': 'shots', 't': 'one continuous shot'}} END, CASE WHEN seconds / n_shots > 20 THEN {{'o': 6, 'k': 'opportunity', 'l': 'shots', 't': 'long shots could be cut'}} END,
-  CASE WHEN n_speakers IS NULL THEN {{'o': 7, 'k': 'problem', 'l': 'speech', 't': 'speakers not measured'}} END, CASE WHEN n_speakers > 1 THEN {{'o': 8, 'k': 'fact', 'l': 'speech', 't': n_speakers || ' speakers'}} END,
-  CASE WHEN fs IS NULL THEN {{'o': 9, 'k': 'problem', 'l': 'vision', 't': 'picture not measured'}} END, CASE WHEN fs < 0.5 THEN {{'o': 10, 'k': 'opportunity', 'l': 'vision', 't': 'mostly without a face'}} END, CASE WHEN ts < 0.2 THEN {{'o': 11, 'k': 'opportunity', 'l': 'vision', 't': 'hardly any text on screen'}} END]) AS u FROM x) WHERE u IS NOT NULL"""
+  CASE WHEN v AND seconds IS NOT NULL THEN {{'o': 0, 'k': 'fact', 'l': 'L0', 't': printf('picture, %.1f s', seconds)}} END, CASE WHEN NOT au THEN {{'o': 2, 'k': 'problem', 'l': 'L0', 't': 'no sound track'}} END,
+  CASE WHEN au AND words IS NOT NULL THEN {{'o': 12, 'k': 'fact', 'l': 'L2', 't': words || ' words, ' || floor(words / greatest(seconds, 0.001) * 60)::BIGINT || ' a minute'}} END, CASE WHEN au AND segments IS NOT NULL THEN {{'o': 13, 'k': 'fact', 'l': 'L2', 't': segments || ' segments'}} END,
+  CASE WHEN au AND fillers > 0 THEN {{'o': 14, 'k': 'opportunity', 'l': 'L2', 't': fillers || ' fillers'}} END, CASE WHEN au AND longest_segment > 12 THEN {{'o': 16, 'k': 'opportunity', 'l': 'L2', 't': printf('unbroken for %.0f s', longest_segment)}} END,
+  CASE WHEN shots = 1 THEN {{'o': 17, 'k': 'fact', 'l': 'L2', 't': 'one continuous shot'}} END, CASE WHEN shots > 1 THEN {{'o': 18, 'k': 'fact', 'l': 'L2', 't': shots || printf(' shots, median %.1f s', median_shot)}} END,
+  CASE WHEN shots > 1 AND median_shot < 1.5 THEN {{'o': 19, 'k': 'fact', 'l': 'L2', 't': 'fast cutting'}} END, CASE WHEN shots > 1 AND median_shot > 8 THEN {{'o': 20, 'k': 'opportunity', 'l': 'L2', 't': 'long takes'}} END,
+  CASE WHEN shots > 1 AND longest_shot > greatest(median_shot * 4, 10) THEN {{'o': 21, 'k': 'opportunity', 'l': 'L2', 't': printf('one shot runs %.0f s', longest_shot)}} END, CASE WHEN samples > 0 THEN {{'o': 22, 'k': 'fact', 'l': 'L2', 't': 'a person in ' || (100 * with_face // samples) || ' %'}} END,
+  CASE WHEN samples > 0 AND with_hands > 0 THEN {{'o': 23, 'k': 'fact', 'l': 'L2', 't': 'hands in ' || (100 * with_hands // samples) || ' %'}} END, CASE WHEN samples > 0 AND with_text > 0 THEN {{'o': 24, 'k': 'fact', 'l': 'L2', 't': 'text in ' || (100 * with_text // samples) || ' %, ' || distinct_lines || ' lines'}} END,
+  CASE WHEN samples > 0 AND person_runs > 1 THEN {{'o': 25, 'k': 'fact', 'l': 'L2', 't': 'a person in ' || person_runs || ' runs'}} END, CASE WHEN samples > 0 AND with_face = 0 AND with_text = 0 THEN {{'o': 26, 'k': 'problem', 'l': 'L2', 't': 'neither face nor text'}} END]) AS u FROM x) WHERE u IS NOT NULL"""
+
+
+def _speech(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words and fillers of each recording's typed lines; number and longest of its turns."""
+    l = table(spark, sf, "raw_transcripts").where("asset IS NOT NULL").select("line_id", "asset", "raw_line").distinct()
+    w = l.select("asset", F.explode(F.regexp_extract_all("raw_line", F.lit(r"(\S+)"), F.lit(1))).alias("word"))
+    said = w.groupBy("asset").agg(F.count(F.lit(1)).alias("words"), F.count_if(N.is_filler(F.col("word"))).alias("fillers"))
+    t = turns(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("segments"), (F.max(F.col("end_us") - F.col("start_us")) / 1e6).alias("longest_segment"), F.max("end_us").alias("last_us"))
+    return said, t
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "assets").groupBy("asset").agg(F.max(F.col("duration_num").cast("double") / F.col("duration_den")).alias("seconds"), F.bool_or("has_video").alias("has_video"), F.bool_or("has_audio").alias("has_audio"))
-    s = shots(spark, sf).groupBy("asset").agg(F.count(F.lit(1)).alias("n_shots"))
-    t = turns(spark, sf).groupBy("asset").agg(F.count_distinct("speaker").alias("n_speakers"))
-    f = frames(spark, sf).groupBy("asset").agg(S.share(F.col("n_faces") > 0).alias("face_share"), S.share(F.col("n_lines") > 0).alias("text_share"))
-    return a.join(s, "asset", "left").join(t, "asset", "left").join(f, "asset", "left")
+    lengths = shots(spark, sf).withColumn("length", F.col("end_us") - F.col("start_us"))
+    longest = lengths.groupBy("asset").agg((F.max("length") / 1e6).alias("longest_shot"))
+    median = S.ranked_value(lengths, ["asset"], "length", S.upper_median, "shots").select("asset", "shots", (F.col("length") / 1e6).alias("median_shot"))
+    hands = table(spark, sf, "frames").select(F.col("frame_id").alias("h_frame"), (F.coalesce(F.size("hands"), F.lit(0)) > 0).alias("hands")).distinct()
+    f = frames(spark, sf)
+    seen = f.join(hands, F.col("frame_id") == F.col("h_frame")).groupBy("asset").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("n_faces") > 0).alias("with_face"), F.count_if(F.col("n_lines") > 0).alias("with_text"), F.count_if("hands").alias("with_hands"))
+    lines = _lines(spark, sf).groupBy("asset").agg(F.count_distinct("line").alias("distinct_lines"))
+    person = I.sample_ranges(f, ["asset"], "time_us", F.col("n_faces") > 0, 4_000_000).groupBy("asset").agg(F.count(F.lit(1)).alias("person_runs"))
+    said, spoken = _speech(spark, sf)
+    for more in (said, spoken.drop("last_us"), median, longest, seen, lines, person):
+        a = a.join(more, "asset", "left")
+    unknown = ("width", "height", "integrated", "loudness_range", "true_peak", "speech_level", "noise_floor", "silences", "silent_seconds", "longest_silence", "unsure_words", "filler_seconds")
+    return a.select("*", *[F.lit(None).cast("double").alias(c) for c in unknown], F.lit(False).alias("sound_measured"))
 
 
 @CATALOG.add("choice_editors_report", _REPORT)
 def choice_editors_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the tables tell of each recording; sound and picture size aren't in them."""
     return P.editors_report(_facts(spark, sf), "asset")
 
 
-_FORMAT = f"""WITH {EVENTS}, p AS (SELECT user_id, CASE WHEN user_id % 9 <> 0 THEN count(*) / 5.0::DOUBLE END AS cuts, 12.0::DOUBLE AS ref_cuts, avg((event_type = 'click')::INT) AS captions, CASE WHEN user_id % 2 = 0 THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END AS ref_captions, 1.78::DOUBLE AS aspect, CASE WHEN user_id % 4 = 0 THEN 0.56::DOUBLE ELSE 1.78::DOUBLE END AS ra FROM e GROUP BY user_id)
-SELECT user_id, u.o::INT AS ord, u.k AS kind, u.l AS layer, u.t AS text FROM (SELECT user_id, unnest([
-  CASE WHEN cuts IS NULL THEN {{'o': 0, 'k': 'unknown', 'l': 'pacing', 't': 'pacing'}} END, CASE WHEN cuts < 0.7 * ref_cuts THEN {{'o': 1, 'k': 'step', 'l': 'pacing', 't': 'cut faster'}} END, CASE WHEN cuts > 1.4 * ref_cuts THEN {{'o': 2, 'k': 'step', 'l': 'pacing', 't': 'cut slower'}} END,
-  CASE WHEN ref_captions >= 0.5 AND captions < 0.5 * ref_captions THEN {{'o': 4, 'k': 'step', 'l': 'captions', 't': 'add captions'}} END, CASE WHEN ref_captions < 0.5 AND captions > ref_captions THEN {{'o': 5, 'k': 'question', 'l': 'captions', 't': 'keep the captions?'}} END,
-  CASE WHEN abs(aspect - ra) > 0.02 THEN {{'o': 6, 'k': 'step', 'l': 'frame', 't': 'reframe'}} END]) AS u FROM p) WHERE u IS NOT NULL"""
+_FORMAT = f"""WITH {TURNS}, {_SPEECH}, n AS (SELECT asset, count(DISTINCT speaker) AS panels FROM t GROUP BY asset), c AS (SELECT asset, count(*) FILTER (WHERE similarity IS NOT NULL) AS retaken, count(*) FILTER (WHERE similarity IS NULL) AS again FROM (SELECT DISTINCT correction_id, asset, similarity FROM corrections WHERE asset IS NOT NULL) GROUP BY asset),
+w AS (SELECT sp.asset, words, words / greatest(last_us / 6e7::DOUBLE, 0.01) AS wpm FROM sp JOIN sg USING (asset)), z AS (SELECT * FROM w ORDER BY words DESC, asset LIMIT 1),
+p AS (SELECT w.asset, w.wpm, z.wpm AS ref_wpm, coalesce(retaken, 0) AS retaken, coalesce(again, 0) AS again, (SELECT panels FROM n WHERE n.asset = z.asset) AS panels FROM w LEFT JOIN c USING (asset), z)
+SELECT asset, u.o::INT AS ord, u.k AS kind, u.l AS layer, u.t AS text FROM (SELECT asset, unnest([
+  CASE WHEN panels > 1 THEN {{'o': 0, 'k': 'step', 'l': 'layout', 't': 'split into ' || panels || ' panels'}} END, CASE WHEN NOT panels > 1 THEN {{'o': 1, 'k': 'step', 'l': 'layout', 't': 'single frame'}} END, CASE WHEN panels > 1 THEN {{'o': 4, 'k': 'step', 'l': 'content', 't': 'label the panels by section'}} END,
+  CASE WHEN again > 0 THEN {{'o': 5, 'k': 'question', 'l': 'takes', 't': again || ' lines are said again: on purpose?'}} END, CASE WHEN retaken > 0 THEN {{'o': 6, 'k': 'step', 'l': 'takes', 't': 'use the best of ' || retaken || ' retaken lines'}} END,
+  CASE WHEN wpm < ref_wpm * 0.85 THEN {{'o': 7, 'k': 'step', 'l': 'pace', 't': printf('tighten pauses: %.0f to %.0f words a minute', wpm, ref_wpm)}} END, CASE WHEN wpm >= ref_wpm * 0.85 THEN {{'o': 8, 'k': 'step', 'l': 'pace', 't': 'keep the pace'}} END,
+  {{'o': 10, 'k': 'step', 'l': 'captions', 't': 'burn in captions'}}, {{'o': 11, 'k': 'unknown', 'l': 'look', 't': 'fonts and colours'}}, {{'o': 12, 'k': 'unknown', 'l': 'layout', 't': 'delay between panels'}}, {{'o': 13, 'k': 'unknown', 'l': 'look', 't': 'graphics that aren''t text'}},
+  CASE WHEN panels > 1 THEN {{'o': 14, 'k': 'question', 'l': 'layout', 't': 'how long should the echo be?'}} END]) AS u FROM p) WHERE u IS NOT NULL"""
 
 
 @CATALOG.add("choice_format_plan", _FORMAT)
 def choice_format_plan(spark: SparkSession, sf: str) -> DataFrame:
-    u = F.col("user_id")
-    p = events(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "click").cast("int")).alias("captions"))
-    p = p.select("user_id", F.when(u % 9 != 0, F.col("n") / 5).alias("cuts"), F.lit(12.0).alias("ref_cuts"), "captions", F.when(u % 2 == 0, 0.6).otherwise(0.1).alias("ref_captions"), F.lit(1.78).alias("aspect"), F.when(u % 4 == 0, 0.56).otherwise(1.78).alias("ref_aspect"))
-    return P.format_plan(p, "user_id")
+    """Every recording in the format of the one with the most words, a panel for each of whose speakers."""
+    said, spoken = _speech(spark, sf)
+    w = said.join(spoken, "asset").select("asset", "words", (F.col("words") / F.greatest(F.col("last_us") / 6e7, F.lit(0.01))).alias("wpm"))
+    n = turns(spark, sf).groupBy("asset").agg(F.count_distinct("speaker").alias("panels"))
+    # one row: the format to follow
+    ref = w.join(n, "asset").orderBy(F.col("words").desc(), "asset").first()
+    c = table(spark, sf, "corrections").where("asset IS NOT NULL").select("correction_id", "asset", "similarity").distinct()
+    c = c.groupBy("asset").agg(F.count("similarity").alias("retaken"), F.count_if(F.col("similarity").isNull()).alias("repeated"))
+    p = w.join(c, "asset", "left").select("asset", "wpm", F.coalesce("retaken", F.lit(0)).alias("retaken"), F.coalesce("repeated", F.lit(0)).alias("repeated"))
+    given = {"ref_wpm": (ref and ref["wpm"], "double"), "panels": (ref and ref["panels"], "int"), "opening_seconds": (None, "double"), "weakest_break": (None, "double"), "ref_loudness": (None, "double"), "echo_known": (False, "boolean")}
+    return P.format_plan(p.select("*", *[F.lit(v).cast(t).alias(k) for k, (v, t) in given.items()]), "asset")

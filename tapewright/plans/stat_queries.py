@@ -257,6 +257,22 @@ def signal_loudness(spark: SparkSession, sf: str) -> DataFrame:
     return i.select("user_id", F.round("integrated", 5).alias("integrated"), "n_blocks", F.round(G.gain_to(F.lit(-23.0), F.col("integrated")), 5).alias("gain"))
 
 
+_SURROUND = f"""WITH {EVENTS}, h AS (SELECT user_id, event_type, ts_us // 86400000000 AS hop, avg(value * value / 10000) AS power FROM e GROUP BY ALL),
+b AS (SELECT user_id, hop, sum(power * CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN 0 ELSE 1.41::DOUBLE END) AS power FROM h GROUP BY ALL),
+m AS (SELECT user_id, max(power) AS p, max(CASE WHEN n = 30 THEN long END) AS s FROM (SELECT user_id, power, avg(power) OVER w AS long, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY hop ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) GROUP BY user_id)
+SELECT user_id, round(CASE WHEN p > 0 THEN -0.691::DOUBLE + 10 * log10(p) END, 5) AS momentary, round(CASE WHEN s > 0 THEN -0.691::DOUBLE + 10 * log10(s) END, 5) AS short_term FROM m"""
+
+
+@CATALOG.add("signal_loudness_maxima", _SURROUND)
+def signal_loudness_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    """Types of events as the channels of a sound, a day as a block: the loudest block and the loudest thirty."""
+    t = F.col("event_type")
+    channel = F.when(t == "view", 0).when(t == "click", 1).when(t == "signup", 2).when(t == "error", 3).otherwise(4)
+    h = events(spark, sf).groupBy("user_id", channel.alias("channel"), F.call_function("div", F.col("ts_us"), F.lit(86_400_000_000)).alias("hop")).agg(F.avg(F.col("value") * F.col("value") / 10000).alias("power"))
+    m = G.loudness_maxima(G.channel_power(h, ["user_id"], "hop", "channel"), ["user_id"], "hop")
+    return m.select("user_id", F.round("momentary", 5).alias("momentary"), F.round("short_term", 5).alias("short_term"))
+
+
 _RANGE = f"""WITH {_HOPS}, s AS (SELECT user_id, p, -0.691::DOUBLE + 10 * log10(p) AS l FROM (SELECT user_id, avg(power) OVER w AS p, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY hop ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE n = 30 AND p > 0),
 g AS (SELECT user_id, -0.691::DOUBLE + 10 * log10(avg(p)) - 20 AS gate FROM s WHERE l > -70 GROUP BY user_id), k AS (SELECT s.user_id, list_sort(list(l)) AS x FROM s JOIN g USING (user_id) WHERE l > -70 AND l > gate GROUP BY s.user_id)
 SELECT user_id, round(x[round((len(x) - 1) * 0.95::DOUBLE)::INT + 1] - x[round((len(x) - 1) * 0.1::DOUBLE)::INT + 1], 5) AS loudness_range FROM k"""

@@ -104,9 +104,10 @@ def _source_terms(spark: SparkSession, sf: str) -> DataFrame:
     return W.distinctive_terms(W.term_vectors(words(spark, sf).join(d, "doc_id"), ["source"]), "source")
 
 
-@CATALOG.add("text_section_labels", _SOURCES + " SELECT source, string_agg(upper(term), ' ' ORDER BY rank) AS label FROM k WHERE rank <= 2 GROUP BY source")
+@CATALOG.add("text_section_labels", _SOURCES + ", l AS (SELECT source, string_agg(upper(term), ' ' ORDER BY rank) AS label FROM k WHERE rank <= 2 GROUP BY source), g AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE source IS NOT NULL) SELECT g.source, coalesce(label, 'SECTION') AS label FROM g LEFT JOIN l ON g.source = l.source")
 def text_section_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return W.section_labels(_source_terms(spark, sf), "source")
+    groups = table(spark, sf, "documents").where("source IS NOT NULL").select(F.lower(F.trim("source")).alias("source"))
+    return W.section_labels(_source_terms(spark, sf), "source", groups)
 
 
 _SCRIPT = r"""WITH p AS (SELECT line_id, unnest(l) AS part, unnest(range(len(l)))::INT AS ord FROM (SELECT DISTINCT line_id, regexp_extract_all(raw_line, '\[([^\]]*)\]([^\[]*)') AS l FROM raw_transcripts)),
@@ -139,6 +140,26 @@ def text_removal_plan(spark: SparkSession, sf: str) -> DataFrame:
     return W.removal_plan(words(spark, sf), F.col("conf") < 50, "doc_id", 0.35)
 
 
+_REQUESTED = f"""WITH {WORDS}, rq AS (SELECT DISTINCT doc_id, idx FROM (SELECT d.doc_id, unnest(c.removed_words) AS idx FROM cut_plans c JOIN documents d ON c.asset = d.asset) WHERE idx IS NOT NULL),
+x AS (SELECT w.*, r.idx IS NOT NULL AS gone, lag(end_ms) OVER v AS pe, lead(start_ms) OVER v AS ns FROM w LEFT JOIN rq r ON w.doc_id = r.doc_id AND w.idx = r.idx WINDOW v AS (PARTITION BY w.doc_id ORDER BY w.idx)),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM x WHERE gone),
+r AS (SELECT doc_id, min(idx) AS first_idx, min(start_ms) AS s, max(end_ms) AS e, arg_min(pe, idx) FILTER (WHERE pe IS NOT NULL) AS pe, arg_max(ns, idx) FILTER (WHERE ns IS NOT NULL) AS ns, min(idx) = 0 AS head FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, CASE WHEN head THEN s ELSE s - floor(greatest(s - pe, 0) * (1 - 0.35::DOUBLE))::BIGINT END AS start_ms, greatest(e, coalesce(ns, e)) AS end_ms FROM r),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT *, max(end_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE end_ms > start_ms))
+SELECT doc_id, 'cut' AS kind, min(start_ms) AS start_ms, max(end_ms) AS end_ms, NULL::INT AS idx FROM k GROUP BY doc_id, n
+UNION ALL SELECT rq.doc_id, 'unknown', NULL, NULL, rq.idx FROM rq LEFT JOIN w ON rq.doc_id = w.doc_id AND rq.idx = w.idx WHERE w.idx IS NULL"""
+
+
+@CATALOG.add("text_requested_removals", _REQUESTED)
+def text_requested_removals(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that the cut plans of a recording remove, taken out of its documents: the cuts, and the words that aren't there."""
+    d = table(spark, sf, "documents").where("asset IS NOT NULL").select("doc_id", F.col("asset").alias("d_asset"))
+    r = table(spark, sf, "cut_plans").where("asset IS NOT NULL").select("asset", F.explode("removed_words").alias("idx")).where("idx IS NOT NULL").distinct()
+    plan, unknown = W.requested_removals(words(spark, sf), d.join(r, F.col("d_asset") == F.col("asset")).select("doc_id", "idx"), "doc_id", 0.35)
+    cuts = plan.select("doc_id", F.lit("cut").alias("kind"), "start_ms", "end_ms", F.lit(None).cast("int").alias("idx"))
+    return cuts.unionByName(unknown.select("doc_id", F.lit("unknown").alias("kind"), F.lit(None).cast("bigint").alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"), "idx"))
+
+
 _ANSWERS = """a AS (SELECT user_id, count(*) AS n, string_agg(CASE WHEN event_id % 7 = 0 THEN 'no idea' ELSE (event_id % 60)::VARCHAR || '-' || (event_id % 60 + event_id % 9 - 2)::VARCHAR || ' | ' || event_type END, chr(10) ORDER BY event_id) AS answer FROM events GROUP BY user_id)"""
 _SPANS = (
     r"WITH RECURSIVE "
