@@ -65,8 +65,6 @@ def _ordinal(words: list[str]) -> list[str]:
 @lru_cache(maxsize=65536)
 def _spelled(token: str) -> tuple[str, ...]:
     """A numeral as number words, digit by digit if it has over 21; anything else as it is."""
-    if not token[0].isdigit():
-        return (token,)
     m = regex.fullmatch(r"(\d+)(?:\.(\d+))?(st|nd|rd|th)?", token)
     if not m or (m.group(2) and m.group(3)):
         return (token,)
@@ -76,6 +74,8 @@ def _spelled(token: str) -> tuple[str, ...]:
     return tuple(_ordinal(words) if m.group(3) else words)
 
 
+_APOSTROPHE = regex.compile(r"[’‘ʼ`´＇]")
+_THOUSANDS = regex.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 _TOKEN = regex.compile(r"\d+(?:\.\d+)?(?:st|nd|rd|th)?(?![\p{L}\p{N}])|[\p{L}\p{M}\p{N}]+(?:'[\p{L}\p{M}\p{N}]+)*")
 
 
@@ -84,12 +84,13 @@ def spoken_words(text: str | None) -> list[str]:
     against number words, "%" against "percent", fillers. NULL and blank give none."""
     if not text:
         return []
-    low = regex.sub(r"[’‘ʼ`´＇]", "'", text.lower())
-    low = regex.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", low).replace("%", " percent ")
+    low = _THOUSANDS.sub("", _APOSTROPHE.sub("'", text.lower())).replace("%", " percent ")
     out: list[str] = []
     for t in _TOKEN.findall(low):
-        if t not in FILLERS:
+        if t[0].isdigit():
             out.extend(_spelled(t))
+        elif t not in FILLERS:
+            out.append(t)
     return out
 
 
@@ -185,6 +186,8 @@ def align(readings: Sequence[list[str] | None]) -> list[list[str | None]]:
 
 def pattern(slot: Sequence[str | None]) -> str:
     """Which engines agree: a letter per engine, the same for the same claim, "-" for no reading."""
+    if slot.count(slot[0]) == len(slot):
+        return ("-" if slot[0] is None else "a") * len(slot)
     names: dict[str, str] = {}
     return "".join("-" if w is None else names.setdefault(w, chr(97 + len(names))) for w in slot)
 
