@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,23 +227,42 @@ def captions_not_heard(captions: DataFrame, words: DataFrame, key: str, slack_ms
     return out.where(F.col("contained") < least).select(key, "caption", "text", "contained")
 
 
-def sections(words: DataFrame, key: str, count: int, window: int = 40) -> DataFrame:
-    """A recording in ``count`` sections: key, section, first_idx; cut where the words of the windows on either side are least alike."""
-    from tapewright.operators.wording import neighbour_cohesion
+def cohesion_at_gaps(words: DataFrame, key: str, window: int = 40, chunk: int = 4_000) -> DataFrame:
+    """How much vocabulary the ``window`` words before each word share with those from it on: key, idx, cohesion. ``idx`` counts a recording's words from 0. Words are taken in
+    chunks that also hold the windows on either side."""
+    from tapewright.functions import normalise as N
 
-    c = neighbour_cohesion(words, key, window)
-    n = words.groupBy(key).agg((F.max("idx") + 1).alias("n_words"))
-    g = n.join(c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "cohesion"))).alias("c")), key, "left")
+    bare = N.bare(F.col("word"))
+    term = F.when((F.length(bare) > 2) & ~bare.isin(N.STOP_WORDS), bare)
+    at = F.array_distinct(F.array(F.expr(f"greatest(idx - {window - 1}, 0) div {chunk}"), F.expr(f"idx div {chunk}"), F.expr(f"(idx + {window}) div {chunk}")))
+    w = words.select(F.col(key).alias("key"), "idx", term.alias("term")).withColumn("chunk", F.explode(at))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def breaks(n_words: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for n, own in zip(n_words, c):
-            own = [] if own is None else list(own)
-            out.append([0, *Q.section_breaks([x["cohesion"] for x in own], [(x["block"] + 1) * window for x in own], count, int(n), window)])
-        return pd.Series(out)
+    def kernel(rows: list[dict]) -> list[tuple]:
+        first = rows[0]["idx"]
+        return [(first + i, s, (first + i) // chunk) for i, s in Q.gap_cohesion([r["term"] for r in rows], window)]
+
+    g = Q.per_group(w, ["key", "chunk"], "idx", kernel, [("at", T.IntegerType()), ("cohesion", T.DoubleType()), ("home", T.LongType())])
+    return g.where("home = chunk").select(F.col("key").alias(key), F.col("at").alias("idx"), "cohesion")
 
-    return g.select(key, F.posexplode(breaks("n_words", "c")).alias("section", "first_idx"))
+
+def sections(words: DataFrame, key: str, count: int, window: int = 40) -> DataFrame:
+    """A recording in at most ``count`` sections: key, section, first_idx; cut where the words on either side are least alike, no closer than a third of a section or
+    the window to another cut. Up to two windows of words are one section.
+
+    One cut of every recording is found per round, by an aggregation over its places."""
+    from tapewright.session import cut_lineage
+
+    n = words.groupBy(F.col(key).alias("key")).agg((F.max("idx") + 1).cast("int").alias("n"))
+    c = cohesion_at_gaps(words, key, window).select(F.col(key).alias("key"), "idx", "cohesion").join(n, "key")
+    c = c.where((F.col("n") > 2 * window) & (F.col("idx") < F.col("n") - window)).withColumn("apart", F.greatest(F.call_function("div", F.col("n"), F.lit(3 * count)), F.lit(window)))
+    c = cut_lineage(c.select("key", "idx", F.round("cohesion", 12).alias("cohesion"), "apart"))
+    cuts = n.select("key", F.lit(0).alias("first_idx"))
+    for _ in range(count - 1):
+        best = cut_lineage(c.groupBy("key").agg(F.min(F.struct("cohesion", "idx"))["idx"].alias("cut")))
+        cuts = cuts.unionByName(best.select("key", F.col("cut").alias("first_idx")))
+        c = c.join(best, "key").where(F.abs(F.col("idx") - F.col("cut")) >= F.col("apart")).drop("cut")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("first_idx")) - 1
+    return cuts.select(F.col("key").alias(key), place.alias("section"), "first_idx")
 
 
 def label_scores(labels: DataFrame, key: str) -> DataFrame:

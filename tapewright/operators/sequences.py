@@ -235,18 +235,34 @@ def caption_groups(words: list[str], start: list[int], end: list[int], size: int
     return out
 
 
-def section_breaks(cohesion: list[float], at: list[int], sections: int, n_words: int, window: int = 40) -> list[int]:
-    """Word indices where sections begin: the places of least cohesion, none closer than max(n / 3 sections, window) to another or an end."""
-    if n_words <= 2 * window or sections < 2:
+def gap_cohesion(terms: list[str | None], window: int) -> list[tuple[int, float]]:
+    """(i, cosine of the term counts of the ``window`` words before word i and from it on) for every i that has so many on both sides; 0 where either has no terms. The
+    counts slide along, so each step costs the same."""
+    if len(terms) < 2 * window:
         return []
-    room = max(n_words // (3 * sections), window)
-    chosen: list[int] = []
-    for _, i in sorted(zip(cohesion, at)):
-        if room <= i <= n_words - room and all(abs(i - c) >= room for c in chosen):
-            chosen.append(i)
-            if len(chosen) == sections - 1:
-                break
-    return sorted(chosen)
+    before, after = Counter(t for t in terms[:window] if t), Counter(t for t in terms[window : 2 * window] if t)
+    dot = sum(n * after[t] for t, n in before.items())
+    nb, na = sum(n * n for n in before.values()), sum(n * n for n in after.values())
+    out = []
+    for i in range(window, len(terms) - window + 1):
+        out.append((i, dot / (nb * na) ** 0.5 if nb and na else 0.0))
+        gone, moved, new = terms[i - window], terms[i], terms[i + window] if i + window < len(terms) else None
+        if moved:  # leaves the words behind, joins those before
+            dot -= before[moved]
+            na -= 2 * after[moved] - 1
+            after[moved] -= 1
+            dot += after[moved]
+            nb += 2 * before[moved] + 1
+            before[moved] += 1
+        if gone:
+            dot -= after[gone]
+            nb -= 2 * before[gone] - 1
+            before[gone] -= 1
+        if new:
+            dot += before[new]
+            na += 2 * after[new] + 1
+            after[new] += 1
+    return out
 
 
 def locate_line(want: list[str], heard: list[str], closes: Sequence[bool], least: float = 0.45) -> tuple[int, int, float] | None:

@@ -107,11 +107,16 @@ def history_deviations(history: DataFrame, metric: str, value: str, video: str,
     return j.withColumn("z", z).where(F.abs("z") > threshold).select(F.col("video").alias(video), F.col("metric").alias(metric), F.col("x").alias(value), "n_others", "z")
 
 
-def trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, last: int) -> DataFrame:
-    """Slope per step of the last rows of each group (least squares against their index); 0 for fewer than two."""
+def trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, last: int = 10, hours: str | None = None) -> DataFrame:
+    """The trend of the last rows of each group: slope per step (least squares against their index, 0 for fewer than two), n, first and last value, and why it
+    doesn't show that the value falls (NULL if it does): too few rows, a slope that isn't negative, or a row without ``hours`` to be a rate of."""
     w = Window.partitionBy(*keys)
     r = df.withColumn("__back", F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))).where(F.col("__back") <= last)
-    return r.groupBy(*keys).agg(F.coalesce(F.regr_slope(value, -F.col("__back")), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n"))
+    empty = F.max(F.coalesce(F.col(hours) <= 0, F.lit(True))) if hours else F.lit(False)
+    slope = F.coalesce(F.round(F.regr_slope(value, -F.col("__back")), 9), F.lit(0.0))
+    g = r.groupBy(*keys).agg(slope.alias("slope"), F.count(F.lit(1)).alias("n"), F.max_by(value, "__back").alias("first"), F.min_by(value, "__back").alias("last"), empty.alias("__empty"))
+    why = F.when(F.col("n") < last, "too few").when(F.col("slope") >= 0, "not falling").when(F.col("__empty"), "no footage")
+    return g.withColumn("shortfall", why).drop("__empty")
 
 
 def per_hour(count: Column, hours: Column) -> Column:

@@ -63,13 +63,16 @@ def stat_catalogue_compare(spark: SparkSession, sf: str) -> DataFrame:
     return S.history_deviations(long, "metric", "value", "video").withColumn("z", F.round("z", 5))
 
 
-_TREND = f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us DESC, event_id DESC) AS back FROM e)
-SELECT user_id, round(coalesce(regr_slope(value, -back), 0.0), 6) AS slope, count(*) AS n FROM b WHERE back <= 10 GROUP BY user_id"""
+_TREND = f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us DESC, event_id DESC) AS back FROM e),
+g AS (SELECT user_id, coalesce(round(regr_slope(value, -back), 9), 0.0) AS slope, count(*) AS n, arg_max(value, back) AS first, arg_min(value, back) AS last, bool_or(value <= 1) AS empty FROM b WHERE back <= 10 GROUP BY user_id)
+SELECT user_id, round(slope, 6) AS slope, n, first, last, CASE WHEN n < 10 THEN 'too few' WHEN slope >= 0 THEN 'not falling' WHEN empty THEN 'no footage' END AS shortfall FROM g"""
 
 
 @CATALOG.add("stat_trend", _TREND)
 def stat_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return S.trend(events(spark, sf), ["user_id"], ["ts_us", "event_id"], "value", 10).withColumn("slope", r6("slope"))
+    """Whether the values of a user's last ten events fall; those of at most 1 count as rates without footage."""
+    e = events(spark, sf).withColumn("hours", F.col("value") - 1)
+    return S.trend(e, ["user_id"], ["ts_us", "event_id"], "value", 10, "hours").withColumn("slope", r6("slope"))
 
 
 _RATES = f"""WITH {EVENTS} SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS questions, round(CASE WHEN max(ts_us) > min(ts_us) THEN count(*) FILTER (WHERE event_type = 'error') / ((max(ts_us) - min(ts_us)) / 3600000000.0::DOUBLE) ELSE 0.0 END, 6) AS per_hour,

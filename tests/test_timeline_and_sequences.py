@@ -1,5 +1,6 @@
 """Set-form edits against the fold, and the sequence kernels against brute force."""
 
+import collections
 import itertools
 import random
 
@@ -300,8 +301,33 @@ def test_passes_and_captions():
     assert Q.count_passes([0, 1, 2, 3, 4, 5, 0, 1, 2, 3], 6) == 2
     assert Q.count_passes([], 0) == 0
     assert Q.caption_groups("a b c. d e f g h".split(), [0, 100, 200, 300, 900, 1000, 1100, 1200], [90, 190, 290, 390, 990, 1090, 1190, 1290]) == [0, 0, 0, 1, 2, 2, 2, 2]
-    assert Q.section_breaks([0.9, 0.1, 0.5], [50, 100, 150], 2, 200) == [100]
-    assert Q.section_breaks([0.1], [20], 3, 60) == []
+
+
+def test_sections(spark):
+    rng = random.Random(15)
+    cosine = lambda a, b: sum(a[t] * b[t] for t in a) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5 if a and b else 0.0
+    texts = {"long": [rng.choice([["kettle", "hinge", "the"], ["slate", "reel", "of"], ["voice", "mixer", "hinge"]][min(i // 70, 2)]) for i in range(220)], "short": ["word"] * 60, "even": ["of"] * 130}
+    df = spark.createDataFrame([(k, i, w) for k, ws in texts.items() for i, w in enumerate(ws)], "k string, idx int, word string")
+    got = {}
+    for r in X.cohesion_at_gaps(df, "k", 30, 50).collect():
+        got[r.k, r.idx] = r.cohesion
+    want = {}
+    for k, ws in texts.items():
+        t = [w if len(w) > 2 and w != "the" else None for w in ws]
+        for i in range(30, len(ws) - 29):
+            want[k, i] = cosine(collections.Counter(x for x in t[i - 30 : i] if x), collections.Counter(x for x in t[i : i + 30] if x))
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    cuts = {}
+    for r in X.sections(df, "k", 3, 30).orderBy("k", "section").collect():
+        cuts.setdefault(r.k, []).append(r.first_idx)
+    expected = {}
+    for k, ws in texts.items():
+        free, chosen = sorted((round(want[k, i], 12), i) for i in range(30, len(ws) - 30) if len(ws) > 60), []
+        while len(chosen) < 2 and free:
+            chosen.append(free[0][1])
+            free = [(s, i) for s, i in free if abs(i - chosen[-1]) >= max(len(ws) // 9, 30)]
+        expected[k] = [0, *sorted(chosen)]
+    assert cuts == expected and abs(cuts["long"][1] - 70) < 8 and abs(cuts["long"][2] - 140) < 8
 
 
 @pytest.mark.parametrize("width", [7, 60])
