@@ -10,7 +10,7 @@ from tapewright.operators import signals as G
 from tapewright.operators import timeline as L
 from tapewright.plans.catalog import Catalog
 from tapewright.plans.timeline_queries import _CLIPS, clips
-from tapewright.sources.standins import EVENTS, SHOTS, events, shots
+from tapewright.sources.standins import EVENTS, SHOTS, TURNS, events, shots, turns
 from tapewright.sources.tables import table
 
 CATALOG = Catalog()
@@ -116,7 +116,11 @@ def signal_blank_bands(spark: SparkSession, sf: str) -> DataFrame:
     return G.blank_bands(c, ["piece"], "frame", "band", "v").withColumn("spread", F.round("spread", 5))
 
 
-@CATALOG.add("signal_echo_step", "WITH o AS (SELECT label % 6 AS piece, vec_id, vec_id * 7 % 50 AS off FROM embeddings), d AS (SELECT piece, off - lag(off) OVER (PARTITION BY piece ORDER BY vec_id) AS step FROM o) SELECT piece, round(avg(step) FILTER (WHERE step > 0), 6) AS echo_step FROM d GROUP BY piece")
+_ECHO = f"WITH {TURNS}, o AS (SELECT asset, speaker, min(start_us) AS off FROM t WHERE speaker IS NOT NULL GROUP BY ALL), d AS (SELECT asset, off - lag(off) OVER (PARTITION BY asset ORDER BY speaker) AS step FROM o) SELECT asset, round(avg(step) FILTER (WHERE step > 0), 6) AS echo_step FROM d GROUP BY asset"
+
+
+@CATALOG.add("signal_echo_step", _ECHO)
 def signal_echo_step(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "embeddings").select((F.col("label") % 6).alias("piece"), "vec_id", (F.col("vec_id") * 7 % 50).alias("off"))
-    return G.echo_step(o, ["piece"], "vec_id", "off").withColumn("echo_step", F.round("echo_step", 6))
+    """Speakers as panels: by how much one begins behind the one before."""
+    o = turns(spark, sf).where("speaker IS NOT NULL").groupBy("asset", "speaker").agg(F.min("start_us").alias("off"))
+    return G.echo_step(o, ["asset"], "speaker", "off").withColumn("echo_step", F.round("echo_step", 6))

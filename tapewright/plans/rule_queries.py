@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import intervals as I
 from tapewright.operators import rules as R
+from tapewright.operators import signals as G
 from tapewright.operators import statistics as S
 from tapewright.operators.blocked import blocks, previous
 from tapewright.plans.catalog import Catalog
-from tapewright.plans.stat_queries import _LINES, _lines
+from tapewright.plans.stat_queries import _HOPS, _LINES, _blocks, _lines
 from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, WORDS, events, frames, shots, turns, words
 from tapewright.sources.tables import table
 
@@ -171,17 +172,20 @@ def rule_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SOUND = """WITH r AS (SELECT vec_id AS doc, CASE WHEN vec_id % 7 <> 0 THEN -20 - vec_id % 9 * 0.5 END AS integrated, CASE WHEN vec_id % 5 <> 0 THEN -23.0 END AS target, CASE WHEN vec_id % 6 <> 0 THEN -3 + vec_id % 8 * 0.5 END AS peak, CASE WHEN vec_id % 4 <> 0 THEN -1.0 END AS ceiling FROM embeddings)
-SELECT doc::VARCHAR AS subject, 'loudness within target' AS rule, 'sound' AS category, 'block' AS mode, NULL::BIGINT AS "at", CASE WHEN integrated IS NULL THEN 'not measured' ELSE printf('%.2f LUFS', integrated::DOUBLE) END AS detail FROM r WHERE target IS NOT NULL AND (integrated IS NULL OR abs(integrated - target) > 0.5)
-UNION ALL SELECT doc::VARCHAR, 'true peak below ceiling', 'sound', CASE WHEN peak IS NULL THEN 'warn' ELSE 'block' END, NULL, CASE WHEN peak IS NULL THEN 'not measured' ELSE printf('%.2f dBTP', peak::DOUBLE) END FROM r WHERE ceiling IS NOT NULL AND (peak IS NULL OR peak > ceiling)"""
+_SOUND = f"""WITH {_HOPS}, q AS (SELECT *, -0.691::DOUBLE + 10 * log10(power) AS l FROM b WHERE power > 0), g AS (SELECT user_id, -0.691::DOUBLE + 10 * log10(avg(power)) - 10 AS gate FROM q WHERE l > -70 GROUP BY user_id),
+i AS (SELECT q.user_id, -0.691::DOUBLE + 10 * log10(avg(power)) AS integrated FROM q JOIN g USING (user_id) WHERE l > -70 AND l > gate GROUP BY q.user_id),
+r AS (SELECT user_id AS doc, any_value(integrated) AS integrated, 20 * log10(max(abs(value / 100))) AS peak FROM e LEFT JOIN i USING (user_id) GROUP BY user_id)
+SELECT doc::VARCHAR AS subject, 'loudness within target' AS rule, 'sound' AS category, 'block' AS mode, NULL::BIGINT AS "at", CASE WHEN integrated IS NULL THEN 'not measured' ELSE printf('%.2f LUFS', integrated) END AS detail FROM r WHERE integrated IS NULL OR abs(integrated + 3) > 0.5
+UNION ALL SELECT doc::VARCHAR, 'true peak below ceiling', 'sound', 'block', NULL, printf('%.2f dBTP', peak) FROM r WHERE peak > -1"""
 
 
 @CATALOG.add("rule_sound", _SOUND)
 def rule_sound(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("vec_id")
-    r = table(spark, sf, "embeddings").select(
-        v.alias("doc"), F.when(v % 7 != 0, -20 - v % 9 * 0.5).alias("integrated"), F.when(v % 5 != 0, -23.0).alias("target"), F.when(v % 6 != 0, -3 + v % 8 * 0.5).alias("peak"), F.when(v % 4 != 0, -1.0).alias("ceiling")
-    )
+    """The values of each user as a sound: its gated loudness against a target of -3 LUFS and its peak against a ceiling of -1 dBTP; too few blocks weren't measured."""
+    e = events(spark, sf)
+    loud = G.integrated_loudness(_blocks(spark, sf), ["user_id"]).select(F.col("user_id").alias("l_user"), "integrated")
+    peak = e.groupBy("user_id").agg(G.true_peak(F.col("value") / 100).alias("peak"))
+    r = peak.join(loud, F.col("user_id") == F.col("l_user"), "left").select(F.col("user_id").alias("doc"), "integrated", F.lit(-3.0).alias("target"), "peak", F.lit(-1.0).alias("ceiling"))
     return R.loudness_within_target(r).unionByName(R.true_peak_below_ceiling(r))
 
 
@@ -222,20 +226,24 @@ def rule_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("turn_id", "kind", R.proposal_rejection(F.col("kind"), F.col("at"), F.col("seen").isNotNull(), F.col("near.gap"), F.col("near.n_lines"), F.col("near.n_faces")).alias("rejected"))
 
 
-_DELIVERY = """WITH p AS (SELECT vec_id AS doc, 100 AS frames, 100 - vec_id % 3 // 2 AS got, vec_id % 2 = 0 AS dist, vec_id % 4 AS repeats, vec_id % 5 // 4 AS illegal, vec_id % 6 // 5 AS black, -23 + vec_id % 3 AS l, vec_id % 7 = 0 AS silent FROM embeddings),
-c AS (SELECT doc, unnest([CASE WHEN frames <> got THEN 'frames' END, CASE WHEN dist AND repeats > 0 THEN 'repeats' END, CASE WHEN illegal > 0 THEN 'levels' END, CASE WHEN black > 0 THEN 'black' END, CASE WHEN NOT silent AND abs(l + 23) > 0.5 THEN 'loudness' END]) AS disagrees FROM p)
+_DELIVERY = f"""WITH {FRAMES}, a AS (SELECT asset, max(CASE WHEN duration_num IS NOT NULL AND duration_den IS NOT NULL AND fps_num IS NOT NULL AND fps_den IS NOT NULL THEN round(duration_num::DOUBLE / duration_den * fps_num / fps_den) END)::BIGINT AS frames, bool_or(has_video) AS v FROM assets WHERE asset IS NOT NULL GROUP BY asset),
+g AS (SELECT asset, count(*) AS got, count(*) FILTER (WHERE n_faces = pf AND n_lines = pl) AS repeats, count(*) FILTER (WHERE n_faces < 0) AS illegal, count(*) FILTER (WHERE n_faces = 0 AND n_lines = 0) AS black
+  FROM (SELECT *, lag(n_faces) OVER w AS pf, lag(n_lines) OVER w AS pl FROM f WINDOW w AS (PARTITION BY asset ORDER BY time_us, frame_id)) GROUP BY asset),
+c AS (SELECT a.asset AS doc, unnest([CASE WHEN frames <> got THEN 'frames' END, CASE WHEN v AND repeats > 0 THEN 'repeats' END, CASE WHEN illegal > 0 THEN 'levels' END, CASE WHEN black > 0 THEN 'black' END]) AS disagrees FROM a JOIN g USING (asset))
 SELECT * FROM c WHERE disagrees IS NOT NULL"""
 
 
 @CATALOG.add("rule_delivery", _DELIVERY)
 def rule_delivery(spark: SparkSession, sf: str) -> DataFrame:
-    """What was predicted of a render against what came out."""
-    v = F.col("vec_id")
-    div = lambda a, b: F.call_function("div", a, F.lit(b))
-    p = table(spark, sf, "embeddings").select(
-        v.alias("doc"), F.lit(100).alias("frames"), (100 - div(v % 3, 2)).alias("achieved_frames"), (v % 2 == 0).alias("distinct"), (v % 4).alias("repeats"), div(v % 5, 4).alias("illegal"), div(v % 6, 5).alias("black"), F.lit(-23).alias("loudness"), (-23 + v % 3).alias("achieved_loudness"), (v % 7 == 0).alias("silent")
-    )
-    return R.predicted_against_achieved(p)
+    """What the length and rate of a recording predict against the frames there are: their number, frames that show as much as the one before, frames that
+    weren't looked at (as illegal levels) and empty ones (as black)."""
+    rate = F.round(F.col("duration_num").cast("double") / F.col("duration_den") * F.col("fps_num") / F.col("fps_den")).cast("bigint")
+    a = table(spark, sf, "assets").where("asset IS NOT NULL").groupBy("asset").agg(F.max(rate).alias("frames"), F.bool_or("has_video").alias("distinct"))
+    f = frames(spark, sf).withColumn("shown", F.struct("n_faces", "n_lines"))
+    f = previous(blocks(f, "time_us", I.HOUR), ["asset"], "__block", ["time_us", "frame_id"], "shown", "was")
+    g = f.groupBy(F.col("asset").alias("doc")).agg(F.count(F.lit(1)).alias("achieved_frames"), F.count_if(F.col("was.value") == F.col("shown")).alias("repeats"), F.count_if(F.col("n_faces") < 0).alias("illegal"), F.count_if((F.col("n_faces") == 0) & (F.col("n_lines") == 0)).alias("black"))
+    unknown = F.lit(None).cast("double")
+    return R.predicted_against_achieved(g.join(a, F.col("doc") == F.col("asset")).select("*", unknown.alias("loudness"), unknown.alias("achieved_loudness"), F.lit(False).alias("silent")))
 
 
 _STYLES = f"""WITH {FRAMES}, h AS (SELECT DISTINCT frame_id, list_max(list_transform(faces, lambda x: x.height)) AS tall FROM frames WHERE asset IS NOT NULL AND time_num IS NOT NULL AND faces IS NOT NULL), g AS (SELECT f.*, h.tall FROM f LEFT JOIN h USING (frame_id) WHERE n_faces >= 0),
