@@ -135,5 +135,14 @@ def running_sums(df: DataFrame, entity: Sequence[str], block: str, order: Sequen
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, width: int) -> DataFrame:
     """``out``: the place of a row in its entity, from 0, by ``order``; blocks are cut by the first of it, ``width`` units each."""
     d = blocks(df.withColumn("__one", F.lit(1).cast("bigint")), order[0], width)
-    d = running_sum(d, keys, "__block", order, "__one", "__place").drop("__one", "__block")
-    return d.withColumn(out, (F.col("__place") - 1).cast("int")).drop("__place")
+    d = running_sum(d, keys, "__block", order, "__one", "__nth").drop("__one", "__block")
+    return d.withColumn(out, F.col("__nth") - 1).drop("__nth")
+
+
+def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, width: int, places: int = 50_000) -> DataFrame:
+    """Rows in blocks (``__block``) that also hold the ``size`` - 1 rows before them (``__halo``), so that a window of ``size`` rows up to a row is whole inside its
+    block. ``width``: units of the first of ``order`` per block of the numbering; ``places``: rows per block of the result."""
+    d = numbered(df, keys, order, "__place", width)
+    own = floor_div(F.col("__place"), F.lit(places))
+    d = d.withColumn("__own", own).withColumn("__block", F.explode(F.sequence("__own", floor_div(F.col("__place") + size - 1, F.lit(places)))))
+    return d.withColumn("__halo", F.col("__own") < F.col("__block")).drop("__own", "__place")

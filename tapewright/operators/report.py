@@ -32,6 +32,8 @@ def editors_report(facts: DataFrame, subject: str) -> DataFrame:
     """
     f, lit = F.col, F.lit
     fixed = lambda c, n=1: F.format_string(f"%.{n}f", c.cast("double"))
+    tenths = lambda c: F.concat(F.floor(c).cast("string"), lit("."), (F.floor(c * 10) % 10).cast("string"))
+    whole = lambda c: F.floor(c).cast("string")
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else lit(p) for p in parts])
     share = lambda c: F.floor(100 * f(c) / f("samples")).cast("string")
     has_sound, seen = F.coalesce(f("has_audio"), lit(False)), f("samples") > 0
@@ -43,7 +45,7 @@ def editors_report(facts: DataFrame, subject: str) -> DataFrame:
         facts,
         subject,
         [
-            ("fact", "L0", F.coalesce(f("has_video"), lit(False)) & f("seconds").isNotNull(), say("picture, ", fixed(f("seconds")), " s")),
+            ("fact", "L0", F.coalesce(f("has_video"), lit(False)) & f("seconds").isNotNull(), say("picture, ", tenths(f("seconds")), " s")),
             ("fact", "L0", f("has_video") & (f("height") > f("width")), lit("portrait")),
             ("problem", "L0", ~has_sound, lit("no sound track")),
             ("fact", "L1", measured & f("integrated").isNotNull(), say(fixed(f("integrated")), " LUFS, range ", fixed(f("loudness_range")), " LU, peak ", fixed(f("true_peak")), " dBTP")),
@@ -53,18 +55,18 @@ def editors_report(facts: DataFrame, subject: str) -> DataFrame:
             ("problem", "L1", measured & f("integrated").isNull(), lit("silent track")),
             ("fact", "L1", measured & apart.isNotNull(), say("speech ", fixed(apart, 0), " dB over the room")),
             ("problem", "L1", measured & (apart < LEAST_SEPARATION), lit("too little separation")),
-            ("opportunity", "L1", measured & (f("silences") > 0), say(f("silences").cast("string"), " silences, ", fixed(f("silent_seconds")), " s")),
-            ("opportunity", "L1", measured & (f("silences") > 0), say("longest gap ", fixed(f("longest_silence")), " s")),
+            ("opportunity", "L1", measured & (f("silences") > 0), say(f("silences").cast("string"), " silences, ", tenths(f("silent_seconds")), " s")),
+            ("opportunity", "L1", measured & (f("silences") > 0), say("longest gap ", tenths(f("longest_silence")), " s")),
             ("fact", "L2", has_sound & f("words").isNotNull(), say(f("words").cast("string"), " words, ", F.floor(f("words") / F.greatest(f("seconds"), lit(0.001)) * 60).cast("string"), " a minute")),
             ("fact", "L2", has_sound & f("segments").isNotNull(), say(f("segments").cast("string"), " segments")),
             ("opportunity", "L2", has_sound & (f("fillers") > 0), say(f("fillers").cast("string"), " fillers")),
             ("problem", "L2", has_sound & (f("unsure_words") > 0), say(f("unsure_words").cast("string"), " words below the floor")),
-            ("opportunity", "L2", has_sound & (f("longest_segment") > LONGEST_STRETCH), say("unbroken for ", fixed(f("longest_segment"), 0), " s")),
+            ("opportunity", "L2", has_sound & (f("longest_segment") > LONGEST_STRETCH), say("unbroken for ", whole(f("longest_segment")), " s")),
             ("fact", "L2", f("shots") == 1, lit("one continuous shot")),
-            ("fact", "L2", many, say(f("shots").cast("string"), " shots, median ", fixed(f("median_shot")), " s")),
+            ("fact", "L2", many, say(f("shots").cast("string"), " shots, median ", tenths(f("median_shot")), " s")),
             ("fact", "L2", many & (f("median_shot") < FAST_SHOT), lit("fast cutting")),
             ("opportunity", "L2", many & (f("median_shot") > LONG_SHOT), lit("long takes")),
-            ("opportunity", "L2", many & (f("longest_shot") > F.greatest(f("median_shot") * STALL_TIMES, lit(STALL_SECONDS))), say("one shot runs ", fixed(f("longest_shot"), 0), " s")),
+            ("opportunity", "L2", many & (f("longest_shot") > F.greatest(f("median_shot") * STALL_TIMES, lit(STALL_SECONDS))), say("one shot runs ", whole(f("longest_shot")), " s")),
             ("fact", "L2", seen, say("a person in ", share("with_face"), " %")),
             ("fact", "L2", seen & (f("with_hands") > 0), say("hands in ", share("with_hands"), " %")),
             ("fact", "L2", seen & (f("with_text") > 0), say("text in ", share("with_text"), " %, ", f("distinct_lines").cast("string"), " lines")),
@@ -83,7 +85,7 @@ def format_plan(pairs: DataFrame, subject: str) -> DataFrame:
     f, lit = F.col, F.lit
     split = F.coalesce(f("panels") > 1, lit(False))
     echo = F.coalesce(f("echo_known"), lit(False))
-    number = lambda c, n=0: F.format_string(f"%.{n}f", f(c).cast("double"))
+    number = lambda c, n=0: F.format_string(f"%.{n}f", f(c).cast("double")) if n else F.floor(f(c)).cast("string")
     return findings_of(
         pairs,
         subject,

@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.operators.intervals import overlap_pairs, point_in_range
+from tapewright.operators.blocked import blocks, following
+from tapewright.operators.intervals import HOUR, overlap_pairs, point_in_range
 
 COLUMNS = ["subject", "rule", "category", "mode", "at", "detail"]
 SECOND = 10**6
@@ -129,9 +130,8 @@ def brief_can_be_contradicted(intent: DataFrame, text: str, subject: str) -> Dat
 
 def clips_do_not_overlap(clips: DataFrame) -> DataFrame:
     """Neighbours on a track, as sorted by start."""
-    w = Window.partitionBy("doc", "track").orderBy("start", "end", "clip")
-    c = clips.withColumn("nxt", F.lead("start").over(w)).where("nxt < end")
-    return finding(c, "clips do not overlap", "structure", "block", F.col("doc"), F.col("nxt"), F.concat(F.lit("clip "), F.col("clip").cast("string")))
+    c = following(blocks(clips, "start", HOUR), ["doc", "track"], "__block", ["start", "end", "clip"], "start", "nxt").where("nxt.value < end")
+    return finding(c, "clips do not overlap", "structure", "block", F.col("doc"), F.col("nxt.value"), F.concat(F.lit("clip "), F.col("clip").cast("string")))
 
 
 def clips_are_on_the_grid(clips: DataFrame, grid: Column) -> DataFrame:

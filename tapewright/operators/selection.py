@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.normalise import FILLERS
 from tapewright.operators import sequences as Q
+from tapewright.operators.blocked import blocks, previous, running_sum
+from tapewright.operators.intervals import HOUR, PLACES
 
 # ---- sound at joins --------------------------------------------------------------------------------------------------
 
@@ -189,10 +191,10 @@ def choose_takes(words: DataFrame, key: str) -> DataFrame:
 
 def assemble(choices: DataFrame, keys: Sequence[str], order: str, start: str, end: str, handle: int, score: Column) -> DataFrame:
     """Chosen stretches one after another: with handles on either side, the playhead of each, and the confidence floor((0.7 + 0.25 q) 100) / 100."""
-    w = Window.partitionBy(*keys).orderBy(order)
     c = choices.withColumn("source_start", F.greatest(F.col(start) - handle, F.lit(0))).withColumn("source_end", F.col(end) + handle)
-    length = F.col("source_end") - F.col("source_start")
-    c = c.withColumn("at", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = blocks(c.withColumn("__length", F.col("source_end") - F.col("source_start")), order, PLACES)
+    c = running_sum(c, keys, "__block", [order], "__length", "__upto")
+    c = c.withColumn("at", F.col("__upto") - F.col("__length")).drop("__block", "__length", "__upto")
     return c.withColumn("confidence", F.floor((0.70 + 0.25 * score) * 100) / 100)
 
 
@@ -218,11 +220,10 @@ def panel_plan(cuts: DataFrame, keys: Sequence[str], order: str, start: str, end
 
 def brief_of(scenes: DataFrame, key: str, order: str, shot: str) -> DataFrame:
     """Per recording the dominant shot (ties by name), how often the shot changes, and the runs of other shots (cutaways)."""
-    w = Window.partitionBy(key).orderBy(order)
     n = scenes.groupBy(key, shot).agg(F.count(F.lit(1)).alias("n"))
     most = n.groupBy(key).agg(F.max("n").alias("m"))
     top = n.join(most, key).where("n = m").groupBy(key).agg(F.min(shot).alias("dominant"))
-    s = scenes.join(top, key).withColumn("was", F.lag(shot).over(w))
+    s = previous(blocks(scenes, order, HOUR), [key], "__block", [order], shot, "__was").withColumn("was", F.col("__was.value")).join(top, key)
     change = F.col("was").isNotNull() & (F.col("was") != F.col(shot))
     cutaway = (F.col(shot) != F.col("dominant")) & (F.col("was").isNull() | (F.col("was") == F.col("dominant")))
     return s.groupBy(key).agg(F.max("dominant").alias("dominant"), F.count_if(change).alias("changes"), F.count_if(cutaway).alias("cutaways"), F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.measures import decibels
+from tapewright.operators.blocked import blocks, previous, with_halo
+
+#: Rows, or units of an order that counts, per block.
+PLACES = 50_000
 
 # Gates and weights of programme loudness.
 ABSOLUTE_GATE = -70.0
@@ -30,28 +34,37 @@ def mean_difference(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), diff / F.size(a) / 255).otherwise(1.0)
 
 
-def consecutive_distance(df: DataFrame, keys: Sequence[str], order: str, vector: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("distance", F.when(F.lag(vector).over(w).isNotNull(), l1_distance(F.lag(vector).over(w), F.col(vector))))
+def consecutive_distance(df: DataFrame, keys: Sequence[str], order: str, vector: str, block: int = PLACES) -> DataFrame:
+    """Adds the distance of each row's vector from that of the row before; NULL at the first row. ``block``: units of ``order``."""
+    d = previous(blocks(df, order, block), keys, "__block", [order], vector, "__was").drop("__block")
+    return d.withColumn("distance", F.when(F.col("__was.value").isNotNull(), l1_distance(F.col("__was.value"), F.col(vector)))).drop("__was")
 
 
-def block_power(hops: DataFrame, keys: Sequence[str], hop: str, energy: str, samples: str, hops_per_block: int = 4) -> DataFrame:
+def block_power(hops: DataFrame, keys: Sequence[str], hop: str, energy: str, samples: str, hops_per_block: int = 4, places: int = PLACES) -> DataFrame:
     """Mean square of overlapping blocks of whole hops (a block ends at its hop; the first, incomplete ones are dropped)."""
-    w = Window.partitionBy(*keys).orderBy(hop).rowsBetween(1 - hops_per_block, 0)
-    b = hops.select(*keys, hop, (F.sum(energy).over(w) / F.sum(samples).over(w)).alias("power"), F.count(F.lit(1)).over(w).alias("__n"))
-    return b.where(F.col("__n") == hops_per_block).drop("__n")
+    h = with_halo(hops.select(*keys, hop, energy, samples), keys, [hop], hops_per_block, PLACES, places)
+    w = Window.partitionBy(*keys, "__block").orderBy(hop).rowsBetween(1 - hops_per_block, 0)
+    b = h.select(*keys, hop, "__halo", (F.sum(energy).over(w) / F.sum(samples).over(w)).alias("power"), F.count(F.lit(1)).over(w).alias("__n"))
+    return b.where((F.col("__n") == hops_per_block) & ~F.col("__halo")).drop("__n", "__halo")
+
+
+def _windowed(powers: DataFrame, keys: Sequence[str], order: str, power: str, size: int, places: int = PLACES) -> DataFrame:
+    """keys, p (the block's power) and long (the mean of the last ``size`` blocks, NULL before there are so many)."""
+    h = with_halo(powers.select(*keys, order, F.col(power).alias("p")), keys, [order], size, PLACES, places)
+    w = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(1 - size, 0)
+    h = h.select(*keys, "p", "__halo", F.avg("p").over(w).alias("long"), F.count(F.lit(1)).over(w).alias("__n"))
+    return h.where("NOT __halo").select(*keys, "p", F.when(F.col("__n") == size, F.col("long")).alias("long"))
 
 
-def channel_power(blocks: DataFrame, keys: Sequence[str], hop: str, channel: str, power: str = "power", weights: Sequence[float] = CHANNEL_WEIGHTS) -> DataFrame:
+def channel_power(powers: DataFrame, keys: Sequence[str], hop: str, channel: str, power: str = "power", weights: Sequence[float] = CHANNEL_WEIGHTS) -> DataFrame:
     """The weighted sum of the channels' powers in each block: keys, hop, power. Channels are numbered in the order of the weights; others count nothing."""
     weight = F.coalesce(F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col(channel)), F.lit(0.0))
-    return blocks.groupBy(*keys, hop).agg(F.sum(F.col(power) * weight).alias("power"))
+    return powers.groupBy(*keys, hop).agg(F.sum(F.col(power) * weight).alias("power"))
 
 
-def loudness_maxima(blocks: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
+def loudness_maxima(powers: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
     """The largest momentary loudness (of a block) and short-term loudness (of a window of blocks), NULL where there is none but silence."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - blocks_per_window, 0)
-    s = blocks.select(*keys, F.col(power).alias("p"), F.when(F.count(F.lit(1)).over(w) == blocks_per_window, F.avg(power).over(w)).alias("long"))
+    s = _windowed(powers, keys, order, power, blocks_per_window)
     return s.groupBy(*keys).agg(loudness(F.max("p")).alias("momentary"), loudness(F.max("long")).alias("short_term"))
 
 
@@ -60,21 +73,20 @@ def loudness(power: Column) -> Column:
     return F.when(power > 0, F.lit(LOUDNESS_OFFSET) + 10 * F.log10(power))
 
 
-def integrated_loudness(blocks: DataFrame, keys: Sequence[str], power: str = "power") -> DataFrame:
+def integrated_loudness(powers: DataFrame, keys: Sequence[str], power: str = "power") -> DataFrame:
     """Two-stage gated loudness: blocks over the absolute gate, then those over 10 below their mean. NULL if no block passes."""
-    b = blocks.where(loudness(F.col(power)) > ABSOLUTE_GATE)
+    b = powers.where(loudness(F.col(power)) > ABSOLUTE_GATE)
     gate = b.groupBy(*keys).agg((loudness(F.avg(power)) + RELATIVE_GATE).alias("__gate"))
     passed = b.join(gate, list(keys)).where(loudness(F.col(power)) > F.col("__gate"))
     out = passed.groupBy(*keys).agg(loudness(F.avg(power)).alias("integrated"), F.count(F.lit(1)).alias("n_blocks"))
-    return blocks.select(*keys).distinct().join(out, list(keys), "left")
+    return powers.select(*keys).distinct().join(out, list(keys), "left")
 
 
-def loudness_range(blocks: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
+def loudness_range(powers: DataFrame, keys: Sequence[str], order: str, power: str = "power", blocks_per_window: int = 30) -> DataFrame:
     """Spread between the 10th and 95th percentile (nearest rank, rounded) of the short-term loudness, gated at -70 and 20 below the mean."""
     from tapewright.operators.statistics import at_ranks, nearest_rank
 
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - blocks_per_window, 0)
-    s = blocks.select(*keys, F.avg(power).over(w).alias("p"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == blocks_per_window)
+    s = _windowed(powers, keys, order, power, blocks_per_window).where("long IS NOT NULL").select(*keys, F.col("long").alias("p"))
     s = s.where(loudness(F.col("p")) > ABSOLUTE_GATE)
     gate = s.groupBy(*keys).agg((loudness(F.avg("p")) + RANGE_GATE).alias("__gate"))
     s = s.join(gate, list(keys)).where(loudness(F.col("p")) > F.col("__gate")).withColumn("l", loudness(F.col("p")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.exact_time import int_div
+from tapewright.operators.blocked import running_sum
 
 
 #: Values of one block of ranks: so many to a doubling of size.
@@ -60,12 +61,17 @@ def ranked_value(df: DataFrame, keys: Sequence[str], value: str, rank, count: st
     return at_ranks(df, keys, value, {"__r": rank}, count).select(*keys, F.col("__r").alias(value), count)
 
 
+def medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The median of each group (the mean of the two middle values), from ranks: keys and ``out``."""
+    r = at_ranks(df, keys, value, {"__low": lambda n: F.floor((n - 1) / 2), "__high": upper_median}, "__n")
+    return r.select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias(out))
+
+
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
     """(v - median) / (1.4826 MAD) within groups; where the MAD is 0 it is 0 at the median and an infinity beside it."""
     w = df.where(F.col(value).isNotNull())
-    med = w.groupBy(*keys).agg(F.median(value).alias("med"))
-    j = w.join(med, list(keys))
-    mad = j.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    j = w.join(medians(w, keys, value, "med"), list(keys))
+    mad = medians(j.select(*keys, F.abs(F.col(value) - F.col("med")).alias("__off")), keys, "__off", "mad")
     j = j.join(mad, list(keys))
     off = F.col(value) - F.col("med")
     z = F.when(F.col("mad") > 0, off / (1.4826 * F.col("mad"))).when(off == 0, 0.0).when(off > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
@@ -73,20 +79,23 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") ->
 
 
 def _without_one(df: DataFrame, group: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
-    """``out``: the averaged median of the other rows' values in the group, from the ranks alone: no row meets another."""
-    w = Window.partitionBy(*group)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(value, tie)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    """``out``: the averaged median of the other rows' values in the group, from the ranks alone: no row meets another. Ranks come from blocks of size."""
+    r = df.withColumn("__block", _size_block(F.col(value).cast("double"))).withColumn("__one", F.lit(1).cast("bigint"))
+    r = running_sum(r, group, "__block", [value, tie], "__one", "__r").withColumn("__r", F.col("__r") - 1).drop("__block", "__one")
+    names = {g: f"__{g}" for g in group}
+    n = df.groupBy(*[F.col(g).alias(names[g]) for g in group]).agg(F.count(F.lit(1)).alias("__n"))
+    same = [F.col(g).eqNullSafe(F.col(names[g])) for g in group]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    r = r.join(n, cond).drop(*names.values())
     low, high = int_div(F.col("__n") - 2, F.lit(2)), int_div(F.col("__n") - 1, F.lit(2))
     at = lambda j, name: F.max(F.when(F.col("__r") == j, F.col(value))).alias(name)
-    stats = r.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(at(low, "__l0"), at(low + 1, "__l1"), at(high, "__h0"), at(high + 1, "__h1"))
-    cond = None
-    for g in group:
-        same = F.col(g).eqNullSafe(F.col(f"__{g}"))
-        cond = same if cond is None else cond & same
+    stats = r.groupBy(*[F.col(g).alias(names[g]) for g in group]).agg(at(low, "__l0"), at(low + 1, "__l1"), at(high, "__h0"), at(high + 1, "__h1"))
     j = r.join(stats, cond)
     rest = lambda k, a, b: F.when(k < F.col("__r"), F.col(a)).otherwise(F.col(b))
     med = F.when(F.col("__n") > 1, (rest(low, "__l0", "__l1") + rest(high, "__h0", "__h1")) / 2)
-    return j.withColumn(out, med).withColumn("n_others", F.col("__n") - 1).drop("__r", "__n", "__l0", "__l1", "__h0", "__h1", *[f"__{g}" for g in group])
+    return j.withColumn(out, med).withColumn("n_others", F.col("__n") - 1).drop("__r", "__n", "__l0", "__l1", "__h0", "__h1", *names.values())
 
 
 def history_deviations(history: DataFrame, metric: str, value: str, video: str, least: int = 5, threshold: float = 3.0) -> DataFrame:

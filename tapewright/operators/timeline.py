@@ -54,7 +54,7 @@ def ripple_delete(clips: DataFrame, removals: DataFrame, width: int, block: int
         (F.col("p.source_start") + F.col("p.k_end") - F.col("p.start")).alias("source_end"),
         (F.col("p.k_start") - F.col("before")).alias("start"),
     )
-    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
+    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, F.col("clip").cast("int").alias("clip"), "asset", "source_start", "source_end", "start")
 
 
 def move_range(clips: DataFrame, moves: DataFrame, block: int = HOUR) -> DataFrame:
@@ -79,7 +79,7 @@ def move_range(clips: DataFrame, moves: DataFrame, block: int = HOUR) -> DataFra
         .otherwise(0)
     )
     out = c.select(*TRACK, "asset", (F.col("source_start") + s - F.col("start")).alias("source_start"), (F.col("source_start") + F.col("p.e") - F.col("start")).alias("source_end"), (s + offset).alias("start"))
-    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, "clip", "asset", "source_start", "source_end", "start")
+    return numbered(out, TRACK, ["start", "source_start"], "clip", block).select(*TRACK, F.col("clip").cast("int").alias("clip"), "asset", "source_start", "source_end", "start")
 
 
 def diff(before: DataFrame, after: DataFrame, block: int = HOUR) -> DataFrame:
@@ -104,7 +104,7 @@ def diff(before: DataFrame, after: DataFrame, block: int = HOUR) -> DataFrame:
         moved = new.join(first, [*keys, *span]).where(~F.col("was").eqNullSafe(F.col("placement")))
         out = out.unionByName(moved.select(*keys, *span, F.lit("reframed").alias("change"), "start"))
     out = cut_lineage(out.withColumn("__size", F.col("source_start") - F.col("source_end")))
-    return numbered(out, ["doc"], ["__size", "track", "asset", "change", "source_start", "start"], "ord", block // 360).drop("__size")
+    return numbered(out, ["doc"], ["__size", "track", "asset", "change", "source_start", "start"], "ord", block // 360).drop("__size").withColumn("ord", F.col("ord").cast("int"))
 
 
 def lower_plan(clips: DataFrame, ranges: DataFrame, width: int) -> DataFrame:

@@ -207,12 +207,12 @@ fr AS (SELECT asset, count(*) AS samples, count(*) FILTER (WHERE n_faces > 0) AS
 pr AS (SELECT asset, count(*) AS person_runs FROM m GROUP BY asset),
 x AS (SELECT a.*, words, fillers, segments, longest_segment, shots, median_shot, longest_shot, samples, with_face, with_text, with_hands, distinct_lines, person_runs FROM a LEFT JOIN sp USING (asset) LEFT JOIN sg USING (asset) LEFT JOIN sh USING (asset) LEFT JOIN fr USING (asset) LEFT JOIN l USING (asset) LEFT JOIN pr USING (asset))
 SELECT asset, u.o::INT AS ord, u.k AS kind, u.l AS layer, u.t AS text FROM (SELECT asset, unnest([
-  CASE WHEN v AND seconds IS NOT NULL THEN {{'o': 0, 'k': 'fact', 'l': 'L0', 't': printf('picture, %.1f s', seconds)}} END, CASE WHEN NOT au THEN {{'o': 2, 'k': 'problem', 'l': 'L0', 't': 'no sound track'}} END,
+  CASE WHEN v AND seconds IS NOT NULL THEN {{'o': 0, 'k': 'fact', 'l': 'L0', 't': 'picture, ' || floor(seconds)::BIGINT || '.' || floor(seconds * 10)::BIGINT % 10 || ' s'}} END, CASE WHEN NOT au THEN {{'o': 2, 'k': 'problem', 'l': 'L0', 't': 'no sound track'}} END,
   CASE WHEN au AND words IS NOT NULL THEN {{'o': 12, 'k': 'fact', 'l': 'L2', 't': words || ' words, ' || floor(words / greatest(seconds, 0.001) * 60)::BIGINT || ' a minute'}} END, CASE WHEN au AND segments IS NOT NULL THEN {{'o': 13, 'k': 'fact', 'l': 'L2', 't': segments || ' segments'}} END,
-  CASE WHEN au AND fillers > 0 THEN {{'o': 14, 'k': 'opportunity', 'l': 'L2', 't': fillers || ' fillers'}} END, CASE WHEN au AND longest_segment > 12 THEN {{'o': 16, 'k': 'opportunity', 'l': 'L2', 't': printf('unbroken for %.0f s', longest_segment)}} END,
-  CASE WHEN shots = 1 THEN {{'o': 17, 'k': 'fact', 'l': 'L2', 't': 'one continuous shot'}} END, CASE WHEN shots > 1 THEN {{'o': 18, 'k': 'fact', 'l': 'L2', 't': shots || printf(' shots, median %.1f s', median_shot)}} END,
+  CASE WHEN au AND fillers > 0 THEN {{'o': 14, 'k': 'opportunity', 'l': 'L2', 't': fillers || ' fillers'}} END, CASE WHEN au AND longest_segment > 12 THEN {{'o': 16, 'k': 'opportunity', 'l': 'L2', 't': 'unbroken for ' || floor(longest_segment)::BIGINT || ' s'}} END,
+  CASE WHEN shots = 1 THEN {{'o': 17, 'k': 'fact', 'l': 'L2', 't': 'one continuous shot'}} END, CASE WHEN shots > 1 THEN {{'o': 18, 'k': 'fact', 'l': 'L2', 't': shots || ' shots, median ' || floor(median_shot)::BIGINT || '.' || floor(median_shot * 10)::BIGINT % 10 || ' s'}} END,
   CASE WHEN shots > 1 AND median_shot < 1.5 THEN {{'o': 19, 'k': 'fact', 'l': 'L2', 't': 'fast cutting'}} END, CASE WHEN shots > 1 AND median_shot > 8 THEN {{'o': 20, 'k': 'opportunity', 'l': 'L2', 't': 'long takes'}} END,
-  CASE WHEN shots > 1 AND longest_shot > greatest(median_shot * 4, 10) THEN {{'o': 21, 'k': 'opportunity', 'l': 'L2', 't': printf('one shot runs %.0f s', longest_shot)}} END, CASE WHEN samples > 0 THEN {{'o': 22, 'k': 'fact', 'l': 'L2', 't': 'a person in ' || (100 * with_face // samples) || ' %'}} END,
+  CASE WHEN shots > 1 AND longest_shot > greatest(median_shot * 4, 10) THEN {{'o': 21, 'k': 'opportunity', 'l': 'L2', 't': 'one shot runs ' || floor(longest_shot)::BIGINT || ' s'}} END, CASE WHEN samples > 0 THEN {{'o': 22, 'k': 'fact', 'l': 'L2', 't': 'a person in ' || (100 * with_face // samples) || ' %'}} END,
   CASE WHEN samples > 0 AND with_hands > 0 THEN {{'o': 23, 'k': 'fact', 'l': 'L2', 't': 'hands in ' || (100 * with_hands // samples) || ' %'}} END, CASE WHEN samples > 0 AND with_text > 0 THEN {{'o': 24, 'k': 'fact', 'l': 'L2', 't': 'text in ' || (100 * with_text // samples) || ' %, ' || distinct_lines || ' lines'}} END,
   CASE WHEN samples > 0 AND person_runs > 1 THEN {{'o': 25, 'k': 'fact', 'l': 'L2', 't': 'a person in ' || person_runs || ' runs'}} END, CASE WHEN samples > 0 AND with_face = 0 AND with_text = 0 THEN {{'o': 26, 'k': 'problem', 'l': 'L2', 't': 'neither face nor text'}} END]) AS u FROM x) WHERE u IS NOT NULL"""
 
@@ -255,7 +255,7 @@ p AS (SELECT w.asset, w.wpm, z.wpm AS ref_wpm, coalesce(retaken, 0) AS retaken,
 SELECT asset, u.o::INT AS ord, u.k AS kind, u.l AS layer, u.t AS text FROM (SELECT asset, unnest([
   CASE WHEN panels > 1 THEN {{'o': 0, 'k': 'step', 'l': 'layout', 't': 'split into ' || panels || ' panels'}} END, CASE WHEN NOT panels > 1 THEN {{'o': 1, 'k': 'step', 'l': 'layout', 't': 'single frame'}} END, CASE WHEN panels > 1 THEN {{'o': 4, 'k': 'step', 'l': 'content', 't': 'label the panels by section'}} END,
   CASE WHEN again > 0 THEN {{'o': 5, 'k': 'question', 'l': 'takes', 't': again || ' lines are said again: on purpose?'}} END, CASE WHEN retaken > 0 THEN {{'o': 6, 'k': 'step', 'l': 'takes', 't': 'use the best of ' || retaken || ' retaken lines'}} END,
-  CASE WHEN wpm < ref_wpm * 0.85 THEN {{'o': 7, 'k': 'step', 'l': 'pace', 't': printf('tighten pauses: %.0f to %.0f words a minute', wpm, ref_wpm)}} END, CASE WHEN wpm >= ref_wpm * 0.85 THEN {{'o': 8, 'k': 'step', 'l': 'pace', 't': 'keep the pace'}} END,
+  CASE WHEN wpm < ref_wpm * 0.85 THEN {{'o': 7, 'k': 'step', 'l': 'pace', 't': 'tighten pauses: ' || floor(wpm)::BIGINT || ' to ' || floor(ref_wpm)::BIGINT || ' words a minute'}} END, CASE WHEN wpm >= ref_wpm * 0.85 THEN {{'o': 8, 'k': 'step', 'l': 'pace', 't': 'keep the pace'}} END,
   {{'o': 10, 'k': 'step', 'l': 'captions', 't': 'burn in captions'}}, {{'o': 11, 'k': 'unknown', 'l': 'look', 't': 'fonts and colours'}}, {{'o': 12, 'k': 'unknown', 'l': 'layout', 't': 'delay between panels'}}, {{'o': 13, 'k': 'unknown', 'l': 'look', 't': 'graphics that aren''t text'}},
   CASE WHEN panels > 1 THEN {{'o': 14, 'k': 'question', 'l': 'layout', 't': 'how long should the echo be?'}} END]) AS u FROM p) WHERE u IS NOT NULL"""
 

@@ -295,3 +295,40 @@ def test_shots_of_cuts(spark):
     got = sorted(tuple(r) for r in G.shots_of_cuts(df, ["k"], "t", "d", end, 200).collect())
     # the cut at 100 comes too soon; that at 400 lies 150 behind the one at 250; the tail is a shot of any length
     assert got == [("a", 0, 0, 250, 0.0), ("a", 1, 250, 900, 0.25), ("a", 2, 900, 1000, 0.9), ("b", 0, 0, 80, 0.0), ("c", 0, 0, 0, 0.0)]
+
+
+def test_windows_of_rows_reach_over_blocks(spark):
+    from tapewright.operators import signals as G
+
+    rng = random.Random(16)
+    rows = [(k, h, rng.random(), 10.0) for k in ("a", "b") for h in sorted(rng.sample(range(300), 70))]
+    df = spark.createDataFrame(rows, "k string, h bigint, e double, s double")
+    whole = G.block_power(df, ["k"], "h", "e", "s")
+    got = sorted((r.k, r.h, round(r.power, 12)) for r in G.block_power(df, ["k"], "h", "e", "s", places=6).collect())
+    want = []
+    for k in ("a", "b"):
+        own = [r for r in rows if r[0] == k]
+        want += [(k, own[i][1], round(sum(r[2] for r in own[i - 3 : i + 1]) / 40, 12)) for i in range(3, len(own))]
+    assert got == sorted(want) == sorted((r.k, r.h, round(r.power, 12)) for r in whole.collect())
+    m = {r.k: r for r in G.loudness_maxima(whole, ["k"], "h", blocks_per_window=5).collect()}
+    for k in ("a", "b"):
+        p = [x for y, _, x in want if y == k]
+        loud = lambda x: -0.691 + 10 * np.log10(x)
+        assert m[k].momentary == pytest.approx(loud(max(p))) and m[k].short_term == pytest.approx(loud(max(sum(p[i - 4 : i + 1]) / 5 for i in range(4, len(p)))))
+    v = spark.createDataFrame([("a", i, [float(i * i), 1.0]) for i in range(9)], "k string, i bigint, v array<double>")
+    one, many = (sorted(map(str, G.consecutive_distance(v, ["k"], "i", "v", n).collect())) for n in (10**6, 2))
+    assert one == many and "distance=None" in one[0]
+
+
+def test_robust_z_and_medians(spark):
+    from tapewright.operators import statistics as S
+
+    rng = random.Random(17)
+    rows = [(k, i, rng.choice([1.0, 2.5, -4.0, rng.gauss(0, 9)])) for k in ("a", "b") for i in range(60 + (k == "b"))] + [("flat", i, 3.0) for i in range(5)] + [("flat", 9, 4.0)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    for r in S.robust_z(df, ["k"], "v").collect():
+        own = [v for k, _, v in rows if k == r.k]
+        med = float(np.median(own))
+        mad = float(np.median([abs(v - med) for v in own]))
+        z = (r.v - med) / (1.4826 * mad) if mad else (0.0 if r.v == med else float("inf"))
+        assert (r.med, r.mad) == (pytest.approx(med), pytest.approx(mad)) and r.z == pytest.approx(z)
