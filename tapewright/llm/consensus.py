@@ -307,7 +307,7 @@ def _alpha(claims: DataFrame) -> DataFrame:
     totals = per_label.join(sizes.where("m > 1").select("i"), "i", "left_semi").groupBy("l").agg(F.sum("n").cast("double").alias("t"))
     by_chance = totals.agg(F.sum(F.col("t") * F.col("t")).alias("same"))
     # two tables of one row each
-    both = seen.withColumn("one", F.lit(1)).join(by_chance.withColumn("one", F.lit(1)), "one", "left")
+    both = seen.unionByName(by_chance, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_items", "n_claims", "apart", "paired", "same")])
     expected = (F.col("paired") * F.col("paired") - F.col("same")) / (F.col("paired") - 1)
     return both.select("n_items", "n_claims", F.when(expected > 0, 1 - F.col("apart") / expected).alias("alpha"))
 
