@@ -185,10 +185,11 @@ def cut_instants(clips: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     return c.select("doc", "track", "clip", "asset", F.col("start").alias("at"), F.col("source_start").alias("source_at"))
 
 
-def no_cut_inside_a_word(cuts: DataFrame, words: DataFrame, slack: int, width: int) -> DataFrame:
-    """``cuts``: doc, at; ``words``: doc, idx, start, end: a cut more than ``slack`` from both edges of the word it falls in."""
+def no_cut_inside_a_word(cuts: DataFrame, words: DataFrame, slack: int, width: int, longest: int | None = None) -> DataFrame:
+    """``cuts``: doc, at; ``words``: doc, idx, start, end: a cut more than ``slack`` from both edges of the word it falls in. ``longest``: the
+    longest word, if it is known."""
     w = words.select("doc", "idx", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
-    j = point_in_range(cuts.select("doc", "at").distinct(), w, ["doc"], "at", "w_start", "w_end", ["w_start", "idx"], width)
+    j = point_in_range(cuts.select("doc", "at").distinct(), w, ["doc"], "at", "w_start", "w_end", ["w_start", "idx"], width, longest)
     j = j.where((F.col("at") - F.col("w_start") > slack) & (F.col("w_end") - F.col("at") > slack))
     return finding(j, "no cut inside a word", "speech", "block", F.col("doc"), F.col("at"), F.concat(F.lit("word "), F.col("idx").cast("string")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.exact_time import int_div
 from tapewright.operators.blocked import running_sum
+from tapewright.session import cut_lineage
 
 
 #: Values of one block of ranks: so many to a doubling of size.
@@ -68,9 +69,9 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFra
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
-    """(v - median) / (1.4826 MAD) within groups; where the MAD is 0 it is 0 at the median and an infinity beside it."""
+    """(v - median) / (1.4826 MAD) within groups; where the MAD is 0 it is 0 at the median and an infinity beside it. The input is read several times."""
     w = df.where(F.col(value).isNotNull())
-    j = w.join(medians(w, keys, value, "med"), list(keys))
+    j = w.join(cut_lineage(medians(w, keys, value, "med")), list(keys))
     mad = medians(j.select(*keys, F.abs(F.col(value) - F.col("med")).alias("__off")), keys, "__off", "mad")
     j = j.join(mad, list(keys))
     off = F.col(value) - F.col("med")

@@ -12,6 +12,7 @@ from tapewright.operators import statistics as S
 from tapewright.operators.blocked import blocks, previous
 from tapewright.plans.catalog import Catalog
 from tapewright.plans.stat_queries import _HOPS, _LINES, _blocks, _lines
+from tapewright.session import cut_lineage
 from tapewright.sources.standins import EVENTS, FRAMES, SHOTS, TURNS, WORDS, events, frames, shots, turns, words
 from tapewright.sources.tables import table
 
@@ -33,11 +34,11 @@ def flagship_review_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of events with gaps of up to 30 minutes, judged by errors and by level against the user's own median, as a review queue with its budget."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id")
-    e = events(spark, sf).withColumn("was", F.lag("ts_us").over(w))
-    g = I.islands(e, ["user_id"], ["ts_us", "event_id"], ~(F.col("ts_us") - F.col("was") <= 1_800_000_000), "n")
+    day = 24 * I.HOUR
+    e = previous(blocks(events(spark, sf), "ts_us", day), ["user_id"], "__block", ["ts_us", "event_id"], "ts_us", "was").drop("__block")
+    g = I.islands(e, ["user_id"], ["ts_us", "event_id"], ~(F.col("ts_us") - F.col("was.value") <= 1_800_000_000), "n", day)
     s = g.groupBy("user_id", "n").agg(F.min("ts_us").alias("start_us"), (F.max("ts_us") + SECOND).alias("end_us"), F.avg("value").alias("level"), S.share(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n_events"))
-    z = S.robust_z(s, ["user_id"], "level")
+    z = cut_lineage(S.robust_z(cut_lineage(s), ["user_id"], "level"))
     z = z.withColumn("total", F.sum(F.col("end_us") - F.col("start_us")).over(Window.partitionBy("user_id")))
     severity = F.when(F.col("errors") >= 0.99, 3).when(F.abs("z") > 2, 2).when(F.col("errors") > 0, 1)
     reason = F.when(F.col("errors") >= 0.99, "only errors").when(F.abs("z") > 2, "unusual level").otherwise("some errors")
@@ -137,7 +138,7 @@ def rule_cuts_and_words(spark: SparkSession, sf: str) -> DataFrame:
     was = F.lag("word").over(Window.partitionBy("doc_id").orderBy("idx"))
     w = words(spark, sf).withColumn("was", was).select(F.col("doc_id").alias("doc"), "idx", "conf", "was", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
     cuts = w.where(F.col("was").rlike(r"[.?!]$")).select("doc", (F.col("start") + 150).alias("at"))
-    return R.no_cut_inside_a_word(cuts, w, 20, 2000).unionByName(R.cuts_rest_on_confident_words(cuts, w, 500, 70, 2000))
+    return R.no_cut_inside_a_word(cuts, w, 20, 2000, 300).unionByName(R.cuts_rest_on_confident_words(cuts, w, 500, 70, 2000))
 
 
 _PICTURE = f"""WITH {SHOTS}, {TURNS}, n AS (SELECT asset, count(*) AS n FROM s GROUP BY asset HAVING count(*) > 1), cp AS (SELECT DISTINCT asset, start_us AS pt FROM t),
