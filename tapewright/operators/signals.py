@@ -197,7 +197,8 @@ def cadence(df: DataFrame, keys: Sequence[str], at: str, first: int = 12) -> Dat
     from tapewright.operators.statistics import ranked_value, upper_median
 
     w = Window.partitionBy(*keys).orderBy(at)
-    g = df.withColumn("__k", F.row_number().over(w)).withColumn("gap", F.col(at) - F.lag(at).over(w)).where(F.col("__k") <= first)
+    # only the first rows of each partition are shuffled
+    g = df.select(*keys, at).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= first).withColumn("gap", F.col(at) - F.lag(at).over(w))
     n = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     m = n.join(ranked_value(g.where("gap > 0"), keys, "gap", upper_median, "n_gaps"), list(keys), "left")
     return m.select(*keys, F.when((F.col("n") >= 3) & (F.col("gap") > 0), F.lit(1e6) / F.col("gap")).alias("fps"))

@@ -147,8 +147,10 @@ def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: str) -> Da
 
 def screen_time(df: DataFrame, keys: Sequence[str], text: str, at: str) -> DataFrame:
     """How long each line is on screen: sightings times the interval of the first two frames of the recording."""
-    t = df.select(*keys, at).distinct()
-    first = t.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where("k <= 2").groupBy(*keys).agg((F.max(at) - F.min(at)).alias("step"))
+    head = df.groupBy(*keys).agg(F.min(at).alias("__head"))
+    # a recording with one frame has a step of 0
+    step = F.coalesce(F.min(F.when(F.col(at) > F.col("__head"), F.col(at) - F.col("__head"))), F.lit(0))
+    first = df.select(*keys, at).join(head, list(keys)).groupBy(*keys).agg(step.alias("step"))
     return df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("n")).join(first, list(keys)).select(*keys, text, "n", (F.col("n") * F.col("step")).alias("on_screen"))
 
 
