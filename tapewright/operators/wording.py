@@ -174,17 +174,33 @@ def context_windows(counts: DataFrame, key: str, n_words: str, size: int, overla
     return w.select(key, "window_no", "first", (F.least(F.col("first") + size, F.col(n_words)) - 1).alias("last"))
 
 
+def _sentence_ends(words: DataFrame, key: str) -> DataFrame:
+    """key, idx, and for each word the last word of its document (``top``), the first sentence end behind it and the last one before it."""
+    ahead, back = Window.partitionBy(key).orderBy("idx"), Window.partitionBy(key).orderBy(F.col("idx").desc())
+    before = (Window.unboundedPreceding, -1)
+    m = words.where(F.col(key).isNotNull()).select(key, "idx", F.when(F.col("word").rlike(r"[.?!]$"), F.col("idx")).alias("stop"))
+    # looked for from the end: a frame that goes on to the last row is read anew for every word
+    m = m.withColumn("top", F.max("idx").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_end", F.last("stop", ignorenulls=True).over(back.rowsBetween(*before)))
+    return m.withColumn("prev_end", F.last("stop", ignorenulls=True).over(ahead.rowsBetween(*before))).drop("stop")
+
+
+def _context(first: str, last: str, budget: int) -> list[Column]:
+    return [F.greatest(F.coalesce(F.col("prev_end") + 1, F.lit(0)), F.col(first) - budget).alias("from"), F.least(F.coalesce("next_end", "top"), F.col(last) + budget).alias("to")]
+
+
 def sentence_context(words: DataFrame, key: str, spans: DataFrame, budget: int) -> DataFrame:
     """Around each span (key, first, last) the words back to the last sentence end and on to the next, within a budget on either side."""
-    w = Window.partitionBy(key).orderBy("idx")
-    ends = F.col("word").rlike(r"[.?!]$")
-    m = words.select(key, "idx", ends.alias("ends"))
-    m = m.withColumn("prev_end", F.last(F.when(F.col("ends"), F.col("idx")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    m = m.withColumn("next_end", F.first(F.when(F.col("ends"), F.col("idx")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    m = m.withColumn("top", F.max("idx").over(Window.partitionBy(key)))
+    m = _sentence_ends(words, key)
     a = m.select(F.col(key).alias("ka"), F.col("idx").alias("ia"), "prev_end")
     b = m.select(F.col(key).alias("kb"), F.col("idx").alias("ib"), "next_end", "top")
-    j = spans.join(a, (F.col(key) == F.col("ka")) & (F.col("first") == F.col("ia"))).join(b, (F.col(key) == F.col("kb")) & (F.col("last") == F.col("ib")))
-    return j.select(
-        key, "first", "last", F.greatest(F.coalesce(F.col("prev_end") + 1, F.lit(0)), F.col("first") - budget).alias("from"), F.least(F.coalesce("next_end", "top"), F.col("last") + budget).alias("to")
-    )
+    # words are many more than their texts' size lets Spark believe: never broadcast
+    j = spans.join(a.hint("merge"), (F.col(key) == F.col("ka")) & (F.col("first") == F.col("ia"))).join(b.hint("merge"), (F.col(key) == F.col("kb")) & (F.col("last") == F.col("ib")))
+    return j.select(key, "first", "last", *_context("first", "last", budget))
+
+
+def sentence_context_of_each(words: DataFrame, key: str, size: int, budget: int) -> DataFrame:
+    """``sentence_context`` of every ``size`` words in a row, without a join."""
+    w = Window.partitionBy(key).orderBy("idx")
+    m = _sentence_ends(words, key)
+    m = m.withColumn("last", F.lead("idx", size - 1).over(w)).withColumn("next_end", F.lead("next_end", size - 1).over(w))
+    return m.where("last IS NOT NULL").select(key, F.col("idx").alias("first"), "last", *_context("idx", "last", budget))

@@ -236,6 +236,4 @@ SELECT p.doc_id, p.idx AS first, n.idx AS last, greatest(coalesce(pe + 1, 0), p.
 @CATALOG.add("text_sentence_context", _CONTEXT)
 def text_sentence_context(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences around every three words."""
-    w = words(spark, sf)
-    spans = w.select("doc_id", F.col("idx").alias("first"), (F.col("idx") + 2).alias("last"))
-    return W.sentence_context(w, "doc_id", spans, 20)
+    return W.sentence_context_of_each(words(spark, sf, whole=True), "doc_id", 3, 20)

@@ -67,9 +67,14 @@ CUTS = """c AS (
 )"""
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, idx, word, start_ms, end_ms, conf (hundredths), speaker. A pause of 0.9 s after every eleventh word."""
+def words(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """doc_id, idx, word, start_ms, end_ms, conf (hundredths), speaker. A pause of 0.9 s after every eleventh word.
+
+    ``whole``: the words of a document are in one partition, by doc_id, so that work by document moves the texts and not every word. Spark takes the words
+    for as small as the compressed texts, so a join with them has to say that they aren't to be broadcast."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
+    if whole:
+        d = d.select("doc_id", "text").repartition("doc_id")
     w = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("idx", "word"))
     start = F.col("idx") * 400 + F.call_function("div", F.col("idx"), F.lit(11)).cast("int") * 900 + (F.col("doc_id") * 31 + F.col("idx") * 17) % 90
     return w.select(
