@@ -157,10 +157,11 @@ def broken_links(beats: DataFrame, links: DataFrame, surviving: DataFrame) -> Da
 
 def inverted_links(beats: DataFrame, links: DataFrame, order: DataFrame) -> DataFrame:
     """Links whose payoff comes before its setup: ``order`` doc, idx, position (the last of repeated positions counts). Missing positions are skipped."""
-    pos = order.groupBy("doc", "idx").agg(F.max("position").alias("position"))
-    at = beats.join(pos, (beats["doc"] == pos["doc"]) & (beats["first"] == pos["idx"])).select(beats["doc"].alias("b_doc"), "beat", "position")
+    pos = order.groupBy(F.col("doc").alias("o_doc"), F.col("idx").alias("o_idx")).agg(F.max("position").alias("position"))
+    # positions of words are many more than their texts' size lets Spark believe: never broadcast
+    at = beats.join(pos.hint("merge"), (F.col("doc") == F.col("o_doc")) & (F.col("first") == F.col("o_idx"))).select(F.col("doc").alias("b_doc"), "beat", "position")
     side = lambda name: at.select(F.col("b_doc").alias(f"{name}_doc"), F.col("beat").alias(f"{name}_beat"), F.col("position").alias(f"{name}_at"))
-    j = links.join(side("s"), (F.col("doc") == F.col("s_doc")) & (F.col("setup") == F.col("s_beat"))).join(side("p"), (F.col("doc") == F.col("p_doc")) & (F.col("payoff") == F.col("p_beat")))
+    j = links.join(side("s").hint("merge"), (F.col("doc") == F.col("s_doc")) & (F.col("setup") == F.col("s_beat"))).join(side("p").hint("merge"), (F.col("doc") == F.col("p_doc")) & (F.col("payoff") == F.col("p_beat")))
     return j.where("p_at < s_at").select("doc", "link", "setup", "payoff")
 
 
@@ -172,5 +173,6 @@ def mix(clips: DataFrame, samples: DataFrame, width: int) -> DataFrame:
     c = clips.where("source_end > source_start").withColumn("gain", F.coalesce("gain", F.lit(1.0))).select("doc", F.col("asset").alias("c_asset"), "source_start", "source_end", "start", "gain")
     c = c.withColumn("c_bucket", F.explode(F.sequence(bucket(F.col("source_start")), bucket(F.col("source_end") - 1))))
     s = samples.withColumn("bucket", bucket(F.col("n")))
-    j = c.join(s, (F.col("asset") == F.col("c_asset")) & (F.col("bucket") == F.col("c_bucket")) & (F.col("n") >= F.col("source_start")) & (F.col("n") < F.col("source_end")))
+    # samples are many more than the rows they are made from let Spark believe: never broadcast
+    j = c.join(s.hint("merge"), (F.col("asset") == F.col("c_asset")) & (F.col("bucket") == F.col("c_bucket")) & (F.col("n") >= F.col("source_start")) & (F.col("n") < F.col("source_end")))
     return j.groupBy("doc", (F.col("n") - F.col("source_start") + F.col("start")).alias("n")).agg(F.sum(F.col("v") * F.col("gain")).alias("v"))

@@ -61,3 +61,21 @@ def test_cuts_and_words_send_no_words_to_the_driver(spark, data, tmp_path):
     cuts = spark.createDataFrame([("d", 1000)], "doc string, at bigint")
     far = spark.createDataFrame([("d", 0, 41, 0, 499), ("d", 1, 52, 100, 500), ("d", 2, 41, 1501, 1600)], "doc string, idx int, conf int, start bigint, end bigint")
     assert [r.detail for r in R.cuts_rest_on_confident_words(cuts, far, 500, 70, 2000).collect()] == ["word 1"]
+
+
+def test_inverted_links_send_no_words_to_the_driver(spark, data, tmp_path):
+    from tapewright.operators import timeline as L
+    from tapewright.plans.timeline_queries import _narrative, timeline_inverted_links
+
+    _texts(spark, data, tmp_path, [(d, "a", " ".join(["w"] * n)) for d, n in ((1, 200), (2, 61), (3, 60), (4, 1), (777, 1000))])
+    df = timeline_inverted_links(spark, str(tmp_path))
+    assert "Broadcast" not in _plan(df)
+    at = lambda d, beat: (beat * 30 * 7919 + d) % 1000
+    want = [(d, b, b, b + 2) for d, n in ((1, 200), (2, 61), (3, 60), (4, 1), (777, 1000)) for b in range((n - 1) // 30 - 1) if at(d, b + 2) < at(d, b)]
+    got = sorted((r.doc, r.link, r.setup, r.payoff) for r in df.collect())
+    assert got == sorted(want) and got
+    # the positions of all words give the same
+    w, beats, links = _narrative(spark, str(tmp_path))
+    again = L.inverted_links(beats, links, w.select("doc", "idx", ((F.col("idx") * 7919 + F.col("doc")) % 1000).alias("position")))
+    assert "Broadcast" not in _plan(again)
+    assert sorted((r.doc, r.link, r.setup, r.payoff) for r in again.collect()) == got
