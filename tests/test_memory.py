@@ -79,3 +79,17 @@ def test_inverted_links_send_no_words_to_the_driver(spark, data, tmp_path):
     again = L.inverted_links(beats, links, w.select("doc", "idx", ((F.col("idx") * 7919 + F.col("doc")) % 1000).alias("position")))
     assert "Broadcast" not in _plan(again)
     assert sorted((r.doc, r.link, r.setup, r.payoff) for r in again.collect()) == got
+
+
+def test_mix_sends_no_samples_to_the_driver(spark, data):
+    from tapewright.operators import timeline as L
+
+    clips = spark.createDataFrame([("d", "a", 0, 50, 0, None), ("d", "a", 20, 40, 10, 0.5)], "doc string, asset string, source_start bigint, source_end bigint, start bigint, gain double")
+    # samples made from so few rows that Spark takes them for small
+    seconds = spark.range(1).select(F.lit("a").alias("asset"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))).alias("n")).withColumn("v", F.col("n") % 7)
+    df = L.mix(clips, seconds, 60)
+    assert "Broadcast" not in _plan(df)
+    want = {n: n % 7 + (0.5 * ((n + 10) % 7) if 10 <= n < 30 else 0.0) for n in range(50)}
+    assert {r.n: r.v for r in df.collect()} == want
+    # in the end too, when the sizes of what was shuffled are known
+    assert "Broadcast" not in _plan(df)
