@@ -37,9 +37,8 @@ def removal_plan(words: DataFrame, removed: Column, key: str, retention: float)
     """Time to cut so that the removed words go: per run of removed words its own time, the gap behind it and a share (1 - retention) of the
     gap before it. Retention 0 is tight, 0.35 balanced, 0.7 loose. Returns key, first_idx, last_idx, start_ms, end_ms."""
     w = Window.partitionBy(key).orderBy("idx")
-    m = words.withColumn("gone", F.coalesce(removed, F.lit(False))).withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy(key, "gone").orderBy("idx")))
-    m = m.withColumn("prev_end", F.lag("end_ms").over(w)).withColumn("next_start", F.lead("start_ms").over(w))
-    r = m.where("gone").groupBy(key, "run").agg(
+    m = words.withColumn("gone", F.coalesce(removed, F.lit(False))).withColumn("prev_end", F.lag("end_ms").over(w)).withColumn("next_start", F.lead("start_ms").over(w))
+    r = m.where("gone").withColumn("run", F.col("idx") - F.row_number().over(w)).groupBy(key, "run").agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.min_by("prev_end", "idx").alias("prev_end"), F.max_by("next_start", "idx").alias("next_start")
     )
     lead = F.greatest(F.col("s") - F.col("prev_end"), F.lit(0))
@@ -52,13 +51,18 @@ def requested_removals(words: DataFrame, requested: DataFrame, key: str, retenti
     end_ms; and the requests for words that aren't there."""
     from tapewright.operators.intervals import merge
 
-    r = requested.where(F.col(key).isNotNull() & F.col("idx").isNotNull()).select(F.col(key).alias("__k"), F.col("idx").alias("__i")).distinct()
-    marked = words.join(r, (F.col(key) == F.col("__k")) & (F.col("idx") == F.col("__i")), "left")
-    # a recording without requests needs no plan
-    marked = marked.join(r.select(F.col("__k").alias("__asked")).distinct(), F.col(key) == F.col("__asked"), "left_semi")
-    plan = merge(removal_plan(marked, F.col("__i").isNotNull(), key, retention).where("end_ms > start_ms"), [key], "start_ms", "end_ms")
-    unknown = r.join(words.select(F.col(key).alias("__wk"), F.col("idx").alias("__wi")), (F.col("__k") == F.col("__wk")) & (F.col("__i") == F.col("__wi")), "left_anti")
-    return plan, unknown.select(F.col("__k").alias(key), F.col("__i").alias("idx"))
+    # by (key, idx), so that the union below isn't taken for partitioned by key: where both sides of a union are partitioned alike, Spark 4.1 relies on it but
+    # still puts the partitions of each side together as it likes, and words miss their requests
+    r = requested.where(F.col(key).isNotNull() & F.col("idx").isNotNull()).select(key, "idx").repartition(key, "idx").distinct()
+    # words are many more than their texts' size lets Spark believe, and a join might broadcast them: a request comes right before its word in one order instead
+    u = words.select(key, "idx", "start_ms", "end_ms", F.lit(1).alias("__word")).unionByName(r.withColumn("__word", F.lit(0)), allowMissingColumns=True)
+    asked = F.lag(F.when(F.col("__word") == 0, F.col("idx"))).over(Window.partitionBy(key).orderBy("idx", "__word"))
+    marked = u.withColumn("__asked", asked).where("__word = 1")
+    plan = merge(removal_plan(marked, F.col("__asked") == F.col("idx"), key, retention).where("end_ms > start_ms"), [key], "start_ms", "end_ms")
+    # places have no holes, so the first and the last say which are there
+    there = words.groupBy(F.col(key).alias("__wk")).agg(F.min("idx").alias("__first"), F.max("idx").alias("__last"))
+    unknown = r.join(there.hint("merge"), F.col(key) == F.col("__wk"), "left").where("__wk IS NULL OR idx < __first OR idx > __last")
+    return plan, unknown.select(key, "idx")
 
 
 def term_vectors(words: DataFrame, key: Sequence[str]) -> DataFrame:

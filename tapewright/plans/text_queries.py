@@ -154,8 +154,10 @@ UNION ALL SELECT rq.doc_id, 'unknown', NULL, NULL, rq.idx FROM rq LEFT JOIN w ON
 def text_requested_removals(spark: SparkSession, sf: str) -> DataFrame:
     """The words that the cut plans of a recording remove, taken out of its documents: the cuts, and the words that aren't there."""
     d = table(spark, sf, "documents").where("asset IS NOT NULL").select("doc_id", F.col("asset").alias("d_asset"))
-    r = table(spark, sf, "cut_plans").where("asset IS NOT NULL").select("asset", F.explode("removed_words").alias("idx")).where("idx IS NOT NULL").distinct()
-    plan, unknown = W.requested_removals(words(spark, sf), d.join(r, F.col("d_asset") == F.col("asset")).select("doc_id", "idx"), "doc_id", 0.35)
+    # what is asked for stays one list of each recording until it is with a document
+    r = table(spark, sf, "cut_plans").where("asset IS NOT NULL").select("asset", F.explode("removed_words").alias("idx")).groupBy("asset").agg(F.collect_set("idx").alias("asked"))
+    r = d.join(r.hint("merge"), F.col("d_asset") == F.col("asset")).select("doc_id", F.explode("asked").alias("idx"))
+    plan, unknown = W.requested_removals(words(spark, sf), r, "doc_id", 0.35)
     cuts = plan.select("doc_id", F.lit("cut").alias("kind"), "start_ms", "end_ms", F.lit(None).cast("int").alias("idx"))
     return cuts.unionByName(unknown.select("doc_id", F.lit("unknown").alias("kind"), F.lit(None).cast("bigint").alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"), "idx"))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tests.compare import canonical
+from tests.compare import canonical, duck
 
 
 def _plan(df) -> str:
@@ -93,3 +93,33 @@ def test_mix_sends_no_samples_to_the_driver(spark, data):
     assert {r.n: r.v for r in df.collect()} == want
     # in the end too, when the sizes of what was shuffled are known
     assert "Broadcast" not in _plan(df)
+
+
+def test_requested_removals_send_no_words_to_the_driver(spark, data, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tapewright.operators import wording as W
+    from tapewright.plans.text_queries import CATALOG, text_requested_removals
+    from tapewright.sources.tables import table
+
+    n_words = {1: 30, 2: 1, 3: 0, 4: 12, 5: 12}
+    _texts(spark, data, tmp_path, [(d, {5: "b", 4: None}.get(d, "a"), " ".join(["word"] * n) or None) for d, n in n_words.items()])
+    like = table(spark, data, "cut_plans").schema
+    plans = spark.createDataFrame([(1, "a", [3, 4, 4, None, 9, -1]), (2, "a", [4, 30, 0]), (2, "a", [4, 30, 0]), (3, None, [1]), (4, "c", [1]), (5, "b", [])], "plan_id bigint, asset string, removed_words array<int>")
+    plans.select(*[F.col(f.name).cast(f.dataType) if f.name in plans.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like]).write.parquet(f"{tmp_path}/cut_plans.parquet")
+    df = text_requested_removals(spark, str(tmp_path))
+    assert "Broadcast" not in _plan(df)
+    rows = df.collect()
+    unknown = {(r.doc_id, r.idx) for r in rows if r.kind == "unknown"}
+    assert unknown == {(1, -1), (1, 30), *((2, i) for i in (-1, 3, 4, 9, 30)), *((3, i) for i in (-1, 0, 3, 4, 9, 30))}
+    assert {r.doc_id for r in rows if r.kind == "cut"} == {1, 2}
+    # one file of each table, as the views want it
+    (tmp_path / "one").mkdir()
+    for t in ("documents", "cut_plans"):
+        pq.write_table(table(spark, str(tmp_path), t).toArrow(), tmp_path / "one" / f"{t}.parquet")
+    rel = duck(str(tmp_path / "one")).sql(CATALOG.oracle_sql()["text_requested_removals"])
+    assert canonical(df.columns, rows) == canonical(rel.columns, rel.fetchall())
+    # words that begin elsewhere than at 0, requested twice
+    w = spark.createDataFrame([("k", i, "w", i * 100, i * 100 + 50) for i in range(5, 9)], "k string, idx int, word string, start_ms bigint, end_ms bigint")
+    plan, lost = W.requested_removals(w, spark.createDataFrame([("k", 6), ("k", 6), ("k", 4), ("k", None), (None, 6)], "k string, idx int"), "k", 0.0)
+    assert [(r.start_ms, r.end_ms) for r in plan.collect()] == [(550, 700)] and [(r.k, r.idx) for r in lost.collect()] == [("k", 4)]
