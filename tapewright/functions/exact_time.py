@@ -86,6 +86,12 @@ def fine_rest(num: Column | str, den: Column | str) -> Column:
     return F.when(small, high * F.lit(10**8) + low).otherwise(exact)
 
 
+def micro_rest(num: Column | str, den: Column | str) -> Column:
+    """What is left beside the whole seconds, in microseconds, rounded down: ``fine_rest`` over 10^10, in BIGINT for denominators up to 9*10^12."""
+    n, d = signed(num, den)
+    return _scaled(F.pmod(n, d), d, 10**6)[0]
+
+
 def is_exact_tick(num: Column | str, den: Column | str) -> Column:
     n, d = signed(num, den)
     _, left = _scaled(F.pmod(n, d), d, TICKS)

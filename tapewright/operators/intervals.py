@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.exact_time import floor_div, int_div
 from tapewright.operators.blocked import blocks, following, previous, running_max, running_sum, running_sums, value_runs
-from tapewright.operators.run_bitmap import periods_and_gaps
+from tapewright.operators.run_bitmap import us_periods_and_gaps
 from tapewright.session import cut_lineage
 
 #: An hour of microseconds.
@@ -30,9 +30,7 @@ def merge(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame
 
     The edges are microseconds.
     """
-    million = F.lit(10**6).cast("bigint")
-    r = df.select(*keys, F.col(start).cast("bigint").alias("__sn"), million.alias("__sd"), F.col(end).cast("bigint").alias("__en"), million.alias("__ed"))
-    out = periods_and_gaps(r, keys, ("__sn", "__sd"), ("__en", "__ed")).where("what = 'period'")
+    out = us_periods_and_gaps(df, keys, start, end).where("what = 'period'")
     return out.select(*keys, F.col("start_us").alias(start), F.col("end_us").alias(end))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.exact_time import floor_div
 from tapewright.operators.blocked import blocks, numbered, running_sum
 from tapewright.operators.intervals import HOUR, PLACES, merge, nearest_samples, overlap_pairs, subtract
 from tapewright.session import cut_lineage
@@ -169,10 +170,27 @@ def mix(clips: DataFrame, samples: DataFrame, width: int) -> DataFrame:
     """Sum of the overlapping clips' samples times their gain (NULL: 1): ``samples`` asset, n, v at the unit of the clips; doc, n, v.
 
     Clips meet samples in buckets of ``width`` units of source time, so a long recording is spread like many short ones."""
-    bucket = lambda x: F.floor(x / width).cast("bigint")
-    c = clips.where("source_end > source_start").withColumn("gain", F.coalesce("gain", F.lit(1.0))).select("doc", F.col("asset").alias("c_asset"), "source_start", "source_end", "start", "gain")
-    c = c.withColumn("c_bucket", F.explode(F.sequence(bucket(F.col("source_start")), bucket(F.col("source_end") - 1))))
-    s = samples.withColumn("bucket", bucket(F.col("n")))
+    s = samples.withColumn("bucket", floor_div(F.col("n").cast("bigint"), F.lit(width).cast("bigint")))
+    return mix_buckets(clips, s.groupBy("asset", "bucket").agg(F.collect_list(F.struct("n", "v")).alias("samples")), width)
+
+
+def mix_buckets(clips: DataFrame, samples: DataFrame, width: int) -> DataFrame:
+    """``mix`` of samples that are in buckets already: asset, bucket (n divided by ``width``, rounded down), samples (array of n, v).
+
+    What is moved are arrays: a clip is cut at the buckets of source time and of the timeline, a piece takes its samples from one array and
+    goes to its bucket of the timeline as one row. Samples are single rows only where they are summed up."""
+    w = F.lit(width).cast("bigint")
+    c = clips.where("source_end > source_start").withColumn("gain", F.coalesce("gain", F.lit(1.0)))
+    c = c.select("doc", F.col("asset").alias("c_asset"), F.col("source_start").cast("bigint").alias("a"), F.col("source_end").cast("bigint").alias("b"), (F.col("start") - F.col("source_start")).cast("bigint").alias("shift"), "gain")
+    c = c.withColumn("c_bucket", F.explode(F.sequence(floor_div(F.col("a"), w), floor_div(F.col("b") - 1, w)))).repartition("c_asset", "c_bucket")
+    c = c.withColumn("a", F.greatest("a", F.col("c_bucket") * w)).withColumn("b", F.least("b", (F.col("c_bucket") + 1) * w))
+    # a clip without a place keeps its samples, at no place; greatest and least pass over its NULLs
+    c = c.withColumn("at_bucket", F.explode_outer(F.sequence(floor_div(F.col("a") + F.col("shift"), w), floor_div(F.col("b") - 1 + F.col("shift"), w))))
+    c = c.withColumn("zero", F.col("at_bucket") * w - F.col("shift"))
+    c = c.withColumn("a", F.greatest("a", "zero")).withColumn("b", F.least("b", F.col("zero") + w))
     # samples are many more than the rows they are made from let Spark believe: never broadcast
-    j = c.join(s.hint("merge"), (F.col("asset") == F.col("c_asset")) & (F.col("bucket") == F.col("c_bucket")) & (F.col("n") >= F.col("source_start")) & (F.col("n") < F.col("source_end")))
-    return j.groupBy("doc", (F.col("n") - F.col("source_start") + F.col("start")).alias("n")).agg(F.sum(F.col("v") * F.col("gain")).alias("v"))
+    j = c.join(samples.hint("merge"), (F.col("asset") == F.col("c_asset")) & (F.col("bucket") == F.col("c_bucket")))
+    j = j.select("doc", "at_bucket", "zero", "gain", F.filter("samples", lambda x: (x["n"] >= F.col("a")) & (x["n"] < F.col("b"))).alias("part"))
+    j = j.select("doc", "at_bucket", F.transform("part", lambda x: (x["n"] - F.col("zero")).cast("int")).alias("at"), F.transform("part", lambda x: x["v"] * F.col("gain")).alias("v"))
+    r = j.repartition("doc", "at_bucket").select("doc", "at_bucket", F.inline(F.arrays_zip("at", "v")))
+    return r.groupBy("doc", "at_bucket", "at").agg(F.sum("v").alias("v")).select("doc", (F.col("at_bucket") * w + F.col("at")).alias("n"), "v")

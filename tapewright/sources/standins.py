@@ -14,7 +14,7 @@ from tapewright.sources.tables import table
 
 
 def us(num: str, den: str) -> Column:
-    return X.whole_seconds(num, den) * F.lit(10**6) + X.int_div(X.fine_rest(num, den), F.lit(10**10))
+    return X.whole_seconds(num, den) * F.lit(10**6) + X.micro_rest(num, den)
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,9 +28,11 @@ TURNS = """t AS (
 )"""
 
 
-def shots(spark: SparkSession, sf: str) -> DataFrame:
+def shots(spark: SparkSession, sf: str, repeated: bool = False) -> DataFrame:
+    """``repeated``: with the rows that were delivered again, for what they don't change, as a union of ranges."""
     t = table(spark, sf, "shots").where("asset IS NOT NULL AND end_num IS NOT NULL")
-    return t.select("shot_id", "asset", "boundary_score", us("start_num", "start_den").alias("start_us"), us("end_num", "end_den").alias("end_us")).where("end_us >= start_us").dropDuplicates(["shot_id"])
+    s = t.select("shot_id", "asset", "boundary_score", us("start_num", "start_den").alias("start_us"), us("end_num", "end_den").alias("end_us")).where("end_us >= start_us")
+    return s if repeated else s.dropDuplicates(["shot_id"])
 
 
 SHOTS = """s AS (

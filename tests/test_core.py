@@ -332,3 +332,26 @@ def test_robust_z_and_medians(spark):
         mad = float(np.median([abs(v - med) for v in own]))
         z = (r.v - med) / (1.4826 * mad) if mad else (0.0 if r.v == med else float("inf"))
         assert (r.med, r.mad) == (pytest.approx(med), pytest.approx(mad)) and r.z == pytest.approx(z)
+
+
+def test_microseconds_without_decimals(spark):
+    from tapewright.sources.standins import us
+
+    rng = random.Random(5)
+    rows = [(rng.randint(-(10**12), 10**12), rng.choice([1, 25, 922, 923, 30000, 10**8, 9223372036854, 9223372036855, 2**61]) * rng.choice([1, -1])) for _ in range(300)]
+    rows += [(None, 1), (1, None), (1, 0)]
+    got = spark.createDataFrame(rows, "n bigint, d bigint").select("n", "d", us("n", "d").alias("u")).collect()
+    assert [r.u for r in got] == [None if r.n is None or not r.d else r.n * 10**6 // r.d for r in got]
+
+
+def test_ranges_in_microseconds_are_those_of_fractions(spark):
+    # the edges of shards count
+
+    rng = random.Random(6)
+    edge = 512 * 10**6
+    rows = [(rng.choice(["a", "b", None]), s := rng.choice([rng.randint(-3 * edge, 3 * edge), edge * rng.randint(-2, 2)]), s + rng.choice([-1, 0, 1, rng.randint(0, 10**8), edge, 2 * edge])) for _ in range(60)]
+    rows += [("a", None, 5), ("a", 5, None)]
+    df = spark.createDataFrame(rows, "asset string, s bigint, e bigint").withColumn("m", F.lit(10**6).cast("bigint"))
+    want = {(r.asset, r.start_us, r.end_us) for r in R.periods_and_gaps(df, ["asset"], ("s", "m"), ("e", "m")).where("what = 'period'").collect()}
+    got = [(r.asset, r.s, r.e) for r in I.merge(df, ["asset"], "s", "e").collect()]
+    assert len(got) == len(want) and set(got) == want

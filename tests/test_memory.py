@@ -123,3 +123,30 @@ def test_requested_removals_send_no_words_to_the_driver(spark, data, tmp_path):
     w = spark.createDataFrame([("k", i, "w", i * 100, i * 100 + 50) for i in range(5, 9)], "k string, idx int, word string, start_ms bigint, end_ms bigint")
     plan, lost = W.requested_removals(w, spark.createDataFrame([("k", 6), ("k", 6), ("k", 4), ("k", None), (None, 6)], "k string, idx int"), "k", 0.0)
     assert [(r.start_ms, r.end_ms) for r in plan.collect()] == [(550, 700)] and [(r.k, r.idx) for r in lost.collect()] == [("k", 4)]
+
+
+def test_mix_moves_samples_in_arrays(spark, data, tmp_path):
+    from tapewright.plans.more_queries import timeline_mix
+    from tapewright.sources.tables import table
+
+    # 40 recordings of 3000 s, each shot delivered twice, one recording with two more clips
+    given = {"shot_id": "shot_id", "asset": "asset", "start_num": "a", "start_den": "1", "end_num": "b", "end_den": "1"}
+    like = table(spark, data, "shots")
+    rows = [(i, f"a{i}", 0, 3000) for i in range(40)] + [(40, "a0", 3010, 3020), (41, "a0", 3021, 3022)]
+    df = spark.createDataFrame(rows * 2, "shot_id bigint, asset string, a bigint, b bigint")
+    df.select(*[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in like.schema]).write.parquet(str(tmp_path / "shots.parquet"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        # the records that were shuffled so far
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    was = moved()
+    got = {(r.doc, r.n): r.v for r in timeline_mix(spark, str(tmp_path)).collect()}
+    want = {(f"a{i}", n): n % 7 * 0.5 for i in range(40) for n in range(3000)}
+    want |= {("a0", 3000 + n): (3010 + n) % 7 * 1.0 for n in range(10)} | {("a0", 3010): 3021 % 7 * 0.5}
+    assert got == want
+    assert moved() - was < len(want) / 5

@@ -346,6 +346,25 @@ def test_mix_is_the_sum_over_clips(spark, width):
     assert {(r.doc, r.n): r.v for r in L.mix(clips, samples, width).collect()} == want
 
 
+@pytest.mark.parametrize("width", [1, 7, 60])
+def test_mix_of_odd_rows(spark, width):
+    # samples far apart, repeated, before 0, without a value or a place; clips without a place, without length, before 0
+    samples = [("a", -70, 1.0), ("a", -1, 2.0), ("a", 0, 3.0), ("a", 0, 4.0), ("a", 59, None), ("a", 60, 5.0), ("a", 1000, 6.0), ("a", None, 7.0), (None, 3, 8.0)]
+    clips = [
+        ("d", "a", -80, 61, 5, None), ("d", "a", 0, 1, 1005, 0.5), ("d", "a", 1000, 1001, -200, 2.0), ("e", "a", 59, 60, 0, 1.0), (None, "a", 60, 61, 0, 1.0),
+        ("f", "a", 0, 61, None, 1.0), ("f", "a", 5, 5, 0, 1.0), ("f", "a", 9, 5, 0, 1.0), ("f", None, 0, 9, 0, 1.0), ("f", "b", 0, 9, 0, 1.0), ("f", "a", None, 9, 0, 1.0),
+    ]
+    want = {}
+    for d, asset, s, e, at, gain in clips:
+        for a, n, v in samples:
+            if asset is not None and s is not None and asset == a and n is not None and s <= n < e:
+                want.setdefault((d, None if at is None else n - s + at), []).append(None if v is None else v * (1.0 if gain is None else gain))
+    want = {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+    c = spark.createDataFrame(clips, "doc string, asset string, source_start bigint, source_end bigint, start bigint, gain double")
+    got = L.mix(c, spark.createDataFrame(samples, "asset string, n bigint, v double"), width).collect()
+    assert len(got) == len(want) and {(r.doc, r.n): r.v for r in got} == want
+
+
 def test_timeline_mix_has_every_second(spark, data, tmp_path):
     # a recording that goes on long after its first 3000 s, over the edge of a block of samples, and a short one
     from pyspark.sql import functions as F
